@@ -7,19 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import mixing, secrets
+from pointloom.llm import bpe, mixing, quality_rules, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    """The rank file that op1 and the pipeline encode by."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded again: number of ids, digests of the ids and of the decoded bytes."""
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary())
+    back = bpe.decode(encoded, vocabulary())
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.ids_text("ids"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents: sources weigh 5, 2, 1 in turn, at most three copies of a document."""
     m = mixing.mix(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), max_repeat=3.0)
     return m.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents measured and judged, with the verdict of their source."""
+    return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", "soft_failed", "host_rate")
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents: counts and digest of the base kinds, and all spans."""
     found = secrets.scan(table(spark, sf_dir, "documents"))
@@ -46,7 +65,9 @@ def _oracle_op10() -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_bpe": op1_bpe,
         "op6_mixing": op6_mixing,
+        "op9_quality_rules": op9_quality_rules,
         "op10_secret_scans": op10_secret_scans,
     }
 
