@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import bpe, mixing, quality_rules, secrets
+from pointloom.llm import bpe, mixing, quality_rules, secrets, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words that windows of 20 words repeat from an earlier place."""
+    out = substrings.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents measured and judged, with the verdict of their source."""
     return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", "soft_failed", "host_rate")
@@ -63,14 +69,26 @@ def _oracle_op10() -> str:
         select d.doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(b, '')) base_sha256, coalesce(spans, '') spans from d left join g using (doc_id)"""
 
 
+_ORACLE_OP8 = r"""with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+    w as (select doc_id, ws, unnest(range(1, len(ws) - 18)) as s from d where len(ws) >= 20),
+    k as (select doc_id, s, md5(array_to_string(ws[s:s+19], ' ')) as h from w),
+    g as (select doc_id, s, row_number() over (partition by h order by doc_id, s) as n from k),
+    c as (select distinct doc_id, unnest(range(s, s + 20)) as i from g where n > 1),
+    r as (select doc_id, list(i) as gone from c group by doc_id)
+    select d.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(len(gone), 0) as bigint) as n_removed,
+        sha256(array_to_string(case when gone is null then ws else list_filter(ws, lambda x, i: not list_contains(gone, i)) end, ' ')) as kept_sha256
+    from d left join r using (doc_id)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op6_mixing": op6_mixing,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_quality_rules": op9_quality_rules,
         "op10_secret_scans": op10_secret_scans,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_secret_scans": _oracle_op10()}
+    return {"op8_substring_dedup": _ORACLE_OP8, "op10_secret_scans": _oracle_op10()}
