@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import bpe, minhash, mixing, quality_rules, secrets, substrings
+from pointloom.llm import bpe, minhash, mixing, quality_rules, secrets, substrings, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.ids_text("ids"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best partners of every fiftieth embedding."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents: sources weigh 5, 2, 1 in turn, at most three copies of a document."""
     m = mixing.mix(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), max_repeat=3.0)
@@ -74,6 +79,12 @@ def _oracle_op10() -> str:
         select d.doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(b, '')) base_sha256, coalesce(spans, '') spans from d left join g using (doc_id)"""
 
 
+_ORACLE_OP2 = """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings
+        where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 50 = 0),
+    r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+    select query_id, rank, vec_id, score from r where rank <= 5"""
+
 _ORACLE_OP8 = r"""with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
     w as (select doc_id, ws, unnest(range(1, len(ws) - 18)) as s from d where len(ws) >= 20),
     k as (select doc_id, s, md5(array_to_string(ws[s:s+19], ' ')) as h from w),
@@ -88,6 +99,7 @@ _ORACLE_OP8 = r"""with d as (select doc_id, list_filter(string_split_regex(coale
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_topk": op2_topk,
         "op6_mixing": op6_mixing,
         "op7_minhash": op7_minhash,
         "op8_substring_dedup": op8_substring_dedup,
@@ -97,4 +109,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_substring_dedup": _ORACLE_OP8, "op10_secret_scans": _oracle_op10()}
+    return {"op2_topk": _ORACLE_OP2, "op8_substring_dedup": _ORACLE_OP8, "op10_secret_scans": _oracle_op10()}
