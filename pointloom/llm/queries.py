@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import bpe, minhash, mixing, quality_rules, secrets, substrings, topk
+from pointloom.llm import bpe, minhash, mixing, quality_rules, secrets, substrings, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,12 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives, copies as revisits, and the archives read back."""
+    manifest = warc.write(table(spark, sf_dir, "pages"), least=0)
+    return warc.read(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents: sources weigh 5, 2, 1 in turn, at most three copies of a document."""
     m = mixing.mix(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), max_repeat=3.0)
@@ -100,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_topk": op2_topk,
+        "op4_warc": op4_warc,
         "op6_mixing": op6_mixing,
         "op7_minhash": op7_minhash,
         "op8_substring_dedup": op8_substring_dedup,
