@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import bpe, minhash, mixing, quality_rules, secrets, substrings, topk, warc
+from pointloom.llm import bpe, licenses, minhash, mixing, quality_model, quality_rules, secrets, substrings, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,12 +33,23 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
 
 
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents judged by evidence, host (source) and path (language within the source)."""
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives, copies as revisits, and the archives read back."""
     manifest = warc.write(table(spark, sf_dir, "pages"), least=0)
     return warc.read(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents by sentence rules."""
+    out = licenses.scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.array_join("sentences", ",").alias("sentences"), F.array_join("licenses", ",").alias("licenses"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents: sources weigh 5, 2, 1 in turn, at most three copies of a document."""
     m = mixing.mix(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), max_repeat=3.0)
@@ -91,6 +102,20 @@ _ORACLE_OP2 = """with v as (select vec_id, list_transform(embedding, lambda x: f
     r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
     select query_id, rank, vec_id, score from r where rank <= 5"""
 
+def _oracle_op5() -> str:
+    """Sentences looked up in a list, identifiers joined, then the rules one after the other."""
+    known = ", ".join(f"('{k}', '{v}')" for k, v in licenses.known().items())
+    sql = f"""with k(sentence, name) as (values {known}),
+        s as (select doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '{licenses.ENDS}')) as sentence, generate_subscripts(string_split_regex(lower(coalesce(text, '')), '{licenses.ENDS}'), 1) as i from documents),
+        n as (select doc_id, i, coalesce(k.name, '_') as name from s left join k on k.sentence = trim(regexp_replace(s.sentence, '{licenses.NOISE}', ' ', 'g'))),
+        f as (select doc_id, ',' || string_agg(name, ',' order by i) || ',' as found, coalesce(string_agg(name, ',' order by i) filter (name <> '_'), '') as sentences, count(*) filter (name <> '_') as n_sentences from n group by doc_id),
+        t0 as (select doc_id, n_sentences, sentences, regexp_replace(found, ',(?:_,)+', ',_,', 'g') as rest, cast([] as varchar[]) as got from f)"""
+    for k, (name, ids) in enumerate(licenses.RULES):
+        pat = licenses.rule_pattern(ids)
+        sql += f""", t{k + 1} as (select doc_id, n_sentences, sentences, case when regexp_matches(rest, '{pat}') then regexp_replace(rest, '{pat}', ',_,', 'g') else rest end as rest, case when regexp_matches(rest, '{pat}') and not list_contains(got, '{name}') then list_append(got, '{name}') else got end as got from t{k})"""
+    return sql + f" select doc_id, n_sentences, sentences, array_to_string(got, ',') as licenses from t{len(licenses.RULES)}"
+
+
 _ORACLE_OP8 = r"""with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
     w as (select doc_id, ws, unnest(range(1, len(ws) - 18)) as s from d where len(ws) >= 20),
     k as (select doc_id, s, md5(array_to_string(ws[s:s+19], ' ')) as h from w),
@@ -106,7 +131,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_topk": op2_topk,
+        "op3_quality_model": op3_quality_model,
         "op4_warc": op4_warc,
+        "op5_license_scans": op5_license_scans,
         "op6_mixing": op6_mixing,
         "op7_minhash": op7_minhash,
         "op8_substring_dedup": op8_substring_dedup,
@@ -116,4 +143,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": _ORACLE_OP2, "op8_substring_dedup": _ORACLE_OP8, "op10_secret_scans": _oracle_op10()}
+    return {"op2_topk": _ORACLE_OP2, "op5_license_scans": _oracle_op5(), "op8_substring_dedup": _ORACLE_OP8, "op10_secret_scans": _oracle_op10()}
