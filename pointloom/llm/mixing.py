@@ -54,26 +54,60 @@ def _prefix(level: int) -> Column:
     return F.shiftrightunsigned("h", 64 - BITS * level) if level else F.lit(0).cast("long")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_repeat: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per row of docs: doc_id, source, size, source_size, target, copies, taken.
+def _sized(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """Size and hash of a row."""
+    return word_count(docs[text_col]), F.xxhash64(docs[id_col], docs[text_col])
 
-    copies is how often the mix takes the row (0 to max_repeat), taken = copies * size. Nulls: a null text has size 0,
-    a null source is a source of its own, a null id is hashed like any other. Repeated rows hash alike and are taken
-    alike. An empty table gives no rows. Other columns of docs are not looked at.
+
+def thresholds(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_repeat: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+    """(sized, plan). sized: doc_id, source, size, h of each row; plan: a row a source with source_size, target, times, edge, open.
+
+    Documents of a source are taken times times, those whose hash prefix lies below edge once more.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
+    size, h = _sized(docs, id_col, text_col)
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), h.alias("h"))
     sized = materialize(sized, "mix-sized")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = source_targets(sizes, weights, max_repeat).withColumn("times", times)
     plan = plan.withColumn("budget", F.col("target") - F.col("times") * F.col("source_size")).withColumn("base", F.lit(0).cast("long")).withColumn("edge", F.lit(0).cast("long"))
-    plan = materialize(plan.withColumn("cell", F.lit(0).cast("long")), "mix-plan")
+    plan = materialize(plan, "mix-plan")
     for level in range(LEVELS):
         plan = materialize(_refine(sized, plan, level), f"mix-level{level}")
-    p = plan.select(F.col("source").alias("of"), "source_size", "target", "times", "edge", "open")
-    at = F.shiftrightunsigned("h", 64 - BITS * LEVELS)
-    once_more = F.when(F.col("open") & (at < F.col("edge")), F.lit(1)).otherwise(F.lit(0))
-    return sized.join(p, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "source", "size", "source_size", "target", (F.col("times") + once_more).alias("copies"), ((F.col("times") + once_more) * F.col("size")).alias("taken"))
+    return sized, plan.select(F.col("source").alias("of"), "source_size", "target", "times", "edge", "open")
+
+
+def _copies(h: Column) -> Column:
+    once_more = F.when(F.col("open") & (F.shiftrightunsigned(h, 64 - BITS * LEVELS) < F.col("edge")), F.lit(1)).otherwise(F.lit(0))
+    return (F.col("times") + once_more).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_repeat: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Per row of docs: doc_id, source, size, source_size, target, copies, taken.
+
+    copies is how often the mix takes the row (0 to max_repeat), taken = copies * size. Nulls: a null text has size 0,
+    a null source is a source of its own, a null id is hashed like any other. Repeated rows hash alike and are taken
+    alike. An empty table gives no rows. Other columns of docs are not looked at.
+    """
+    sized, plan = thresholds(docs, weights, max_repeat, id_col, text_col, source_col)
+    both = sized.join(plan, F.col("source").eqNullSafe(F.col("of"))).withColumn("copies", _copies(F.col("h")))
+    return both.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def take(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_repeat: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs with each row as often as the mix takes it; its columns are docs' own.
+
+    The rows are hashed again where they are read and only meet the plan, a row a source, so no text is shuffled unless
+    there are too many sources for a broadcast join.
+    """
+    _, plan = thresholds(docs, weights, max_repeat, id_col, text_col, source_col)
+    plan = plan.select(F.col("of").alias("__of"), "times", "edge", "open").select("__of", F.struct("times", "edge", "open").alias("__plan"))
+    _, h = _sized(docs, id_col, text_col)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs[source_col].cast("string").alias("__source"), h.alias("__h"))
+    rows = rows.join(plan, F.col("__source").eqNullSafe(F.col("__of")))
+    once_more = F.when(F.col("__plan.open") & (F.shiftrightunsigned("__h", 64 - BITS * LEVELS) < F.col("__plan.edge")), F.lit(1)).otherwise(F.lit(0))
+    copies = (F.col("__plan.times") + once_more).cast("int")
+    return rows.where(copies > 0).select("__row", F.explode(F.array_repeat(F.lit(True), copies)).alias("__copy")).select("__row.*")
 
 
 def _refine(sized: DataFrame, plan: DataFrame, level: int) -> DataFrame:
@@ -94,15 +128,5 @@ def _refine(sized: DataFrame, plan: DataFrame, level: int) -> DataFrame:
     if level == LEVELS - 1:
         nearer = F.coalesce((F.col("base") + F.col("upto") - F.col("budget")) < (F.col("budget") - base), F.lit(False))
         edge = edge + nearer.cast("long")
-    return far.select(*keep, base.alias("base"), edge.alias("edge"), F.lit(0).cast("long").alias("cell"), (F.col("budget") > 0).alias("open"))
+    return far.select(*keep, base.alias("base"), edge.alias("edge"), (F.col("budget") > 0).alias("open"))
 
-
-def take(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs with each row repeated as often as the mix takes it; its columns are docs' own.
-
-    Joined on the id alone: rows that share an id share the most copies any of them gets.
-    """
-    d = decisions.groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__id")
-    d = d.where("__copies > 0")
-    out = docs.join(d, docs[id_col].eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return out.select(*[docs[c] for c in docs.columns])

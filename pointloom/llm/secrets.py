@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointloom.plans.storage import materialize
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -108,14 +110,14 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, mark: str = "[REDACTED]", id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[REDACTED]", id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with every found span replaced by mark; where spans touch or overlap the mark stands once. Its columns are docs' own.
 
     The pieces between the spans are cut out by their places, so the replacement is what the scan found and nothing else.
     """
     rows = docs.withColumn("__blob", blob_id(text_col))
-    found = find(unseen(docs, None, RULES_VERSION, id_col, text_col), kw.get("rules", RULES)).select(F.col("blob_id").alias("__of"), "spans").withColumnRenamed("spans", "__spans")
-    rows = rows.join(found, F.col("__blob") == F.col("__of"), "left")
+    found = find(unseen(docs, None, RULES_VERSION, id_col, text_col), rules).select(F.col("blob_id").alias("__of"), F.col("spans").alias("__spans"))
+    rows = rows.join(materialize(found, "secrets-found").hint("shuffle_hash"), F.col("__blob") == F.col("__of"), "left")
     merged = F.aggregate(
         "__spans",
         F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")),
