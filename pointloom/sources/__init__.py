@@ -1 +1 @@
-
+"""Readers and writers of point clouds and meshes."""
