@@ -4,7 +4,7 @@ Pass 1 sketches. Of the anchors (runs of ANCHOR words) in a window the one with
 windows have equal anchors, and an anchor stands for several windows in a row. Each task counts its anchors in a sketch of
 fixed size; the sketches are merged by shards. Counters stop at two, more is not asked.
 Pass 2 groups exactly. A window whose anchor the merged sketch estimates at one cannot repeat, since a sketch never counts
-too little; all others are grouped by a 128-bit hash of their words. Each task first keeps the earliest place of each of
+too little; all others are grouped by a 96-bit hash of their words. Each task first keeps the earliest place of each of
 its own windows, so a passage that a third of all documents share is one entry a task, not one a document.
 """
 
@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.llm import _text
-from pointloom.plans.storage import materialize
 
 WINDOW, ANCHOR = 20, 10
 #: Counters of two bits in each of the sketch's two rows: 64 MB in all, whatever the input.
@@ -30,7 +29,8 @@ SHARDS = 64
 HELD = 1 << 20
 #: Stands for a null id, which comes after all others.
 NO_ID = np.iinfo(np.int64).max
-ENTRY = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("at", "<i4")])
+#: A window's place: 96 bits of hash, document, first word.
+ENTRY = np.dtype([("h1", "<u8"), ("h2", "<u4"), ("doc", "<i8"), ("at", "<i4")])
 
 
 def _anchors(h: np.ndarray, first: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,6 +153,21 @@ def _earliest(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return e[new], e[(e["doc"] != lead["doc"]) | (e["at"] != lead["at"])]
 
 
+def _columns(e: np.ndarray) -> bytes:
+    """Entries column by column and ordered by document, as the shuffle's compression likes them."""
+    e = e[np.lexsort((e["at"], e["doc"]))]
+    return b"".join(np.ascontiguousarray(e[c]).tobytes() for c in ENTRY.names)
+
+
+def _entries(blob: bytes) -> np.ndarray:
+    n = len(blob) // ENTRY.itemsize
+    e, at = np.empty(n, ENTRY), 0
+    for c in ENTRY.names:
+        e[c] = np.frombuffer(blob, ENTRY[c], n, at)
+        at += n * ENTRY[c].itemsize
+    return e
+
+
 def _by_doc(e: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """Entries as (document, its window starts)."""
     order = np.lexsort((e["at"], e["doc"]))
@@ -166,7 +181,7 @@ def repeats(rows: DataFrame, planes: np.ndarray, window: int, anchor: int, cells
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(planes)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("blob", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), ("doc", pa.int64()), ("blob", pa.binary())])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         above = shared.value[:, 1]
@@ -180,8 +195,9 @@ def repeats(rows: DataFrame, planes: np.ndarray, window: int, anchor: int, cells
             lead, b = lead[order], b[order]
             cut = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
             docs, starts = _by_doc(later)
-            blobs = [x.tobytes() for x in np.split(lead, cut[1:])]
-            return pa.RecordBatch.from_arrays([pa.array(np.append(b[cut].astype(np.int32), np.full(len(docs), -1, np.int32))), pa.array(np.append(np.full(len(cut), -1, np.int64), docs)), pa.array([*blobs, *starts], pa.binary())], schema=schema)
+            blobs = [_columns(x) for x in np.split(lead, cut[1:])]
+            to = np.append(b[cut], docs.astype(np.uint64) % np.uint64(buckets)).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.arange(len(to)) >= len(cut)), pa.array(np.append(np.zeros(len(cut), np.int64), docs)), pa.array([*blobs, *starts], pa.binary())], schema=schema)
 
         n = 0
         for ids, first, h in _words_of(batches):
@@ -193,7 +209,7 @@ def repeats(rows: DataFrame, planes: np.ndarray, window: int, anchor: int, cells
             if not len(s):
                 continue
             e = np.empty(len(s), ENTRY)
-            e["h1"], e["h2"] = _text.window_hashes(h, window)[s], _text.window_hashes(h, window, 1)[s]
+            e["h1"], e["h2"] = _text.window_hashes(h, window)[s], _text.window_hashes(h, window, 1)[s] >> np.uint64(32)
             of = _text.owner(first)[s]
             e["doc"] = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False)[of]
             e["at"] = s - first[of]
@@ -205,15 +221,15 @@ def repeats(rows: DataFrame, planes: np.ndarray, window: int, anchor: int, cells
         if held:
             yield flush()
 
-    def group(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        _, later = _earliest(np.frombuffer(b"".join(part["blob"]), ENTRY))
+    def group(part: pd.DataFrame) -> pd.DataFrame:
+        settled = part["settled"].to_numpy(bool)
+        _, later = _earliest(np.concatenate([np.empty(0, ENTRY), *map(_entries, part["blob"][~settled])]))
         docs, starts = _by_doc(later)
-        return pd.DataFrame({"doc": docs, "starts": starts})
+        return pd.DataFrame({"doc": np.append(docs, part["doc"][settled]).astype(np.int64), "starts": [*starts, *part["blob"][settled]]})
 
-    found = materialize(rows.mapInArrow(candidates, "bucket int, doc long, blob binary"), "substr-windows")
-    across = found.where("bucket >= 0").groupBy("bucket").applyInPandas(group, "doc long, starts binary")
-    within = found.where("bucket < 0").select("doc", F.col("blob").alias("starts"))
-    return across.unionByName(within)
+    # what a task could settle itself travels along, so the candidates are made once and kept nowhere but in the shuffle
+    found = rows.mapInArrow(candidates, "bucket int, settled boolean, doc long, blob binary")
+    return found.groupBy("bucket").applyInPandas(group, "doc long, starts binary")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, cells: int = CELLS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
