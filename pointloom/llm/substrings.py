@@ -10,7 +10,7 @@ its own windows, so a passage that a third of all documents share is one entry a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import compress
 
 import numpy as np
@@ -31,6 +31,7 @@ HELD = 1 << 20
 NO_ID = np.iinfo(np.int64).max
 #: A window's place: 96 bits of hash, document, first word.
 ENTRY = np.dtype([("h1", "<u8"), ("h2", "<u4"), ("doc", "<i8"), ("at", "<i4")])
+PLACE = np.dtype([("doc", "<i8"), ("at", "<i4")])
 
 
 def _anchors(h: np.ndarray, first: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,32 +157,49 @@ def _earliest(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _columns(e: np.ndarray) -> bytes:
     """Entries column by column and ordered by document, as the shuffle's compression likes them."""
     e = e[np.lexsort((e["at"], e["doc"]))]
-    return b"".join(np.ascontiguousarray(e[c]).tobytes() for c in ENTRY.names)
+    return b"".join(np.ascontiguousarray(e[c]).tobytes() for c in e.dtype.names)
 
 
-def _entries(blob: bytes) -> np.ndarray:
-    n = len(blob) // ENTRY.itemsize
-    e, at = np.empty(n, ENTRY), 0
-    for c in ENTRY.names:
-        e[c] = np.frombuffer(blob, ENTRY[c], n, at)
-        at += n * ENTRY[c].itemsize
-    return e
+def _entries(blobs: Iterable[bytes], dtype: np.dtype) -> np.ndarray:
+    out = [np.empty(0, dtype)]
+    for blob in blobs:
+        n, at = len(blob) // dtype.itemsize, 0
+        e = np.empty(n, dtype)
+        for c in dtype.names:
+            e[c] = np.frombuffer(blob, dtype[c], n, at)
+            at += n * dtype[c].itemsize
+        out.append(e)
+    return np.concatenate(out)
 
 
-def _by_doc(e: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Entries as (document, its window starts)."""
-    order = np.lexsort((e["at"], e["doc"]))
-    doc, at = e["doc"][order], e["at"][order]
-    cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(e) else np.zeros(0, np.int64)
-    return doc[cut], [x.tobytes() for x in np.split(at, cut[1:])] if len(cut) else []
+def _dealt(e: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Entries packed by key: (keys, blobs)."""
+    if not len(e):
+        return np.zeros(0, np.int64), []
+    order = np.argsort(key, kind="stable")
+    e, key = e[order], key[order]
+    cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[cut].astype(np.int64), [_columns(x) for x in np.split(e, cut[1:])]
+
+
+def _places(later: np.ndarray, deals: int) -> tuple[np.ndarray, list[bytes]]:
+    """The places of entries, dealt out by document."""
+    p = np.empty(len(later), PLACE)
+    p["doc"], p["at"] = later["doc"], later["at"]
+    with np.errstate(over="ignore"):
+        return _dealt(p, _text.mix64(p["doc"].astype(np.uint64)) % np.uint64(deals))
 
 
 def repeats(rows: DataFrame, planes: np.ndarray, window: int, anchor: int, cells: int) -> DataFrame:
-    """(doc, starts): for each document the windows whose words also start earlier, a blob of 32-bit starts a row."""
+    """(doc, starts): a row for each document with windows whose words also start earlier, their 32-bit starts as a blob.
+
+    Windows are dealt to tasks by hash, and what they find out is dealt on by document. Both go in packed rows, one for each
+    pair of tasks, so the number of rows does not depend on how a document's windows are spread.
+    """
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(planes)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), ("doc", pa.int64()), ("blob", pa.binary())])
+    deals = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = pa.schema([("bucket", pa.int64()), ("settled", pa.bool_()), ("blob", pa.binary())])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         above = shared.value[:, 1]
@@ -190,14 +208,9 @@ def repeats(rows: DataFrame, planes: np.ndarray, window: int, anchor: int, cells
         def flush() -> pa.RecordBatch:
             lead, later = _earliest(np.concatenate(held))
             held.clear()
-            b = (lead["h1"] >> np.uint64(32)) % np.uint64(buckets)
-            order = np.argsort(b, kind="stable")
-            lead, b = lead[order], b[order]
-            cut = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-            docs, starts = _by_doc(later)
-            blobs = [_columns(x) for x in np.split(lead, cut[1:])]
-            to = np.append(b[cut], docs.astype(np.uint64) % np.uint64(buckets)).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.arange(len(to)) >= len(cut)), pa.array(np.append(np.zeros(len(cut), np.int64), docs)), pa.array([*blobs, *starts], pa.binary())], schema=schema)
+            a, blobs = _dealt(lead, (lead["h1"] >> np.uint64(32)) % np.uint64(deals))
+            b, settled = _places(later, deals)
+            return pa.RecordBatch.from_arrays([pa.array(np.append(a, b)), pa.array(np.arange(len(a) + len(b)) >= len(a)), pa.array([*blobs, *settled], pa.binary())], schema=schema)
 
         n = 0
         for ids, first, h in _words_of(batches):
@@ -223,13 +236,20 @@ def repeats(rows: DataFrame, planes: np.ndarray, window: int, anchor: int, cells
 
     def group(part: pd.DataFrame) -> pd.DataFrame:
         settled = part["settled"].to_numpy(bool)
-        _, later = _earliest(np.concatenate([np.empty(0, ENTRY), *map(_entries, part["blob"][~settled])]))
-        docs, starts = _by_doc(later)
-        return pd.DataFrame({"doc": np.append(docs, part["doc"][settled]).astype(np.int64), "starts": [*starts, *part["blob"][settled]]})
+        _, later = _earliest(_entries(part["blob"][~settled], ENTRY))
+        deal, blobs = _places(later, deals)
+        return pd.DataFrame({"deal": np.append(deal, part["bucket"][settled]).astype(np.int64), "blob": [*blobs, *part["blob"][settled]]})
+
+    def by_doc(part: pd.DataFrame) -> pd.DataFrame:
+        p = _entries(part["blob"], PLACE)
+        p = p[np.lexsort((p["at"], p["doc"]))]
+        cut = np.flatnonzero(np.append(True, p["doc"][1:] != p["doc"][:-1])) if len(p) else np.zeros(0, np.int64)
+        return pd.DataFrame({"doc": p["doc"][cut].astype(np.int64), "starts": [x.tobytes() for x in np.split(np.ascontiguousarray(p["at"]), cut[1:])] if len(cut) else []})
 
     # what a task could settle itself travels along, so the candidates are made once and kept nowhere but in the shuffle
-    found = rows.mapInArrow(candidates, "bucket int, settled boolean, doc long, blob binary")
-    return found.groupBy("bucket").applyInPandas(group, "doc long, starts binary")
+    found = rows.mapInArrow(candidates, "bucket long, settled boolean, blob binary")
+    dealt = found.groupBy("bucket").applyInPandas(group, "deal long, blob binary")
+    return dealt.groupBy("deal").applyInPandas(by_doc, "doc long, starts binary")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, cells: int = CELLS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,7 +264,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, cells: in
         raise ValueError("an anchor lies within a window")
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     found = repeats(rows, sketch(rows, window, anchor, cells), window, anchor, cells)
-    goes = found.groupBy("doc").agg(F.collect_list("starts").alias("starts")).withColumnRenamed("doc", "of")
+    goes = found.withColumnRenamed("doc", "of")
     both = rows.join(goes.hint("shuffle_hash"), F.coalesce("doc", F.lit(int(NO_ID))) == F.col("of"), "left").select("doc", "text", "starts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +278,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, cells: in
                     kept.append(b" ".join(words))
                     continue
                 edge = np.zeros(len(words) + window + 1, np.int32)
-                at = np.unique(np.frombuffer(b"".join(starts.as_py()), "<i4"))
+                at = np.unique(np.frombuffer(starts.as_py(), "<i4"))
                 at = at[at + window <= len(words)]
                 edge[at] += 1
                 edge[at + window] -= 1
