@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Vec = tuple[Column, Column, Column]
@@ -119,30 +119,43 @@ def partition_of(pos: Column, n: Column | int, parts: int) -> Column:
     return F.least(F.lit(parts - 1), F.floor(pos / size)).cast("long")
 
 
-def symmetric_eigen(xx: Column, xy: Column, xz: Column, yy: Column, yz: Column, zz: Column) -> tuple[Vec, Vec]:
-    """(eigenvalues ascending, unit vector of the smallest) of a symmetric 3x3 matrix, by the trigonometric form.
+#: The terms of a symmetric 3x3 matrix, row by row.
+TERMS = ("xx", "xy", "xz", "yy", "yz", "zz")
 
-    The vector is the longest cross product of two rows of A - l*I, with its largest component positive. Nearly isotropic
-    matrices lose accuracy in it; normals.pca_normals(exact=True) has an iterative solver for those.
+
+def with_eigenvalues(rows: DataFrame) -> DataFrame:
+    """rows (with columns TERMS) and e0 <= e1 <= e2, the matrix's eigenvalues by the trigonometric form.
+
+    In steps: what later steps use more than once stays a column, so no expression is spelled out again and again.
+    """
+    c = F.col
+    out = rows.withColumn("q", (c("xx") + c("yy") + c("zz")) / 3)
+    out = out.withColumns({"a": c("xx") - c("q"), "b": c("yy") - c("q"), "c": c("zz") - c("q")})
+    squares = c("a") * c("a") + c("b") * c("b") + c("c") * c("c") + 2 * (c("xy") * c("xy") + c("xz") * c("xz") + c("yz") * c("yz"))
+    det = c("a") * (c("b") * c("c") - c("yz") * c("yz")) - c("xy") * (c("xy") * c("c") - c("yz") * c("xz")) + c("xz") * (c("xy") * c("yz") - c("b") * c("xz"))
+    out = out.withColumns({"p": F.sqrt(squares / 6), "det": det})
+    r = F.coalesce(c("det") / F.nullif(2 * c("p") * c("p") * c("p"), F.lit(0.0)), F.lit(0.0))
+    out = out.withColumn("phi", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))) / 3)
+    third = 2 * 3.141592653589793 / 3
+    out = out.withColumns({"e2": c("q") + 2 * c("p") * F.cos(c("phi")), "e0": c("q") + 2 * c("p") * F.cos(c("phi") + third)})
+    return out.withColumn("e1", 3 * c("q") - c("e2") - c("e0")).select(*rows.columns, "e0", "e1", "e2")
+
+
+def with_smallest_vector(rows: DataFrame) -> DataFrame:
+    """rows (with columns TERMS and e0) and nx, ny, nz, the unit eigenvector of e0 with its largest component positive.
+
+    It is the longest cross product of two rows of A - e0 I. Nearly isotropic matrices lose accuracy in it;
+    normals.pca_normals(exact=True) has an iterative solver for those.
     """
-    q = (xx + yy + zz) / 3
-    a, b, c = xx - q, yy - q, zz - q
-    p = F.sqrt((a * a + b * b + c * c + 2 * (xy * xy + xz * xz + yz * yz)) / 6)
-    det = a * (b * c - yz * yz) - xy * (xy * c - yz * xz) + xz * (xy * yz - b * xz)
-    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(det / F.nullif(2 * p * p * p, F.lit(0.0)), F.lit(0.0))))
-    phi = F.acos(r) / 3
-    high = q + 2 * p * F.cos(phi)
-    low = q + 2 * p * F.cos(phi + 2 * 3.141592653589793 / 3)
-    mid = 3 * q - high - low
-    return (low, mid, high), smallest_vector(xx, xy, xz, yy, yz, zz, low)
-
-
-def smallest_vector(xx: Column, xy: Column, xz: Column, yy: Column, yz: Column, zz: Column, low: Column) -> Vec:
-    rows = ((xx - low, xy, xz), (xy, yy - low, yz), (xz, yz, zz - low))
-    crosses = [cross(rows[i], rows[j]) for i, j in ((0, 1), (0, 2), (1, 2))]
-    n = [dot(c, c) for c in crosses]
-    pick = lambda k: F.when((n[0] >= n[1]) & (n[0] >= n[2]), crosses[0][k]).when(n[1] >= n[2], crosses[1][k]).otherwise(crosses[2][k])
-    return largest_positive(unit((pick(0), pick(1), pick(2))))
+    c = F.col
+    m = rows.withColumns({"d0": c("xx") - c("e0"), "d1": c("yy") - c("e0"), "d2_": c("zz") - c("e0")})
+    lines = ((c("d0"), c("xy"), c("xz")), (c("xy"), c("d1"), c("yz")), (c("xz"), c("yz"), c("d2_")))
+    m = m.withColumns({f"k{n}{a}": v for n, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))) for a, v in zip("xyz", cross(lines[i], lines[j]), strict=True)})
+    m = m.withColumns({f"l{n}": dot(vec(f"k{n}"), vec(f"k{n}")) for n in range(3)})
+    pick = lambda a: F.when((c("l0") >= c("l1")) & (c("l0") >= c("l2")), c(f"k0{a}")).when(c("l1") >= c("l2"), c(f"k1{a}")).otherwise(c(f"k2{a}"))
+    m = m.withColumns({f"v{a}": pick(a) for a in "xyz"})
+    m = m.withColumns({f"w{a}": v for a, v in zip("xyz", unit(vec("v")), strict=True)})
+    return m.withColumns({f"n{a}": v for a, v in zip("xyz", largest_positive(vec("w")), strict=True)}).select(*rows.columns, "nx", "ny", "nz")
 
 
 def largest_positive(a: Vec) -> Vec:

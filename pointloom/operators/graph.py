@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.functions import geometry as G
 from pointloom.plans.storage import materialize
 
+#: Edges that one task sorts and unites at most; larger graphs go in rounds.
+SMALL = 500_000
+
 
 def undirected(edges: DataFrame, normals: DataFrame) -> DataFrame:
     """(u, v, w, s) with u < v: each undirected edge once, weight max(0, 1 - |n_u . n_v|) and the sign of n_u . n_v (+1 for 0).
@@ -44,15 +48,51 @@ def _roots(hook: DataFrame) -> DataFrame:
             return now.withColumnRenamed("up", "root")
 
 
-def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def kruskal(edges: list[tuple[float, int, int, int]]) -> tuple[list[tuple[int, int, float]], dict[int, tuple[int, int]]]:
+    """Forest and labels (id -> component, sign) of an edge list (w, u, v, s) held in memory, by union-find with signs."""
+    up: dict[int, tuple[int, int]] = {}
+
+    def find(x: int) -> tuple[int, int]:
+        path, sign = [], 1
+        while up.setdefault(x, (x, 1))[0] != x:
+            path.append(x)
+            x = up[x][0]
+        for y in reversed(path):
+            sign = up[y][1] * (sign if up[y][0] != x else 1)
+            up[y] = (x, sign)
+        return x, sign if path else 1
+
+    out = []
+    for w, u, v, s in sorted(edges):
+        (a, p), (b, q) = find(u), find(v)
+        if a != b:
+            up[max(a, b)] = (min(a, b), p * q * s)
+            out.append((u, v, w))
+    return out, {x: find(x) for x in list(up)}
+
+
+def _forest_in_one_task(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        forest, labels = kruskal(list(zip(part["w"].tolist(), part["u"].tolist(), part["v"].tolist(), part["s"].tolist(), strict=True)))
+        rows = [(u, v, w, None, 0) for u, v, w in forest] + [(x, c, None, s, 1) for x, (c, s) in labels.items()]
+        return pd.DataFrame(rows, columns=["u", "v", "w", "s", "kind"])
+
+    got = materialize(edges.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "u long, v long, w double, s int, kind int"), "forest-small")
+    return got.where("kind = 0").select("u", "v", "w"), got.where("kind = 1").select(F.col("u").alias("id"), F.col("v").alias("comp"), F.col("s").alias("sign"))
+
+
+def spanning_forest(edges: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
     """(forest, labels) of (u, v, w, s): the minimum spanning forest by rounds of lightest edges per component.
 
     Edges are ordered by (w, u, v), so the forest is unique. labels (id, comp, sign): comp is the smallest vertex of the
     component, sign the product of s along the forest's path to it. Each round at least halves the number of components
     that can still grow; its steps are written to the shared folder. Components shrink to a hook of one row each, combined
-    before the shuffle, so a component with most of the edges is no bottleneck.
+    before the shuffle, so a component with most of the edges is no bottleneck. Up to small edges, which are counted, take
+    one task and no rounds; both ways give the same rows.
     """
-    start = edges.where("u <> v").select("u", "v", "w", F.col("s").cast("int").alias("s"))
+    start = materialize(edges.where("u <> v").select("u", "v", "w", F.col("s").cast("int").alias("s")), "forest-start")
+    if start.count() <= small:
+        return _forest_in_one_task(start)
     open_ = materialize(start.select("u", "v", "w", F.col("u").alias("cu"), F.col("v").alias("cv"), F.col("s").alias("r")), "forest-edges")
     own = open_.select(F.col("u").alias("id")).unionByName(open_.select(F.col("v").alias("id"))).distinct()
     state = materialize(own.select("id", F.col("id").alias("comp"), F.lit(1).alias("sign")), "forest-state")
@@ -78,25 +118,6 @@ def forest_degree(forest: DataFrame) -> DataFrame:
     return forest.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def kruskal(edges: list[tuple[float, int, int]]) -> list[tuple[int, int, float]]:
-    """The same forest for a small edge list on the driver, by union-find: the yardstick of the tests."""
-    up: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    out = []
-    for w, u, v in sorted(edges):
-        a, b = find(u), find(v)
-        if a != b:
-            up[max(a, b)] = min(a, b)
-            out.append((u, v, w))
-    return out
-
-
 def orient(normals: DataFrame, labels: DataFrame) -> DataFrame:
     """(id, nx, ny, nz, comp): normals flipped so that neighbours in the forest never point apart.
 

@@ -18,6 +18,8 @@ from pointloom.operators import cloud
 from pointloom.plans.storage import materialize
 
 COARSEST, FINEST = 2, 1024
+#: Queries that are not done meet all references at once when that is no more pairs than this.
+FEW_PAIRS = 20_000_000
 
 
 def start_cells(n: int, k: int) -> int:
@@ -84,9 +86,10 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, max_d2: float | None =
         full = materialize(full, "knn-done")
         done.append(got.join(full, F.col("id") == F.col("ok"), "left_semi").select("id", "nid", "d2", "rank"))
         active = materialize(active.join(full, F.col("id") == F.col("ok"), "left_anti"), "knn-active")
-        if active.isEmpty():
+        left = active.count()
+        if not left:
             break
-        b //= 2
+        b = 1 if left * n <= FEW_PAIRS else b // 2
     out = reduce(DataFrame.unionByName, done)
     if max_d2 is not None:
         out = out.where(F.col("d2") < max_d2 if strict else F.col("d2") <= max_d2)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import geometry as G
 
-TERMS = ("xx", "xy", "xz", "yy", "yz", "zz")
+TERMS = G.TERMS
 
 
 def _near(points: DataFrame, edges: DataFrame) -> DataFrame:
@@ -37,8 +37,7 @@ def scatter(points: DataFrame, edges: DataFrame) -> DataFrame:
 
 def eigenvalues(points: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, e0, e1, e2) ascending."""
-    (low, mid, high), _ = G.symmetric_eigen(*[F.col(t) for t in TERMS])
-    return scatter(points, edges).select("id", low.alias("e0"), mid.alias("e1"), high.alias("e2"))
+    return G.with_eigenvalues(scatter(points, edges)).select("id", "e0", "e1", "e2")
 
 
 def pca_normals(points: DataFrame, edges: DataFrame, exact: bool = False) -> DataFrame:
@@ -50,10 +49,7 @@ def pca_normals(points: DataFrame, edges: DataFrame, exact: bool = False) -> Dat
     if exact:
         n = s.select("id", *TERMS).mapInArrow(_solve, "id long, nx double, ny double, nz double")
     else:
-        low = G.symmetric_eigen(*[F.col(t) for t in TERMS])[0][0]
-        s = s.withColumn("low", low)
-        v = G.smallest_vector(*[F.col(t) for t in TERMS], F.col("low"))
-        n = s.select("id", *[c.alias(f"n{a}") for c, a in zip(v, "xyz", strict=True)])
+        n = G.with_smallest_vector(G.with_eigenvalues(s)).select("id", "nx", "ny", "nz")
     return points.select("id").join(n.withColumnRenamed("id", "nid"), F.col("id") == F.col("nid"), "left").select("id", "nx", "ny", "nz")
 
 

@@ -61,7 +61,7 @@ def taubin_many(points: DataFrame, edges: DataFrame, iterations: int, lam: float
     """
     pts = materialize(points.select("id", "x", "y", "z"), "taubin-points")
     e = materialize(edges.select("id", "nid"), "taubin-all")
-    comp = components(e.select(F.col("id").alias("u"), F.col("nid").alias("v")))
+    comp = components(e.select(F.col("id").alias("u"), F.col("nid").alias("v")), small=KERNEL_POINTS)
     comp = materialize(pts.select("id").join(comp.withColumnRenamed("id", "cid"), F.col("id") == F.col("cid"), "left").select("id", F.coalesce("comp", "id").alias("comp")), "taubin-components")
     size = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
     comp = materialize(comp.join(size.withColumnRenamed("comp", "of"), F.col("comp") == F.col("of")).select(F.col("id").alias("cid"), "comp", "n"), "taubin-sizes")

@@ -426,6 +426,11 @@ def mst_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graph.spanning_forest(weighted(spark, sf_dir)[2])[0], "w")
 
 
+@query(f"{FOREST} select u, v, round(w, 6) + 0.0 as w from mst")
+def mst_edges_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(graph.spanning_forest(weighted(spark, sf_dir)[2], small=0)[0], "w")
+
+
 @query(f"{FOREST} select count(*) as edges, round(sum(w), 6) + 0.0 as weight from mst")
 def mst_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = graph.spanning_forest(weighted(spark, sf_dir)[2])[0]
@@ -442,7 +447,7 @@ COMPONENTS = f"with recursive {UNIT}, {near_sql(2)}, d as (select id as a, nid a
 
 def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = unit(spark, sf_dir)
-    return components(near(u, 2).select(F.col("id").alias("u"), F.col("nid").alias("v")))
+    return components(near(u, 2).select(F.col("id").alias("u"), F.col("nid").alias("v")), small=1_000_000)
 
 
 @query(f"{COMPONENTS} select id, comp from comp")
@@ -450,6 +455,12 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _components(spark, sf_dir)
 
 
+@query(f"{COMPONENTS} select id, comp from comp")
+def connected_components_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = unit(spark, sf_dir)
+    return components(near(u, 2).select(F.col("id").alias("u"), F.col("nid").alias("v")))
+
+
 @query(f"{COMPONENTS} select comp, count(*) as n from comp group by comp")
 def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _components(spark, sf_dir).groupBy("comp").agg(F.count(F.lit(1)).alias("n"))

@@ -33,6 +33,12 @@ def pairs(df):
     return {(r["id"], r["nid"]) for r in df.collect()}
 
 
+@pytest.fixture(params=[0, knn.FEW_PAIRS], autouse=False)
+def finish(request, monkeypatch):
+    monkeypatch.setattr(knn, "FEW_PAIRS", request.param)
+
+
+@pytest.mark.usefixtures("finish")
 @pytest.mark.parametrize(("n", "k", "cells"), [(120, 5, None), (120, 5, 16), (3, 8, None), (1, 4, None), (0, 4, None)])
 def test_grid_neighbours_are_all_there(spark, n, k, cells):
     xyz = noise(n)
@@ -125,12 +131,30 @@ def test_sphere_points_one_way(spark):
     assert len(side) == 1
 
 
-def test_forest_is_kruskals(spark):
+def plain_kruskal(edges):
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    out = []
+    for w, u, v in sorted(edges):
+        a, b = find(u), find(v)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            out.append((u, v, w))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("small", [0, graph.SMALL])
+def test_forest_is_kruskals(spark, small):
     rng = random.Random(1)
     es = {(min(a, b), max(a, b)): rng.choice((0.1, 0.5, rng.random())) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(90)) if a != b}
     df = spark.createDataFrame([(u, v, w, rng.choice((1, -1))) for (u, v), w in es.items()], "u long, v long, w double, s int")
-    forest, labels = graph.spanning_forest(df)
-    assert sorted(map(tuple, forest.collect())) == sorted(graph.kruskal([(w, u, v) for (u, v), w in es.items()]))
+    forest, labels = graph.spanning_forest(df, small)
+    assert sorted(map(tuple, forest.collect())) == plain_kruskal([(w, u, v) for (u, v), w in es.items()])
     sign = {r["id"]: (r["comp"], r["sign"]) for r in labels.collect()}
     s = {(r["u"], r["v"]): r["s"] for r in df.collect()}
     for r in forest.collect():
@@ -141,8 +165,9 @@ def test_forest_is_kruskals(spark):
 
 
 def test_forest_of_nothing(spark):
-    forest, labels = graph.spanning_forest(spark.createDataFrame([], "u long, v long, w double, s int"))
-    assert (forest.count(), labels.count()) == (0, 0)
+    for small in (0, 10):
+        forest, labels = graph.spanning_forest(spark.createDataFrame([], "u long, v long, w double, s int"), small)
+        assert (forest.count(), labels.count()) == (0, 0)
 
 
 @pytest.mark.parametrize("edges", [[], [(1, 2)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 50)] + [(100, 101), (7, 7)], [(3, 1), (1, 3), (9, 8)]])
@@ -158,8 +183,9 @@ def test_components(spark, edges):
         if a != b:
             a, b = find(a), find(b)
             up[max(a, b)] = min(a, b)
-    got = {r["id"]: r["comp"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {x: find(x) for x in up}
+    for small in (0, 1000):
+        got = {r["id"]: r["comp"] for r in components(spark.createDataFrame(edges, "u long, v long"), small=small).collect()}
+        assert got == {x: find(x) for x in up}
 
 
 def test_flips_make_components_agree(spark):
