@@ -18,9 +18,8 @@ def extent(points: DataFrame, pad: float = PAD) -> DataFrame:
 
 
 def with_extent(points: DataFrame, bounds: DataFrame) -> DataFrame:
-    """points with lo and hi. bounds has one row by construction and is broadcast."""
-    b = bounds.select("lo", "hi", F.lit(1).alias("__one"))
-    return points.withColumn("__key", F.lit(1)).join(F.broadcast(b), F.col("__key") == F.col("__one"), "left").drop("__key", "__one")
+    """points with lo and hi of bounds, which has one row: scalar subqueries, no join."""
+    return points.withColumns({c: bounds.select(c).scalar() for c in ("lo", "hi")})
 
 
 def normalise(points: DataFrame, bounds: DataFrame | None = None) -> DataFrame:

@@ -129,9 +129,9 @@ def knn_bruteforce(points: DataFrame, k: int) -> DataFrame:
 def nearest_to(points: DataFrame, of: int, k: int = 40) -> DataFrame:
     """The k nearest of one point, by one scan and a bounded sort."""
     p = cloud.normalise(points)
-    one = p.where(F.col("id") == of).select(F.col("id").alias("id0"), *[F.col(a).alias(f"r{a}") for a in "xyz"]).limit(1)
-    both = p.withColumn("__k", F.lit(1)).join(F.broadcast(one.withColumn("__o", F.lit(1))), F.col("__k") == F.col("__o")).where("id <> id0")  # one row
-    return both.select(F.col("id0").alias("id"), F.col("id").alias("nid"), G.squared_distance(G.vec(), G.vec("r")).alias("d2")).orderBy("d2", "nid").limit(k)
+    one = p.where(F.col("id") == of).agg(*[F.first(a).alias(a) for a in "xyz"])
+    at = p.where(F.col("id") != of).withColumns({f"r{a}": one.select(a).scalar() for a in "xyz"})
+    return at.select(F.lit(of).cast("long").alias("id"), F.col("id").alias("nid"), G.squared_distance(G.vec(), G.vec("r")).alias("d2")).orderBy("d2", "nid").limit(k)
 
 
 def radius_join(points: DataFrame, radius: float) -> DataFrame:

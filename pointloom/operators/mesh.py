@@ -57,8 +57,9 @@ def boundary_edges(faces: DataFrame) -> DataFrame:
 
 def euler(points: DataFrame, faces: DataFrame) -> DataFrame:
     """One row: vertices, edges, faces and vertices - edges + faces."""
-    v, e, f = (x.agg(F.count(F.lit(1)).alias(n)).withColumn("k", F.lit(1)) for x, n in ((points, "vertices"), (edge_use(faces), "edges"), (valid_faces(faces), "faces")))
-    return v.join(e, "k").join(f, "k").select("vertices", "edges", "faces", (F.col("vertices") - F.col("edges") + F.col("faces")).alias("euler"))
+    e, f = (x.agg(F.count(F.lit(1))).scalar() for x in (edge_use(faces), valid_faces(faces)))
+    v = points.agg(F.count(F.lit(1)).alias("vertices")).withColumns({"edges": e, "faces": f})
+    return v.withColumn("euler", F.col("vertices") - F.col("edges") + F.col("faces"))
 
 
 def face_areas(points: DataFrame, faces: DataFrame) -> DataFrame:

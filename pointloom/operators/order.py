@@ -14,9 +14,8 @@ RANGES = 64
 
 def _ranges(rows: DataFrame, key: str, parts: int) -> DataFrame:
     """rows with __part, ascending with key. Cut points come from one approximate-percentile aggregate of bounded size."""
-    cuts = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000).alias("__cuts")).withColumn("__one", F.lit(1))
-    both = rows.withColumn("__key", F.lit(1)).join(F.broadcast(cuts), F.col("__key") == F.col("__one")).drop("__key", "__one")
-    return both.withColumn("__part", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(key))), F.lit(0))).drop("__cuts")
+    cuts = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000)).scalar()
+    return rows.withColumn("__cuts", cuts).withColumn("__part", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(key))), F.lit(0))).drop("__cuts")
 
 
 def prefix_sum(rows: DataFrame, key: str, value: str | Column, parts: int = RANGES) -> DataFrame:
