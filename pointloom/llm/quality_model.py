@@ -145,7 +145,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], rows.schema["host"], rows.schema["path"], T.StructField("logit", T.DoubleType()), T.StructField("toxic", T.DoubleType())]))
 
 
-def _weight(rates: DataFrame, rate: Column, around: Column) -> Column:
+def _weight(rate: Column, around: Column) -> Column:
     """Weight of a beta prior by moments: groups that spread as chance would have them give a large one."""
     return F.least(F.lit(1000.0), F.greatest(F.lit(2.0), F.coalesce(F.avg(around * (1 - around)) / F.nullif(F.avg((rate - around) * (rate - around)), F.lit(0.0)) - 1, F.lit(1000.0))))
 
@@ -155,14 +155,11 @@ def site_rates(scored: DataFrame) -> DataFrame:
     paths = scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n_path"), F.sum("good").alias("s_path"))
     paths = materialize(paths, "quality-paths")
     hosts = paths.groupBy("host").agg(F.sum("n_path").alias("n_host"), F.sum("s_path").alias("s_host"))
-    total = hosts.agg((F.sum("s_host") / F.sum("n_host")).alias("all_rate")).withColumn("one", F.lit(1))
-    hosts = hosts.withColumn("k", F.lit(1)).join(F.broadcast(total), F.col("k") == F.col("one")).drop("one")  # one row by construction
-    host_w = hosts.agg(_weight(hosts, F.col("s_host") / F.col("n_host"), F.col("all_rate")).alias("host_w")).withColumn("one", F.lit(1))
-    hosts = hosts.join(F.broadcast(host_w), F.col("k") == F.col("one"))
+    hosts = hosts.withColumn("all_rate", hosts.agg(F.sum("s_host") / F.sum("n_host")).scalar())
+    hosts = hosts.withColumn("host_w", hosts.agg(_weight(F.col("s_host") / F.col("n_host"), F.col("all_rate"))).scalar())
     hosts = materialize(hosts.select(F.col("host").alias("h"), "n_host", "all_rate", ((F.col("s_host") + F.col("all_rate") * F.col("host_w")) / (F.col("n_host") + F.col("host_w"))).alias("host_rate")), "quality-hosts")
-    both = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).withColumn("k", F.lit(1))
-    path_w = both.agg(_weight(both, F.col("s_path") / F.col("n_path"), F.col("host_rate")).alias("path_w")).withColumn("one", F.lit(1))
-    both = both.join(F.broadcast(path_w), F.col("k") == F.col("one"))
+    both = paths.join(hosts, F.col("host").eqNullSafe(F.col("h")))
+    both = both.withColumn("path_w", both.agg(_weight(F.col("s_path") / F.col("n_path"), F.col("host_rate"))).scalar())
     rate = (F.col("s_path") + F.col("host_rate") * F.col("path_w")) / (F.col("n_path") + F.col("path_w"))
     return both.select("host", "path", "n_path", "n_host", "all_rate", "host_rate", rate.alias("path_rate"))
 

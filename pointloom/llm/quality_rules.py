@@ -100,8 +100,8 @@ def host_rates(judged: DataFrame) -> DataFrame:
     rate = F.col("n_failed") / F.col("n_docs")
     prior = hosts.agg(F.avg(rate).alias("mean"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias("var"))
     weight = F.when(F.col("var") > 0, F.col("mean") * (1 - F.col("mean")) / F.col("var") - 1).otherwise(F.lit(1000.0))
-    prior = prior.withColumn("weight", F.least(F.lit(1000.0), F.greatest(F.lit(2.0), weight))).select(F.lit(1).alias("k2"), "mean", "weight")
-    all_ = hosts.withColumn("k1", F.lit(1)).join(F.broadcast(prior), F.col("k1") == F.col("k2"))  # one row by construction
+    prior = prior.select("mean", F.least(F.lit(1000.0), F.greatest(F.lit(2.0), weight)).alias("weight"))
+    all_ = hosts.withColumns({c: prior.select(c).scalar() for c in ("mean", "weight")})
     shrunk = (F.col("n_failed") + F.col("mean") * F.col("weight")) / (F.col("n_docs") + F.col("weight"))
     return all_.select("host", "n_docs", "n_failed", shrunk.alias("host_rate"))
 
