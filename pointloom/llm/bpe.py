@@ -18,11 +18,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Code points handled at once; one longer document is handled alone.
+#: Bytes of text handled at once; one longer document is handled alone.
 CHUNK = 1 << 20
 #: Slices that the cache holds before it is emptied, and the longest that it holds.
 CACHE, CACHED = 400_000, 48
@@ -259,14 +260,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(hash(path), *shared.value)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            upto = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(), dtype=np.int64)
             a = 0
-            while a < len(texts):
-                b, size = a, 0
-                while b < len(texts) and (b == a or size + len(texts[b]) <= CHUNK):
-                    size += len(texts[b])
-                    b += 1
-                ids, counts = codec.encode(texts[a:b])
+            while a < batch.num_rows:
+                b = max(a + 1, int(np.searchsorted(upto, CHUNK + (upto[a - 1] if a else 0), side="right")))
+                ids, counts = codec.encode(batch.column(1).slice(a, b - a).to_pylist())
                 off = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
                 ends = codec.ends(ids, counts).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(off, pa.array(ids)), pa.ListArray.from_arrays(off, pa.array(ends))], names=["doc_id", "ids", "ends"])
