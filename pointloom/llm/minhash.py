@@ -29,7 +29,7 @@ from pointloom.plans.storage import materialize
 #: 36 bands of 6 places: a pair at the threshold 0.8 agrees in none with probability (1 - 0.8 ** 6) ** 36 < 2e-5.
 BANDS, ROWS = 36, 6
 #: Queries and members of one block in round two.
-QUERIES, MEMBERS = 1024, 8192
+QUERIES, MEMBERS = 512, 2048
 #: Elements whose permutations are held at once.
 HELD = 1 << 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -218,17 +218,21 @@ def _left_over(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: i
     main = materialize(main.select(F.col("h").alias("mh"), (-F.col("b.comp")).alias("main")), "near-mixed")
     m = materialize(m.join(main, F.col("h") == F.col("mh")).select("h", "doc", "comp", "main"), "near-open")
     q = m.where("comp <> main").groupBy("doc").agg(F.min("main").alias("label"))
-    per = q.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERIES)).cast("long").alias("k")).withColumnRenamed("label", "of")
-    q = q.join(per, F.col("label") == F.col("of")).select("doc", F.struct("label", F.pmod(F.xxhash64("doc"), F.col("k")).alias("part")).alias("task"))
-    q = materialize(q.select(F.col("doc").alias("qdoc"), "task"), "near-queries")
-    touched = m.where("comp <> main").join(q, F.col("doc") == F.col("qdoc")).select("task", F.col("h").alias("th")).distinct()
-    base = materialize(touched.join(m, F.col("th") == F.col("h")).select("task", "doc", "comp").distinct(), "near-blocks")
-    cut = base.groupBy("task").agg(F.ceil(F.count(F.lit(1)) / F.lit(MEMBERS)).cast("long").alias("k")).withColumnRenamed("task", "cut_task")
-    base = base.join(cut, F.col("task") == F.col("cut_task")).join(q.withColumnRenamed("task", "own_task"), (F.col("doc") == F.col("qdoc")) & (F.col("task") == F.col("own_task")), "left")
-    base = base.select("task", "doc", "comp", F.col("qdoc").isNotNull().alias("query"), F.pmod(F.xxhash64("doc", F.lit(1)), F.col("k")).alias("own"), "k")
-    # a query meets every cut of its task, any other member only its own
-    base = base.select("task", "doc", "comp", "query", F.explode(F.when(F.col("query"), F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).otherwise(F.array("own"))).alias("cut"))
-    full = base.join(sets.withColumnRenamed("doc", "sdoc"), F.col("doc") == F.col("sdoc")).select(F.col("task.label").alias("label"), F.col("task.part").alias("part"), "cut", "doc", "comp", "query", "shingles")
+    per = q.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERIES)).cast("long").alias("parts"))
+    per = materialize(per.withColumnRenamed("label", "plabel"), "near-parts")
+    q = q.join(per, F.col("label") == F.col("plabel")).select(F.col("doc").alias("qdoc"), F.col("label").alias("qlabel"), F.pmod(F.xxhash64("doc"), F.col("parts")).alias("qpart"))
+    q = materialize(q, "near-queries")
+    touched = m.where("comp <> main").join(q, F.col("doc") == F.col("qdoc")).select(F.col("qlabel").alias("label"), F.col("h").alias("th")).distinct()
+    base = materialize(touched.join(m, F.col("th") == F.col("h")).select("label", "doc", "comp").distinct(), "near-blocks")
+    cut = base.groupBy(F.col("label").alias("clabel")).agg(F.ceil(F.count(F.lit(1)) / F.lit(MEMBERS)).cast("long").alias("cuts"))
+    base = base.join(cut, F.col("label") == F.col("clabel")).join(per, F.col("label") == F.col("plabel"))
+    base = base.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    base = base.join(q, (F.col("doc") == F.col("qdoc")) & (F.col("label") == F.col("qlabel")) & (F.col("part") == F.col("qpart")), "left")
+    # a query meets every cut of its part, any other member only its own
+    own = F.pmod(F.xxhash64("doc", F.lit(1)), F.col("cuts"))
+    cuts = F.when(F.col("qdoc").isNotNull(), F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).otherwise(F.array(own))
+    base = base.select("label", "part", "doc", "comp", F.col("qdoc").isNotNull().alias("query"), F.explode(cuts).alias("cut"))
+    full = base.join(sets.withColumnRenamed("doc", "sdoc"), F.col("doc") == F.col("sdoc")).select("label", "part", "cut", "doc", "comp", "query", "shingles")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         u, v = compare_block(part, percent)
