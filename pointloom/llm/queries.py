@@ -69,7 +69,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents measured and judged, with the verdict of their source."""
-    return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", "soft_failed", "host_rate")
+    return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", "soft_failed", F.round("host_rate", 6).alias("host_rate"))
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +116,37 @@ def _oracle_op5() -> str:
     return sql + f" select doc_id, n_sentences, sentences, array_to_string(got, ',') as licenses from t{len(licenses.RULES)}"
 
 
+_ORACLE_OP4 = """with p as (select page_id, coalesce(html, '') as h from pages), d as (select page_id, h, strlen(h) as n, sha1(h) as x from p),
+    t as (select h, max(page_id) as first from p group by h),
+    b as (select page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((v >> sh) & 31 as integer) + 1, 1), '' order by g, sh desc) as digest
+        from (select page_id, g, cast('0x' || substr(x, cast(5 * g + 1 as integer), 5) as bigint) as v, unnest([15, 10, 5, 0]) as sh from (select page_id, x, unnest(range(8)) as g from d)) group by page_id)
+    select d.page_id, cast(n as bigint) as payload_bytes, digest as payload_digest, case when first = d.page_id then 'response' else 'revisit' end as record_type, case when first <> d.page_id then first end as refers_to
+    from d join t using (h) join b using (page_id)"""
+
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+_ORACLE_OP7 = f"""with recursive d as (select doc_id, list_transform({_WORDS}, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as ws from documents),
+    s as (select distinct doc_id, md5(array_to_string(ws[i:i+3], ' ')) as h from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) as i from d where len(ws) > 0)),
+    n as (select doc_id, count(*) as n from s group by doc_id),
+    c as (select a.doc_id as u, b.doc_id as v, count(*) as c from s a join s b on a.h = b.h and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+    e as (select u, v from c join n a on a.doc_id = u join n b on b.doc_id = v where 100 * c >= 80 * (a.n + b.n - c)),
+    r(doc_id, x) as (select u, v from e union select r.doc_id, e.v from r join e on e.u = r.x),
+    m as (select doc_id, min(x) as low from r group by doc_id)
+    select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) as component_id, least(d.doc_id, coalesce(low, d.doc_id)) = d.doc_id as kept from d left join n using (doc_id) left join m using (doc_id)"""
+
+_ORACLE_OP9 = rf"""with d as (select doc_id, source, coalesce(text, '') as t, {_WORDS} as ws from documents),
+    l as (select doc_id, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines from (select doc_id, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
+    w as (select doc_id, i, count(*) over (partition by doc_id, k) as n from (select doc_id, i, array_to_string(ws[i:i+4], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 3)) as i from d where len(ws) > 4))),
+    r as (select doc_id, count(distinct j) as n_repeat_words from (select doc_id, unnest(range(i, i + 5)) as j from w where n > 1) group by doc_id),
+    m as (select d.doc_id, source as host, cast(len(ws) as bigint) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars, cast(len(regexp_extract_all(t, '[#*$%&|<>]')) as bigint) as n_symbols,
+        coalesce(n_lines, 0) as n_lines, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words from d left join l using (doc_id) left join r using (doc_id)),
+    f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, 10 * n_symbols > n_words or 10 * n_dup_lines > 3 * n_lines or word_chars < 2 * n_words or word_chars > 15 * n_words as soft_failed from m),
+    h as (select host, count(*) as n_docs, count(*) filter (base_failed or soft_failed) as n_failed from f group by host),
+    p as (select avg(n_failed / n_docs) as mean, var_pop(n_failed / n_docs) as var from h),
+    q as (select mean, least(1000, greatest(2, case when var > 0 then mean * (1 - mean) / var - 1 else 1000 end)) as weight from p),
+    k as (select host, (n_failed + mean * weight) / (n_docs + weight) as rate from h, q)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not (soft_failed and rate > 0.5) as kept, f.host, soft_failed, round(rate, 6) as host_rate from f join k on k.host is not distinct from f.host"""
+
 _ORACLE_OP8 = r"""with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
     w as (select doc_id, ws, unnest(range(1, len(ws) - 18)) as s from d where len(ws) >= 20),
     k as (select doc_id, s, md5(array_to_string(ws[s:s+19], ' ')) as h from w),
@@ -143,4 +174,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": _ORACLE_OP2, "op5_license_scans": _oracle_op5(), "op8_substring_dedup": _ORACLE_OP8, "op10_secret_scans": _oracle_op10()}
+    return {"op2_topk": _ORACLE_OP2, "op4_warc": _ORACLE_OP4, "op7_minhash": _ORACLE_OP7, "op9_quality_rules": _ORACLE_OP9, "op5_license_scans": _oracle_op5(), "op8_substring_dedup": _ORACLE_OP8, "op10_secret_scans": _oracle_op10()}

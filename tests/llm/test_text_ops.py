@@ -57,9 +57,11 @@ def test_bpe_random_signs(library):
 
 def test_bpe_merges_in_order_of_rank():
     m = bpe.Merger({b"a": 0, b"b": 1, b"c": 2, b"ab": 3, b"bc": 4, b"abc": 5, b"aa": 6})
-    assert m.merge(b"abc") == (5,)
-    assert m.merge(b"aaab") == (6, 3)
-    assert m.merge(b"aaa") == (6, 0)
+    cases = {b"abc": (5,), b"aaab": (6, 3), b"aaa": (6, 0), b"": (), b"c": (2,), b"cab" * 40: (2,) + (5,) * 39 + (3,)}
+    assert dict(zip(cases, m.merge_all(list(cases)), strict=True)) == cases
+    r = random.Random(7)
+    some = [bytes(r.choice(b"abc") for _ in range(r.randrange(1, 60))) for _ in range(500)]
+    assert m.merge_all(some) == [m.merge_long(x) for x in some]
 
 
 def test_bpe_query_and_empty(spark, sf_dir, real_docs, no_docs, library):
