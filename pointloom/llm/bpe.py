@@ -27,6 +27,9 @@ from pyspark.sql import types as T
 CHUNK = 1 << 20
 #: Slices that the cache holds before it is emptied, and the longest that it holds.
 CACHE, CACHED = 400_000, 48
+#: Slices merged together at most; bytes from which on a slice is merged alone.
+ROWS, LONG = 1 << 15, 64
+NO_RANK = 1 << 40
 
 LETTER, NUMBER, OTHER, APO2, APO3, GAP, SPACE_END, GAP_END, BREAK = range(9)
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_GAP, AFTER_SPACE, LAST_OF_SHORT, TWO_OF_SHORT = range(8)
@@ -139,24 +142,116 @@ class Splitter:
 
 
 class Merger:
-    """Pair merging by rank, the lowest first and the leftmost of equals."""
+    """Pair merging by rank, the lowest first and the leftmost of equals, with a cache of slices.
+
+    Slices that the cache does not know are merged together: a row of a matrix each, one merge a row and step, by array
+    operations over all rows that still have a pair to merge. Long slices use a heap of pairs each.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.cache: dict[str, tuple[int, ...]] = {}
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode("utf-8", "surrogatepass")
-        ids = self.merge(raw)
-        if len(piece) <= CACHED:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[piece] = ids
-        return ids
-
-    def merge(self, raw: bytes) -> tuple[int, ...]:
-        if raw in self.ranks:
-            return (self.ranks[raw],)
+        self.shared = list(range(max(ranks.values(), default=-1) + 1))  # one int object an id
+        self.byte = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
+        keys, to = [], []
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                if (x := ranks.get(token[:cut])) is not None and (y := ranks.get(token[cut:])) is not None:
+                    keys.append(x << 32 | y)
+                    to.append(rank)
+        self._index(np.array(keys, np.int64), np.array(to, np.int64))
+        self.first = self._pair(self.byte.repeat(256), np.tile(self.byte, 256)).reshape(256, 256)
+
+    def _index(self, keys: np.ndarray, to: np.ndarray) -> None:
+        """A hash table of pairs in arrays: all keys try their places at once, those that found one taken try the next."""
+        self.mask = (1 << max(4, (4 * len(keys)).bit_length())) - 1
+        self.keys, self.to = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, NO_RANK, np.int64)
+        at, self.probes = self._place(keys), 1
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]
+            won = self.keys[at] == keys
+            self.to[at[won]] = to[won]
+            keys, to, at = keys[~won], to[~won], (at[~won] + 1) & self.mask
+            self.probes += bool(len(keys))
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        x = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (x >> np.uint64(40)).astype(np.int64) & self.mask
+
+    def _pair(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The rank of each pair of neighbouring ids, NO_RANK where they do not merge or one is missing (-1)."""
+        key = np.where((x >= 0) & (y >= 0), x << 32 | y, -2)
+        at, out, look = self._place(key), np.full(len(key), NO_RANK, np.int64), np.arange(len(key))
+        for _ in range(self.probes):
+            found = self.keys[at]
+            hit = found == key[look]
+            out[look[hit]] = self.to[at[hit]]
+            more = ~hit & (found >= 0)
+            if not more.any():
+                break
+            look, at = look[more], (at[more] + 1) & self.mask
+        return out
+
+    def _rows(self, raws: list[bytes], width: int) -> list[tuple[int, ...]]:
+        """Merges of slices of at most width bytes."""
+        n = len(raws)
+        size = np.fromiter(map(len, raws), np.int64, n)
+        raw = np.frombuffer(b"".join(raws), np.uint8)
+        there = np.arange(width) < size[:, None]
+        ids = np.full((n, width + 1), -1, np.int64)
+        ids[:, :width][there] = self.byte[raw]
+        after = np.tile(np.arange(1, width + 2), (n, 1))
+        before = np.tile(np.arange(-1, width), (n, 1))
+        rank = np.full((n, width), NO_RANK, np.int64)
+        rank[there] = self.first[raw, np.append(raw[1:], np.uint8(0))]
+        rank[np.arange(n), size - 1] = NO_RANK
+        rows = np.arange(n)
+        while len(rows):
+            at = rank[rows].argmin(axis=1)
+            best = rank[rows, at]
+            live = best < NO_RANK
+            rows, at, best = rows[live], at[live], best[live]
+            if not len(rows):
+                break
+            gone = after[rows, at]
+            nxt = after[rows, gone]
+            ids[rows, at], ids[rows, gone] = best, -1
+            after[rows, at] = nxt
+            inside = nxt <= width
+            before[rows[inside], nxt[inside]] = at[inside]
+            on_right = gone < width
+            rank[rows[on_right], gone[on_right]] = NO_RANK
+            rank[rows, at] = np.where(inside, self._pair(best, ids[rows, np.minimum(nxt, width)]), NO_RANK)
+            left = before[rows, at]
+            some = left >= 0
+            rank[rows[some], left[some]] = self._pair(ids[rows[some], left[some]], best[some])
+        kept = ids >= 0
+        cuts = np.concatenate(([0], np.cumsum(kept.sum(axis=1)))).tolist()
+        flat = [self.shared[i] for i in ids[kept].tolist()]
+        return [tuple(flat[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def merge_all(self, raws: list[bytes]) -> list[tuple[int, ...]]:
+        """The ids of each slice."""
+        out: list = [None] * len(raws)
+        by: dict[int, list[int]] = {}
+        for k, raw in enumerate(raws):
+            if (whole := self.ranks.get(raw)) is not None:
+                out[k] = (self.shared[whole],)
+            elif len(raw) > LONG:
+                out[k] = self.merge_long(raw)
+            elif raw:
+                by.setdefault(max(4, 1 << (len(raw) - 1).bit_length()), []).append(k)
+            else:
+                out[k] = ()
+        for width, at in by.items():
+            for a in range(0, len(at), ROWS):
+                for k, ids in zip(at[a : a + ROWS], self._rows([raws[k] for k in at[a : a + ROWS]], width), strict=True):
+                    out[k] = ids
+        return out
+
+    def merge_long(self, raw: bytes) -> tuple[int, ...]:
+        """One long slice, by a heap of pairs; an entry counts while both of its parts still stand."""
         n = len(raw)
         end, prev, alive = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(b"\1") * n
         get = self.ranks.get
@@ -178,8 +273,17 @@ class Merger:
         return tuple(self.ranks[raw[i : end[i]]] for i in range(n) if alive[i])
 
     def ids(self, pieces: list[str]) -> list[tuple[int, ...]]:
-        got, miss = self.cache.get, self.__missing__
-        return [x if (x := got(p)) is not None else miss(p) for p in pieces]
+        got = list(map(self.cache.get, pieces))
+        lost = [i for i, x in enumerate(got) if x is None]
+        if lost:
+            miss = list({pieces[i]: None for i in lost})
+            new = dict(zip(miss, self.merge_all([p.encode("utf-8", "surrogatepass") for p in miss]), strict=True))
+            if len(self.cache) + len(new) > CACHE:
+                self.cache.clear()
+            self.cache.update((p, x) for p, x in new.items() if len(p) <= CACHED)
+            for i in lost:
+                got[i] = new[pieces[i]]
+        return got
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
