@@ -78,6 +78,8 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 def sketch(rows: DataFrame, window: int, anchor: int, cells: int) -> np.ndarray:
     """The merged sketch of all anchors: planes[row, above zero or above one, byte], bit-packed."""
     per = cells // SHARDS
+    deals = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // SHARDS)
+    layout = pa.schema([("shard", pa.int32()), ("deal", pa.int32()), ("row", pa.int32()), ("ones", pa.binary()), ("twos", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
@@ -86,16 +88,14 @@ def sketch(rows: DataFrame, window: int, anchor: int, cells: int) -> np.ndarray:
             v = np.concatenate(found) if found else np.zeros(0, np.uint64)
             found.clear()
             out = [(r, *_count(c)) for r, c in enumerate(_cells(v, cells))]
-            cols: dict[str, list] = {"shard": [], "row": [], "ones": [], "twos": []}
+            cols: dict[str, list] = {k: [] for k in layout.names}
             for r, ones, twos in out:
                 for s in range(SHARDS):
                     o, t = (x[slice(*np.searchsorted(x, [s * per, (s + 1) * per]))] - s * per for x in (ones, twos))
                     if len(o):
-                        cols["shard"].append(s)
-                        cols["row"].append(r)
-                        cols["ones"].append(_sparse(o, per))
-                        cols["twos"].append(_sparse(t, per))
-            return pa.RecordBatch.from_pydict(cols, schema=pa.schema([("shard", pa.int32()), ("row", pa.int32()), ("ones", pa.binary()), ("twos", pa.binary())]))
+                        for k, x in zip(layout.names, (s, int(v[0] % np.uint64(deals)), r, _sparse(o, per), _sparse(t, per)), strict=True):
+                            cols[k].append(x)
+            return pa.RecordBatch.from_pydict(cols, schema=layout)
 
         held = 0
         for _, first, h in _words_of(batches):
@@ -112,19 +112,23 @@ def sketch(rows: DataFrame, window: int, anchor: int, cells: int) -> np.ndarray:
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for s, r, ones, twos in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for s, _, r, ones, twos in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = planes.setdefault((s, r), np.zeros((2, per // 8), np.uint8))
                 new1, new2 = _dense(ones, per), _dense(twos, per)
                 own[1] |= new2 | (own[0] & new1)
                 own[0] |= new1
-        keys = sorted(planes)
-        yield pa.RecordBatch.from_pydict({"shard": [k[0] for k in keys], "row": [k[1] for k in keys], "plane": [planes[k].tobytes() for k in keys]}, schema=pa.schema([("shard", pa.int32()), ("row", pa.int32()), ("plane", pa.binary())]))
-
-    parts = rows.mapInArrow(count, "shard int, row int, ones binary, twos binary")
-    merged = parts.repartition(SHARDS, "shard").mapInArrow(merge, "shard int, row int, plane binary")
+        for (s, r), own in sorted(planes.items()):
+            yield pa.RecordBatch.from_pydict(dict(zip(layout.names, ([s], [0], [r], *([b"\1" + x.tobytes()] for x in own)), strict=True)), schema=layout)
+
+    schema = "shard int, deal int, row int, ones binary, twos binary"
+    parts = rows.mapInArrow(count, schema)
+    if deals > 1:  # as many tasks as there are partitions merge first, so the last tasks read at most deals planes a shard
+        parts = parts.repartition(SHARDS * deals, "shard", "deal").mapInArrow(merge, schema)
+    merged = parts.repartition(SHARDS, "shard").mapInArrow(merge, schema)
     planes = np.zeros((2, 2, cells // 8), np.uint8)
-    for x in merged.toLocalIterator():  # at most the sketch's fixed size
-        planes[x["row"], :, x["shard"] * per // 8 : (x["shard"] + 1) * per // 8] = np.frombuffer(x["plane"], np.uint8).reshape(2, -1)
+    for x in merged.collect():  # the sketch, of fixed size
+        for k, plane in enumerate((x["ones"], x["twos"])):
+            planes[x["row"], k, x["shard"] * per // 8 : (x["shard"] + 1) * per // 8] = _dense(plane, per)
     return planes
 
 

@@ -310,3 +310,16 @@ def test_pipeline_stages_take_edges(spark, edge_docs, no_docs, sf_dir):
             docs = out
     assert corpus_pipeline.near_duplicates(spark, edge_docs, sf_dir).where("doc_id = 14").count() <= 1
     assert secrets.redact(edge_docs).count() == edge_docs.count()
+
+
+def test_sketch_merged_in_two_steps_is_the_same(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(passages(3) * 2)], "doc long, text string").repartition(9)
+    one = substrings.sketch(rows, 20, 10, 1 << 12)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(3 * substrings.SHARDS))
+        two = substrings.sketch(rows, 20, 10, 1 << 12)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert (one == two).all()
+    assert one[:, 1].any()
