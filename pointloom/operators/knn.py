@@ -19,7 +19,7 @@ from pointloom.plans.storage import materialize
 
 COARSEST, FINEST = 2, 1024
 #: Queries that are not done meet all references at once when that is no more pairs than this.
-FEW_PAIRS = 20_000_000
+FEW_PAIRS = 4_000_000
 
 
 def start_cells(n: int, k: int) -> int:
@@ -34,20 +34,20 @@ def _targets(refs: DataFrame, b: int) -> DataFrame:
 
 def _probes(queries: DataFrame, b: int) -> DataFrame:
     """Each query once for each cell of its block that lies in the grid."""
-    q = cloud.index_of_cells(queries, b)
+    q = cloud.index_of_cells(queries, b).withColumn("reach", _reach(b))
     span = lambda c: F.sequence(F.greatest(F.lit(0), F.col(c) - 1), F.least(F.lit(b - 1), F.col(c) + 1))
     q = q.withColumn("px", F.explode(span("cx"))).withColumn("py", F.explode(span("cy"))).withColumn("pz", F.explode(span("cz")))
-    return q.drop("cell")
+    return q.select("id", "x", "y", "z", "reach", "px", "py", "pz")
 
 
 def candidates(queries: DataFrame, refs: DataFrame, b: int, exclude_self: bool) -> DataFrame:
-    """queries' columns with nid, d2 of every reference point in the block around each."""
+    """(id, nid, d2, reach) of every reference point in the block around each query; reach is the query's own."""
     t = _targets(refs, b)
     on = (F.col("px") == F.col("tx")) & (F.col("py") == F.col("ty")) & (F.col("pz") == F.col("tz"))
     both = _probes(queries, b).join(t, on)
     if exclude_self:
         both = both.where("id <> nid")
-    return both.withColumn("d2", G.squared_distance(G.vec(), G.vec("r"))).drop("tx", "ty", "tz", "px", "py", "pz", "rx", "ry", "rz")
+    return both.select("id", "nid", G.squared_distance(G.vec(), G.vec("r")).alias("d2"), "reach")
 
 
 def _reach(b: int) -> Column:
@@ -75,11 +75,14 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, max_d2: float | None =
     refs, active, done = materialize(refs.select("id", "x", "y", "z"), "knn-refs"), materialize(queries.select("id", "x", "y", "z"), "knn-queries"), []
     while True:
         last = b <= COARSEST
-        got = _top(candidates(active, refs, b, exclude_self), k)
+        # with one or two cells an axis nearly all share a key: the few queries are spread over tasks instead
+        spread = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        near = candidates(active.repartition(spread) if last else active, refs.repartition(spread) if last else refs, b, exclude_self)
+        got = _top(near if max_d2 is None else near.where(F.col("d2") <= max_d2), k)
         if last:
             done.append(got.select("id", "nid", "d2", "rank"))
             break
-        got = materialize(got.withColumn("reach", _reach(b)).select("id", "nid", "d2", "rank", "reach"), "knn-round")
+        got = materialize(got.select("id", "nid", "d2", "rank", "reach"), "knn-round")
         full = got.where((F.col("rank") == k) & (F.sqrt("d2") < F.col("reach"))).select(F.col("id").alias("ok"))
         if max_d2 is not None:
             full = full.unionByName(cloud.index_of_cells(active, b).where(F.lit(max_d2**0.5) < _reach(b)).select(F.col("id").alias("ok"))).distinct()

@@ -225,6 +225,20 @@ def knn_query_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(knn.knn_query(e.where("label % 2 = 1").drop("label"), e.where("label % 2 = 0").drop("label"), 5), "d2")
 
 
+def order_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cloud of all orders: price, date and customer, each axis in its own unit interval."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("x"), F.unix_date(F.col("o_orderdate").cast("date")).cast("double").alias("y"), F.col("o_custkey").cast("double").alias("z"))
+    ends = o.agg(*[f(a).alias(f"{n}{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])
+    scaled = {a: (F.col(a) - ends.select(f"lo{a}").scalar()) / (ends.select(f"hi{a}").scalar() - ends.select(f"lo{a}").scalar()) for a in "xyz"}
+    return o.withColumns(scaled)
+
+
+@query()
+def knn_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest cloud of these tables; SQL would have to try all pairs."""
+    return rounded(knn.knn_self(order_points(spark, sf_dir), 12), "d2")
+
+
 @query(f"with {UNIT} select a.id, b.id as nid, round({d2('a', 'b')}, 6) + 0.0 as d2 from unit a join unit b on a.id <> b.id, ext where {d2('a', 'b')} <= (0.05 / (hi - lo)) * (0.05 / (hi - lo))")
 def knn_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(knn.radius_join(points(spark, sf_dir), 0.05), "d2")
