@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; one longer document is handled alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 U64 = np.uint64
 
 
@@ -58,12 +58,11 @@ def chunks(ids: pa.Array, texts: pa.Array, most: int = CHUNK) -> Iterator[tuple[
     """(bytes, offsets, first row, rows) of runs of documents with about most bytes; null texts are empty."""
     if texts.null_count:
         texts = texts.fill_null("")
-    if not pa.types.is_large_string(texts.type):
-        texts = texts.cast(pa.large_string())
     n = len(texts)
     if not n:
         return
-    off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    off = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + n + 1].astype(np.int64)  # the bytes stay where they are
     data = texts.buffers()[2]
     buf = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     a = 0

@@ -31,7 +31,7 @@ BANDS, ROWS = 36, 6
 #: Queries and members of one block in round two.
 QUERIES, MEMBERS = 512, 2048
 #: Elements whose permutations are held at once.
-HELD = 1 << 16
+HELD = 1 << 15
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -70,7 +70,7 @@ def _signatures(h: np.ndarray, sizes: np.ndarray, places: int) -> np.ndarray:
                 break
             if perm is None:
                 h, row, k = h[live], row[live], k[live]
-                perm = np.tile(np.arange(places, dtype=np.uint16), (len(h), 1))
+                perm = np.tile(np.arange(places, dtype=np.uint8 if places <= 256 else np.uint16), (len(h), 1))
                 perm[np.arange(len(h)), k] = 0
             elif live.mean() < 0.7:
                 h, row, perm = h[live], row[live], perm[live]
