@@ -5,6 +5,10 @@ document's evidence. Rates of good documents are then estimated for all hosts an
 where it has one, else the model's probability): a host's rate is shrunk toward the global rate, a path's toward its
 host's, with prior weights fitted to the spread of the rates. The posterior odds are the evidence times the path's odds
 over the global odds, so a path with few documents leaves the evidence alone.
+
+Toxic texts are told by two measures together. Single words that stand almost only in toxic documents count by themselves.
+Weak evidence is pooled over the document by a second logistic model, over the same measures and over how often the most
+telling words and runs of bytes within words occur, in lower case of any script: so a stem counts in all its inflections.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +32,13 @@ SAMPLE = 20_000
 SLOTS = 1 << 20
 #: A word counts as a sign of toxic text from this log odds ratio and this many standard errors on.
 SIGN_ODDS, SIGN_ERRORS = 3.0, 4.0
+#: Bytes in a gram, the space before a word counted.
+GRAMS = (4, 6, 8)
+#: At most so many words and grams are pooled, each in two toxic documents or more and so many standard errors above chance.
+POOLED, POOLED_ERRORS = 512, 3.0
+#: Weights of the pooled model are held back by this much; at most so many rows of features wait to be merged.
+POOLED_RIDGE, WAITING = 10.0, 1 << 21
+_BYTES = _text.stream64(256, 13)
 
 
 def _share(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -45,8 +57,8 @@ def describe(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.concatenate((x, np.minimum(x, 10) ** 2), axis=1)
 
 
-def _slots(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The slot of each word, without case and without punctuation at its end."""
+def _hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word, without case and without punctuation at its end."""
     b = buf.copy()
     edge = np.isin(b, np.frombuffer(b".,;:!?\"')(*$%&#", np.uint8))
     last = ends - 1
@@ -54,7 +66,76 @@ def _slots(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         last = last[edge[last]]
         b[last] = 32
         last = last[last > 0] - 1
-    return (_text.word_hashes(b, starts, fold=True) & np.uint64(SLOTS - 1)).astype(np.int64)
+    return _text.word_hashes(b, starts, fold=True)
+
+
+def _slots(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The slot of each word."""
+    return (_hashes(buf, starts, ends) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _lower(texts: pa.Array) -> pa.Array:
+    """Lower case in any script; a text that is not UTF-8 only in A-Z."""
+    try:
+        return pc.utf8_lower(texts)
+    except pa.ArrowInvalid:
+        return pc.ascii_lower(texts) if len(texts) == 1 else pa.concat_arrays([_lower(texts.slice(i, 1)) for i in range(len(texts))])
+
+
+def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(document, hash) of the words and of the grams of each size in turn, in lower case; no gram spans two words."""
+    low = _lower(texts)
+    for buf, off, a, _ in _text.chunks(low, low):
+        starts, ends, first = _text.words(buf, off)
+        yield a + _text.owner(first), _text.mix64(_hashes(buf, starts, ends))
+        b = np.insert(buf, off[:-1], 32)
+        space = _text.SPACE[b]
+        b[space] = 32
+        count = np.concatenate(([0], np.cumsum(space, dtype=np.int32)))
+        v = _BYTES[b]
+        for size in GRAMS:
+            h = _text.window_hashes(v, size, salt=size)
+            at = np.flatnonzero(count[size : size + len(h)] == count[1 : 1 + len(h)])
+            yield a + np.searchsorted(off + np.arange(len(off)), at, side="right") - 1, h[at]
+
+
+def tell(texts: pa.Array, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features of the texts and for each the numbers of other and of toxic documents that hold it."""
+    doc, h = (np.concatenate(x) for x in zip(*features(texts), strict=True))
+    order = np.lexsort((doc, h))
+    doc, h = doc[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return merged(h[new], np.eye(2, dtype=np.int64)[toxic.astype(np.int64)[doc[new]]])
+
+
+def merged(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash once, with the sums of its rows of n."""
+    order = np.argsort(h)
+    h, n = h[order], n[order]
+    at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+    return h[at], np.add.reduceat(n, at) if len(at) else n
+
+
+class Pool:
+    """The pooled features, by whole hashes; low bits alone only rule out."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = np.sort(keys)
+        self.low = np.zeros(1 << 16, bool)
+        self.low[(self.keys & np.uint64(0xFFFF)).astype(np.int64)] = True
+
+    def rates(self, texts: pa.Array, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, index of the feature, log rate a hundred words) of all that occur, in this order."""
+        found = [np.zeros(0, np.int64)]
+        for doc, h in features(texts):
+            some = np.flatnonzero(self.low[(h & np.uint64(0xFFFF)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.keys, h[some]), len(self.keys) - 1)
+            hit = self.keys[at] == h[some]
+            found.append(doc[some[hit]] * len(self.keys) + at[hit])
+        code, n = np.unique(np.concatenate(found), return_counts=True)
+        doc, at = np.divmod(code, len(self.keys))
+        return doc, at, np.log1p(100 * n / np.maximum(n_words[doc], 20))
 
 
 @dataclass
@@ -65,6 +146,8 @@ class Model:
     scale: np.ndarray
     weights: np.ndarray
     signs: np.ndarray
+    pool: Pool | None = None
+    pooled: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         return np.clip(np.column_stack((np.ones(len(x)), (x - self.mean) / self.scale)) @ self.weights, -30, 30)
@@ -75,23 +158,52 @@ class Model:
         out = np.maximum.reduceat(s, np.minimum(first[:-1], len(s) - 1)) if len(first) > 1 else np.zeros(0)
         return np.where(np.diff(first) > 0, out, 0.0)
 
+    def pooled_toxic(self, texts: pa.Array, x: np.ndarray) -> np.ndarray:
+        """Log odds of a toxic text by the pooled model, 0 where they are below."""
+        if self.pool is None:
+            return np.zeros(len(x))
+        mean, scale, w = self.pooled
+        k = len(self.pool.keys)
+        slope = w[1:] / scale
+        doc, at, rate = self.pool.rates(texts, np.expm1(x[:, 0]))
+        return np.maximum(np.bincount(doc, weights=rate * slope[at], minlength=len(x)) + x @ slope[k:] + w[0] - mean @ slope, 0.0)
+
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, scale, weights) by Newton steps with a ridge; with no rows or one class the weights say just the rate."""
+    """(mean, scale, weights) by Newton steps with a ridge, a step halved while it makes the fit worse.
+
+    With no rows or one class the weights say just the rate.
+    """
     n, d = x.shape
     rate = (y.sum() + 1) / (n + 2)
     w = np.zeros(d + 1)
     w[0] = np.log(rate / (1 - rate))
     if n == 0 or y.min() == y.max():
         return np.zeros(d), np.ones(d), w
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    z = np.column_stack((np.ones(n), (x - mean) / scale))
+    mean, scale = x.mean(0, dtype=float), x.std(0, dtype=float) + 1e-9
+    blocks = [slice(a, a + 4096) for a in range(0, n, 4096)]
     pen = np.full(d + 1, ridge)
     pen[0] = 1e-6
+
+    def rows(s: slice) -> np.ndarray:
+        return np.column_stack((np.ones(len(x[s])), (x[s] - mean) / scale))
+
+    def loss(w: np.ndarray) -> float:
+        q = np.concatenate([rows(s) @ w for s in blocks])
+        return (np.logaddexp(0, q) - y * q).sum() + (pen * w * w).sum() / 2
+
+    now = loss(w)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(pen), z.T @ (y - p) - pen * w)
-        w += step
+        curve, slope = np.diag(pen), -pen * w
+        for s in blocks:
+            z = rows(s)
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            curve += (z * (p * (1 - p) + 1e-6)[:, None]).T @ z
+            slope += z.T @ (y[s] - p)
+        step = np.linalg.solve(curve, slope)
+        while (then := loss(w + step)) > now and np.abs(step).max() >= 1e-6:
+            step = step / 2
+        w, now = w + step, then
         if np.abs(step).max() < 1e-6:
             break
     return mean, scale, w
@@ -108,11 +220,66 @@ def fit_signs(slots: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     return np.where((odds > SIGN_ODDS) & (odds > SIGN_ERRORS * error), odds, 0.0)
 
 
+def pooled_keys(told: DataFrame, n_toxic: int, n_other: int) -> np.ndarray:
+    """The features of (text, toxic) that stand in more toxic documents than chance puts there, the clearest POOLED."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wait, size = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            h, n = merged(*(np.concatenate(x) for x in zip(*wait, strict=True)))
+            for a in range(0, len(h), 1 << 16):
+                m = n[a : a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(h[a : a + (1 << 16)].view(np.int64)), pa.array(m[:, 0]), pa.array(m[:, 1])], names=["h", "other", "toxic"])
+
+        for batch in batches:
+            toxic = batch.column(1).to_numpy(zero_copy_only=False) != 0
+            for _, _, a, n in _text.chunks(batch.column(0), batch.column(0)):
+                wait.append(tell(batch.column(0).slice(a, n), toxic[a : a + n]))
+                size += len(wait[-1][0])
+                if size > WAITING:
+                    yield from out()
+                    wait, size = [], 0
+        if wait:
+            yield from out()
+
+    n = n_toxic + n_other
+    found = told.mapInArrow(run, "h long, other long, toxic long").groupBy("h").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).where("toxic >= 2")
+    both = F.col("toxic") + F.col("other")
+    chance = both * n_toxic / n
+    errors = (F.col("toxic") - chance) / F.sqrt(chance * (n_other / n) * (1 - both / n) + 1e-9)
+    got = found.select("h", errors.alias("errors")).where(F.col("errors") > POOLED_ERRORS).orderBy(F.desc("errors"), "h").limit(POOLED).collect()
+    return np.array([r["h"] for r in got], np.int64).view(np.uint64)
+
+
+def fit_pool(told: DataFrame, n_toxic: int, n_other: int) -> tuple[Pool | None, tuple[np.ndarray, np.ndarray, np.ndarray] | None]:
+    """The pooled features and (mean, scale, weights) over them and the described numbers; none where nothing tells."""
+    keys = pooled_keys(told, n_toxic, n_other) if n_toxic and n_other else []
+    if not len(keys):
+        return None, None
+    pool = Pool(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for buf, off, a, n in _text.chunks(batch.column(0), batch.column(0)):
+                x = describe(buf, off)
+                doc, at, rate = pool.rates(batch.column(0).slice(a, n), np.expm1(x[:, 0]))
+                full = np.zeros((n, len(keys)), np.float32)
+                full[doc, at] = rate
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in np.concatenate((full, x.astype(np.float32)), axis=1)], pa.binary()), batch.column(1).slice(a, n)], names=["x", "toxic"])
+
+    got = told.mapInArrow(run, "x binary, toxic int").toArrow()
+    got = sorted(zip(got["x"].to_pylist(), got["toxic"].to_pylist(), strict=True))  # sums in the same order in each run
+    x = np.frombuffer(b"".join(r for r, _ in got), np.float32).reshape(len(got), -1)
+    return pool, fit_logistic(x, np.array([float(t != 0) for _, t in got]), POOLED_RIDGE)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fits to at most sample labelled documents, chosen by hash of their id and so the same in each run."""
     lab = labels.where("quality is not null or toxic is not null").groupBy(F.col("doc_id").alias("lid")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     lab = materialize(lab.orderBy(F.xxhash64("lid"), "lid").limit(sample), "quality-sample")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(lab), F.col("doc_id") == F.col("lid")).select("text", "quality", "toxic")  # at most sample rows
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(lab), F.col("doc_id") == F.col("lid"))  # at most sample rows
+    rows = materialize(rows.select("text", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")), "quality-texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,17 +289,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
                 own = [np.unique(s[x:y]).astype("<u4").tobytes() for x, y in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in describe(buf, off)], pa.binary()), pa.array(own, pa.binary()), batch.column(1).slice(a, n).cast(pa.int32()), batch.column(2).slice(a, n).cast(pa.int32())], names=["x", "slots", "quality", "toxic"])
 
-    got = rows.select("text", F.col("quality").cast("int"), F.col("toxic").cast("int")).mapInArrow(run, "x binary, slots binary, quality int, toxic int").collect()
+    got = rows.mapInArrow(run, "x binary, slots binary, quality int, toxic int").collect()
     good = [r for r in got if r["quality"] is not None]
     width = len(describe(np.zeros(0, np.uint8), np.zeros(2, np.int64))[0])
     x = np.array([np.frombuffer(r["x"]) for r in good]).reshape(-1, width)
     told = [r for r in got if r["toxic"] is not None]
     signs = fit_signs([np.frombuffer(r["slots"], "<u4").astype(np.int64) for r in told], np.array([bool(r["toxic"]) for r in told], bool))
-    return Model(*fit_logistic(x, np.array([float(r["quality"] > 0) for r in good])), signs)
+    n_toxic = sum(bool(r["toxic"]) for r in told)
+    pool = fit_pool(rows.where("toxic is not null").select("text", "toxic"), n_toxic, len(told) - n_toxic)
+    return Model(*fit_logistic(x, np.array([float(r["quality"] > 0) for r in good])), signs, *pool)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None) -> DataFrame:
-    """doc_id, host, path, logit (log odds of a good document) and toxic (the strongest sign of toxic text) of each whole text."""
+    """doc_id, host, path, logit (log odds of a good document) and toxic of each whole text.
+
+    toxic: the strongest sign or the pooled log odds, whichever is more; 0 for a text that is not toxic.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), (host if host is not None else F.col("source")).cast("string").alias("host"), (path if path is not None else F.col("lang")).cast("string").alias("path"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size
 
@@ -140,7 +312,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         m = shared.value
         for batch in batches:
             for buf, off, a, n in _text.chunks(batch.column(0), batch.column(3)):
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, n) for k in range(3)), pa.array(m.logit(describe(buf, off))), pa.array(m.toxic(buf, off).astype(float))], names=["doc_id", "host", "path", "logit", "toxic"])
+                x = describe(buf, off)
+                toxic = np.maximum(m.toxic(buf, off), m.pooled_toxic(batch.column(3).slice(a, n), x))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, n) for k in range(3)), pa.array(m.logit(x)), pa.array(toxic)], names=["doc_id", "host", "path", "logit", "toxic"])
 
     return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], rows.schema["host"], rows.schema["path"], T.StructField("logit", T.DoubleType()), T.StructField("toxic", T.DoubleType())]))
 
@@ -167,7 +341,7 @@ def site_rates(scored: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None) -> DataFrame:
     """Per row of docs: doc_id, evidence, toxic, host_rate, path_rate, posterior, kept.
 
-    kept: the posterior reaches threshold and no sign of toxic text was found. Host and path default to source and lang.
+    kept: the posterior reaches threshold and the text is not toxic, by a sign or by the pooled evidence. Host and path default to source and lang.
     Nulls: a null text is judged as empty, a null host or path is one of its own, a null id has no label. Repeated rows are
     judged alike and count each; of repeated labels the largest holds. Without labels all evidence is the same and all
     documents stay. An empty table gives no rows. Other columns are not looked at.

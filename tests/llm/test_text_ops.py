@@ -228,6 +228,16 @@ def test_quality_model_on_held_out_labels(spark, real_docs, sf_dir):
     assert out.count() == docs.count()
 
 
+def test_toxic_stems_on_held_out_labels_by_language(spark, sf_dir):
+    sf = sf_dir.replace("sf0.001", "sf0.1")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out = quality_model.classify(docs, labels.where("doc_id % 3 <> 0")).select("doc_id", (F.col("toxic") > 0).cast("double").alias("hit"))
+    held = out.join(labels.where("doc_id % 3 = 0 and toxic is not null").select("doc_id", F.col("toxic").alias("told")), "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    rates = {(r["lang"], r["told"]): r["rate"] for r in held.groupBy("lang", "told").agg(F.avg("hit").alias("rate")).collect()}
+    assert {x for x, _ in rates} == {"en", "de", "fr", "es"}
+    assert all(rate > 0.85 if told else rate < 0.04 for (_, told), rate in rates.items())
+
+
 def test_quality_model_edges(spark, edge_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = quality_model.classify(edge_docs, none)
