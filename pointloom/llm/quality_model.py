@@ -28,8 +28,6 @@ from pointloom.plans.storage import materialize
 
 #: Labelled documents that the models are fitted to at most.
 SAMPLE = 20_000
-#: Slots for word hashes.
-SLOTS = 1 << 20
 #: A word counts as a sign of toxic text from this log odds ratio and this many standard errors on.
 SIGN_ODDS, SIGN_ERRORS = 3.0, 4.0
 #: Bytes in a gram, the space before a word counted.
@@ -69,11 +67,6 @@ def _hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return _text.word_hashes(b, starts, fold=True)
 
 
-def _slots(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The slot of each word."""
-    return (_hashes(buf, starts, ends) & np.uint64(SLOTS - 1)).astype(np.int64)
-
-
 def _lower(texts: pa.Array) -> pa.Array:
     """Lower case in any script; a text that is not UTF-8 only in A-Z."""
     try:
@@ -117,22 +110,33 @@ def merged(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[at], np.add.reduceat(n, at) if len(at) else n
 
 
-class Pool:
-    """The pooled features, by whole hashes; low bits alone only rule out."""
+class Known:
+    """Known hashes, found whole; low bits alone only rule out."""
 
     def __init__(self, keys: np.ndarray) -> None:
         self.keys = np.sort(keys)
         self.low = np.zeros(1 << 16, bool)
         self.low[(self.keys & np.uint64(0xFFFF)).astype(np.int64)] = True
 
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where h is known, and as which of the keys."""
+        some = np.flatnonzero(self.low[(h & np.uint64(0xFFFF)).astype(np.int64)])
+        if not len(some):
+            return some, some
+        at = np.minimum(np.searchsorted(self.keys, h[some]), len(self.keys) - 1)
+        hit = self.keys[at] == h[some]
+        return some[hit], at[hit]
+
+
+class Pool(Known):
+    """The pooled features."""
+
     def rates(self, texts: pa.Array, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, index of the feature, log rate a hundred words) of all that occur, in this order."""
         found = [np.zeros(0, np.int64)]
         for doc, h in features(texts):
-            some = np.flatnonzero(self.low[(h & np.uint64(0xFFFF)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(self.keys, h[some]), len(self.keys) - 1)
-            hit = self.keys[at] == h[some]
-            found.append(doc[some[hit]] * len(self.keys) + at[hit])
+            where, at = self.find(h)
+            found.append(doc[where] * len(self.keys) + at)
         code, n = np.unique(np.concatenate(found), return_counts=True)
         doc, at = np.divmod(code, len(self.keys))
         return doc, at, np.log1p(100 * n / np.maximum(n_words[doc], 20))
@@ -140,12 +144,13 @@ class Pool:
 
 @dataclass
 class Model:
-    """Logistic weights over the described numbers; signs: weight of each word slot that marks toxic text, else 0."""
+    """Logistic weights over the described numbers; signs: the words that mark toxic text, by whole hashes, with their odds."""
 
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
-    signs: np.ndarray
+    signs: Known
+    odds: np.ndarray
     pool: Pool | None = None
     pooled: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
@@ -154,9 +159,10 @@ class Model:
 
     def toxic(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         starts, ends, first = _text.words(buf, off)
-        s = np.concatenate((self.signs[_slots(buf, starts, ends)], [0.0]))
-        out = np.maximum.reduceat(s, np.minimum(first[:-1], len(s) - 1)) if len(first) > 1 else np.zeros(0)
-        return np.where(np.diff(first) > 0, out, 0.0)
+        where, at = self.signs.find(_hashes(buf, starts, ends))
+        out = np.zeros(len(off) - 1)
+        np.maximum.at(out, _text.owner(first)[where], self.odds[at])
+        return out
 
     def pooled_toxic(self, texts: pa.Array, x: np.ndarray) -> np.ndarray:
         """Log odds of a toxic text by the pooled model, 0 where they are below."""
@@ -209,15 +215,20 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
     return mean, scale, w
 
 
-def fit_signs(slots: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Log odds ratio of the words that stand in far more toxic documents than others, 0 for all other words."""
-    with_, without = np.zeros(SLOTS), np.zeros(SLOTS)
-    for s, t in zip(slots, toxic, strict=True):
-        (with_ if t else without)[s] += 1
+def fit_signs(words: list[np.ndarray], toxic: np.ndarray) -> tuple[Known, np.ndarray]:
+    """The words (hashes, once a document) that stand in far more toxic documents than others, and their log odds ratio."""
+    h = np.concatenate([np.zeros(0, np.uint64), *(w for w, t in zip(words, toxic, strict=True) if t)])
+    h, with_ = np.unique(h, return_counts=True)
+    without = np.zeros(len(h))
+    for w in (w for w, t in zip(words, toxic, strict=True) if not t):
+        at = np.searchsorted(h, w)
+        w, at = w[at < len(h)], at[at < len(h)]
+        without[at[h[at] == w]] += 1
     n1, n0 = toxic.sum(), len(toxic) - toxic.sum()
     odds = np.log((with_ + 0.5) / (n1 - with_ + 0.5)) - np.log((without + 0.5) / (n0 - without + 0.5))
     error = np.sqrt(1 / (with_ + 0.5) + 1 / (without + 0.5))
-    return np.where((odds > SIGN_ODDS) & (odds > SIGN_ERRORS * error), odds, 0.0)
+    sign = (odds > SIGN_ODDS) & (odds > SIGN_ERRORS * error)
+    return Known(h[sign]), odds[sign]
 
 
 def pooled_keys(told: DataFrame, n_toxic: int, n_other: int) -> np.ndarray:
@@ -285,19 +296,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
         for batch in batches:
             for buf, off, a, n in _text.chunks(batch.column(0), batch.column(0)):
                 starts, ends, first = _text.words(buf, off)
-                s = _slots(buf, starts, ends)
-                own = [np.unique(s[x:y]).astype("<u4").tobytes() for x, y in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in describe(buf, off)], pa.binary()), pa.array(own, pa.binary()), batch.column(1).slice(a, n).cast(pa.int32()), batch.column(2).slice(a, n).cast(pa.int32())], names=["x", "slots", "quality", "toxic"])
+                h = _hashes(buf, starts, ends)
+                own = [np.unique(h[x:y]).tobytes() for x, y in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in describe(buf, off)], pa.binary()), pa.array(own, pa.binary()), batch.column(1).slice(a, n).cast(pa.int32()), batch.column(2).slice(a, n).cast(pa.int32())], names=["x", "words", "quality", "toxic"])
 
-    got = rows.mapInArrow(run, "x binary, slots binary, quality int, toxic int").collect()
+    got = rows.mapInArrow(run, "x binary, words binary, quality int, toxic int").collect()
     good = [r for r in got if r["quality"] is not None]
     width = len(describe(np.zeros(0, np.uint8), np.zeros(2, np.int64))[0])
     x = np.array([np.frombuffer(r["x"]) for r in good]).reshape(-1, width)
     told = [r for r in got if r["toxic"] is not None]
-    signs = fit_signs([np.frombuffer(r["slots"], "<u4").astype(np.int64) for r in told], np.array([bool(r["toxic"]) for r in told], bool))
+    signs = fit_signs([np.frombuffer(r["words"], np.uint64) for r in told], np.array([bool(r["toxic"]) for r in told], bool))
     n_toxic = sum(bool(r["toxic"]) for r in told)
     pool = fit_pool(rows.where("toxic is not null").select("text", "toxic"), n_toxic, len(told) - n_toxic)
-    return Model(*fit_logistic(x, np.array([float(r["quality"] > 0) for r in good])), signs, *pool)
+    return Model(*fit_logistic(x, np.array([float(r["quality"] > 0) for r in good])), *signs, *pool)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None) -> DataFrame:

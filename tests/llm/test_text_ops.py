@@ -238,6 +238,28 @@ def test_toxic_stems_on_held_out_labels_by_language(spark, sf_dir):
     assert all(rate > 0.85 if told else rate < 0.04 for (_, told), rate in rates.items())
 
 
+def test_only_the_sign_words_themselves_are_signs():
+    import pyarrow as pa
+
+    def chunk(text):
+        return next(_text.chunks(pa.array([0]), pa.array([text]), most=1 << 30))[:2]
+
+    def hashes(text):
+        buf, off = chunk(text)
+        return np.unique(quality_model._hashes(buf, *_text.words(buf, off)[:2]))
+
+    mark = " ".join(f"mark{i}" for i in range(20))
+    toxic = np.array([True] * 100 + [False] * 100)
+    signs, odds = quality_model.fit_signs([hashes(f"word{i % 50} both {mark if t else 'clean'}") for i, t in enumerate(toxic)], toxic)
+    model = quality_model.Model(np.zeros(22), np.ones(22), np.zeros(23), signs, odds)
+    assert signs.keys.tolist() == hashes(mark).tolist()
+    assert model.toxic(*chunk("none here but Mark3, in the end")).tolist() == [odds[0]]
+    unseen = " ".join(f"unseen{i}" for i in range(300_000))
+    low = {h & 0xFFFFF for h in hashes(unseen).tolist()}
+    assert any(h & 0xFFFFF in low for h in signs.keys.tolist())
+    assert model.toxic(*chunk(unseen)).tolist() == [0.0]
+
+
 def test_quality_model_edges(spark, edge_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = quality_model.classify(edge_docs, none)
