@@ -78,8 +78,8 @@ RULES = (
 #: Where sentences end: at a full stop or the like before white space, and at a blank line. Every known sentence is cut alike.
 ENDS = r"[.!?;:]+\s+|\n\s*\n"
 NOISE = r"[^a-z0-9]+"
-#: Every known sentence holds one of these words; a text without any has no known sentence.
-HINTS = ("licen", "copyright", "warrant", "permission", "redistribut", "public domain", "rights reserved", "obtain a copy")
+#: Every known sentence holds one of these, none of which a line can break; a text without any has no known sentence.
+HINTS = ("licen", "copyright", "warrant", "permission", "redistribut", "domain", "reserved", "obtain")
 GAP = "_"
 
 
@@ -116,23 +116,34 @@ def rule_pattern(ids: tuple[str, ...]) -> str:
     return out
 
 
-def identifiers(text: Column) -> Column:
+def lines_pattern() -> str:
+    """A known sentence that fills whole lines, or runs from the end of another sentence to the end of a line or back.
+
+    Noise is taken possessively and up to the line's end only, so the time stays in proportion to the text.
+    """
+    before = r"(?:(?:\A|\n)[^a-z0-9\n]*+|(?<=[.!?;:])\s[^a-z0-9\n.!?;:]*+)"
+    after = r"[^a-z0-9\n]*?(?=\n|\z|(?<=[.!?;:])\s)"
+    return before + "(?:" + "|".join("[^a-z0-9]++".join(x.split()) for x in sorted(known(), key=len, reverse=True)) + ")" + after
+
+
+def identifiers(text: Column, lines: bool = True) -> Column:
     """The known sentences of a text in order, as ,id,id,_,id, with _ for each run of others; null where there is none."""
     low = F.lower(text)
     table = F.create_map(*[F.lit(x) for pair in known().items() for x in pair])
-    ids = F.transform(F.split(low, ENDS), lambda s: F.coalesce(F.try_element_at(table, normalised(s)), F.lit(GAP)))
+    ids = F.transform(F.split(F.regexp_replace(low, lines_pattern(), "\n\n$0\n\n") if lines else low, ENDS), lambda s: F.coalesce(F.try_element_at(table, normalised(s)), F.lit(GAP)))
     runs = F.regexp_replace(F.concat(F.lit(","), F.array_join(ids, ","), F.lit(",")), f"(?<=,)(?:{GAP},)+", f"{GAP},")
     hit = low.rlike("|".join(HINTS))
     return F.when(hit, F.when(runs == f",{GAP},", F.lit(None)).otherwise(runs))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines: bool = True) -> DataFrame:
     """Per row of docs: doc_id, sentences (identifiers in order), licenses (names in rule order, each once).
 
-    The whole text is read. A null or empty text has no sentences; a null id is kept. Repeated rows give equal rows, an
+    A line feed may end a sentence: known sentences are also found on lines of their own, wrapped or not; without lines only
+    at the ENDS. The whole text is read. A null or empty text has no sentences; a null id is kept. Repeated rows give equal rows, an
     empty table none. There is no shuffle. Other columns are not looked at.
     """
-    out = docs.select(F.col(id_col).alias("doc_id"), identifiers(F.col(text_col)).alias("found")).withColumn("rest", F.col("found"))
+    out = docs.select(F.col(id_col).alias("doc_id"), identifiers(F.col(text_col), lines).alias("found")).withColumn("rest", F.col("found"))
     flags = []
     for k, (name, ids) in enumerate(RULES):
         pat = rule_pattern(ids)

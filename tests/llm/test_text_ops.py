@@ -167,6 +167,13 @@ def test_licenses(spark, edge_docs, no_docs):
     assert licenses.scan(no_docs).count() == 0
 
 
+def test_licenses_on_lines_of_their_own(spark):
+    s = licenses.SENTENCES
+    cases = [("of%%% thonhare.***\nLicensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]), ("nttint |\nAll rights reserved.", ["proprietary"]), ("a line\n * All rights\n * reserved\nanother", ["proprietary"]), (f"MIT License\nCopyright (c) X\n{s['mit_grant']}:\n{s['mit_notice']}\nend", ["MIT"]), ("Text. All rights reserved\nmore", ["proprietary"]), ("all\nAll rights reserved\nLicensed under CC BY 4.0\nend", ["CC-BY-4.0", "proprietary"]), ("not All rights reserved\nhere", []), ("Here\nAll rights reserved by X", []), ("\n \n" * 100_000 + "! " * 100_000 + "license", [])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    assert {r["doc_id"]: r["licenses"] for r in licenses.scan(df).collect()} == {i: x for i, (_, x) in enumerate(cases)}
+
+
 # ---- mixture
 
 
