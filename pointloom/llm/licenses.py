@@ -7,6 +7,8 @@ their order. A rule uses up what it matches, so a full licence text is not also
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +28,6 @@ SENTENCES = {
     "apache_basis": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
     "gpl3_work": "This work is licensed under the GNU General Public License, version 3",
     "gpl2_work": "This work is licensed under the GNU General Public License, version 2",
-    "gpl3_redistribute": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
-    "gpl2_redistribute": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
-    "lgpl_redistribute": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
-    "agpl_redistribute": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     "gpl_warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
     "bsd_redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "bsd_source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
@@ -47,17 +45,29 @@ SENTENCES = {
     "cc_by_nc_work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
     "all_rights": "All rights reserved",
 }
+#: The grants of the GNU licences, as (identifier, licence, its title, version), in every form of the version.
+GRANTS = (
+    ("agpl", "AGPL-3.0", "GNU Affero General Public License", "3"),
+    ("lgpl", "LGPL-3.0", "GNU Lesser General Public License", "3"),
+    ("lgpl21", "LGPL-2.1", "GNU Lesser General Public License", "2.1"),
+    ("gpl3", "GPL-3.0", "GNU General Public License", "3"),
+    ("gpl2", "GPL-2.0", "GNU General Public License", "2"),
+)
+FORMS = {"or-later": "either version {} of the License, or (at your option) any later version", "only": "version {} of the License"}
+SENTENCES |= {
+    f"{name}_{form.replace('-', '_')}_{mark}": f"you can redistribute it and/or modify it under the terms of the {title} as published by the Free Software Foundation{sign} {FORMS[form].format(version)}"
+    for name, _, title, version in GRANTS
+    for form in FORMS
+    for mark, sign in (("comma", ","), ("semicolon", ";"))
+}
 #: Licence and the sentence identifiers that stand for it, in the order in which rules are tried. "?" ends an
-#: optional identifier; between identifiers one gap may lie.
+#: optional identifier, "|" parts those of which one is asked for; between identifiers one gap may lie.
 RULES = (
     ("MIT", ("mit_title?", "mit_the_title?", "mit_grant", "mit_notice", "mit_warranty?")),
     ("BSD-3-Clause", ("bsd_redistribution", "bsd_source", "bsd_binary", "bsd_endorse")),
     ("BSD-2-Clause", ("bsd_redistribution", "bsd_source", "bsd_binary")),
     ("Apache-2.0", ("apache_header", "apache_comply?", "apache_obtain?", "apache_basis?")),
-    ("AGPL-3.0-or-later", ("agpl_redistribute", "gpl_warranty?")),
-    ("LGPL-3.0-or-later", ("lgpl_redistribute", "gpl_warranty?")),
-    ("GPL-3.0-or-later", ("gpl3_redistribute", "gpl_warranty?")),
-    ("GPL-2.0-or-later", ("gpl2_redistribute", "gpl_warranty?")),
+    *((f"{of}-{form}", ("|".join(f"{name}_{form.replace('-', '_')}_{mark}" for mark in ("comma", "semicolon")), "gpl_warranty?")) for name, of, _, _ in GRANTS for form in FORMS),
     ("ISC", ("isc_grant",)),
     ("MPL-2.0", ("mpl_notice",)),
     ("CC0-1.0", ("cc0_dedicate",)),
@@ -78,7 +88,7 @@ RULES = (
 #: Where sentences end: at a full stop or the like before white space, and at a blank line. Every known sentence is cut alike.
 ENDS = r"[.!?;:]+\s+|\n\s*\n"
 NOISE = r"[^a-z0-9]+"
-#: Every known sentence holds one of these, none of which a line can break; a text without any has no known sentence.
+#: Every known sentence holds one of these in one of its pieces, none of which a line can break; a text without any has no known sentence.
 HINTS = ("licen", "copyright", "warrant", "permission", "redistribut", "domain", "reserved", "obtain")
 GAP = "_"
 
@@ -88,16 +98,20 @@ def normalise(sentence: str) -> str:
     return "".join(c if c.isascii() and c.isalnum() else " " for c in sentence.lower()).strip()
 
 
-def known() -> dict[str, str]:
-    """Normalised sentence -> identifier. A sentence that the cutting itself divides stands under its longest piece."""
-    import re
+def pieces(sentence: str) -> list[str]:
+    """The normalised pieces into which the cutting itself divides a known sentence."""
+    return [" ".join(x.split()) for x in map(normalise, re.split(ENDS, sentence)) if x]
+
 
+def known() -> dict[str, str]:
+    """Normalised sentence -> identifier. The pieces of a sentence that the cutting divides stand numbered, each once."""
     out = {}
     for name, s in SENTENCES.items():
-        pieces = [" ".join(normalise(p).split()) for p in re.split(ENDS, s)]
-        out[max(pieces, key=len)] = name
-    if any(not any(h in s for h in HINTS) for s in out):
-        raise ValueError("a known sentence holds none of the hints")
+        parts = pieces(s)
+        if not any(any(h in p for h in HINTS) for p in parts):
+            raise ValueError("a known sentence holds none of the hints")
+        for k, p in enumerate(parts, 1):
+            out.setdefault(p, name if len(parts) == 1 else f"{name}_{k}")
     return out
 
 
@@ -106,10 +120,11 @@ def normalised(sentence: Column) -> Column:
 
 
 def rule_pattern(ids: tuple[str, ...]) -> str:
-    """A rule over a string like ,a,b,_,c, — each identifier stands between commas."""
-    out, first = ",", True
+    """A rule over a string like ,a,b,_,c, — each identifier stands between commas, the pieces of a sentence side by side."""
+    out, first, table = ",", True, known()
     for x in ids:
-        name = x.rstrip("?")
+        names = [",".join(table[p] for p in pieces(SENTENCES[y])) for y in x.rstrip("?").split("|")]
+        name = names[0] if len(names) == 1 else f"(?:{'|'.join(names)})"
         gap = "" if first else f"(?:{GAP},)?"
         out += f"(?:{gap}{name},)?" if x.endswith("?") else f"{gap}{name},"
         first = first and x.endswith("?")

@@ -167,6 +167,17 @@ def test_licenses(spark, edge_docs, no_docs):
     assert licenses.scan(no_docs).count() == 0
 
 
+def test_license_versions_in_divided_sentences(spark):
+    grant = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation{} {}."
+    later, only = "either version {} of the License, or (at your option) any later version", "version {} of the License"
+    cases = [(grant.format(kind, sign, form.format(v)), [f"{name}-{end}"]) for kind, v, name in (("", "2", "GPL-2.0"), ("", "3", "GPL-3.0"), ("Lesser ", "2.1", "LGPL-2.1"), ("Lesser ", "3", "LGPL-3.0"), ("Affero ", "3", "AGPL-3.0")) for sign in ",;" for form, end in ((later, "or-later"), (only, "only"))]
+    cases += [(grant.format("", ";", later.format(2)).replace(" ", "\n") + "\nOther text.", ["GPL-2.0-or-later"]), (grant.format("", ";", later.format(4)), [])]
+    cases += [(f"{licenses.SENTENCES['mpl_notice']}.", ["MPL-2.0"]), (licenses.SENTENCES["mpl_notice"].replace("2.0", "1.1") + ".", [])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    for lines in (True, False):
+        assert {r["doc_id"]: r["licenses"] for r in licenses.scan(df, lines=lines).collect()} == {i: x for i, (_, x) in enumerate(cases)}
+
+
 def test_licenses_on_lines_of_their_own(spark):
     s = licenses.SENTENCES
     cases = [("of%%% thonhare.***\nLicensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]), ("nttint |\nAll rights reserved.", ["proprietary"]), ("a line\n * All rights\n * reserved\nanother", ["proprietary"]), (f"MIT License\nCopyright (c) X\n{s['mit_grant']}:\n{s['mit_notice']}\nend", ["MIT"]), ("Text. All rights reserved\nmore", ["proprietary"]), ("all\nAll rights reserved\nLicensed under CC BY 4.0\nend", ["CC-BY-4.0", "proprietary"]), ("not All rights reserved\nhere", []), ("Here\nAll rights reserved by X", []), ("\n \n" * 100_000 + "! " * 100_000 + "license", [])]
