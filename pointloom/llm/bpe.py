@@ -401,6 +401,21 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return rows.mapInArrow(run, schema)
 
 
+def decode_span(encoded: DataFrame, path: str, start: int, end: int, id_col: str = "doc_id", ids_col: str = "ids", ends_col: str = "ends") -> DataFrame:
+    """Per row: doc_id, decoded (binary): the bytes of the text from start to end, without the byte at end.
+
+    Only the ids whose bytes lie there by the retained ends are decoded. Past a text's end there are no bytes.
+    """
+    if not 0 <= start <= end:
+        raise ValueError("a span starts at 0 or later and ends at its start or later")
+    ids, ends = F.col(ids_col), F.col(ends_col)
+    first = F.size(F.filter(ends, lambda e: e <= start))
+    last = F.size(F.filter(ends, lambda e: e < end))  # this id, counted from 0, holds the last byte
+    at = F.struct(F.col(id_col).alias("id"), F.when(first > 0, F.element_at(ends, F.greatest(first, F.lit(1)))).otherwise(F.lit(0)).cast("long").alias("base"))
+    own = encoded.select(at.alias("doc_id"), F.slice(ids, first + 1, F.greatest(last - first + 1, F.lit(0))).alias("ids"))
+    return decode(own, path).select(F.col("doc_id.id").alias("doc_id"), F.substring("decoded", (start + 1 - F.col("doc_id.base")).cast("int"), F.lit(end - start)).alias("decoded"))
+
+
 def ids_text(ids: str | Column = "ids") -> Column:
     """Decimal ids joined by one space."""
     return F.array_join((F.col(ids) if isinstance(ids, str) else ids).cast("array<string>"), " ")

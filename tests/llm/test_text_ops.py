@@ -72,6 +72,16 @@ def test_bpe_query_and_empty(spark, sf_dir, real_docs, no_docs, library):
     assert bpe.encode(no_docs, queries.vocabulary()).count() == 0
 
 
+def test_bpe_decodes_spans_by_the_retained_ends(edge_docs, edge_rows):
+    encoded = bpe.encode(edge_docs, queries.vocabulary())
+    texts = [(i, (t or "").encode()) for i, t, _ in edge_rows]
+    for start, end in ((0, 1), (3, 11), (5, 5), (100, 163), (0, 10**6), (150_000, 150_040)):
+        got = bpe.decode_span(encoded, queries.vocabulary(), start, end).collect()
+        same([(r["doc_id"], bytes(r["decoded"])) for r in got], [(i, t[start:end]) for i, t in texts])
+    moved = encoded.withColumn("ends", F.transform("ends", lambda e: e + 1))
+    assert [bytes(r["decoded"]) for r in bpe.decode_span(moved.where("doc_id = 8"), queries.vocabulary(), 3, 11).collect()] != [t[3:11] for i, t in texts if i == 8]
+
+
 # ---- quality rules
 
 
