@@ -6,6 +6,7 @@ single bytes below 0x80, so words of bytes and words of code points are the same
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,33 +26,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def stream64(n: int, seed: int) -> np.ndarray:
-    """n words of splitmix64."""
-    with np.errstate(over="ignore"):
-        return mix64(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed))
-
-
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_EXACT = stream64(256, 11)
-_LINES = _EXACT.copy()
-_LINES[10] = 0
-_EXACT[SPACE] = 0
-_FOLDED = _EXACT.copy()
-_FOLDED[65:91] = _EXACT[97:123]
-_BASE = 0xD1B54A32D192ED03
-_POWERS = np.ones(1, U64)
-
-
-def _powers(n: int) -> np.ndarray:
-    """_BASE to the powers 0 to n - 1, kept for the next call."""
-    global _POWERS
-    if len(_POWERS) < n:
-        size = max(4096, 1 << (n - 1).bit_length())
-        p = np.full(size, _BASE, U64)
-        p[0] = 1
-        _POWERS = np.multiply.accumulate(p)
-    return _POWERS
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Bytes of a stretch that are hashed eight at a time for all stretches at once; longer ones have a digest each.
+_LONG = 256
+_FRONT = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
+_ODD = U64(0x9E3779B97F4A7C15)
+
+
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, with zeros behind the end."""
+    data = np.zeros(len(buf) + 8, np.uint8)
+    data[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", data, strides=(1,))
 
 
 def chunks(ids: pa.Array, texts: pa.Array, most: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
@@ -91,48 +80,64 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, np.searchsorted(starts, off)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, fold: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word; fold: A-Z count as a-z. Separators add nothing, so a word's sum ends with the word."""
-    return _segments(buf, starts, _FOLDED if fold else _EXACT)
-
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
+    """A 64-bit hash of the bytes of each stretch; fold: A-Z count as a-z.
 
-def line_hashes(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each stretch from one start to the next, every byte counted but for line feeds."""
-    return _segments(buf, starts, _LINES)
-
-
-def _segments(buf: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.ndarray:
+    The length and then eight bytes after eight go through a mixer, so a byte's place counts in a way that no arithmetic
+    relation between texts can cancel; stretches of up to eight bytes never collide with others of their length.
+    """
     if not len(starts):
         return np.zeros(0, U64)
-    tail = buf[starts[0] :]
-    at = np.arange(len(tail), dtype=np.int64)
-    first = starts - starts[0]
-    at -= np.repeat(first, np.diff(first, append=len(tail)))
+    if fold:
+        buf = _LOWER[buf]
+    eights, size = _eights(buf), ends - starts
+    with np.errstate(over="ignore"):
+        h = mix64(size.astype(U64) * _ODD + U64(1))
+        live, at, left = np.flatnonzero(size <= _LONG), starts, size
+        at, left = at[live], left[live]
+        while len(live):
+            h[live] = mix64(h[live] ^ (eights[at] & _FRONT[np.minimum(left, 8)]))
+            more = left > 8
+            live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > _LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(np.ascontiguousarray(buf[starts[i] : ends[i]]), digest_size=8).digest(), "little")
+    return h
+
+
+def gram_hashes(buf: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of size bytes (8 at most), at the run's first byte; the last size - 1 bytes start none."""
+    n = max(0, len(buf) - size + 1)
     with np.errstate(over="ignore"):
-        sums = np.add.reduceat(table[tail] * _powers(int(at.max()) + 1)[at], first)
-        return mix64(sums)
+        return mix64((_eights(buf)[:n] & _FRONT[size]) * _ODD + U64(size))
+
+
+def digests(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Two 64-bit numbers of a 128-bit digest of each document's values h[first[i]:first[i + 1]], in their order."""
+    h = np.ascontiguousarray(h, "<u8")
+    raw = b"".join(hashlib.blake2b(h[a:b], digest_size=16).digest() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
+    return np.frombuffer(raw, "<u8").reshape(-1, 2).T
 
 
 def window_hashes(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
-    """A hash of each run of k values, at the run's first index; the last k - 1 values start none."""
+    """A hash of each run of k values, at the run's first index; the last k - 1 values start none.
+
+    Runs of doubling width are made of their halves, through a mixer at each step.
+    """
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
     with np.errstate(over="ignore"):
-        c = U64(0xA24BAED4963EE407 + 2 * salt)
-        part, width, power = mix64(h + U64(salt)), 1, c  # hashes of runs of width, c ** width
-        total, done, scale = None, 0, U64(1)
+        part, width = mix64(h + U64(salt) * _ODD), 1
+        total, done = None, 0
         while True:
             if k & width:
-                piece = part[done : done + n] * scale
-                total = piece if total is None else total + piece
+                piece = part[done : done + n]
+                total = piece if total is None else mix64(total * _ODD + piece)
                 done += width
-                scale = scale * power
             if width * 2 > k:
-                break
-            part = part[:-width] + part[width:] * power
-            width, power = width * 2, power * power
-        return mix64(total)
+                return total
+            part = mix64(part[:-width] * _ODD + part[width:])
+            width *= 2
 
 
 def window_starts(first: np.ndarray, k: int) -> np.ndarray:

@@ -88,19 +88,13 @@ def bands(sig: np.ndarray, n_bands: int, rows: int) -> np.ndarray:
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct shingle hashes by document, where each document's begin, words, two hashes of the whole word sequence)."""
-    starts, _, first = _text.words(buf, off)
-    w = _text.word_hashes(buf, starts, fold=True)
+    """(distinct shingle hashes by document, where each document's begin, words, the 128-bit digest of the whole word sequence in two parts)."""
+    starts, ends, first = _text.words(buf, off)
+    w = _text.span_hashes(buf, starts, ends, fold=True)
     n_words = np.diff(first)
     of = _text.owner(first)
+    keys = _text.digests(w, first)
     with np.errstate(over="ignore"):
-        at = np.arange(len(w)) - np.repeat(first[:-1], n_words)
-        power = _text._powers(int(n_words.max(initial=0)) + 1)[at]
-        some = np.flatnonzero(n_words)
-        keys = np.zeros((2, len(n_words)), np.uint64)
-        for salt in range(2):
-            if len(some):
-                keys[salt, some] = _text.mix64(np.add.reduceat(_text.mix64(w + np.uint64(77 + salt)) * power, first[:-1][some]) + n_words[some].astype(np.uint64))
         h = _text.window_hashes(w, k)
         ok = np.flatnonzero(_text.window_starts(first, k)[: len(h)]) if len(h) else np.zeros(0, np.int64)
         short = np.flatnonzero((n_words > 0) & (n_words < k))

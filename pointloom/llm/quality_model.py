@@ -36,7 +36,6 @@ GRAMS = (4, 6, 8)
 POOLED, POOLED_ERRORS = 512, 3.0
 #: Weights of the pooled model are held back by this much; at most so many rows of features wait to be merged.
 POOLED_RIDGE, WAITING = 10.0, 1 << 21
-_BYTES = _text.stream64(256, 13)
 
 
 def _share(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -57,14 +56,13 @@ def describe(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def _hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each word, without case and without punctuation at its end."""
-    b = buf.copy()
-    edge = np.isin(b, np.frombuffer(b".,;:!?\"')(*$%&#", np.uint8))
-    last = ends - 1
+    last = ends.copy()
+    edge = np.isin(buf, np.frombuffer(b".,;:!?\"')(*$%&#", np.uint8))
+    cut = np.arange(len(ends))
     for _ in range(3):
-        last = last[edge[last]]
-        b[last] = 32
-        last = last[last > 0] - 1
-    return _text.word_hashes(b, starts, fold=True)
+        cut = cut[(last[cut] > starts[cut]) & edge[last[cut] - 1]]
+        last[cut] -= 1
+    return _text.span_hashes(buf, starts, last, fold=True)
 
 
 def _lower(texts: pa.Array) -> pa.Array:
@@ -85,9 +83,8 @@ def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         space = _text.SPACE[b]
         b[space] = 32
         count = np.concatenate(([0], np.cumsum(space, dtype=np.int32)))
-        v = _BYTES[b]
         for size in GRAMS:
-            h = _text.window_hashes(v, size, salt=size)
+            h = _text.gram_hashes(b, size)
             at = np.flatnonzero(count[size : size + len(h)] == count[1 : 1 + len(h)])
             yield a + np.searchsorted(off + np.arange(len(off)), at, side="right") - 1, h[at]
 

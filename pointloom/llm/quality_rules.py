@@ -52,13 +52,14 @@ def measure(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
         lines = np.unique(np.concatenate((off[:-1][np.diff(off) > 0], feeds[feeds < len(buf)])))
         ends_of = np.searchsorted(starts, np.append(lines, len(buf)))
         of = np.searchsorted(off, lines, side="right") - 1
-        key = _text.line_hashes(buf, lines) ^ _text.mix64(of.astype(np.uint64) * _GOLDEN)
+        stops = np.append(lines, len(buf))[1:]
+        key = _text.span_hashes(buf, lines, stops - (buf[stops - 1] == 10)) ^ _text.mix64(of.astype(np.uint64) * _GOLDEN)
         worded = np.diff(ends_of) > 0
         of, key = of[worded], key[worded]
         later, _ = _twice(key, True)
         out["n_lines"] = np.bincount(of, minlength=n_docs)
         out["n_dup_lines"] = np.bincount(of[later], minlength=n_docs)
-        h = _text.window_hashes(_text.word_hashes(buf, starts), WINDOW)
+        h = _text.window_hashes(_text.span_hashes(buf, starts, ends), WINDOW)
         of = _text.owner(first)
         at = np.flatnonzero(_text.window_starts(first, WINDOW)[: len(h)]) if len(h) else np.zeros(0, np.int64)
         _, some = _twice(h[at] ^ _text.mix64(of[at].astype(np.uint64) * _GOLDEN), False)

@@ -71,8 +71,8 @@ def _count(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         for buf, off, a, n in _text.chunks(batch.column(0), batch.column(1)):
-            starts, _, first = _text.words(buf, off)
-            yield batch.column(0).slice(a, n), first, _text.word_hashes(buf, starts)
+            starts, ends, first = _text.words(buf, off)
+            yield batch.column(0).slice(a, n), first, _text.span_hashes(buf, starts, ends)
 
 
 def sketch(rows: DataFrame, window: int, anchor: int, cells: int) -> np.ndarray:
