@@ -24,7 +24,7 @@ def vocabulary() -> str:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded again: number of ids, digests of the ids and of the decoded bytes."""
     encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary())
-    back = bpe.decode(encoded, vocabulary())
+    back = bpe.decode(encoded, vocabulary(), ends_col="ends")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.ids_text("ids"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
