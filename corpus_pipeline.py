@@ -52,7 +52,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids of each row."""
-    return bpe.encode(docs, vocabulary()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return bpe.encode(docs, vocabulary(), ends=False).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("secret scans", secret_scan), ("source mixture", mixture), ("byte-level BPE", encoding)]
