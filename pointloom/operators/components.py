@@ -67,7 +67,7 @@ def components(edges: DataFrame, tag: str = "components", small: int = 0) -> Dat
     if small and now.count() <= small:
         return _in_one_task(now)
     while True:
-        now = materialize(_small_star(_large_star(now)), tag)
+        now = materialize(_small_star(_large_star(now)), tag, now)
         seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first()
         if seen == mark:
             break

@@ -34,11 +34,11 @@ def taubin_pass(points: DataFrame, edges: DataFrame, scale: float, regularised:
 
 def taubin(points: DataFrame, edges: DataFrame, iterations: int, lam: float = LAMBDA, mu: float = MU, regularised: bool = False) -> DataFrame:
     """iterations times a pass with lam and one with mu. Each pass is written to the shared folder, which keeps plans small."""
-    now = points.select("id", "x", "y", "z")
+    now = points.select("id", "x", "y", "z")  # not one of the tables that passes make and drop
     edges = materialize(edges.select("id", "nid"), "taubin-edges")
     for _ in range(iterations):
         for scale in (lam, mu):
-            now = materialize(taubin_pass(now, edges, scale, regularised), "taubin-pass")
+            now = materialize(taubin_pass(now, edges, scale, regularised), "taubin-pass", now)
     return now
 
 
