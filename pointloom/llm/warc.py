@@ -78,33 +78,64 @@ def pack(records: list[bytes], dictionary: bytes, level: int = 3) -> bytes:
     return b"".join(out)
 
 
+def frame_end(data: bytes, at: int) -> int:
+    """Where the frame that begins at a byte ends, by the sizes in its header and before its blocks. Raises ValueError."""
+    if data[at : at + 4] != FRAME:
+        raise ValueError(f"no frame at byte {at}")
+    try:
+        head = zstandard.get_frame_parameters(data[at : at + 18])
+        end = at + zstandard.frame_header_size(data[at : at + 18])
+    except zstandard.ZstdError as e:
+        raise ValueError(f"no frame at byte {at}: {e}") from e
+    last = False
+    while not last:
+        block = int.from_bytes(data[end : end + 3], "little")
+        last, kind, size = bool(block & 1), block >> 1 & 3, block >> 3
+        if len(data) < end + 3 or kind == 3:
+            raise ValueError(f"the frame at byte {at} is broken or cut off")
+        end += 3 + (1 if kind == 1 else size)  # a run's only byte stands for all of it
+    end += 4 * bool(head.has_checksum)
+    if end > len(data):
+        raise ValueError(f"the frame at byte {at} is cut off")
+    return end
+
+
+def skippable_end(data: bytes, at: int) -> int:
+    """Where the skippable frame that begins at a byte ends; at itself if none begins there. Raises ValueError if it is cut off."""
+    if len(data) < at + 4 or not 0x184D2A50 <= struct.unpack_from("<I", data, at)[0] <= 0x184D2A5F:
+        return at
+    if len(data) < at + 8 or len(data) < at + 8 + struct.unpack_from("<I", data, at + 4)[0]:
+        raise ValueError(f"the skippable frame at byte {at} is cut off")
+    return at + 8 + struct.unpack_from("<I", data, at + 4)[0]
+
+
 def unpack(data: bytes) -> Iterator[bytes]:
-    """The records of an archive, one frame each. Raises ValueError on anything else."""
+    """The records of an archive, one frame each. Raises ValueError on anything else, cut off frames of any kind included."""
     at, made = 0, None
-    if len(data) >= 8 and struct.unpack_from("<I", data)[0] == SKIPPABLE:
-        size = struct.unpack_from("<I", data, 4)[0]
-        body = data[8 : 8 + size]
-        if len(body) != size:
-            raise ValueError("the dictionary's frame is cut off")
+    if data[:4] == struct.pack("<I", SKIPPABLE):
+        at = skippable_end(data, 0)
+        body = data[8:at]
         if body[:4] == FRAME:
-            body = zstandard.ZstdDecompressor().decompress(body)
+            try:
+                body = zstandard.ZstdDecompressor().decompressobj().decompress(body[: frame_end(body, 0)])
+            except zstandard.ZstdError as e:
+                raise ValueError(f"the dictionary's frame is broken: {e}") from e
         if body[:4] != DICTIONARY:
             raise ValueError("the leading frame holds no dictionary")
-        made, at = zstandard.ZstdCompressionDict(body), 8 + size
+        made = zstandard.ZstdCompressionDict(body)
     press = zstandard.ZstdDecompressor(dict_data=made)
-    view = memoryview(data)
     while at < len(data):
-        if 0x184D2A50 <= struct.unpack_from("<I", data, at)[0] <= 0x184D2A5F:
-            at += 8 + struct.unpack_from("<I", data, at + 4)[0]
+        if (end := skippable_end(data, at)) > at:
+            at = end
             continue
-        one = press.decompressobj()
+        end, one = frame_end(data, at), press.decompressobj()
         try:
-            out = one.decompress(view[at:])
+            out = one.decompress(data[at:end])
         except zstandard.ZstdError as e:
-            raise ValueError(f"no frame at byte {at}: {e}") from e
+            raise ValueError(f"the frame at byte {at} is broken: {e}") from e
         if not one.eof:
             raise ValueError(f"the frame at byte {at} is cut off")
-        at = len(data) - len(one.unused_data)
+        at = end
         yield out
 
 
@@ -213,7 +244,8 @@ def _page_of(uri: str | None) -> int | None:
 def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of all archives in the manifest. A revisit has the digest and length of the payload it points to, and no payload.
 
-    An archive that breaks a rule of the format fails the job with its path and the rule.
+    An archive that breaks a rule of the format fails the job with its path and the rule. Digest and payload length are no
+    needed fields: where a response lacks them they are reckoned from its payload, where a revisit does they are null.
     """
     spark = manifest.sparkSession
     deals = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -232,8 +264,9 @@ def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                         cols["page_id"].append(_page_of(fields["WARC-Record-ID"]))
                         cols["url"].append(fields.get("WARC-Target-URI"))
                         cols["record_type"].append(fields["WARC-Type"])
-                        cols["payload_digest"].append(fields["WARC-Payload-Digest"].removeprefix("sha1:"))
-                        cols["payload_bytes"].append(int(fields["X-Payload-Length"]) if body is None else len(body))
+                        told, length = fields.get("WARC-Payload-Digest"), fields.get("X-Payload-Length")
+                        cols["payload_digest"].append(told.removeprefix("sha1:") if told is not None else None if body is None else digest(body))
+                        cols["payload_bytes"].append(len(body) if body is not None else None if length is None else int(length))
                         cols["refers_to"].append(_page_of(fields.get("WARC-Refers-To")))
                         cols["payload"].append(body if payloads else None)
                 except ValueError as e:
