@@ -23,9 +23,12 @@ def denormalised(v: Column, lo: Column, hi: Column) -> Column:
 
 
 def cell_coordinate(v: Column, lo: Column | float, hi: Column | float, b: Column | int) -> Column:
-    """Cell of a coordinate among b cells between lo and hi, truncated toward zero and held inside the grid."""
+    """Cell of a coordinate among b cells between lo and hi, truncated toward zero and held inside the grid.
+
+    However far outside, a coordinate has the nearest cell; NaN and infinity have the last one, as Spark orders them.
+    """
     lo, hi, b = (x if isinstance(x, Column) else F.lit(x) for x in (lo, hi, b))
-    return F.greatest(F.lit(0), F.least((b - 1).cast("int"), ((v - lo) / (hi - lo) * b).cast("int")))
+    return F.when(v.isNotNull(), F.greatest(F.lit(0.0), F.least((b - 1).cast("double"), (v - lo) / (hi - lo) * b)).cast("int"))
 
 
 def linear_cell(cx: Column, cy: Column, cz: Column, b: int) -> Column:

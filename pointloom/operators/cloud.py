@@ -11,9 +11,14 @@ from pointloom.functions import geometry as G
 PAD = 1e-6
 
 
+def finite(points: DataFrame) -> DataFrame:
+    """The points whose coordinates are all there and finite. NaN is above infinity to Spark."""
+    return points.where(" and ".join(f"abs({a}) < double('infinity')" for a in "xyz"))
+
+
 def extent(points: DataFrame, pad: float = PAD) -> DataFrame:
-    """One row: min and max of each axis, and lo and hi, the padded cubic extent that all axes share."""
-    ends = points.agg(*[f(a).alias(f"{n}_{a}") for a in "xyz" for n, f in (("min", F.min), ("max", F.max))])
+    """One row: min and max of each axis, and lo and hi, the padded cubic extent that all axes share. Of finite points only."""
+    ends = finite(points).agg(*[f(a).alias(f"{n}_{a}") for a in "xyz" for n, f in (("min", F.min), ("max", F.max))])
     return ends.withColumn("lo", F.least(*[F.col(f"min_{a}") for a in "xyz"]) - F.lit(pad)).withColumn("hi", F.greatest(*[F.col(f"max_{a}") for a in "xyz"]) + F.lit(pad))
 
 
@@ -39,6 +44,12 @@ def index_of_cells(points: DataFrame, b: int) -> DataFrame:
     return out.withColumn("cell", G.linear_cell(F.col("cx"), F.col("cy"), F.col("cz"), b))
 
 
+def outside(points: DataFrame) -> DataFrame:
+    """points (normalised) with out: whether they lie outside the unit cube; a null or NaN coordinate lies there too."""
+    inside = [F.coalesce(G.in_bounds(F.col(a), 0, 1), F.lit(False)) for a in "xyz"]
+    return points.withColumn("out", ~(inside[0] & inside[1] & inside[2]))
+
+
 def occupancy(points: DataFrame, b: int) -> DataFrame:
     """cell, its coordinates, points in it and the smallest id among them."""
     return index_of_cells(points, b).groupBy("cell", "cx", "cy", "cz").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
@@ -62,3 +73,17 @@ def gap_density(points: DataFrame, axis: str = "x", parts: int = 64) -> DataFram
     from pointloom.operators.order import gaps
 
     return gaps(points.select("id", F.col(axis).alias("v")), parts)
+
+
+def spatial_order(points: DataFrame, b: int, parts: int = 64) -> DataFrame:
+    """(id, old_pos, new_pos): places by id, and by cell and id among b cells an axis, so that neighbours lie together."""
+    from pointloom.operators.order import permutation
+
+    return permutation(index_of_cells(points, b).select("id", "cell"), "cell", parts)
+
+
+def split_queries(points: DataFrame, n_refs: int, parts: int = 64) -> DataFrame:
+    """(id, place) of the queries in a table that holds references with ids below n_refs and queries from there on, closed up."""
+    from pointloom.operators.order import compact
+
+    return compact(points.select("id"), "id", F.col("id") >= n_refs, parts).select("id", F.col("place").cast("long").alias("place"))

@@ -1,13 +1,17 @@
-"""Neighbour joins over a uniform grid. Results are edges (id, nid, d2, rank); a missing neighbour is a missing row.
+"""Neighbour joins over grids. Results are edges (id, nid, d2, rank); a missing neighbour is a missing row.
 
-A round gives each query the 27 cells around its own and joins them with the reference points by cell, so no query meets
-more than its surroundings. A query is done when its k-th distance is strictly below the distance to every face of that
-block behind which the grid goes on: nothing nearer, and no tie, can lie outside. The others go on with cells twice as
-wide. With two cells an axis or fewer the block is the whole grid and all are done, so results are exact and complete.
+A grid round gives each query the 27 cells around its own and joins them with the reference points by cell. A query is done
+when its k-th distance is strictly below the distance to every face of that block behind which the grid goes on: nothing
+nearer, and no tie, can lie outside. Queries near crowded cells, outside the cube or in sparse surroundings descend a tree
+of cells instead, which is split until no cell holds many points: from level to level only cells go on that can hold one
+of the k nearest, judged by the cells' bounds, so clusters, outliers and far queries meet few points too.
+
+Points with a null or non-finite coordinate are no references, and as queries they have no neighbours.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,9 +21,21 @@ from pointloom.functions import geometry as G
 from pointloom.operators import cloud
 from pointloom.plans.storage import materialize
 
-COARSEST, FINEST = 2, 1024
-#: Queries that are not done meet all references at once when that is no more pairs than this.
-FEW_PAIRS = 4_000_000
+FINEST = 1024
+#: Rounds over the grid, the second with cells twice as wide, before the queries that are left descend the tree.
+GRID_ROUNDS = 1
+#: Levels that the tree goes down at once where cells are crowded, and its last level, beyond which doubles hardly resolve.
+STEP, DEEPEST = 3, 48
+
+
+def crowd(k: int) -> int:
+    """Points in a grid cell from which on queries around it leave the grid: many times an even cloud's."""
+    return 8 * k + 64
+
+
+def leaf(k: int) -> int:
+    """Points in a cell of the tree up to which it is not split."""
+    return 2 * k + 16
 
 
 def start_cells(n: int, k: int) -> int:
@@ -64,35 +80,116 @@ def _top(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d2", "nid"))).where(F.col("rank") <= k)
 
 
+def _hot(refs: DataFrame, b: int, most: int) -> DataFrame:
+    """The cells (hx, hy, hz) whose block holds a cell with more than most points."""
+    full = cloud.occupancy(refs, b).where(F.col("n") > most)
+    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+    return full.withColumn("hx", around("cx")).withColumn("hy", around("cy")).withColumn("hz", around("cz")).select("hx", "hy", "hz").distinct()
+
+
+def _grid_round(active: DataFrame, refs: DataFrame, k: int, b: int, max_d2: float | None, exclude_self: bool) -> tuple[DataFrame, DataFrame]:
+    """(edges of the queries that are done, the other queries)."""
+    hot = materialize(_hot(refs, b, crowd(k)), "knn-hot")
+    inside = reduce(Column.__and__, [F.col(a).between(0.0, 1.0) for a in "xyz"])
+    q = cloud.index_of_cells(active.where(inside), b)
+    easy = q.join(hot, (F.col("cx") == F.col("hx")) & (F.col("cy") == F.col("hy")) & (F.col("cz") == F.col("hz")), "left_anti").select("id", "x", "y", "z")
+    near = candidates(easy, refs, b, exclude_self)
+    got = _top(near if max_d2 is None else near.where(F.col("d2") <= max_d2), k)
+    got = materialize(got.select("id", "nid", "d2", "rank", "reach"), "knn-round")
+    full = got.where((F.col("rank") == k) & (F.sqrt("d2") < F.col("reach"))).select(F.col("id").alias("ok"))
+    if max_d2 is not None:
+        full = full.unionByName(cloud.index_of_cells(easy, b).where(F.lit(max_d2**0.5) < _reach(b)).select(F.col("id").alias("ok"))).distinct()
+    full = materialize(full, "knn-done")
+    return got.join(full, F.col("id") == F.col("ok"), "left_semi").select("id", "nid", "d2", "rank"), active.join(full, F.col("id") == F.col("ok"), "left_anti")
+
+
+def _cells(points: DataFrame, level: int) -> DataFrame:
+    """points with their cell (cx, cy, cz) among 2 ** level an axis."""
+    side = float(1 << level)
+    return points.withColumns({f"c{a}": F.least(F.lit((1 << level) - 1), F.greatest(F.lit(0), F.floor(F.col(a) * F.lit(side)))).cast("long") for a in "xyz"})
+
+
+def _summed(cells: DataFrame, n: Column) -> DataFrame:
+    """cells with their number of points and their bounds; both combine before the shuffle."""
+    return cells.groupBy("cx", "cy", "cz").agg(n.alias("n"), *[f(c).alias(c) for a in "xyz" for f, c in ((F.min, f"lo{a}"), (F.max, f"hi{a}"))])
+
+
+def _tree(refs: DataFrame, n: int, need: int, most: int) -> tuple[list[tuple[int, DataFrame]], list[tuple[int, DataFrame]]]:
+    """(nodes by level, points by level) of a tree whose leaves hold at most most points.
+
+    nodes: cell, n, bounds, split (whether the next level goes on with it). Down to the level at which an even cloud's
+    cells are leaves all cells are split; below it only crowded ones are. points: those in the leaves of a level, with
+    their cell. Of points in one place only the need smallest ids can be among the nearest; where cells are crowded the
+    others are left out first, so copies of one point in any number do not crowd a cell.
+    """
+    level = max(0, math.ceil(math.log(max(1.0, 4 * n / most), 8)))
+    nodes, parts, first = [], [], True
+    while True:
+        at = _cells(refs, level)
+        base = materialize(_summed(at.withColumns({f"{e}{a}": F.col(a) for a in "xyz" for e in ("lo", "hi")}), F.count(F.lit(1))).withColumn("split", (F.col("n") > most) & F.lit(level < DEEPEST)), "tree-cells")
+        if first:
+            for up in range(level % 2 or 2, level, 2):  # two levels at once
+                higher = base.withColumns({f"c{a}": F.shiftright(f"c{a}", level - up) for a in "xyz"})
+                nodes.append((up, materialize(_summed(higher, F.sum("n")).withColumn("split", F.lit(True)), "tree-nodes")))
+        nodes.append((level, base))
+        full = base.where("split").select(*[F.col(f"c{a}").alias(f"f{a}") for a in "xyz"])
+        if full.isEmpty():
+            return nodes, [*parts, (level, at)]
+        same = reduce(Column.__and__, [F.col(f"c{a}") == F.col(f"f{a}") for a in "xyz"])
+        parts.append((level, materialize(at.join(full, same, "left_anti"), "tree-leaves")))
+        refs = at.join(full, same, "left_semi").select("id", "x", "y", "z")
+        if first:
+            refs = refs.withColumn("same", F.row_number().over(Window.partitionBy("x", "y", "z").orderBy("id"))).where(F.col("same") <= need).drop("same")
+        refs, first, level = materialize(refs, "tree-crowded"), False, min(DEEPEST, level + STEP)
+
+
+def _descend(queries: DataFrame, refs: DataFrame, n: int, k: int, max_d2: float | None, exclude_self: bool) -> DataFrame:
+    """(id, nid, d2) of all candidates that the tree leaves for each query: every one of its k nearest and few others.
+
+    most: a bound on a query's k-th distance, squared: the largest distance to a cell that alone holds enough points. It
+    holds from level to level and gets smaller. Bounds are widened by far more than rounding, so ties are never lost.
+    """
+    need = k + exclude_self
+    nodes, parts = _tree(refs, n, need, leaf(need))
+    far = F.lit(float("inf") if max_d2 is None else float(max_d2))
+    front = queries.select("id", "x", "y", "z", far.alias("most"), *[F.lit(0).cast("long").alias(f"p{a}") for a in "xyz"])
+    above, found = 0, []
+    points = dict(parts)
+    for level, cells in nodes:
+        child = cells.withColumns({f"u{a}": F.shiftright(f"c{a}", level - above) for a in "xyz"})
+        both = front.join(child, reduce(Column.__and__, [F.col(f"p{a}") == F.col(f"u{a}") for a in "xyz"]))
+        least = reduce(Column.__add__, [F.pow(F.greatest(F.col(f"lo{a}") - F.col(a), F.col(a) - F.col(f"hi{a}"), F.lit(0.0)), 2) for a in "xyz"])
+        most = reduce(Column.__add__, [F.pow(F.greatest(F.abs(F.col(a) - F.col(f"lo{a}")), F.abs(F.col(a) - F.col(f"hi{a}"))), 2) for a in "xyz"])
+        both = both.withColumns({"least": least, "enough": F.when(F.col("n") >= need, most * (1 + 1e-9) + 1e-300)})
+        both = both.withColumn("most", F.least("most", F.min("enough").over(Window.partitionBy("id")))).where(F.col("least") <= F.col("most"))
+        went = materialize(both.select("id", "x", "y", "z", "most", "split", *[F.col(f"c{a}").alias(f"p{a}") for a in "xyz"]), "knn-front")
+        if level in points:
+            r = points[level].select(F.col("id").alias("nid"), *[F.col(a).alias(f"r{a}") for a in "xyz"], *[F.col(f"c{a}").alias(f"t{a}") for a in "xyz"])
+            near = went.where("not split").join(r, reduce(Column.__and__, [F.col(f"p{a}") == F.col(f"t{a}") for a in "xyz"]))
+            near = near.select("id", "nid", G.squared_distance(G.vec(), G.vec("r")).alias("d2"), "most").where(F.col("d2") <= F.col("most"))
+            found.append(near.where("id <> nid") if exclude_self else near)
+        front, above = went.where("split").drop("split"), level
+    return reduce(DataFrame.unionByName, found).select("id", "nid", "d2")
+
+
 def knn_join(queries: DataFrame, refs: DataFrame, k: int, max_d2: float | None = None, exclude_self: bool = False, strict: bool = True, cells: int | None = None) -> DataFrame:
     """The k nearest reference points of each query, both in the references' unit cube, ties to the smaller nid.
 
     max_d2: only neighbours below it (strict) or up to it. With fewer than k references all of them are returned.
-    Each round is written to the shared folder; the number of rounds is about log2 of the cells.
+    cells: cells an axis of the grid. Results do not depend on it. Each round is written to the shared folder.
     """
+    refs, active, done = materialize(cloud.finite(refs.select("id", "x", "y", "z")), "knn-refs"), materialize(cloud.finite(queries.select("id", "x", "y", "z")), "knn-queries"), []
     n = refs.count()
     b = cells or start_cells(n, k)
-    refs, active, done = materialize(refs.select("id", "x", "y", "z"), "knn-refs"), materialize(queries.select("id", "x", "y", "z"), "knn-queries"), []
-    while True:
-        last = b <= COARSEST
-        # with one or two cells an axis nearly all share a key: the few queries are spread over tasks instead
-        spread = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        near = candidates(active.repartition(spread) if last else active, refs.repartition(spread) if last else refs, b, exclude_self)
-        got = _top(near if max_d2 is None else near.where(F.col("d2") <= max_d2), k)
-        if last:
-            done.append(got.select("id", "nid", "d2", "rank"))
+    for _ in range(GRID_ROUNDS):
+        if b < 4:  # nearly all points share a block
             break
-        got = materialize(got.select("id", "nid", "d2", "rank", "reach"), "knn-round")
-        full = got.where((F.col("rank") == k) & (F.sqrt("d2") < F.col("reach"))).select(F.col("id").alias("ok"))
-        if max_d2 is not None:
-            full = full.unionByName(cloud.index_of_cells(active, b).where(F.lit(max_d2**0.5) < _reach(b)).select(F.col("id").alias("ok"))).distinct()
-        full = materialize(full, "knn-done")
-        done.append(got.join(full, F.col("id") == F.col("ok"), "left_semi").select("id", "nid", "d2", "rank"))
-        active = materialize(active.join(full, F.col("id") == F.col("ok"), "left_anti"), "knn-active")
-        left = active.count()
-        if not left:
-            break
-        b = 1 if left * n <= FEW_PAIRS else b // 2
+        got, left = _grid_round(active, refs, k, b, max_d2, exclude_self)
+        done.append(got)
+        active, b = materialize(left, "knn-active", active), b // 2
+    if not done or not active.isEmpty():
+        near = _descend(active, refs, n, k, max_d2, exclude_self)
+        done.append(_top(near, k).select("id", "nid", "d2", "rank"))
     out = reduce(DataFrame.unionByName, done)
     if max_d2 is not None:
         out = out.where(F.col("d2") < max_d2 if strict else F.col("d2") <= max_d2)
@@ -108,8 +205,7 @@ def knn_self(points: DataFrame, k: int, max_radius: float | None = None, cells:
 def knn_query(queries: DataFrame, refs: DataFrame, k: int, max_radius: float | None = None, cells: int | None = None) -> DataFrame:
     """The k nearest references of each query; both are normalised by the references' extent (max_radius exclusive).
 
-    A query outside the references' cube is answered too: its cell is the nearest one and it is done only on the coarsest grid
-    or when its distances say so.
+    A query outside the references' cube is answered too, by the tree.
     """
     bounds = cloud.extent(refs)
     return knn_join(cloud.normalise(queries, bounds), cloud.normalise(refs, bounds), k, _scaled(refs, max_radius), cells=cells)
@@ -157,6 +253,11 @@ def elementwise_nearest(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.min(F.struct("d2", "nid")).alias("m")).select("id", F.col("m.nid").alias("nid"), F.col("m.d2").alias("d2"))
 
 
+def first_neighbours(edges: DataFrame, k_use: int = 20) -> DataFrame:
+    """The first k_use neighbours of each point."""
+    return edges.where(F.col("rank") <= k_use)
+
+
 def kth_radius(edges: DataFrame) -> DataFrame:
     """id, number of neighbours, largest squared distance."""
     return edges.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("d2").alias("max_d2"))
