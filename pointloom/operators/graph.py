@@ -26,6 +26,12 @@ def undirected(edges: DataFrame, normals: DataFrame) -> DataFrame:
     return both.select("u", "v", G.mst_weight(G.vec("a"), G.vec("b")).alias("w"), F.when(G.dot(G.vec("a"), G.vec("b")) < 0, F.lit(-1)).otherwise(F.lit(1)).alias("s"))
 
 
+def distance_edges(edges: DataFrame) -> DataFrame:
+    """(u, v, w, s) with u < v: each undirected edge once, weighed by its squared distance to 12 decimals; s is 1."""
+    e = edges.select(F.least("id", "nid").alias("u"), F.greatest("id", "nid").alias("v"), "d2").where("u <> v")
+    return e.groupBy("u", "v").agg(F.round(F.min("d2"), 12).alias("w")).withColumn("s", F.lit(1))
+
+
 def _hook(open_: DataFrame) -> DataFrame:
     """(c, up, sign, u, v, w): the lightest edge out of each component, toward the component it ends in."""
     way = lambda a, b: open_.select(F.col(a).alias("c"), F.struct("w", "u", "v", F.col(b).alias("to"), "r").alias("e"))

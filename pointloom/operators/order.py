@@ -62,6 +62,38 @@ def gaps(rows: DataFrame, parts: int = RANGES) -> DataFrame:
 
 
 def segment_ends(rows: DataFrame, key: str, by: str) -> DataFrame:
-    """rows that are the last of their key in the order of by: an aggregate, since the end of a segment is its maximum."""
-    last = rows.groupBy(key).agg(F.max(by).alias(by))
-    return last.select(key, by)
+    """The rows that are the last of their key in the order of by, whole: an aggregate, since a segment's end is its maximum.
+
+    Of rows that tie in by the one with the largest other columns, in their order, is the last.
+    """
+    rest = [c for c in rows.columns if c not in (key, by)]
+    last = rows.groupBy(key).agg(F.max(F.struct(by, *rest)).alias("__last"))
+    return last.select(key, "__last.*").select(*rows.columns)
+
+
+def strided(rows: DataFrame, key: str, names: list[str], stride: int | None = None, offset: int = 0, parts: int = RANGES) -> DataFrame:
+    """(slot, value): the columns of rows, in the order of key, laid out with stride places a row; gaps have no row."""
+    stride = len(names) if stride is None else stride
+    if offset < 0 or offset + len(names) > stride:
+        raise ValueError("the columns do not fit the stride")
+    laid = F.posexplode(F.array(*[F.col(n) for n in names])).alias("__at", "value")
+    return number(rows.select(key, *names), key, parts, "__row").select("__row", laid).select((F.col("__row") * stride + offset + F.col("__at")).alias("slot"), "value")
+
+
+def flatten_lists(rows: DataFrame, key: str, lists: str, parts: int = RANGES) -> DataFrame:
+    """(slot, key, at, value): all lists one behind the other in the order of key, with the place of each entry in it."""
+    begin = prefix_sum(rows.select(key, lists), key, F.greatest(F.coalesce(F.size(lists), F.lit(0)), F.lit(0)).cast("long"), parts)
+    return begin.select("exclusive", key, F.posexplode(lists).alias("at", "value")).select((F.col("exclusive") + F.col("at")).alias("slot"), key, "at", "value")
+
+
+def transpose(rows: DataFrame, key: str, values: str) -> DataFrame:
+    """(row, col, value) of the matrix whose columns are the arrays of rows: entry i of the array at key k is at (i, k).
+
+    The long form, since a row of the result is as long as the table; a missing entry is a missing row.
+    """
+    return rows.select(F.col(key).alias("col"), F.posexplode(values).alias("row", "value")).select("row", "col", "value")
+
+
+def mask_or(rows: DataFrame, key: str, mask: str) -> DataFrame:
+    """(key, mask): the bits set in any row of a key; combines before the shuffle."""
+    return rows.groupBy(key).agg(F.bit_or(mask).alias(mask))

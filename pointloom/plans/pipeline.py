@@ -26,6 +26,13 @@ def oriented_normals(points: DataFrame, edges: DataFrame, exact: bool = True) ->
     return graph.orient(raw, labels)
 
 
+def unoriented_normals(points: DataFrame, k: int = 40, k_use: int = 20, exact: bool = True) -> tuple[DataFrame, DataFrame]:
+    """((id, nx, ny, nz), spanning forest by squared distance) over the first k_use of k neighbours; directions are not aligned."""
+    unit = materialize(cloud.normalise(points.select("id", "x", "y", "z")), "unit")
+    edges = materialize(knn.first_neighbours(knn.knn_join(unit, unit, k, exclude_self=True, strict=False), k_use), "near")
+    return normals.pca_normals(unit, edges, exact), graph.spanning_forest(graph.distance_edges(edges))[0]
+
+
 def smooth_cloud(points: DataFrame, k: int = 40, iterations: int = 150, alpha: float = 0.65, exact: bool = True) -> DataFrame:
     """id, smoothed x, y, z in the input's units, and oriented normals nx, ny, nz.
 

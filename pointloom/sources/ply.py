@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+import itertools
 import re
 import struct
 import uuid
@@ -184,6 +186,93 @@ def arrow_schema(e: Element, names: list[str]) -> pa.Schema:
 class Range(InputPartition):
     start: int
     rows: int
+    lengths: tuple[int, ...] | None = None
+
+
+def _exactly(f, n: int, e: Element) -> bytes:
+    raw = f.read(n)
+    if len(raw) != n:
+        raise ValueError(f"element {e.name!r} ends early")
+    return raw
+
+
+def _laid(e: Element, order: str, lengths: tuple[int, ...]) -> np.dtype:
+    """One row of an element whose lists have these lengths: each list's count, then its entries."""
+    out, lens = [], iter(lengths)
+    for p in e.properties:
+        if p.count_kind:
+            out += [(f"n {p.name}", order + TYPES[p.count_kind][0]), (p.name, order + TYPES[p.kind][0], (next(lens),))]
+        else:
+            out.append((p.name, order + TYPES[p.kind][0]))
+    return np.dtype(out)
+
+
+def _first_lengths(f, e: Element, order: str) -> tuple[int, ...]:
+    """The lengths of the lists in the row at which f stands; f stands there again afterwards."""
+    at = f.tell()
+    one = Element(e.name, min(e.count, 1), e.properties)
+    rows = _walk(lambda n: _exactly(f, n, e), one, order)
+    f.seek(at)
+    return tuple(len(rows[0][p.name]) if rows else 0 for p in e.properties if p.count_kind)
+
+
+def _skip(f, x: Element, order: str) -> None:
+    if x.fixed:
+        f.seek(f.tell() + x.count * x.dtype(order).itemsize)
+    else:
+        _walk(lambda n: _exactly(f, n, x), x, order)
+
+
+def _column(v: np.ndarray, kind: pa.DataType) -> pa.Array:
+    v = np.ascontiguousarray(v.astype(v.dtype.newbyteorder("=")))
+    if v.ndim == 1:
+        return pa.array(v).cast(kind)
+    return pa.ListArray.from_arrays(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1], pa.array(v.reshape(-1)).cast(kind.value_type))
+
+
+def _read(f, header: Header, e: Element, names: list[str], part: Range) -> Iterator[pa.RecordBatch]:
+    """Rows of an element from an open file."""
+    schema, before = arrow_schema(e, names), header.elements[: header.elements.index(e)]
+    f.seek(header.size)
+    if header.encoding == "ascii":
+        lines = (x for x in io.TextIOWrapper(f, "latin-1"))
+        for x in before:
+            for _ in _ascii_rows(lines, x):
+                pass
+        rows, at = _ascii_rows(lines, e), 0
+        while some := list(itertools.islice(rows, 1 << 16)):
+            yield _batch(some, schema, at)
+            at += len(some)
+        return
+    order = ORDER[header.encoding]
+    for x in before:
+        _skip(f, x, order)
+    if part.lengths is None and not e.fixed:
+        yield from _walked(f, e, order, schema, 0, e.count)
+        return
+    dt, begin = _laid(e, order, part.lengths or ()), f.tell()
+    f.seek(begin + part.start * dt.itemsize)
+    for a in range(part.start, part.start + part.rows, 1 << 18):
+        n = min(1 << 18, part.start + part.rows - a)
+        rows = np.frombuffer(_exactly(f, n * dt.itemsize, e), dt)
+        lists = [p for p in e.properties if p.count_kind]
+        if any((rows[f"n {p.name}"] != x).any() for p, x in zip(lists, part.lengths or (), strict=True)):
+            f.seek(begin)  # lists of other lengths after all: the rest of this part is found by walking
+            yield from _walked(f, e, order, schema, a, part.start + part.rows)
+            return
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + n)), *(_column(rows[p.name], schema.field(p.name).type) for p in e.properties if p.name in names)], schema=schema)
+
+
+def _walked(f, e: Element, order: str, schema: pa.Schema, start: int, end: int) -> Iterator[pa.RecordBatch]:
+    """Rows start to end, value by value from the element's beginning, at which f stands."""
+    for a in range(0, end, 1 << 16):
+        some = _walk(lambda n: _exactly(f, n, e), Element(e.name, min(1 << 16, end - a), e.properties), order)
+        if a + len(some) > start:
+            yield _batch(some[max(0, start - a) :], schema, max(a, start))
+
+
+def _batch(rows: list[dict], schema: pa.Schema, first: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(range(first, first + len(rows)), pa.int64()), *(pa.array([r[n] for r in rows], schema.field(n).type) for n in schema.names[1:])], schema=schema)
 
 
 class Reader(DataSourceReader):
@@ -192,65 +281,34 @@ class Reader(DataSourceReader):
         self.element = self.header.element(element)
         self.names = [p.name for p in self.element.properties if columns is None or p.name in columns]
 
-    def _before(self) -> list[Element]:
-        return self.header.elements[: self.header.elements.index(self.element)]
-
     def partitions(self) -> list[Range]:
-        """Rows of equal width behind elements of equal width can be found by their number and are split; others are read in one go."""
-        e = self.element
-        if self.header.encoding == "ascii" or not e.fixed or not all(x.fixed for x in self._before()):
+        """Rows of equal width behind elements of equal width can be found by their number and are split; others are read in one go.
+
+        Lists are taken to have all the length that the first row's have where the file's size says so; each part holds
+        its own counts against that.
+        """
+        e, header = self.element, self.header
+        at = header.elements.index(e)
+        if header.encoding == "ascii" or not all(x.fixed for x in header.elements[:at]):
             return [Range(0, e.count)]
-        return [Range(a, min(ROWS_A_PARTITION, e.count - a)) for a in range(0, max(e.count, 1), ROWS_A_PARTITION)]
+        lengths: tuple[int, ...] | None = ()
+        if not e.fixed:
+            order = ORDER[header.encoding]
+            fs, name = _open(self.path)
+            with fs.open_input_file(name) as f:
+                f.seek(header.size)
+                for x in header.elements[:at]:
+                    _skip(f, x, order)
+                begin, lengths = f.tell(), _first_lengths(f, e, order)
+                after = sum(x.count * x.dtype(order).itemsize for x in header.elements[at + 1 :] if x.fixed)
+                if not all(x.fixed for x in header.elements[at + 1 :]) or begin + e.count * _laid(e, order, lengths).itemsize + after != f.size():
+                    return [Range(0, e.count)]
+        return [Range(a, min(ROWS_A_PARTITION, e.count - a), lengths) for a in range(0, max(e.count, 1), ROWS_A_PARTITION)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        e, schema = self.element, arrow_schema(self.element, self.names)
         fs, at = _open(self.path)
         with fs.open_input_file(at) as f:
-            if self.header.encoding == "ascii":
-                f.seek(self.header.size)
-                lines = iter(f.read().decode("latin-1").splitlines())
-                for x in self._before():
-                    for _ in _ascii_rows(lines, x):
-                        pass
-                yield from self._rows(list(_ascii_rows(lines, e)), schema)
-                return
-            order = ORDER[self.header.encoding]
-            f.seek(self.header.size)
-            for x in self._before():
-                if x.fixed:
-                    f.seek(f.tell() + x.count * x.dtype(order).itemsize)
-                else:
-                    self._lists(f, x, order)
-            if not e.fixed:
-                yield from self._rows(self._lists(f, e, order), schema)
-                return
-            dt = e.dtype(order)
-            f.seek(f.tell() + part.start * dt.itemsize)
-            for a in range(part.start, part.start + part.rows, 1 << 18):
-                n = min(1 << 18, part.start + part.rows - a)
-                raw = f.read(n * dt.itemsize)
-                if len(raw) != n * dt.itemsize:
-                    raise ValueError(f"element {e.name!r} ends early")
-                rows = np.frombuffer(raw, dt)
-                cols = [pa.array(np.arange(a, a + n))]
-                for p in e.properties:
-                    if p.name in self.names:
-                        v = rows[p.name]
-                        cols.append(pa.array(np.ascontiguousarray(v.astype(v.dtype.newbyteorder("=")))).cast(schema.field(p.name).type))
-                yield pa.RecordBatch.from_arrays(cols, schema=schema)
-
-    def _lists(self, f, e: Element, order: str) -> list[dict]:
-        def read(n: int) -> bytes:
-            raw = f.read(n)
-            if len(raw) != n:
-                raise ValueError(f"element {e.name!r} ends early")
-            return raw
-
-        return _walk(read, e, order)
-
-    def _rows(self, rows: list[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        cols = [pa.array(range(len(rows)), pa.int64()), *(pa.array([r[n] for r in rows], schema.field(n).type) for n in schema.names[1:])]
-        yield pa.RecordBatch.from_arrays(cols, schema=schema)
+            yield from _read(f, self.header, self.element, self.names, part)
 
 
 class PlyDataSource(DataSource):
@@ -281,14 +339,38 @@ def load(spark: SparkSession, path: str, element: str = "vertex", columns: list[
     return (r.option("columns", ",".join(columns)) if columns else r).load(path)
 
 
+def load_bytes(files: DataFrame, schema: str, element: str = "vertex", content: str = "content") -> DataFrame:
+    """One element's rows (file, id and the columns of schema) of PLY files that are held in a binary column.
+
+    schema: the columns to read, as DDL, which all files have. files: path (string) and the content, as the reader
+    "binaryFile" gives them. A null content has no rows; one that breaks the format fails the job with its path.
+    """
+    fields = T.StructType.fromDDL(schema).fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if not data.is_valid:
+                    continue
+                try:
+                    header = parse_header(data.as_buffer()[:HEADER_MOST].to_pybytes())
+                    e = header.element(element)
+                    for rows in _read(io.BytesIO(data.as_buffer()), header, e, fields, Range(0, e.count, () if e.fixed else None)):
+                        yield pa.RecordBatch.from_arrays([pa.array([path] * rows.num_rows, pa.string()), rows.column("id"), *(rows.column(n) for n in fields)], names=["file", "id", *fields])
+                except ValueError as why:
+                    raise ValueError(f"{path}: {why}") from why
+
+    return files.select("path", content).mapInArrow(run, f"file string, id long, {schema}")
+
+
 def load_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None]:
-    """(vertices, polygons): id, x, y, z and where present nx, ny, nz, red, green, blue; face_id, vertex_indices, or None."""
+    """(vertices, polygons): id, x, y, z and where present nx, ny, nz, u, v, red, green, blue; face_id, vertex_indices, or None."""
     head = read_header(path)
     v = head.element("vertex")
-    pos, normal, colour = (v.find(m) for m in ("position", "normal", "colour"))
+    pos, normal, texture, colour = (v.find(m) for m in ("position", "normal", "texture", "colour"))
     if pos is None:
         raise ValueError("the vertices have no position")
-    names = [*zip(pos, "xyz", strict=True), *zip(normal or (), ("nx", "ny", "nz")), *zip(colour or (), ("red", "green", "blue"))]
+    names = [*zip(pos, "xyz", strict=True), *zip(normal or (), ("nx", "ny", "nz")), *zip(texture or (), ("u", "v")), *zip(colour or (), ("red", "green", "blue"))]
     points = load(spark, path, "vertex", [a for a, _ in names])
     points = points.select("id", *[F.col(a).cast("short" if b in ("red", "green", "blue") else "double").alias(b) for a, b in names])
     face = next((e for e in head.elements if e.name == "face" and e.find("indices")), None)
