@@ -233,9 +233,16 @@ def order_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.withColumns(scaled)
 
 
-@query()
+ORDER_PTS = """o as (select o_orderkey as id, o_totalprice as x, cast(date_diff('day', date '1970-01-01', cast(o_orderdate as date)) as double) as y, cast(o_custkey as double) as z from orders),
+    ends as (select min(x) as lox, max(x) as hix, min(y) as loy, max(y) as hiy, min(z) as loz, max(z) as hiz from o),
+    pts as (select id, (x - lox) / (hix - lox) as x, (y - loy) / (hiy - loy) as y, (z - loz) / (hiz - loz) as z from o, ends)"""
+
+
+@query(f"""with {ORDER_PTS}, {EXT}, unit as (select id, (x - lo) / (hi - lo) as x, (y - lo) / (hi - lo) as y, (z - lo) / (hi - lo) as z from pts, ext),
+    near as (select a.id, min(struct_pack(d2 := {d2('a', 'b')}, nid := b.id), 12) as n from unit a join unit b on a.id <> b.id group by a.id),
+    flat as (select id, unnest(n) as e, generate_subscripts(n, 1) as rank from near) select id, e.nid as nid, round(e.d2, 6) + 0.0 as d2, rank from flat""")
 def knn_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The largest cloud of these tables; SQL would have to try all pairs."""
+    """The largest cloud of these tables."""
     return rounded(knn.knn_self(order_points(spark, sf_dir), 12), "d2")
 
 
@@ -281,6 +288,51 @@ def edge_cut_by_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.edge_cut(near(u, 8), u.count(), 4)
 
 
+@query(f"with {UNIT}, {near_sql(12)} select {EDGES} from near")
+def knn_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As knn_grid, with every query down the tree."""
+    u = unit(spark, sf_dir)
+    return rounded(knn.knn_join(u, u, 12, exclude_self=True, strict=False, cells=1), "d2")
+
+
+@query(f"with {UNIT}, {near_sql(20)} select {EDGES} from near")
+def knn_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(knn.first_neighbours(near(unit(spark, sf_dir), 24), 20), "d2")
+
+
+@query(f"""with {PTS}, {EXT}, sized as (select (hi - lo) / 4 as w from ext) select id, not ((x - lo - w) / (2 * w) >= 0 and (x - lo - w) / (2 * w) < 1 and (y - lo - w) / (2 * w) >= 0 and (y - lo - w) / (2 * w) < 1 and (z - lo - w) / (2 * w) >= 0 and (z - lo - w) / (2 * w) < 1) as out from pts, ext, sized""")
+def grid_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points outside the middle half of the cloud's cube."""
+    p = points(spark, sf_dir)
+    w = (F.col("hi") - F.col("lo")) / 4
+    middle = cloud.extent(p).select((F.col("lo") + w).alias("lo"), (F.col("hi") - w).alias("hi"))
+    return cloud.outside(cloud.normalise(p, middle)).select("id", "out")
+
+
+@query(f"with {PTS} select id, row_number() over (order by id) - 1 as place from pts where id >= 100")
+def split_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cloud.split_queries(points(spark, sf_dir), 100)
+
+
+@query(f"with {cells_sql(8)} select id, row_number() over (order by id) - 1 as old_pos, row_number() over (order by cx + cy * 8 + cz * 64, id) - 1 as new_pos from cell")
+def spatial_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cloud.spatial_order(cloud.normalise(points(spark, sf_dir)), 8)
+
+
+@query(f"with {cells_sql(4)} select cast(cx + cy * 4 + cz * 16 as bigint) as cell, bit_or(cast(1 as bigint) << cast(id % 16 as bigint)) as mask from cell group by all")
+def cell_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cloud.index_of_cells(cloud.normalise(points(spark, sf_dir)), 4)
+    return order.mask_or(c.select("cell", F.expr("shiftleft(1L, cast(id % 16 as int))").alias("mask")), "cell", "mask")
+
+
+@query(f"with {UNIT}, {near_sql(6)} select cast(rank - 1 as bigint) as row, id as col, nid as value from near")
+def neighbour_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbour table, a row a point, turned: a row a rank."""
+    e = near(unit(spark, sf_dir), 6).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "nid"))).alias("n"))
+    t = order.transpose(e.select("id", F.transform("n", lambda x: x["nid"]).alias("n")), "id", "n")
+    return t.select(F.col("row").cast("long").alias("row"), "col", "value")
+
+
 @query(f"with {UNIT}, {near_sql(12)}, {egg_sql()} select {EDGES} from egg")
 def egg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = unit(spark, sf_dir)
@@ -337,6 +389,31 @@ def mesh_list_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mesh.list_statistics(quads(spark, sf_dir))
 
 
+@query(f"with {MESH}, c as (select a, row_number() over (order by a) - 1 as i from cells) select 4 * i + j as slot, a as face_id, cast(j as bigint) as pos, a + [0, 1, {WIDTH + 1}, {WIDTH}][j + 1] as value from c, range(4) t(j)")
+def mesh_list_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = order.flatten_lists(quads(spark, sf_dir), "face_id", "vertex_indices")
+    return f.select(F.col("slot").cast("long").alias("slot"), "face_id", F.col("at").cast("long").alias("pos"), "value")
+
+
+@query(f"with {MESH}, p as (select *, row_number() over (order by id) - 1 as i from mpts) select 4 * i + j as slot, round([x, y, z][j + 1], 6) + 0.0 as value from p, range(3) t(j)")
+def strided_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions, four places apart."""
+    v = order.strided(lattice(spark, sf_dir), "id", ["x", "y", "z"], 4)
+    return rounded(v.withColumn("slot", F.col("slot").cast("long")), "value")
+
+
+@query(f"""with {MESH}, hex as (select a from cells where a % {WIDTH} < {WIDTH - 2})
+    select a as face_id, cast(4 as bigint) as triangles, cast(6 as bigint) as corners, 2.0 as area from hex""")
+def mesh_triangulate_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six-cornered faces, two cells of the lattice laid flat: each gives four triangles that cover it."""
+    a, flat = F.col("vertex_indices")[0], lattice(spark, sf_dir).withColumn("z", F.lit(0.0))
+    faces6 = quads(spark, sf_dir).where(a % WIDTH < WIDTH - 2).select("face_id", F.array(a, a + 1, a + 2, a + WIDTH + 2, a + WIDTH + 1, a + WIDTH).alias("vertex_indices"))
+    t = materialize(mesh.triangulate(flat, faces6), "triangles")
+    areas = mesh.face_areas(flat, t.withColumn("face_id", F.col("face_id") * 4 + F.col("t"))).groupBy(F.floor(F.col("face_id") / 4).alias("of")).agg(F.sum("area").alias("area"))
+    got = t.groupBy("face_id").agg(F.count(F.lit(1)).alias("triangles"), F.size(F.array_distinct(F.flatten(F.collect_list(F.array("v0", "v1", "v2"))))).cast("long").alias("corners"))
+    return rounded(got.join(areas, F.col("face_id") == F.col("of")).drop("of"), "area")
+
+
 @query(f"""with {MESH}, e as (select face_id, b.x - a.x as ux, b.y - a.y as uy, b.z - a.z as uz, c.x - a.x as vx, c.y - a.y as vy, c.z - a.z as vz from tri join mpts a on a.id = v0 join mpts b on b.id = v1 join mpts c on c.id = v2)
     select face_id, round(sqrt((uy * vz - uz * vy) * (uy * vz - uz * vy) + (uz * vx - ux * vz) * (uz * vx - ux * vz) + (ux * vy - uy * vx) * (ux * vy - uy * vx)) / 2, 6) + 0.0 as area from e""")
 def mesh_face_area(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -380,6 +457,12 @@ def taubin_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(smoothing.taubin_many(u, near(u, 12), 2), *"xyz")
 
 
+@query(taubin_sql(f"{UNIT}, {near_sql(12)}", "unit", "near", 10))
+def taubin_iteration_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = unit(spark, sf_dir)
+    return rounded(smoothing.taubin_many(u, near(u, 12), 10), *"xyz")
+
+
 @query(f"with {UNIT}, {near_sql(12)}, {pass_sql('l0', 'unit', 'near', smoothing.LAMBDA, '1')}, {pass_sql('m0', 'l0', 'near', smoothing.MU, '(1 / (d2 + 1e-8))')} select {XYZ} from m0")
 def taubin_regularised(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = unit(spark, sf_dir)
@@ -456,6 +539,20 @@ def mst_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.forest_degree(graph.spanning_forest(weighted(spark, sf_dir)[2])[0])
 
 
+DIST = f"""with recursive {UNIT}, {near_sql(GRAPH_K)}, und as (select *, row_number() over (order by w, u, v) as i from (select least(id, nid) as u, greatest(id, nid) as v, round(min(d2), 12) as w from near group by 1, 2)),
+    dir as (select i, u as a, v as b from und union all select i, v, u from und), reach(i, x) as (select i, u from und union select r.i, d.b from reach r join dir d on d.a = r.x and d.i < r.i)"""
+
+
+@query(f"with {UNIT}, {near_sql(20)}, {scatter_sql('unit', 'near')}, {EIGEN}, {NORMALS} select u.id, round(nx, 6) + 0.0 as nx, round(ny, 6) + 0.0 as ny, round(nz, 6) + 0.0 as nz from unit u left join nor on nor.id = u.id")
+def unoriented_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(pipeline.unoriented_normals(points(spark, sf_dir), 24, 20)[0], "nx", "ny", "nz")
+
+
+@query(f"{DIST} select u, v, round(w, 6) + 0.0 as w from und where not exists (select 1 from reach r where r.i = und.i and r.x = und.v)")
+def mst_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(graph.spanning_forest(graph.distance_edges(near(unit(spark, sf_dir), GRAPH_K)))[0], "w")
+
+
 COMPONENTS = f"with recursive {UNIT}, {near_sql(2)}, d as (select id as a, nid as b from near union select nid, id from near), reach(id, x) as (select a, b from d union select r.id, d.b from reach r join d on d.a = r.x), comp as (select id, min(x) as comp from reach group by id)"
 
 
@@ -495,7 +592,15 @@ def component_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.component_votes(e, n.withColumn("comp", F.col("id") % 3))
 
 
-@query()
+@query(f"""with recursive {WEIGHTED}, vt as (select least(e.id % 3, e.nid % 3) as c1, greatest(e.id % 3, e.nid % 3) as c2, sum(case when a.nx * b.nx + a.ny * b.ny + a.nz * b.nz > 0 then 1 else -1 end) as votes
+        from egg e join nor a on a.id = e.id join nor b on b.id = e.nid where e.id % 3 <> e.nid % 3 group by 1, 2 having votes <> 0),
+    vn as (select *, row_number() over (order by -abs(votes), c1, c2) as i from vt), vd as (select i, c1 as a, c2 as b from vn union all select i, c2, c1 from vn),
+    vr(i, x) as (select i, c1 from vn union select r.i, d.b from vr r join vd d on d.a = r.x and d.i < r.i),
+    vm as (select c1, c2, cast(sign(votes) as integer) as s from vn where not exists (select 1 from vr r where r.i = vn.i and r.x = vn.c2)),
+    vtree as (select c1 as a, c2 as b, s from vm union all select c2, c1, s from vm),
+    va(id, x) as (select a, b from vtree union select r.id, t.b from va r join vtree t on t.a = r.x), vl as (select id, least(id, min(x)) as low from va group by id),
+    vo(id, parent, s) as (select id, cast(null as bigint), 1 from vl where id = low union all select t.b, o.id, o.s * t.s from vo o join vtree t on t.a = o.id where o.parent is null or t.b <> o.parent)
+    select u.id, round(nx * coalesce(s, 1), 6) + 0.0 as nx, round(ny * coalesce(s, 1), 6) + 0.0 as ny, round(nz * coalesce(s, 1), 6) + 0.0 as nz, u.id % 3 as comp from unit u left join nor on nor.id = u.id left join vo on vo.id = u.id % 3""")
 def component_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, n, _ = weighted(spark, sf_dir)
     n = n.withColumn("comp", F.col("id") % 3)
@@ -532,24 +637,38 @@ def segment_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.segment_ends(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("at")), "k", "at")
 
 
+@query("""select k, line, quantity, part from (select l_orderkey as k, l_linenumber as line, round(l_quantity, 6) + 0.0 as quantity, l_partkey as part, row_number() over (partition by l_orderkey order by l_linenumber desc, l_quantity desc, l_partkey desc) as back from lineitem) where back = 1""")
+def segment_last_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("quantity"), F.col("l_partkey").alias("part"))
+    return rounded(order.segment_ends(rows, "k", "line"), "quantity")
+
+
 # ---- files and whole pipelines
 
 
 @query(f"with {PTS} select row_number() over (order by id) - 1 as id, round(x, 6) + 0.0 as x, round(y, 6) + 0.0 as y, round(z, 6) + 0.0 as z from pts")
 def ply_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "cloud") + ".ply"
+    path = scratch_path(spark, "cloud")
     ply.write_mesh(path, points(spark, sf_dir))
     return rounded(ply.load_mesh(spark, path)[0], *"xyz")
 
 
 @query(f"with {MESH} select a as corner, cast([a, a + 1, a + {WIDTH + 1}, a + {WIDTH}] as bigint[])::varchar as indices from cells")
 def ply_faces_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "mesh") + ".ply"
+    path = scratch_path(spark, "mesh")
     ply.write_mesh(path, lattice(spark, sf_dir), quads(spark, sf_dir))
     f = ply.load_mesh(spark, path)[1]
     return f.select(F.col("vertex_indices")[0].alias("corner"), F.concat(F.lit("["), F.array_join(F.col("vertex_indices").cast("array<string>"), ", "), F.lit("]")).alias("indices"))
 
 
+@query(f"with {PTS} select row_number() over (order by id) - 1 as id, round(x, 6) + 0.0 as x, round(y, 6) + 0.0 as y, round(z, 6) + 0.0 as z from pts")
+def ply_in_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file read whole into a binary column and taken apart there."""
+    path = scratch_path(spark, "cloud")
+    ply.write_mesh(path, points(spark, sf_dir))
+    return rounded(ply.load_bytes(spark.read.format("binaryFile").load(path), "x float, y float, z float").select("id", *[F.col(a).cast("double").alias(a) for a in "xyz"]), *"xyz")
+
+
 @query(f"with {PTS} select round(x, 6) + 0.0 as x, round(y, 6) + 0.0 as y, round(z, 6) + 0.0 as z from pts")
 def xyz_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "cloud-xyz")
@@ -557,11 +676,32 @@ def xyz_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(xyz.read_xyz(spark, path), *"xyz")
 
 
-@query()
+def _smooth_cloud_sql(k: int, iterations: int) -> str:
+    """The whole pipeline: neighbours, pruning, passes, normals on the smoothed positions, the forest and the signs along it."""
+    parts, now = [UNIT, near_sql(k), egg_sql()], "unit"
+    for i in range(iterations):
+        parts += [pass_sql(f"l{i}", now, "egg", smoothing.LAMBDA), pass_sql(f"m{i}", f"l{i}", "egg", smoothing.MU)]
+        now = f"m{i}"
+    rest = FOREST[len(f"with recursive {PRUNED}, ") :].replace(scatter_sql("unit", "egg"), scatter_sql(now, "egg"))
+    signs = """cr(id, x) as (select a, b from tree union select r.id, t.b from cr r join tree t on t.a = r.x), cmp as (select id, least(id, min(x)) as comp from cr group by id),
+        o(id, parent, s) as (select id, cast(null as bigint), 1 from cmp where id = comp union all select t.b, o.id, o.s * t.s from o join tree t on t.a = o.id where o.parent is null or t.b <> o.parent)"""
+    at = ", ".join(f"round(p.{c} * (hi - lo) + lo, 6) + 0.0 as {c}" for c in "xyz")
+    to = ", ".join(f"round(n{c} * coalesce(s, 1), 6) + 0.0 as n{c}" for c in "xyz")
+    return f"with recursive {', '.join(parts)}, {rest}, {signs} select p.id, {at}, {to} from {now} p cross join ext left join nor on nor.id = p.id left join o on o.id = p.id"
+
+
+@query(_smooth_cloud_sql(12, 2))
 def smooth_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pipeline.smooth_cloud(points(spark, sf_dir), k=12, iterations=2, alpha=ALPHA, exact=False), "x", "y", "z", "nx", "ny", "nz")
 
 
-@query()
+@query(_smooth_cloud_sql(40, 150))
+def smooth_cloud_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipeline as it is meant to run: 40 neighbours, 150 iterations."""
+    return rounded(pipeline.smooth_cloud(points(spark, sf_dir), k=40, iterations=150, alpha=ALPHA, exact=False), "x", "y", "z", "nx", "ny", "nz")
+
+
+@query(taubin_sql(f"""{MESH}, {EXT.replace('pts', 'mpts')}, unit as (select id, {', '.join(f'({c} - lo) / (hi - lo) as {c}' for c in 'xyz')} from mpts, ext),
+    near as (select id, nid, d2, row_number() over (partition by id order by d2, nid) as rank from (select d.id, d.nid, {d2('a', 'b')} as d2 from dedge d join unit a on a.id = d.id join unit b on b.id = d.nid)), {egg_sql(1e-8)}""", "unit", "egg", 2).replace(f"select {XYZ} from m1", f"select id, {', '.join(f'round({c} * (hi - lo) + lo, 6) + 0.0 as {c}' for c in 'xyz')} from m1, ext"))
 def smooth_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pipeline.smooth_mesh(lattice(spark, sf_dir), faces(spark, sf_dir), k=40, iterations=2), *"xyz")
