@@ -8,9 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.llm import bpe, licenses, minhash, mixing, quality_model, quality_rules, secrets, substrings, topk, warc
+from pointloom.plans.storage import scratch_path
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to the Python workers in batches of about 8 MB, unless the session sets a size itself: what lies between
+    JVM and worker counts in an executor's memory for each of its tasks."""
+    if "spark.sql.execution.arrow.maxBytesPerBatch" not in spark.conf.getAll:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -73,8 +82,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets in all documents: counts and digest of the base kinds, and all spans."""
-    found = secrets.scan(table(spark, sf_dir, "documents"))
+    """Secrets in all documents, by a ledger begun for them: counts and digest of the base kinds, and all spans."""
+    found = secrets.scan(table(spark, sf_dir, "documents"), scratch_path(spark, "secrets-ledger"))
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in secrets.BASE]))
     return found.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
