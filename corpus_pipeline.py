@@ -1,40 +1,53 @@
 """From raw documents to token ids: rules, near duplicates, secrets, mixture, encoding.
 
 Each stage takes all that the one before kept and its decisions take effect. All but the last return the columns of
-documents. Decisions are joined to documents by id: only the ids to drop meet the texts, rows that share an id share a fate.
+documents. Decisions hold for a row, told by its id, text and source together, so rows that share an id, or have none, are
+judged each by itself. Only the rows to drop meet the texts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pointloom.llm import bpe, minhash, mixing, quality_rules, secrets
-from pointloom.llm.queries import vocabulary
-from pointloom.plans.storage import materialize
+from pointloom.llm.queries import small_batches, vocabulary
+from pointloom.plans.storage import materialize, scratch
 
-
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for the rows whose doc_id is in ids (doc_id)."""
-    gone = materialize(ids.select(F.col("doc_id").alias("__gone")).distinct(), "pipeline-dropped")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
+#: Ids below this are given to rows whose own id is null or not theirs alone.
+GIVEN = -(1 << 62)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither fail a base rule nor a soft rule on a failing host."""
-    return _without(docs, quality_rules.judge(docs).where("not kept"))
+    small_batches(spark)
+    key = F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("t"), F.col("source").alias("s"))
+    judged = quality_rules.judge(docs.select(key.alias("key"), "text", "source"), id_col="key")
+    gone = materialize(judged.where("not kept").select("doc_id.*").distinct(), "pipeline-dropped")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("i")) & (F.xxhash64(docs["text"]) == F.col("t")) & docs["source"].eqNullSafe(F.col("s")), "left_anti")
+
+
+def _one_of_each(rows: DataFrame, by: str) -> DataFrame:
+    """One row for each value of by, the smallest in the order of its columns that have an order; combined before the shuffle."""
+    ordered = [F.col(f"`{f.name}`") for f in rows.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType, T.ArrayType, T.StructType))]
+    return rows.groupBy(F.col(by).alias("__by")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.struct(*ordered)).alias("__row")).select("__row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five-word shingles, similarity 0.8): the one with the smallest id.
 
-    Of rows that repeat an id one stays.
+    Rows whose id is null or repeats stand for themselves under an id made of id and text; of those that share both, one stays.
     """
-    groups = minhash.near_duplicates(docs, k=5, percent=80)
-    left = _without(docs, groups.where("not kept"))
-    twice = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice")), "pipeline-twice")
-    same = left["doc_id"] == F.col("__twice")
-    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
+    small_batches(spark)
+    several = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    several = materialize(several.select(F.col("doc_id").alias("__several"), F.lit(True).alias("__many")), "pipeline-several")
+    given = F.lit(GIVEN) - F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 61) - 1))
+    rows = docs.join(several, docs["doc_id"].eqNullSafe(F.col("__several")), "left").withColumn("__id", F.when(F.col("__many"), given).otherwise(F.col("doc_id"))).drop("__several", "__many")
+    groups = minhash.near_duplicates(rows, k=5, percent=80, id_col="__id")
+    gone = materialize(groups.where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "pipeline-dropped")
+    left = rows.join(gone, F.col("__id") == F.col("__gone"), "left_anti")
+    return left.where(F.col("__id") >= GIVEN).unionByName(_one_of_each(left.where(F.col("__id") < GIVEN), "__id")).drop("__id")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +65,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids of each row."""
+    small_batches(spark)
     return bpe.encode(docs, vocabulary(), ends=False).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
@@ -62,8 +76,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again."""
+    """All stages over documents, each written as Parquet and read again; what a stage leaves in the shared folder goes with it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        with scratch(spark) as keep:
+            docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"), docs)
+            keep.append(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
