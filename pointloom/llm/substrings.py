@@ -1,8 +1,10 @@
 """Substring dedup: windows of words that start earlier elsewhere, found behind a count-min prefilter.
 
 Pass 1 sketches. Of the anchors (runs of ANCHOR words) in a window the one with the smallest hash stands for it, so equal
-windows have equal anchors, and an anchor stands for several windows in a row. Each task counts its anchors in a sketch of
-fixed size; the sketches are merged by shards. Counters stop at two, more is not asked.
+windows have equal anchors, and an anchor stands for several windows in a row. Each task counts its anchors in a sketch; the
+sketches are merged by shards. Counters stop at two, more is not asked. A sketch has as many counters as the input asks for,
+up to CELLS; where that is not enough the anchors are divided by their hash into ranges, each with a sketch of its own, and
+pass 2 goes over the texts once a range. So no worker holds more than one range's sketch, and its load stays below LOAD.
 Pass 2 groups exactly. A window whose anchor the merged sketch estimates at one cannot repeat, since a sketch never counts
 too little; all others are grouped by a 96-bit hash of their words. Each task first keeps the earliest place of each of
 its own windows, so a passage that a third of all documents share is one entry a task, not one a document.
@@ -10,7 +12,9 @@ its own windows, so a passage that a third of all documents share is one entry a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import compress
 
 import numpy as np
@@ -20,11 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.llm import _text
+from pointloom.plans.storage import materialize
 
 WINDOW, ANCHOR = 20, 10
-#: Counters of two bits in each of the sketch's two rows: 64 MB in all, whatever the input.
-CELLS = 1 << 27
+#: Counters of two bits in each of a sketch's two rows at most; the bits that pass 2 looks at are 64 MB then.
+CELLS = 1 << 28
+#: Anchors a counter at most, as long as RANGES ranges are enough; bytes of text an anchor, as measured on prose.
+LOAD, ANCHOR_BYTES, RANGES = 0.75, 32, 16
 SHARDS = 64
+#: Bytes of windows that one group of the exact step gets, about.
+GROUP = 32 << 20
 #: Windows that a task holds before it passes their earliest places on.
 HELD = 1 << 20
 #: Stands for a null id, which comes after all others.
@@ -75,8 +84,21 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield batch.column(0).slice(a, n), first, _text.span_hashes(buf, starts, ends)
 
 
-def sketch(rows: DataFrame, window: int, anchor: int, cells: int) -> np.ndarray:
-    """The merged sketch of all anchors: planes[row, above zero or above one, byte], bit-packed."""
+def plan(size: int, cells: int | None = None) -> tuple[int, int]:
+    """(counters a row, ranges) for so many bytes of text: a power of two each; cells: the counters at most."""
+    anchors, most = size / ANCHOR_BYTES / LOAD, cells or CELLS
+    fits = min(most, max(1 << 12, 1 << max(0, int(anchors)).bit_length()))
+    return fits, 1 if cells else min(RANGES, 1 << max(0, int(anchors) // most).bit_length())
+
+
+def _range(v: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each anchor, by its highest bits; counters go by others."""
+    return (v >> np.uint64(60)).astype(np.int64) % ranges
+
+
+def sketches(rows: DataFrame, window: int, anchor: int, cells: int, ranges: int = 1) -> DataFrame:
+    """(shard, deal, row, ones, twos): the merged sketches of all anchors, a row a shard of each range and row; bitmaps of the
+    counters above zero and above one. Shards of range r are those from r * SHARDS on."""
     per = cells // SHARDS
     deals = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // SHARDS)
     layout = pa.schema([("shard", pa.int32()), ("deal", pa.int32()), ("row", pa.int32()), ("ones", pa.binary()), ("twos", pa.binary())])
@@ -84,18 +106,21 @@ def sketch(rows: DataFrame, window: int, anchor: int, cells: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
 
-        def flush() -> pa.RecordBatch:
-            v = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        def flush() -> Iterator[pa.RecordBatch]:
+            v = np.concatenate(found)
             found.clear()
-            out = [(r, *_count(c)) for r, c in enumerate(_cells(v, cells))]
-            cols: dict[str, list] = {k: [] for k in layout.names}
-            for r, ones, twos in out:
-                for s in range(SHARDS):
-                    o, t = (x[slice(*np.searchsorted(x, [s * per, (s + 1) * per]))] - s * per for x in (ones, twos))
-                    if len(o):
-                        for k, x in zip(layout.names, (s, int(v[0] % np.uint64(deals)), r, _sparse(o, per), _sparse(t, per)), strict=True):
-                            cols[k].append(x)
-            return pa.RecordBatch.from_pydict(cols, schema=layout)
+            of = _range(v, ranges)
+            deal = int(v[0] % np.uint64(deals))
+            for g in range(ranges):
+                cols: dict[str, list] = {k: [] for k in layout.names}
+                for r, c in enumerate(_cells(v[of == g] if ranges > 1 else v, cells)):
+                    ones, twos = _count(c)
+                    for s in range(SHARDS):
+                        o, t = (x[slice(*np.searchsorted(x, [s * per, (s + 1) * per]))] - s * per for x in (ones, twos))
+                        if len(o):
+                            for k, x in zip(layout.names, (g * SHARDS + s, deal, r, _sparse(o, per), _sparse(t, per)), strict=True):
+                                cols[k].append(x)
+                yield pa.RecordBatch.from_pydict(cols, schema=layout)
 
         held = 0
         for _, first, h in _words_of(batches):
@@ -104,10 +129,10 @@ def sketch(rows: DataFrame, window: int, anchor: int, cells: int) -> np.ndarray:
                 found.append(a[at[np.append(True, at[1:] != at[:-1])]])
                 held += len(found[-1])
             if held >= HELD:
-                yield flush()
+                yield from flush()
                 held = 0
         if found:
-            yield flush()
+            yield from flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[tuple[int, int], np.ndarray] = {}
@@ -118,20 +143,31 @@ def sketch(rows: DataFrame, window: int, anchor: int, cells: int) -> np.ndarray:
                 own[1] |= new2 | (own[0] & new1)
                 own[0] |= new1
         for (s, r), own in sorted(planes.items()):
-            yield pa.RecordBatch.from_pydict(dict(zip(layout.names, ([s], [0], [r], *([b"\1" + x.tobytes()] for x in own)), strict=True)), schema=layout)
+            yield pa.RecordBatch.from_pydict(dict(zip(layout.names, ([s], [0], [r], *([_sparse(np.flatnonzero(np.unpackbits(x, bitorder="little")), per)] for x in own)), strict=True)), schema=layout)
 
     schema = "shard int, deal int, row int, ones binary, twos binary"
     parts = rows.mapInArrow(count, schema)
     if deals > 1:  # as many tasks as there are partitions merge first, so the last tasks read at most deals planes a shard
-        parts = parts.repartition(SHARDS * deals, "shard", "deal").mapInArrow(merge, schema)
-    merged = parts.repartition(SHARDS, "shard").mapInArrow(merge, schema)
-    planes = np.zeros((2, 2, cells // 8), np.uint8)
-    for x in merged.collect():  # the sketch, of fixed size
-        for k, plane in enumerate((x["ones"], x["twos"])):
-            planes[x["row"], k, x["shard"] * per // 8 : (x["shard"] + 1) * per // 8] = _dense(plane, per)
+        parts = parts.repartition(SHARDS * ranges * deals, "shard", "deal").mapInArrow(merge, schema)
+    return parts.repartition(SHARDS * ranges, "shard").mapInArrow(merge, schema)
+
+
+def _planes(merged: DataFrame, cells: int, columns: tuple[str, ...]) -> np.ndarray:
+    """planes[row, column, byte] of one range's shards: CELLS bits for each row and column, which is all that comes to the driver."""
+    per = cells // SHARDS
+    planes = np.zeros((2, len(columns), cells // 8), np.uint8)
+    for x in merged.select("shard", "row", *columns).collect():
+        at = x["shard"] % SHARDS * (per // 8)
+        for k, c in enumerate(columns):
+            planes[x["row"], k, at : at + per // 8] = _dense(x[c], per)
     return planes
 
 
+def sketch(rows: DataFrame, window: int, anchor: int, cells: int) -> np.ndarray:
+    """The merged sketch of all anchors: planes[row, above zero or above one, byte], bit-packed."""
+    return _planes(sketches(rows, window, anchor, cells), cells, ("ones", "twos"))
+
+
 def _sparse(at: np.ndarray, per: int) -> bytes:
     """Sorted cells as 32-bit numbers behind a 0 byte, or as a bitmap behind a 1 where that is shorter."""
     if len(at) * 4 <= per // 8:
@@ -194,19 +230,19 @@ def _places(later: np.ndarray, deals: int) -> tuple[np.ndarray, list[bytes]]:
         return _dealt(p, _text.mix64(p["doc"].astype(np.uint64)) % np.uint64(deals))
 
 
-def repeats(rows: DataFrame, planes: np.ndarray, window: int, anchor: int, cells: int) -> DataFrame:
+def repeats(rows: DataFrame, above: np.ndarray, window: int, anchor: int, cells: int, deals: int, part: tuple[int, int] = (0, 1)) -> DataFrame:
     """(doc, starts): a row for each document with windows whose words also start earlier, their 32-bit starts as a blob.
 
-    Windows are dealt to tasks by hash, and what they find out is dealt on by document. Both go in packed rows, one for each
-    pair of tasks, so the number of rows does not depend on how a document's windows are spread.
+    above: the sketch's bits above one, by row; part: the range that it is for, and the number of ranges. Windows are dealt
+    to groups by hash, and what they find out is dealt on by document. Both go in packed rows, one for each pair of task
+    and group, so the number of rows does not depend on how a document's windows are spread.
     """
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(planes)
-    deals = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = spark.sparkContext.broadcast(above)
     schema = pa.schema([("bucket", pa.int64()), ("settled", pa.bool_()), ("blob", pa.binary())])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        above = shared.value[:, 1]
+        above = shared.value
         held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
@@ -221,6 +257,9 @@ def repeats(rows: DataFrame, planes: np.ndarray, window: int, anchor: int, cells
             starts, at, a = _anchors(h, first, window, anchor)
             if not len(starts):
                 continue
+            if part[1] > 1:
+                own = _range(a[at], part[1]) == part[0]
+                starts, at = starts[own], at[own]
             c1, c2 = _cells(a[at], cells)
             s = starts[(_bit(above[0], c1) & _bit(above[1], c2)).astype(bool)]
             if not len(s):
@@ -256,19 +295,32 @@ def repeats(rows: DataFrame, planes: np.ndarray, window: int, anchor: int, cells
     return dealt.groupBy("deal").applyInPandas(by_doc, "doc long, starts binary")
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, cells: int = CELLS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, cells: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept (the words that stay, joined by one space).
 
     A word goes if a window of the document covers it whose words also start earlier: in a smaller id, or before in the
     same document. Windows are judged on the input. Ids are whole numbers; a null id comes after all others. Rows with
     equal ids count as one document: a window at the same start in both is not earlier than itself, so exact repeats of a
     row stay whole. A null text has no words; an empty table gives no rows. Other columns are not looked at.
+    cells: the counters of the only sketch, at most; if absent, what the bytes of all texts ask for.
     """
     if not 1 <= anchor <= window:
         raise ValueError("an anchor lies within a window")
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    found = repeats(rows, sketch(rows, window, anchor, cells), window, anchor, cells)
-    goes = found.withColumnRenamed("doc", "of")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    cells, ranges = plan(size, cells)
+    deals = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size * 1.5 / ranges / GROUP))  # up to 24 bytes a window
+    merged = materialize(sketches(rows, window, anchor, cells, ranges), "substrings-sketch")
+    found = []
+    for r in range(ranges):
+        above = _planes(merged.where(F.floor(F.col("shard") / SHARDS) == r), cells, ("twos",))[:, 0]
+        found.append(repeats(rows, above, window, anchor, cells, deals, (r, ranges)))
+        if ranges > 1:  # one range's sketch at a time
+            found[-1] = materialize(found[-1], "substrings-range")
+    goes = reduce(DataFrame.unionByName, found)
+    if ranges > 1:
+        goes = goes.groupBy("doc").agg(F.unhex(F.array_join(F.collect_list(F.hex("starts")), "")).alias("starts"))
+    goes = goes.withColumnRenamed("doc", "of")
     both = rows.join(goes.hint("shuffle_hash"), F.coalesce("doc", F.lit(int(NO_ID))) == F.col("of"), "left").select("doc", "text", "starts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

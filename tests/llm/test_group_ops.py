@@ -323,3 +323,56 @@ def test_sketch_merged_in_two_steps_is_the_same(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert (one == two).all()
     assert one[:, 1].any()
+
+
+def test_sketch_is_sized_to_the_input():
+    assert substrings.plan(0) == (1 << 12, 1)
+    for size in (10**6, 10**8, 3 * 10**9):
+        cells, ranges = substrings.plan(size)
+        assert ranges == 1
+        assert 0.3 * substrings.LOAD < size / substrings.ANCHOR_BYTES / cells <= substrings.LOAD
+    cells, ranges = substrings.plan(80 * 10**9)
+    assert cells == substrings.CELLS
+    assert size / substrings.ANCHOR_BYTES / cells / ranges <= substrings.LOAD
+    assert substrings.plan(10**15) == (substrings.CELLS, substrings.RANGES)
+
+
+def test_ranges_find_what_one_sketch_finds(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "plan", lambda size, cells=None: (1 << 12, 4))
+    rows = [(i * 3, t) for i, t in enumerate(passages(12) + passages(13))]
+    got = substrings.dedup(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in got} == brute.substrings(rows)
+
+
+def let_through(texts, cells):
+    """(anchors a counter, share of windows that the merged sketch lets pass)."""
+    import pyarrow as pa
+
+    from pointloom.llm import _text
+
+    col = pa.array(texts)
+    anchors, places = [], []
+    for buf, off, _, _ in _text.chunks(col, col):
+        starts, ends, first = _text.words(buf, off)
+        _, at, a = substrings._anchors(_text.span_hashes(buf, starts, ends), first, 20, 10)
+        anchors.append(a[at[np.append(True, at[1:] != at[:-1])]])
+        places.append(a[at])
+    v, all_ = np.concatenate(anchors), np.concatenate(places)
+    above = []
+    for c in substrings._cells(v, cells):
+        above.append(np.bincount(c, minlength=cells) > 1)
+    passes = np.logical_and(*(x[c] for x, c in zip(above, substrings._cells(all_, cells), strict=True)))
+    return len(v) / cells, passes.mean()
+
+
+def test_load_decides_how_many_windows_pass(real_docs):
+    texts = [r["text"] or "" for r in real_docs.collect()]
+    size = sum(len(t.encode()) for t in texts)
+    planned, _ = substrings.plan(size)
+    load, share = let_through(texts, planned)
+    _, least = let_through(texts, 1 << 22)
+    full_load, full = let_through(texts, 1 << 10)
+    assert load <= 1
+    assert share - least < 0.35
+    assert full_load > 5
+    assert full > 0.95
