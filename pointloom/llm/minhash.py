@@ -8,8 +8,8 @@ value, since later ranks are larger: long documents stop after one or two steps.
 Classes that agree in a band are candidates. They are never listed as pairs. Round one ties each class to one other class
 of its buckets and verifies that; the components of these links settle most buckets. Round two takes the buckets that
 still hold several components and compares whole sets of all members outside a bucket's main component with all members
-of their buckets, in blocks of bounded size that count common shingles through an inverted list. Every candidate pair
-between components is so decided on the full sets.
+of their buckets: members lie in blocks of bounded bytes, each in one block, with an inverted list of their shingles, and
+the others pass by in a stream. Every candidate pair between components is so decided on the full sets.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from pointloom.plans.storage import materialize
 
 #: 36 bands of 6 places: a pair at the threshold 0.8 agrees in none with probability (1 - 0.8 ** 6) ** 36 < 2e-5.
 BANDS, ROWS = 36, 6
-#: Queries and members of one block in round two.
-QUERIES, MEMBERS = 512, 2048
+#: Bytes of shingles that the members of one block in round two have, about.
+BLOCK = 4 << 20
 #: Elements whose permutations are held at once.
 HELD = 1 << 15
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -160,32 +160,41 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
+class Block:
+    """Members whose common shingles with others are counted through an inverted list."""
+
+    def __init__(self, doc: np.ndarray, comp: np.ndarray, sets: list[np.ndarray]):
+        self.doc, self.comp = doc, comp
+        self.size = np.fromiter(map(len, sets), np.int64, len(sets))
+        h = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(h, kind="stable")
+        self.of = np.repeat(np.arange(len(sets), dtype=np.int32), self.size)[order]
+        h = h[order]
+        self.low = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+        self.values, self.counts = h[self.low], np.diff(np.append(self.low, len(h)))
+
+    def links(self, comp: int, own: np.ndarray, percent: int) -> list[int]:
+        """Members that a set is linked with, one for each other component."""
+        if not len(self.values):
+            return []
+        at = np.minimum(np.searchsorted(self.values, own), len(self.values) - 1)
+        at = at[self.values[at] == own]
+        n = self.counts[at]
+        flat = np.arange(int(n.sum())) + np.repeat(self.low[at] - np.cumsum(n) + n, n)
+        common = np.bincount(self.of[flat], minlength=len(self.doc))
+        hit = np.flatnonzero((100 * common >= percent * (self.size + len(own) - common)) & (self.comp != comp))
+        return self.doc[hit[np.unique(self.comp[hit], return_index=True)[1]]].tolist()
+
+
 def compare_block(part: pd.DataFrame, percent: int) -> tuple[list[int], list[int]]:
     """Links between the queries of a block and all its members: at least one for each pair of components that has any."""
-    part = part.drop_duplicates(["doc", "shingles"])
-    doc, comp, query = part["doc"].to_numpy(), part["comp"].to_numpy(), part["query"].to_numpy(dtype=bool)
     sets = [np.frombuffer(x, np.uint64) for x in part["shingles"]]
-    size = np.fromiter(map(len, sets), np.int64, len(sets))
-    h = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    order = np.argsort(h, kind="stable")
-    of = np.repeat(np.arange(len(sets)), size)[order]
-    h = h[order]
-    new = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
-    low = np.flatnonzero(new)
-    values, counts = h[new], np.diff(np.append(low, len(h)))
-    u, v, seen = [], [], set()
-    for q in np.flatnonzero(query):
-        at = np.searchsorted(values, sets[q])
-        n = counts[at]
-        total = int(n.sum())
-        flat = np.arange(total) + np.repeat(low[at] - np.cumsum(n) + n, n)
-        common = np.bincount(of[flat], minlength=len(sets))
-        for x in np.flatnonzero((100 * common >= percent * (size + size[q] - common)) & (comp != comp[q])):
-            key = (int(doc[q]), int(comp[x]))
-            if key not in seen:
-                seen.add(key)
-                u.append(int(doc[q]))
-                v.append(int(doc[x]))
+    block = Block(part["doc"].to_numpy(), part["comp"].to_numpy(), sets)
+    u, v = [], []
+    for q in np.flatnonzero(part["query"].to_numpy(dtype=bool)):
+        found = block.links(int(block.comp[q]), sets[q], percent)
+        u += [int(block.doc[q])] * len(found)
+        v += found
     return u, v
 
 
@@ -204,35 +213,45 @@ def _heads(members: DataFrame, buckets: DataFrame) -> DataFrame:
     return best.select(F.col("doc").alias("u"), (-F.col("b.to")).alias("v"))
 
 
-def _left_over(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _left_over(members: DataFrame, comps: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """(u, v): links between components that still meet in a bucket."""
     m = members.join(comps, F.col("doc") == F.col("id"), "left").select("h", "doc", F.coalesce("comp", "doc").alias("comp"))
     m = materialize(m, "near-members")
     main = m.groupBy("h", "comp").count().groupBy("h").agg(F.max(F.struct("count", (-F.col("comp")).alias("comp"))).alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
     main = materialize(main.select(F.col("h").alias("mh"), (-F.col("b.comp")).alias("main")), "near-mixed")
     m = materialize(m.join(main, F.col("h") == F.col("mh")).select("h", "doc", "comp", "main"), "near-open")
-    q = m.where("comp <> main").groupBy("doc").agg(F.min("main").alias("label"))
-    per = q.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERIES)).cast("long").alias("parts"))
-    per = materialize(per.withColumnRenamed("label", "plabel"), "near-parts")
-    q = q.join(per, F.col("label") == F.col("plabel")).select(F.col("doc").alias("qdoc"), F.col("label").alias("qlabel"), F.pmod(F.xxhash64("doc"), F.col("parts")).alias("qpart"))
-    q = materialize(q, "near-queries")
+    q = materialize(m.where("comp <> main").groupBy(F.col("doc").alias("qdoc")).agg(F.min("main").alias("qlabel")), "near-queries")
     touched = m.where("comp <> main").join(q, F.col("doc") == F.col("qdoc")).select(F.col("qlabel").alias("label"), F.col("h").alias("th")).distinct()
-    base = materialize(touched.join(m, F.col("th") == F.col("h")).select("label", "doc", "comp").distinct(), "near-blocks")
-    cut = base.groupBy(F.col("label").alias("clabel")).agg(F.ceil(F.count(F.lit(1)) / F.lit(MEMBERS)).cast("long").alias("cuts"))
-    base = base.join(cut, F.col("label") == F.col("clabel")).join(per, F.col("label") == F.col("plabel"))
-    base = base.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    base = base.join(q, (F.col("doc") == F.col("qdoc")) & (F.col("label") == F.col("qlabel")) & (F.col("part") == F.col("qpart")), "left")
-    # a query meets every cut of its part, any other member only its own
-    own = F.pmod(F.xxhash64("doc", F.lit(1)), F.col("cuts"))
-    cuts = F.when(F.col("qdoc").isNotNull(), F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).otherwise(F.array(own))
-    base = base.select("label", "part", "doc", "comp", F.col("qdoc").isNotNull().alias("query"), F.explode(cuts).alias("cut"))
-    full = base.join(sets.withColumnRenamed("doc", "sdoc"), F.col("doc") == F.col("sdoc")).select("label", "part", "cut", "doc", "comp", "query", "shingles")
+    base = touched.join(m, F.col("th") == F.col("h")).select("label", "doc", "comp").distinct()
+    base = materialize(base.join(sizes, F.col("doc") == F.col("zdoc")).select("label", "doc", "comp", "n_shingles"), "near-blocks")
+    cut = materialize(base.groupBy(F.col("label").alias("clabel")).agg(F.ceil(F.sum("n_shingles") * 8 / F.lit(BLOCK)).cast("long").alias("cuts")), "near-cuts")
+    base = base.join(cut, F.col("label") == F.col("clabel")).join(q, (F.col("doc") == F.col("qdoc")) & (F.col("label") == F.col("qlabel")), "left")
+    # each member lies in one block, and in block order comes before the queries, which pass by all blocks of their label
+    member = F.array(F.struct(F.pmod(F.xxhash64("doc"), F.col("cuts")).alias("cut"), F.lit(False).alias("query")))
+    ask = F.transform(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1), lambda c: F.struct(c.alias("cut"), F.lit(True).alias("query")))
+    base = base.select("label", "doc", "comp", F.inline(F.when(F.col("qdoc").isNotNull(), F.concat(member, ask)).otherwise(member)))
+    full = base.join(sets.withColumnRenamed("doc", "sdoc"), F.col("doc") == F.col("sdoc")).select("label", "cut", "query", "doc", "comp", "shingles")
+    full = full.repartition("label", "cut").sortWithinPartitions("label", "cut", "query", "doc")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        u, v = compare_block(part, percent)
-        return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, held, block = None, [], None
+        for batch in batches:
+            u, v = [], []
+            for label, at, query, doc, comp, own in zip(*(batch.column(k).to_pylist() for k in range(5)), batch.column(5), strict=True):
+                if of != (label, at):
+                    of, held, block = (label, at), [], None
+                own = np.frombuffer(own.as_buffer(), np.uint64)
+                if not query:
+                    held.append((doc, comp, own.copy()))
+                    continue
+                if block is None:
+                    block, held = Block(np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64), [x[2] for x in held]), []
+                found = block.links(comp, own, percent)
+                u += [doc] * len(found)
+                v += found
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return full.groupBy("label", "part", "cut").applyInPandas(run, "u long, v long")
+    return full.mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, n_bands: int = BANDS, band_rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,7 +277,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, n_bands: int
     needed = materialize(members.select(F.col("doc").alias("need")).distinct(), "near-needed")
     sets = materialize(full_sets(rows.join(needed.hint("shuffle_hash"), F.col("doc") == F.col("need"), "left_semi"), k), "near-sets")
     links = materialize(verify(_heads(members, buckets), sets, percent), "near-links")
-    more = materialize(_left_over(members, components(links), sets, percent), "near-more")
+    sizes = classed.where("doc = rep").groupBy(F.col("doc").alias("zdoc")).agg(F.max("n_shingles").alias("n_shingles"))
+    more = materialize(_left_over(members, components(links), sets, sizes, percent), "near-more")
     comps = materialize(components(links.unionByName(more)), "near-components").select(F.col("id").alias("rid"), "comp")
     out = feats.where("n_words = 0 or doc is null").withColumn("rep", F.col("doc")).select("doc", "n_shingles", "rep").unionByName(classed.select("doc", "n_shingles", "rep"))
     out = out.join(comps, F.col("rep") == F.col("rid"), "left")
