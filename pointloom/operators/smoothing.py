@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.functions import geometry as G
-from pointloom.operators.components import components
+from pointloom.operators import cloud
 from pointloom.plans.storage import materialize
 
 LAMBDA, MU = 0.63, -0.64
-#: Points that the one-group kernel takes at most; larger components take the join form.
-KERNEL_POINTS = 2_000_000
+#: Points of a block, and the iterations that blocks run before they exchange positions.
+BLOCK, AT_ONCE = 100_000, 3
 
 
 def taubin_pass(points: DataFrame, edges: DataFrame, scale: float, regularised: bool = False) -> DataFrame:
@@ -54,31 +56,75 @@ def _kernel(x: np.ndarray, u: np.ndarray, v: np.ndarray, iterations: int, lam: f
     return x
 
 
-def taubin_many(points: DataFrame, edges: DataFrame, iterations: int, lam: float = LAMBDA, mu: float = MU, most: int = KERNEL_POINTS) -> DataFrame:
-    """taubin for many iterations: components of up to most points run all passes in one task each, larger ones as joins.
+def _spread(c: Column) -> Column:
+    """The bits of a number below 1024, two zeros behind each."""
+    for shift, keep in ((16, 0x030000FF), (8, 0x0300F00F), (4, 0x030C30C3), (2, 0x09249249)):
+        c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(keep))
+    return c
+
+
+def spatial_blocks(points: DataFrame, most: int) -> DataFrame:
+    """(id, x, y, z, block): about most points a block, which lie together on a space-filling curve; equal places split by id."""
+    b = materialize(cloud.extent(points).withColumn("n", points.agg(F.count(F.lit(1))).scalar()), "taubin-extent")
+    n = b.first()["n"]
+    cells = cloud.index_of_cells(cloud.normalise(points, b), 1024).select("id", sum((F.shiftleft(_spread(F.col(f"c{a}")), k) for k, a in enumerate("xyz")), F.lit(0)).alias("curve"))
+    at = points.join(cells.withColumnRenamed("id", "cid"), F.col("id") == F.col("cid")).drop("cid")
+    parts = max(1, -(-n // most))
+    return at.repartitionByRange(parts, "curve", "id").select("id", "x", "y", "z", F.spark_partition_id().cast("long").alias("block"))
+
 
-    Points in different components never meet, so both forms give the same positions.
+def _halo(at: DataFrame, edges: DataFrame, hops: int) -> tuple[DataFrame, bool]:
+    """((block, id, hop), whether blocks meet): the points of each block, hop 0, and those within so many edges of them.
+
+    Only the newly found points of a hop go on to the next, so a step costs what the blocks' rims are.
+    """
+    own = at.select("block", "id")
+    to = at.select(F.col("id").alias("tid"), F.col("block").alias("tblock"))
+    rim = edges.join(own, "id").join(to, F.col("nid") == F.col("tid")).where("block <> tblock").select("block", F.col("nid").alias("id")).distinct()
+    found = materialize(rim.withColumn("hop", F.lit(1)), "taubin-rim")
+    if found.isEmpty():
+        return own.withColumn("hop", F.lit(0)), False
+    parts = [found]
+    for hop in range(2, hops + 1):
+        seen = reduce(DataFrame.unionByName, [p.select("block", "id") for p in parts]).unionByName(own)
+        near = parts[-1].select("block", "id").join(edges, "id").select("block", F.col("nid").alias("id")).distinct()
+        parts.append(materialize(near.join(seen, ["block", "id"], "left_anti").withColumn("hop", F.lit(hop)), "taubin-rim"))
+    return materialize(reduce(DataFrame.unionByName, [own.withColumn("hop", F.lit(0)), *parts]), "taubin-halo"), True
+
+
+def taubin_many(points: DataFrame, edges: DataFrame, iterations: int, lam: float = LAMBDA, mu: float = MU, most: int = BLOCK, at_once: int = AT_ONCE) -> DataFrame:
+    """taubin for many iterations, in blocks of about most points that run several iterations between two exchanges.
+
+    A pass moves a point by its neighbours' places, so after p passes it depends on points p edges away. Each block gets
+    its points and those within 2 * at_once edges, runs at_once iterations in numpy and passes on its own points, which are
+    right; the halo's inner rings are right as far as the passes left need them. Blocks without a halo, as in a cloud of
+    one block or of parts far from each other, run all iterations at once. Positions differ from taubin's by rounding only.
     """
-    pts = materialize(points.select("id", "x", "y", "z"), "taubin-points")
+    pts = points.select("id", "x", "y", "z")
     e = materialize(edges.select("id", "nid"), "taubin-all")
-    comp = components(e.select(F.col("id").alias("u"), F.col("nid").alias("v")), small=KERNEL_POINTS)
-    comp = materialize(pts.select("id").join(comp.withColumnRenamed("id", "cid"), F.col("id") == F.col("cid"), "left").select("id", F.coalesce("comp", "id").alias("comp")), "taubin-components")
-    size = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
-    comp = materialize(comp.join(size.withColumnRenamed("comp", "of"), F.col("comp") == F.col("of")).select(F.col("id").alias("cid"), "comp", "n"), "taubin-sizes")
-    placed = pts.join(comp, F.col("id") == F.col("cid")).drop("cid")
-    small = placed.where(F.col("n") <= most)
-    tied = e.join(comp.where(F.col("n") <= most), F.col("id") == F.col("cid")).select(F.col("comp").alias("of"), "id", "nid")
+    at = materialize(spatial_blocks(pts, most), "taubin-blocks")
+    halo, meet = _halo(at, e, 2 * at_once)
+    step = at_once if meet else max(iterations, 1)
+    inner = halo.where(F.col("hop") < 2 * step).select("block", F.col("id").alias("hid"))
+    tied = materialize(inner.join(e, F.col("hid") == F.col("id")).select("block", "id", "nid").repartition("block"), "taubin-tied")
+    now = at.select("id", "x", "y", "z")
+    for done in range(0, iterations, step):
+        run = _block_passes(min(step, iterations - done), lam, mu)
+        placed = halo.withColumnRenamed("id", "hid").join(now, F.col("hid") == F.col("id")).select("block", "id", "hop", "x", "y", "z")
+        after = placed.groupBy("block").cogroup(tied.groupBy("block")).applyInPandas(run, "id long, x double, y double, z double")
+        now = after if done + step >= iterations else materialize(after, "taubin-step", now)
+    return now
+
 
+def _block_passes(iterations: int, lam: float, mu: float):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("id")
         ids = left["id"].to_numpy()
-        u, v = (np.searchsorted(ids, right[c].to_numpy()) for c in ("id", "nid"))
-        out = _kernel(left[["x", "y", "z"]].to_numpy(float), u, v, iterations, lam, mu)
-        return pd.DataFrame({"id": ids, "x": out[:, 0], "y": out[:, 1], "z": out[:, 2]})
-
-    done = small.groupBy("comp").cogroup(tied.groupBy("of")).applyInPandas(run, "id long, x double, y double, z double")
-    large = materialize(placed.where(F.col("n") > most).select("id", "x", "y", "z"), "taubin-large")
-    if large.isEmpty():
-        return done
-    rest = e.join(large.select(F.col("id").alias("lid")), F.col("id") == F.col("lid"), "left_semi")
-    return done.unionByName(taubin(large, rest, iterations, lam, mu))
+        ends = [right[c].to_numpy() for c in ("id", "nid")]
+        u, v = (np.minimum(np.searchsorted(ids, x), len(ids) - 1) for x in ends)
+        there = (ids[u] == ends[0]) & (ids[v] == ends[1])  # not so for edges to points that there are none of
+        own = left["hop"].to_numpy() == 0
+        out = _kernel(left[["x", "y", "z"]].to_numpy(float), u[there], v[there], iterations, lam, mu)[own]
+        return pd.DataFrame({"id": ids[own], "x": out[:, 0], "y": out[:, 1], "z": out[:, 2]})
+
+    return run

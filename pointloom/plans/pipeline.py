@@ -11,13 +11,6 @@ from pointloom.operators import cloud, egg, graph, knn, mesh, normals, smoothing
 from pointloom.plans.storage import materialize
 from pointloom.sources import ply
 
-#: Iterations from which on the kernel form pays.
-KERNEL_FROM = 6
-
-
-def _smooth(points: DataFrame, edges: DataFrame, iterations: int) -> DataFrame:
-    return (smoothing.taubin_many if iterations >= KERNEL_FROM else smoothing.taubin)(points, edges, iterations)
-
 
 def oriented_normals(points: DataFrame, edges: DataFrame, exact: bool = True) -> DataFrame:
     """(id, nx, ny, nz, comp) from pruned neighbours and positions, both normalised."""
@@ -43,7 +36,7 @@ def smooth_cloud(points: DataFrame, k: int = 40, iterations: int = 150, alpha: f
     unit = materialize(cloud.normalise(points.select("id", "x", "y", "z"), bounds), "unit")
     near = materialize(knn.knn_join(unit, unit, k, exclude_self=True, strict=False), "near")
     edges = materialize(egg.elliptic_gabriel(unit, near, alpha), "edges")
-    smooth = materialize(_smooth(unit, edges, iterations), "smooth")
+    smooth = materialize(smoothing.taubin_many(unit, edges, iterations), "smooth")
     n = oriented_normals(smooth, edges, exact).select(F.col("id").alias("nid"), "nx", "ny", "nz")
     return cloud.denormalise(smooth, bounds).join(n, F.col("id") == F.col("nid"), "left").drop("nid")
 
@@ -53,7 +46,7 @@ def smooth_mesh(points: DataFrame, faces: DataFrame, k: int = 40, iterations: in
     bounds = materialize(cloud.extent(points), "extent")
     unit = materialize(cloud.normalise(points.select("id", "x", "y", "z"), bounds), "unit")
     edges = materialize(egg.elliptic_gabriel(unit, mesh.one_ring(unit, faces, k), alpha), "edges")
-    return cloud.denormalise(_smooth(unit, edges, iterations), bounds)
+    return cloud.denormalise(smoothing.taubin_many(unit, edges, iterations), bounds)
 
 
 def run(spark: SparkSession, source: str, target: str, k: int, iterations: int, alpha: float, is_mesh: bool) -> None:

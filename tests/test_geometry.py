@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -33,9 +34,9 @@ def pairs(df):
     return {(r["id"], r["nid"]) for r in df.collect()}
 
 
-@pytest.fixture(params=[0, knn.FEW_PAIRS], autouse=False)
+@pytest.fixture(params=[0, 1, 2], autouse=False)
 def finish(request, monkeypatch):
-    monkeypatch.setattr(knn, "FEW_PAIRS", request.param)
+    monkeypatch.setattr(knn, "GRID_ROUNDS", request.param)
 
 
 @pytest.mark.usefixtures("finish")
@@ -59,6 +60,58 @@ def test_query_outside_the_cube(spark):
     assert got == {(i, int(j)) for i in range(3) for j in np.argsort(d[i])[:3]}
 
 
+def crowds(kind):
+    r = np.random.default_rng(11)
+    if kind == "cluster and outlier":
+        return np.concatenate((r.random((1200, 3)) * 1e-3, [[1.0, 1.0, 1.0]]))
+    if kind == "copies":
+        return np.concatenate((np.full((300, 3), 0.5), r.random((150, 3))))
+    return np.concatenate((r.random((250, 3)) * 1e-9, r.random((250, 3)) * 1e-9 + 0.7, r.random((30, 3))))
+
+
+@pytest.mark.parametrize("kind", ["cluster and outlier", "copies", "far clusters"])
+def test_neighbours_in_uneven_clouds(spark, kind):
+    xyz = crowds(kind)
+    lo, hi = xyz.min() - 1e-6, xyz.max() + 1e-6
+    assert pairs(knn.knn_self(points(spark, xyz), 5)) == nearest((xyz - lo) / (hi - lo), 5)
+
+
+@pytest.mark.parametrize("kind", ["cluster and outlier", "copies", "far clusters"])
+def test_candidates_stay_few_in_uneven_clouds(spark, kind):
+    u = cloud.normalise(points(spark, crowds(kind))).cache()
+    n = u.count()
+    per = knn._descend(u, u, n, 5, None, True).groupBy("id").count().agg(F.avg("count"), F.max("count")).first()
+    assert 5 <= per[0] < 8 * knn.leaf(6)
+    assert per[1] < n / 2
+
+
+def test_many_queries_outside_the_cube(spark):
+    r = np.random.default_rng(3)
+    refs, q = noise(400, 2), r.normal(size=(10_000, 3)) * 20
+    u, b = cloud.normalise(points(spark, refs)), cloud.extent(points(spark, refs))
+    far = cloud.normalise(points(spark, q), b).cache()
+    candidates = knn._descend(far, u, 400, 3, None, False).count()
+    assert candidates < 10_000 * 60
+    got = defaultdict(set)
+    for e in knn.knn_join(far, u, 3).collect():
+        got[e["id"]].add(e["nid"])
+    for i in range(0, 10_000, 97):
+        assert got[i] == set(np.lexsort((np.arange(400), ((q[i] - refs) ** 2).sum(1)))[:3].tolist())
+    assert len(got) == 10_000
+
+
+def test_points_without_a_place_take_no_part(spark):
+    xyz = noise(60, 5)
+    xyz[3], xyz[4], xyz[5] = np.nan, np.inf, (0.5, -np.inf, 0.5)
+    p = points(spark, xyz).unionByName(spark.createDataFrame([(100, None, 0.5, 0.5)], POINTS))
+    got = pairs(knn.knn_self(p, 4))
+    kept = np.array([i for i in range(60) if i not in (3, 4, 5)])
+    assert got == {(int(kept[a]), int(kept[b])) for a, b in nearest(xyz[kept], 4)}
+    far = points(spark, [(1e12, 0.5, 0.5)])
+    assert knn.knn_query(far, points(spark, xyz[kept]), 4).count() == 4
+    assert {r["id"]: r["out"] for r in cloud.outside(p).where("id in (3, 4, 5, 6, 100)").collect()} == {3: True, 4: True, 5: True, 6: False, 100: True}
+
+
 def test_cube_ties_take_the_lowest_id(spark):
     xyz = [(x, y, z) for x in (0, 1) for y in (0, 1) for z in (0, 1)]
     got = knn.knn_self(points(spark, xyz), 3).groupBy("id").agg(F.max("d2").alias("d")).collect()
@@ -108,6 +161,16 @@ def test_taubin_forms_agree(spark):
         assert np.allclose(a, sorted(map(tuple, smoothing.taubin_many(p, e, 3, most=most).collect())), atol=1e-12)
 
 
+@pytest.mark.parametrize(("most", "at_once"), [(15, 1), (20, 2), (7, 3)])
+def test_taubin_blocks_with_halos(spark, most, at_once):
+    xyz = noise(80, 16)
+    p, e = points(spark, xyz), knn.knn_self(points(spark, xyz), 4)
+    x, u, v = xyz, *np.array([(r["id"], r["nid"]) for r in e.collect()]).T
+    want = smoothing._kernel(x, u, v, 7, smoothing.LAMBDA, smoothing.MU)
+    got = smoothing.taubin_many(p, e.select("id", "nid").union(spark.createDataFrame([(3, 10**6), (10**6, 3)], "id long, nid long")), 7, most=most, at_once=at_once)
+    assert np.allclose(want, [tuple(r)[1:] for r in got.orderBy("id").collect()], atol=1e-12)
+
+
 def test_normals_of_a_plane(spark):
     rng = np.random.default_rng(8)
     p = points(spark, np.column_stack((rng.random((50, 2)), np.zeros(50))))
