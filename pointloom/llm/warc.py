@@ -214,7 +214,7 @@ def write(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: st
                     break
             data = pack(held, train(samples))
             name = f"{uuid.uuid4().hex}.warc.zst"
-            with fs.open_output_stream(f"{to}/{name}") as f:
+            with fs.open_output_stream(f"{to}/{name}", compression=None) as f:  # the name would have it compressed once more
                 f.write(data)
             out = pa.RecordBatch.from_pydict({"path": [f"{base}/{name}"], "records": [len(held)], "bytes": [len(data)]}, schema=schema)
             held.clear()
@@ -254,7 +254,7 @@ def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 fs, at = pafs.FileSystem.from_uri(path)
-                with fs.open_input_stream(at) as f:
+                with fs.open_input_stream(at, compression=None) as f:
                     data = f.read()
                 cols: dict[str, list] = {k: [] for k in READ.names}
                 try:
