@@ -30,6 +30,8 @@ from pointloom.plans.storage import materialize
 SAMPLE = 20_000
 #: A word counts as a sign of toxic text from this log odds ratio and this many standard errors on.
 SIGN_ODDS, SIGN_ERRORS = 3.0, 4.0
+#: Signs that a model holds at most, the strongest first.
+SIGNS = 4096
 #: Bytes in a gram, the space before a word counted.
 GRAMS = (4, 6, 8)
 #: At most so many words and grams are pooled, each in two toxic documents or more and so many standard errors above chance.
@@ -212,22 +214,50 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
     return mean, scale, w
 
 
-def fit_signs(words: list[np.ndarray], toxic: np.ndarray) -> tuple[Known, np.ndarray]:
-    """The words (hashes, once a document) that stand in far more toxic documents than others, and their log odds ratio."""
-    h = np.concatenate([np.zeros(0, np.uint64), *(w for w, t in zip(words, toxic, strict=True) if t)])
-    h, with_ = np.unique(h, return_counts=True)
-    without = np.zeros(len(h))
-    for w in (w for w, t in zip(words, toxic, strict=True) if not t):
-        at = np.searchsorted(h, w)
-        w, at = w[at < len(h)], at[at < len(h)]
-        without[at[h[at] == w]] += 1
-    n1, n0 = toxic.sum(), len(toxic) - toxic.sum()
+def sign_odds(with_: np.ndarray, without: np.ndarray, n1: int, n0: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a word is a sign, its log odds ratio) from the numbers of toxic and other documents that hold it, of n1 and n0."""
     odds = np.log((with_ + 0.5) / (n1 - with_ + 0.5)) - np.log((without + 0.5) / (n0 - without + 0.5))
     error = np.sqrt(1 / (with_ + 0.5) + 1 / (without + 0.5))
-    sign = (odds > SIGN_ODDS) & (odds > SIGN_ERRORS * error)
+    return (odds > SIGN_ODDS) & (odds > SIGN_ERRORS * error), odds
+
+
+def fit_signs(words: list[np.ndarray], toxic: np.ndarray) -> tuple[Known, np.ndarray]:
+    """The words (hashes, once a document) that stand in far more toxic documents than others, and their log odds ratio."""
+    h = np.concatenate([np.zeros(0, np.uint64), *words])
+    kind = np.repeat(toxic.astype(np.int64), [len(w) for w in words])
+    h, n = merged(h, np.eye(2, dtype=np.int64)[kind])
+    sign, odds = sign_odds(n[:, 1], n[:, 0], int(toxic.sum()), int((~toxic).sum()))
     return Known(h[sign]), odds[sign]
 
 
+def found_signs(told: DataFrame, n_toxic: int, n_other: int) -> tuple[Known, np.ndarray]:
+    """fit_signs for a table (text, toxic): words are counted where they are read, and only the signs come to the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = (batch.column(1).to_numpy(zero_copy_only=False) != 0).astype(np.int64)
+            for buf, off, a, n in _text.chunks(batch.column(0), batch.column(0)):
+                starts, ends, first = _text.words(buf, off)
+                h, doc = _hashes(buf, starts, ends), _text.owner(first)
+                order = np.lexsort((doc, h))
+                h, doc = h[order], doc[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                h, m = merged(h[new], np.eye(2, dtype=np.int64)[kind[a + doc[new]]])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(m[:, 0]), pa.array(m[:, 1])], names=["h", "other", "toxic"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sign, odds = sign_odds(batch.column(2).to_numpy(), batch.column(1).to_numpy(), n_toxic, n_other)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(odds)], names=["h", "odds"]).filter(pa.array(sign))
+
+    counts = told.mapInArrow(count, "h long, other long, toxic long").groupBy("h").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).where("toxic > 0")
+    got = counts.mapInArrow(judge, "h long, odds double").orderBy(F.desc("odds"), "h").limit(SIGNS).collect()
+    h = np.array([r["h"] for r in got], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return Known(h), np.array([r["odds"] for r in got], float)[order]
+
+
 def pooled_keys(told: DataFrame, n_toxic: int, n_other: int) -> np.ndarray:
     """The features of (text, toxic) that stand in more toxic documents than chance puts there, the clearest POOLED."""
 
@@ -283,29 +313,30 @@ def fit_pool(told: DataFrame, n_toxic: int, n_other: int) -> tuple[Pool | None,
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fits to at most sample labelled documents, chosen by hash of their id and so the same in each run."""
+    """Fits to at most sample labelled documents, chosen by hash of their id and so the same in each run.
+
+    What comes to the driver is bounded by sample, POOLED and SIGNS, whatever the texts' lengths. Of documents that share an
+    id one counts, the same in each run.
+    """
     lab = labels.where("quality is not null or toxic is not null").groupBy(F.col("doc_id").alias("lid")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     lab = materialize(lab.orderBy(F.xxhash64("lid"), "lid").limit(sample), "quality-sample")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(lab), F.col("doc_id") == F.col("lid"))  # at most sample rows
-    rows = materialize(rows.select("text", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")), "quality-texts")
+    kept = F.struct("text", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
+    rows = materialize(rows.groupBy("lid").agg(F.min_by(kept, F.xxhash64("text")).alias("r")).select("r.*"), "quality-texts")  # a row an id, however often it repeats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for buf, off, a, n in _text.chunks(batch.column(0), batch.column(0)):
-                starts, ends, first = _text.words(buf, off)
-                h = _hashes(buf, starts, ends)
-                own = [np.unique(h[x:y]).tobytes() for x, y in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in describe(buf, off)], pa.binary()), pa.array(own, pa.binary()), batch.column(1).slice(a, n).cast(pa.int32()), batch.column(2).slice(a, n).cast(pa.int32())], names=["x", "words", "quality", "toxic"])
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in describe(buf, off)], pa.binary()), batch.column(1).slice(a, n), batch.column(2).slice(a, n)], names=["x", "quality", "toxic"])
 
-    got = rows.mapInArrow(run, "x binary, words binary, quality int, toxic int").collect()
-    good = [r for r in got if r["quality"] is not None]
+    got = rows.mapInArrow(run, "x binary, quality int, toxic int").collect()
+    good = sorted((r["x"], r["quality"]) for r in got if r["quality"] is not None)  # sums in the same order in each run
     width = len(describe(np.zeros(0, np.uint8), np.zeros(2, np.int64))[0])
-    x = np.array([np.frombuffer(r["x"]) for r in good]).reshape(-1, width)
-    told = [r for r in got if r["toxic"] is not None]
-    signs = fit_signs([np.frombuffer(r["words"], np.uint64) for r in told], np.array([bool(r["toxic"]) for r in told], bool))
-    n_toxic = sum(bool(r["toxic"]) for r in told)
-    pool = fit_pool(rows.where("toxic is not null").select("text", "toxic"), n_toxic, len(told) - n_toxic)
-    return Model(*fit_logistic(x, np.array([float(r["quality"] > 0) for r in good])), *signs, *pool)
+    x = np.array([np.frombuffer(r) for r, _ in good]).reshape(-1, width)
+    told, toxic = rows.where("toxic is not null").select("text", "toxic"), [bool(r["toxic"]) for r in got if r["toxic"] is not None]
+    n_toxic, n_other = sum(toxic), len(toxic) - sum(toxic)
+    signs, pool = found_signs(told, n_toxic, n_other), fit_pool(told, n_toxic, n_other)
+    return Model(*fit_logistic(x, np.array([float(q > 0) for _, q in good])), *signs, *pool)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None) -> DataFrame:
