@@ -3,8 +3,9 @@
 Candidates are packed into blocks as they are read, without a shuffle. In a block each dimension has a sorted list; for a
 query the lists are walked from the end that its sign prefers. Every vector met is scored in full, and the walk stops as
 soon as the score that a vector not yet met could reach at most is below the k-th best score. Lists are walked in growing
-strides, so a step is one array operation for many list entries; a walk that has met most of a block scores the rest of it
-at once. The k best of each block are merged by a window over the query.
+strides, so a step is one array operation for many list entries. The k best of each block are merged by a window over the
+query. How early a walk stops depends on the vectors: soon where few dimensions decide, as in sparse or skewed ones; where
+all dimensions weigh alike and nothing is similar, every vector is met before the bound falls, and the walk scores them all.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ class Lists:
         self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order])
         self.order = np.argsort(self.vectors, axis=0, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(self.vectors, self.order, axis=0)
+        self.longest = float(np.sqrt((self.vectors * self.vectors).sum(1).max(initial=0.0)))
+        self.scored = 0  # candidates scored so far, for all queries
 
     def top(self, query: np.ndarray, own: int, k: int, stride: int = 8) -> tuple[np.ndarray, np.ndarray, int]:
         """(positions, scores) of the k best other than the query's own id, smaller ids first among equals; depth walked.
@@ -36,6 +39,8 @@ class Lists:
         product in any dimension, so once the threshold is below the k-th score nothing better, and no tie, is left.
         """
         n = len(self.ids)
+        if self.longest * float(np.sqrt(query @ query)) >= 2**53:
+            raise ValueError("scores of 2**53 or more are not exact in doubles: use a smaller scale")
         use = np.flatnonzero(query)
         if not len(use):
             ok = np.flatnonzero(self.ids != own)[:k]
@@ -58,14 +63,14 @@ class Lists:
             edge = np.where(down, self.sorted[n - depth, use], self.sorted[depth - 1, use])
             if len(best_s) == k and float(query[use] @ edge) < best_s[-1]:
                 break
-            if 2 * int(met.sum()) > n:
-                best_i, best_s = self._better(best_i, best_s, np.flatnonzero(~met), query, own, k)
+            if met.all():
                 break
-            at, depth = depth, min(n, depth * 4)
+            at, depth = depth, min(n, depth * 2)
         return best_i, best_s, depth
 
     def _better(self, i: np.ndarray, s: np.ndarray, fresh: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         fresh = fresh[self.ids[fresh] != own]
+        self.scored += len(fresh)
         got = self.vectors[fresh] @ query
         if len(s) == k and len(got):
             at_least = got >= s[-1]
@@ -119,7 +124,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
     Queries are the rows whose id is divisible by every; candidates all rows with another id and a vector of the same
     length. Vectors that are null or hold a null or non-finite component take no part, nor do rows with a null id. If a
     query's id repeats, its smallest vector asks; repeated candidates are all candidates and each may be returned. An empty
-    table gives no rows. Scores are whole numbers below 2**53, so doubles hold them exactly.
+    table gives no rows. Scores are whole numbers; vectors long enough for one of 2**53 or more, which doubles do not hold
+    exactly, fail the job.
     """
     all_ = quantise(vectors, scale, id_col, vec_col)
     asked = all_.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("vec").alias("vec"))
