@@ -118,7 +118,7 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
 
 def read_header(path: str) -> Header:
     fs, at = _open(path)
-    with fs.open_input_stream(at) as f:
+    with fs.open_input_stream(at, compression=None) as f:
         return parse_header(f.read(HEADER_MOST))
 
 
@@ -407,10 +407,10 @@ def write_mesh(path: str, points: DataFrame, polygons: DataFrame | None = None)
     if polygons is not None:
         head += [f"element face {sum(r['rows'] for r in pieces[1])}", "property list uchar uint vertex_indices"]
     fs, at = _open(path)
-    with fs.open_output_stream(at) as out:
+    with fs.open_output_stream(at, compression=None) as out:
         out.write(("\n".join([*head, "end_header"]) + "\n").encode())
         for r in (r for x in pieces for r in x):
-            with fs.open_input_stream(_open(r["piece"])[1]) as f:
+            with fs.open_input_stream(_open(r["piece"])[1], compression=None) as f:
                 while chunk := f.read(1 << 24):
                     out.write(chunk)
     for r in (r for x in pieces for r in x):
@@ -431,7 +431,7 @@ def _piece(batches, path: str, tag: str, kind: str, pack) -> Iterator[pa.RecordB
         if not b.num_rows:
             continue
         if out is None:
-            first, out = b.column(0)[0].as_py(), fs.open_output_stream(at)
+            first, out = b.column(0)[0].as_py(), fs.open_output_stream(at, compression=None)
         out.write(pack(b))
         rows += b.num_rows
     if out is not None:
