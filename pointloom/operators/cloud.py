@@ -68,21 +68,21 @@ def crowded(points: DataFrame, b: int, most: int) -> DataFrame:
     return index_of_cells(points, b).join(cells, F.col("cell") == F.col("full")).select("id", "cell", "n")
 
 
-def gap_density(points: DataFrame, axis: str = "x", parts: int = 64) -> DataFrame:
+def gap_density(points: DataFrame, axis: str = "x", parts: int | None = None) -> DataFrame:
     """id and the distance to the next point along an axis, for all but the last. See order.gaps."""
     from pointloom.operators.order import gaps
 
     return gaps(points.select("id", F.col(axis).alias("v")), parts)
 
 
-def spatial_order(points: DataFrame, b: int, parts: int = 64) -> DataFrame:
+def spatial_order(points: DataFrame, b: int, parts: int | None = None) -> DataFrame:
     """(id, old_pos, new_pos): places by id, and by cell and id among b cells an axis, so that neighbours lie together."""
     from pointloom.operators.order import permutation
 
     return permutation(index_of_cells(points, b).select("id", "cell"), "cell", parts)
 
 
-def split_queries(points: DataFrame, n_refs: int, parts: int = 64) -> DataFrame:
+def split_queries(points: DataFrame, n_refs: int, parts: int | None = None) -> DataFrame:
     """(id, place) of the queries in a table that holds references with ids below n_refs and queries from there on, closed up."""
     from pointloom.operators.order import compact
 

@@ -9,18 +9,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+from pointloom.plans.storage import materialize
 
+#: Rows of a range, about, where the number of ranges is not given.
+RANGE_ROWS = 1_000_000
 
-def _ranges(rows: DataFrame, key: str, parts: int) -> DataFrame:
-    """rows with __part, ascending with key. Cut points come from one approximate-percentile aggregate of bounded size."""
-    cuts = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000)).scalar()
-    return rows.withColumn("__cuts", cuts).withColumn("__part", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(key))), F.lit(0))).drop("__cuts")
 
+def _ranges(rows: DataFrame, keys: list[str], parts: int | None) -> DataFrame:
+    """rows with __part, ascending in the order of keys. Written once, since only a written table keeps its ranges when a
+    task is run again; keys that end with a unique one divide a value that many rows share."""
+    parts = parts or -(-rows.count() // RANGE_ROWS) or 1
+    return materialize(rows.repartitionByRange(parts, *keys).withColumn("__part", F.spark_partition_id()), "order-ranges")
 
-def prefix_sum(rows: DataFrame, key: str, value: str | Column, parts: int = RANGES) -> DataFrame:
+
+def prefix_sum(rows: DataFrame, key: str, value: str | Column, parts: int | None = None) -> DataFrame:
     """rows with inclusive and exclusive running sums of value in the order of key, which must be unique."""
-    r = _ranges(rows, key, parts).withColumn("__v", F.col(value) if isinstance(value, str) else value)
+    r = _ranges(rows, [key], parts).withColumn("__v", F.col(value) if isinstance(value, str) else value)
     totals = r.groupBy("__part").agg(F.sum("__v").alias("__t"))
     upto = totals.withColumn("__base", F.coalesce(F.sum("__t").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     run = F.sum("__v").over(Window.partitionBy("__part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
@@ -28,22 +32,22 @@ def prefix_sum(rows: DataFrame, key: str, value: str | Column, parts: int = RANG
     return out.withColumn("inclusive", F.col("__base") + F.col("__run")).withColumn("exclusive", F.col("inclusive") - F.col("__v")).select(*rows.columns, "inclusive", "exclusive")
 
 
-def number(rows: DataFrame, key: str, parts: int = RANGES, name: str = "pos") -> DataFrame:
+def number(rows: DataFrame, key: str, parts: int | None = None, name: str = "pos") -> DataFrame:
     """rows with their position from 0 in the order of key, which must be unique."""
     return prefix_sum(rows, key, F.lit(1).cast("long"), parts).withColumnRenamed("exclusive", name).drop("inclusive")
 
 
-def compact(rows: DataFrame, key: str, keep: Column, parts: int = RANGES) -> DataFrame:
+def compact(rows: DataFrame, key: str, keep: Column, parts: int | None = None) -> DataFrame:
     """The rows that keep marks, with the place each gets when the others are closed up."""
     flagged = prefix_sum(rows.withColumn("__keep", F.when(keep, F.lit(1)).otherwise(F.lit(0)).cast("long")), key, "__keep", parts)
     return flagged.where("__keep = 1").drop("__keep", "inclusive").withColumnRenamed("exclusive", "place")
 
 
-def permutation(rows: DataFrame, key: str, parts: int = RANGES) -> DataFrame:
+def permutation(rows: DataFrame, key: str, parts: int | None = None) -> DataFrame:
     """id, old position (by id), new position (by key and id): a permutation and, read the other way, its inverse."""
     a = number(rows.select("id", F.col(key).alias("__k")), "id", parts, "old_pos")
     ordered = a.withColumn("__s", F.struct(F.col("__k"), F.col("id")))
-    r = _ranges(ordered, "__k", parts)
+    r = _ranges(ordered, ["__k", "id"], parts)
     totals = r.groupBy("__part").count()
     upto = totals.withColumn("__base", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     local = F.row_number().over(Window.partitionBy("__part").orderBy("__s")) - 1
@@ -51,9 +55,9 @@ def permutation(rows: DataFrame, key: str, parts: int = RANGES) -> DataFrame:
     return out.select("id", "old_pos", (F.col("__base") + F.col("__l")).cast("long").alias("new_pos"))
 
 
-def gaps(rows: DataFrame, parts: int = RANGES) -> DataFrame:
+def gaps(rows: DataFrame, parts: int | None = None) -> DataFrame:
     """(id, v) -> (id, v, gap): distance to the next value in order of v and id, for all but the last."""
-    r = _ranges(rows, "v", parts)
+    r = _ranges(rows, ["v", "id"], parts)
     firsts = r.groupBy("__part").agg(F.min("v").alias("__first"))
     after = firsts.withColumn("__next", F.min("__first").over(Window.orderBy("__part").rowsBetween(1, Window.unboundedFollowing)))
     inside = F.lead("v").over(Window.partitionBy("__part").orderBy("v", "id"))
@@ -71,7 +75,7 @@ def segment_ends(rows: DataFrame, key: str, by: str) -> DataFrame:
     return last.select(key, "__last.*").select(*rows.columns)
 
 
-def strided(rows: DataFrame, key: str, names: list[str], stride: int | None = None, offset: int = 0, parts: int = RANGES) -> DataFrame:
+def strided(rows: DataFrame, key: str, names: list[str], stride: int | None = None, offset: int = 0, parts: int | None = None) -> DataFrame:
     """(slot, value): the columns of rows, in the order of key, laid out with stride places a row; gaps have no row."""
     stride = len(names) if stride is None else stride
     if offset < 0 or offset + len(names) > stride:
@@ -80,7 +84,7 @@ def strided(rows: DataFrame, key: str, names: list[str], stride: int | None = No
     return number(rows.select(key, *names), key, parts, "__row").select("__row", laid).select((F.col("__row") * stride + offset + F.col("__at")).alias("slot"), "value")
 
 
-def flatten_lists(rows: DataFrame, key: str, lists: str, parts: int = RANGES) -> DataFrame:
+def flatten_lists(rows: DataFrame, key: str, lists: str, parts: int | None = None) -> DataFrame:
     """(slot, key, at, value): all lists one behind the other in the order of key, with the place of each entry in it."""
     begin = prefix_sum(rows.select(key, lists), key, F.greatest(F.coalesce(F.size(lists), F.lit(0)), F.lit(0)).cast("long"), parts)
     return begin.select("exclusive", key, F.posexplode(lists).alias("at", "value")).select((F.col("exclusive") + F.col("at")).alias("slot"), key, "at", "value")

@@ -6,11 +6,15 @@ to six places at the very end; adding zero turns -0.0 into 0.0.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointloom.functions import geometry as G
 from pointloom.operators import cloud, egg, graph, knn, mesh, normals, order, smoothing
 from pointloom.operators.components import components
 from pointloom.plans import pipeline
@@ -351,9 +355,37 @@ def egg_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return egg.degree(egg.elliptic_gabriel(u, near(u, 12), ALPHA))
 
 
+# ---- geometry
+
+
+@query(f"""with {PTS}, p as (select id, x, y, z, abs(x) >= abs(y) and abs(x) >= abs(z) as on_x, abs(y) >= abs(x) and abs(y) >= abs(z) as on_y from pts),
+    q as (select id, x, y, z, case when on_x then -(y + z) / nullif(x, 0) else 1 end as px, case when not on_x and on_y then -(x + z) / nullif(y, 0) else 1 end as py, case when not on_x and not on_y then -(x + y) / nullif(z, 0) else 1 end as pz from p),
+    r as (select id, x / sqrt(x * x + y * y + z * z) as ax, y / sqrt(x * x + y * y + z * z) as ay, z / sqrt(x * x + y * y + z * z) as az, px / sqrt(px * px + py * py + pz * pz) as px, py / sqrt(px * px + py * py + pz * pz) as py, pz / sqrt(px * px + py * py + pz * pz) as pz, x, y, z from q)
+    select id, round(px, 6) + 0.0 as px, round(py, 6) + 0.0 as py, round(pz, 6) + 0.0 as pz, round(ax * (1 - x) + ay * (2 - y) + az * (3 - z), 6) + 0.0 as along, round(px * (1 - x) + py * (2 - y) + pz * (3 - z), 6) + 0.0 as across,
+        round((ay * pz - az * py) * (1 - x) + (az * px - ax * pz) * (2 - y) + (ax * py - ay * px) * (3 - z), 6) + 0.0 as up from r""")
+def local_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The point (1, 2, 3) in the frame at each point whose first axis is the point's own direction, and the frame's second axis."""
+    p = points(spark, sf_dir)
+    rows = G.frame(G.vec())
+    there = G.to_frame(rows, G.vec(), (F.lit(1.0), F.lit(2.0), F.lit(3.0)))
+    return rounded(p.select("id", *[c.alias(f"p{a}") for a, c in zip("xyz", rows[1], strict=True)], *[c.alias(n) for n, c in zip(("along", "across", "up"), there, strict=True)]), "px", "py", "pz", "along", "across", "up")
+
+
 # ---- meshes
 
 
+@query(f"with {MESH} select a as face_id, cast(4 as bigint) as vertex_indices_count, a as vertex_indices_0, a + 1 as vertex_indices_1, a + {WIDTH + 1} as vertex_indices_2 from cells")
+def mesh_fixed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mesh.fixed_columns(quads(spark, sf_dir), "vertex_indices", 3)
+
+
+@query(f"with {MESH} select face_id, v0, v1, v2 from tri where face_id % 5 not in (0, 1, 2)")
+def mesh_valid_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faces left when some have a vertex that is null, negative or the mark of a missing one."""
+    f, kind = faces(spark, sf_dir), F.col("face_id") % 5
+    return mesh.valid_faces(f.withColumn("v1", F.when(kind == 0, F.lit(None)).when(kind == 1, F.lit(-1)).when(kind == 2, F.lit(mesh.NO_VERTEX)).otherwise(F.col("v1"))))
+
+
 @query(f"with {MESH} select d.id, d.nid, round({d2('a', 'b')}, 6) + 0.0 as d2 from dedge d join mpts a on a.id = d.id join mpts b on b.id = d.nid")
 def mesh_one_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(mesh.one_ring(lattice(spark, sf_dir), faces(spark, sf_dir)).drop("rank"), "d2")
@@ -669,6 +701,46 @@ def ply_in_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ply.load_bytes(spark.read.format("binaryFile").load(path), "x float, y float, z float").select("id", *[F.col(a).cast("double").alias(a) for a in "xyz"]), *"xyz")
 
 
+FILES = f"{PTS}, numbered as (select id % 7 as file, row_number() over (partition by id % 7 order by id) - 1 as id, x, y, z from pts) select cast(file as varchar) as file, id, round(x, 6) + 0.0 as x, round(y, 6) + 0.0 as y, round(z, 6) + 0.0 as z from numbered"
+
+
+def _ply_files(spark: SparkSession, sf_dir: str, encoding: str) -> DataFrame:
+    """(path, content): seven small files in memory, each with an element of lists before the vertices."""
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id")
+        head = f"ply\nformat {encoding} 1.0\ncomment made here\nelement part 2\nproperty list uchar short of\nelement vertex {len(part)}\nproperty int id\nproperty double x\nproperty double y\nproperty double z\nend_header\n"
+        if encoding == "ascii":
+            body = "2 7 -8\n0\n" + "".join(f"{i} {x!r} {y!r}\n{z!r}\n" for i, x, y, z in zip(part["id"].tolist(), *(part[a].tolist() for a in "xyz"), strict=True))
+            data = (head + body).encode()
+        else:
+            order = ply.ORDER[encoding]
+            rows = np.zeros(len(part), [("id", order + "i4"), *[(a, order + "f8") for a in "xyz"]])
+            for a in rows.dtype.names:
+                rows[a] = part[a]
+            data = head.encode() + struct.pack(order + "BhhB", 2, 7, -8, 0) + rows.tobytes()
+        return pd.DataFrame({"path": [str(int(part["file"].iloc[0]))], "content": [data]})
+
+    return points(spark, sf_dir).withColumn("file", F.col("id") % 7).groupBy("file").applyInPandas(pack, "path string, content binary")
+
+
+@query(f"with {FILES}")
+def ply_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text files whose rows run over line ends."""
+    return rounded(ply.load_bytes(_ply_files(spark, sf_dir, "ascii"), "x double, y double, z double"), *"xyz")
+
+
+@query(f"with {FILES}")
+def ply_big_endian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ply.load_bytes(_ply_files(spark, sf_dir, "binary_big_endian"), "x double, y double, z double"), *"xyz")
+
+
+@query("select cast(id % 7 as varchar) as file, 2 as lists, 2 as entries from (select distinct vec_id % 7 as id from embeddings)")
+def ply_lists_of_two_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ply.load_bytes(_ply_files(spark, sf_dir, "binary_little_endian"), "of array<short>", "part")
+    return found.groupBy("file").agg(F.count("of").cast("int").alias("lists"), F.sum(F.size("of")).cast("int").alias("entries"))
+
+
 @query(f"with {PTS} select round(x, 6) + 0.0 as x, round(y, 6) + 0.0 as y, round(z, 6) + 0.0 as z from pts")
 def xyz_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "cloud-xyz")
