@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.plans.storage import materialize
 
+#: Edges that a task contracts at once.
+HELD = 1 << 20
+
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -44,33 +49,54 @@ def label(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         up = new
 
 
-def _in_one_task(edges: DataFrame) -> DataFrame:
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        ids, comp = label(part["u"].to_numpy(), part["v"].to_numpy())
-        return pd.DataFrame({"id": ids, "comp": comp})
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Edges that tie the same vertices together, fewer of them: each task ties those of its edges to their smallest vertex.
 
-    return edges.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "id long, comp long")
+    Works on so many edges at a time as a task can hold, so it needs no shuffle; a graph that lies in one task is done.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
 
-def components(edges: DataFrame, tag: str = "components", small: int = 0) -> DataFrame:
-    """(u, v) -> (id, comp): every vertex that has an edge, with the smallest vertex of its component.
+        def out() -> pa.RecordBatch:
+            ids, comp = label(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held.clear()
+            far = ids != comp
+            return pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(comp[far])], names=["u", "v"])
+
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            n += batch.num_rows
+            if n >= HELD:
+                yield out()
+                n = 0
+        if held:
+            yield out()
 
-    Up to small distinct edges, which are counted, are labelled in one task instead; both ways give the same rows.
+    return edges.select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(run, "u long, v long")
+
+
+def _mark(edges: DataFrame) -> tuple:
+    """Equal for equal sets of edges, and as good as never for others."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first())
+
+
+def components(edges: DataFrame, tag: str = "components") -> DataFrame:
+    """(u, v) -> (id, comp): every vertex that has an edge, with the smallest vertex of its component.
 
-    Each round turns neighbourhoods into stars (first of larger, then of smaller neighbours) until nothing changes, which
-    takes about log(n) rounds however long the paths are. A round costs two aggregations that combine before the shuffle
-    and two joins that adaptive execution can split, so a vertex with very many neighbours holds nothing up. Each round is
-    written to the shared folder. Self loops and null ends are left out.
+    Tasks first contract what they hold, before and after one shuffle. Then each round turns neighbourhoods into stars
+    (first of larger, then of smaller neighbours) until nothing changes, which takes about log(n) rounds however long the
+    paths are. A round costs two aggregations that combine before the shuffle and two joins that adaptive execution can
+    split, so a vertex with very many neighbours holds nothing up. Each round is written to the shared folder. Self loops
+    and null ends are left out.
     """
-    own = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u is not null and v is not null and u <> v").distinct()
-    now, mark = materialize(own, tag), None
-    if small and now.count() <= small:
-        return _in_one_task(now)
+    own = edges.where("u is not null and v is not null and u <> v")
+    now = materialize(_contracted(_contracted(own).distinct()).distinct(), tag)
+    mark = _mark(now)
     while True:
         now = materialize(_small_star(_large_star(now)), tag, now)
-        seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first()
-        if seen == mark:
+        before, mark = mark, _mark(now)
+        if before == mark:
             break
-        mark = seen
     roots = now.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("comp"))
     return now.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(roots)

@@ -590,7 +590,7 @@ COMPONENTS = f"with recursive {UNIT}, {near_sql(2)}, d as (select id as a, nid a
 
 def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = unit(spark, sf_dir)
-    return components(near(u, 2).select(F.col("id").alias("u"), F.col("nid").alias("v")), small=1_000_000)
+    return components(near(u, 2).select(F.col("id").alias("u"), F.col("nid").alias("v")))
 
 
 @query(f"{COMPONENTS} select id, comp from comp")
@@ -600,8 +600,9 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{COMPONENTS} select id, comp from comp")
 def connected_components_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of edges dealt out to many tasks, which contract little."""
     u = unit(spark, sf_dir)
-    return components(near(u, 2).select(F.col("id").alias("u"), F.col("nid").alias("v")))
+    return components(near(u, 2).select(F.col("id").alias("u"), F.col("nid").alias("v")).repartition(32))
 
 
 @query(f"{COMPONENTS} select comp, count(*) as n from comp group by comp")

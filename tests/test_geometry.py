@@ -246,8 +246,8 @@ def test_components(spark, edges):
         if a != b:
             a, b = find(a), find(b)
             up[max(a, b)] = min(a, b)
-    for small in (0, 1000):
-        got = {r["id"]: r["comp"] for r in components(spark.createDataFrame(edges, "u long, v long"), small=small).collect()}
+    for parts in (1, 7):
+        got = {r["id"]: r["comp"] for r in components(spark.createDataFrame(edges, "u long, v long").repartition(parts)).collect()}
         assert got == {x: find(x) for x in up}
 
 
