@@ -70,16 +70,28 @@ def measure(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """doc_id, host and the MEASURES of each whole text; a null text has none of anything."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
-    schema = T.StructType([rows.schema["doc_id"], rows.schema["host"], *[T.StructField(m, T.LongType()) for m in MEASURES]])
+def measures(docs: DataFrame, id_col: str | None = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """doc_id, host and the MEASURES of each whole text; a null text has none of anything.
+
+    Without an id_col the rows themselves go along instead of an id, as the struct row.
+    """
+    text, host = F.col(text_col), F.col(host_col).cast("string")
+    if id_col is None:
+        rows, first = docs.select(host.alias("__host"), text.alias("__text"), *[docs[c] for c in docs.columns if c != text_col]), T.StructField("row", docs.schema)
+    else:
+        rows, first = docs.select(host.alias("host"), text.alias("text"), F.col(id_col).alias("doc_id")), None
+    schema = T.StructType([first or rows.schema["doc_id"], T.StructField("host", T.StringType()), *[T.StructField(m, T.LongType()) for m in MEASURES]])
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for buf, off, a, n in _text.chunks(batch.column(0), batch.column(2)):
+            own = batch.column(2) if first is None else None
+            if own is None:  # the text is sent once and put back in its place
+                by = dict(zip([c for c in names if c != text_col], batch.columns[2:], strict=True)) | {text_col: batch.column(1)}
+                own = pa.StructArray.from_arrays([by[c] for c in names], names=names)
+            for buf, off, a, n in _text.chunks(batch.column(1), batch.column(1)):
                 m = measure(buf, off)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), batch.column(1).slice(a, n), *[pa.array(m[x].astype(np.int64)) for x in MEASURES]], names=["doc_id", "host", *MEASURES])
+                yield pa.RecordBatch.from_arrays([own.slice(a, n), batch.column(0).slice(a, n), *[pa.array(m[x].astype(np.int64)) for x in MEASURES]], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -98,6 +110,7 @@ def host_rates(judged: DataFrame) -> DataFrame:
     between 2 and 1000, so one host or equal rates still give a prior.
     """
     hosts = judged.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum((F.col("base_failed") | F.col("soft_failed")).cast("long")).alias("n_failed"))
+    hosts = materialize(hosts, "rules-counts")
     rate = F.col("n_failed") / F.col("n_docs")
     prior = hosts.agg(F.avg(rate).alias("mean"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias("var"))
     weight = F.when(F.col("var") > 0, F.col("mean") * (1 - F.col("mean")) / F.col("var") - 1).otherwise(F.lit(1000.0))
@@ -107,6 +120,18 @@ def host_rates(judged: DataFrame) -> DataFrame:
     return all_.select("host", "n_docs", "n_failed", shrunk.alias("host_rate"))
 
 
+def keep(docs: DataFrame, max_host_rate: float = 0.5, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows of docs that judge() keeps, with docs' own columns.
+
+    Rows are judged by themselves, so no id is needed and none is joined: the texts are measured once for the hosts' rates
+    and once where they pass. They only meet the hosts above max_host_rate, which are few; nothing else is shuffled.
+    """
+    hosts = host_rates(failures(measures(docs, host_col, text_col, host_col)))
+    bad = materialize(hosts.where(F.col("host_rate") > F.lit(float(max_host_rate))).select(F.col("host").alias("of")), "rules-bad-hosts")
+    rows = failures(measures(docs, None, text_col, host_col)).where(~F.col("base_failed"))
+    return rows.join(bad, F.col("soft_failed") & F.col("host").eqNullSafe(F.col("of")), "left_anti").select("row.*")
+
+
 def judge(docs: DataFrame, max_host_rate: float = 0.5, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Per row of docs: doc_id, host, the MEASURES, base_failed, soft_failed, host_rate, kept.
 
