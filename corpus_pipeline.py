@@ -1,8 +1,7 @@
 """From raw documents to token ids: rules, near duplicates, secrets, mixture, encoding.
 
 Each stage takes all that the one before kept and its decisions take effect. All but the last return the columns of
-documents. Decisions hold for a row, told by its id, text and source together, so rows that share an id, or have none, are
-judged each by itself. Only the rows to drop meet the texts.
+documents. Rows that share an id, or have none, are judged each by itself.
 """
 
 from __future__ import annotations
@@ -22,10 +21,7 @@ GIVEN = -(1 << 62)
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither fail a base rule nor a soft rule on a failing host."""
     small_batches(spark)
-    key = F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("t"), F.col("source").alias("s"))
-    judged = quality_rules.judge(docs.select(key.alias("key"), "text", "source"), id_col="key")
-    gone = materialize(judged.where("not kept").select("doc_id.*").distinct(), "pipeline-dropped")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("i")) & (F.xxhash64(docs["text"]) == F.col("t")) & docs["source"].eqNullSafe(F.col("s")), "left_anti")
+    return quality_rules.keep(docs)
 
 
 def _one_of_each(rows: DataFrame, by: str) -> DataFrame:
