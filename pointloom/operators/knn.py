@@ -1,6 +1,6 @@
 """Neighbour joins over grids. Results are edges (id, nid, d2, rank); a missing neighbour is a missing row.
 
-A grid round gives each query the 27 cells around its own and joins them with the reference points by cell. A query is done
+A grid round compares each query with the points in the 27 cells around its own, cube by cube in numpy. A query is done
 when its k-th distance is strictly below the distance to every face of that block behind which the grid goes on: nothing
 nearer, and no tie, can lie outside. Queries near crowded cells, outside the cube or in sparse surroundings descend a tree
 of cells instead, which is split until no cell holds many points: from level to level only cells go on that can hold one
@@ -14,6 +14,8 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,10 @@ from pointloom.plans.storage import materialize
 FINEST = 1024
 #: Rounds over the grid, the second with cells twice as wide, before the queries that are left descend the tree.
 GRID_ROUNDS = 1
+#: Cells an axis of the cubes that a grid round handles in one go.
+SIDE = 8
+#: Pairs of points that a task compares at once.
+PAIRS = 1 << 21
 #: Levels that the tree goes down at once where cells are crowded, and its last level, beyond which doubles hardly resolve.
 STEP, DEEPEST = 3, 48
 
@@ -80,27 +86,90 @@ def _top(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("d2", "nid"))).where(F.col("rank") <= k)
 
 
-def _hot(refs: DataFrame, b: int, most: int) -> DataFrame:
-    """The cells (hx, hy, hz) whose block holds a cell with more than most points."""
-    full = cloud.occupancy(refs, b).where(F.col("n") > most)
-    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
-    return full.withColumn("hx", around("cx")).withColumn("hy", around("cy")).withColumn("hz", around("cz")).select("hx", "hy", "hz").distinct()
+def _crowded(refs: DataFrame, b: int, most: int) -> DataFrame:
+    """The cells (fx, fy, fz) with more than most points."""
+    return cloud.occupancy(refs, b).where(F.col("n") > most).select(*[F.col(f"c{a}").alias(f"f{a}") for a in "xyz"])
+
+
+def _around(cells: DataFrame) -> DataFrame:
+    """The cells (hx, hy, hz) whose block of 27 holds one of these cells."""
+    for a in "xyz":
+        cells = cells.withColumn(f"h{a}", F.explode(F.sequence(F.col(f"f{a}") - 1, F.col(f"f{a}") + 1)))
+    return cells.select("hx", "hy", "hz").distinct()
+
+
+def _nearest_in_block(k: int, b: int, max_d2: float | None, exclude_self: bool):
+    """The kernel of a grid round: (id, nid, d2, rank) of the queries that their 27 cells prove done, for each also a row of rank 0.
+
+    Points lie sorted by cell, x running fastest, so a query's 27 cells are nine stretches. Only points nearer than the
+    query's reach count: if k of them are, they are the nearest; if max_d2 is within reach, those within it are all.
+    """
+
+    def run(queries: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"id": np.zeros(0, np.int64), "nid": np.zeros(0, np.int64), "d2": np.zeros(0), "rank": np.zeros(0, np.int32)})
+        if not len(queries):
+            return none
+        cell = lambda t: [t[f"c{a}"].to_numpy(np.int64) for a in "xyz"]
+        q, r = queries[["x", "y", "z"]].to_numpy(float), refs[["x", "y", "z"]].to_numpy(float)
+        qc, rc, ids, nids = cell(queries), cell(refs), queries["id"].to_numpy(), refs["id"].to_numpy()
+        line = lambda x, y, z: (z * (b + 2) + y) * (b + 2) + x
+        at = line(*rc)
+        order = np.argsort(at, kind="stable")
+        at, r, nids = at[order], r[order], nids[order]
+        reach = np.full(len(q), np.inf)
+        for a in range(3):
+            reach = np.minimum(reach, np.where(qc[a] - 1 > 0, q[:, a] - (qc[a] - 1) / b, np.inf))
+            reach = np.minimum(reach, np.where(qc[a] + 2 < b, (qc[a] + 2) / b - q[:, a], np.inf))
+        low = np.stack([line(qc[0] - 1, qc[1] + dy, qc[2] + dz) for dz in (-1, 0, 1) for dy in (-1, 0, 1)], axis=1)
+        begin, end = np.searchsorted(at, low), np.searchsorted(at, low + 2, side="right")
+        upto = np.cumsum((end - begin).sum(axis=1))
+        out = []
+        for part in np.split(np.arange(len(q)), np.flatnonzero(np.diff(upto // PAIRS)) + 1):  # so many pairs at once
+            size = (end[part] - begin[part]).ravel()
+            of = np.repeat(np.repeat(part, 9), size)
+            near = np.arange(len(of)) + np.repeat(begin[part].ravel() - np.cumsum(size) + size, size)
+            d = q[of] - r[near]
+            d2 = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
+            keep = np.sqrt(d2) < reach[of]
+            if max_d2 is not None:
+                keep &= d2 <= max_d2
+            if exclude_self:
+                keep &= ids[of] != nids[near]
+            of, near, d2 = of[keep], near[keep], d2[keep]
+            order = np.lexsort((nids[near], d2, of))
+            of, near, d2 = of[order], near[order], d2[order]
+            count = np.bincount(of, minlength=len(q))
+            rank = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + 1
+            done = count[part] >= k
+            if max_d2 is not None:
+                done |= max_d2**0.5 < reach[part]
+            done = part[done]
+            keep = np.isin(of, done) & (rank <= k)
+            out.append((np.append(ids[of[keep]], ids[done]), np.append(nids[near[keep]], ids[done]), np.append(d2[keep], np.zeros(len(done))), np.append(rank[keep], np.zeros(len(done))).astype(np.int32)))
+        return pd.DataFrame(dict(zip(("id", "nid", "d2", "rank"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)))
+
+    return run
 
 
 def _grid_round(active: DataFrame, refs: DataFrame, k: int, b: int, max_d2: float | None, exclude_self: bool) -> tuple[DataFrame, DataFrame]:
-    """(edges of the queries that are done, the other queries)."""
-    hot = materialize(_hot(refs, b, crowd(k)), "knn-hot")
+    """(edges of the queries that are done, the other queries).
+
+    Cubes of SIDE cells an axis with the cells around them are handled in one go each; crowded cells are left out with all
+    queries around them, so a cube holds a bounded number of points.
+    """
+    full = _crowded(refs, b, crowd(k))
     inside = reduce(Column.__and__, [F.col(a).between(0.0, 1.0) for a in "xyz"])
-    q = cloud.index_of_cells(active.where(inside), b)
-    easy = q.join(hot, (F.col("cx") == F.col("hx")) & (F.col("cy") == F.col("hy")) & (F.col("cz") == F.col("hz")), "left_anti").select("id", "x", "y", "z")
-    near = candidates(easy, refs, b, exclude_self)
-    got = _top(near if max_d2 is None else near.where(F.col("d2") <= max_d2), k)
-    got = materialize(got.select("id", "nid", "d2", "rank", "reach"), "knn-round")
-    full = got.where((F.col("rank") == k) & (F.sqrt("d2") < F.col("reach"))).select(F.col("id").alias("ok"))
-    if max_d2 is not None:
-        full = full.unionByName(cloud.index_of_cells(easy, b).where(F.lit(max_d2**0.5) < _reach(b)).select(F.col("id").alias("ok"))).distinct()
-    full = materialize(full, "knn-done")
-    return got.join(full, F.col("id") == F.col("ok"), "left_semi").select("id", "nid", "d2", "rank"), active.join(full, F.col("id") == F.col("ok"), "left_anti")
+    q, r = cloud.index_of_cells(active.where(inside), b), cloud.index_of_cells(refs, b)
+    on = lambda h: reduce(Column.__and__, [F.col(f"c{a}") == F.col(f"{h}{a}") for a in "xyz"])
+    q, r = q.join(_around(full), on("h"), "left_anti"), r.join(full, on("f"), "left_anti")
+    for a in "xyz":
+        q = q.withColumn(f"b{a}", F.floor(F.col(f"c{a}") / SIDE))
+        r = r.withColumn(f"b{a}", F.explode(F.array_distinct(F.array(*[F.floor((F.col(f"c{a}") + d) / SIDE) for d in (-1, 0, 1)]))))
+    cube, cols = ["bx", "by", "bz"], ["id", "x", "y", "z", "cx", "cy", "cz", "bx", "by", "bz"]
+    got = q.select(cols).groupBy(cube).cogroup(r.select(cols).groupBy(cube)).applyInPandas(_nearest_in_block(k, b, max_d2, exclude_self), "id long, nid long, d2 double, rank int")
+    got = materialize(got, "knn-round")
+    ok = got.where("rank = 0").select(F.col("id").alias("ok"))
+    return got.where("rank > 0"), active.join(ok, F.col("id") == F.col("ok"), "left_anti")
 
 
 def _cells(points: DataFrame, level: int) -> DataFrame:
@@ -114,29 +183,30 @@ def _summed(cells: DataFrame, n: Column) -> DataFrame:
     return cells.groupBy("cx", "cy", "cz").agg(n.alias("n"), *[f(c).alias(c) for a in "xyz" for f, c in ((F.min, f"lo{a}"), (F.max, f"hi{a}"))])
 
 
-def _tree(refs: DataFrame, n: int, need: int, most: int) -> tuple[list[tuple[int, DataFrame]], list[tuple[int, DataFrame]]]:
-    """(nodes by level, points by level) of a tree whose leaves hold at most most points.
+def _tree(refs: DataFrame, n: int, k: int, need: int) -> tuple[list[tuple[int, DataFrame]], dict[int, DataFrame]]:
+    """(nodes by level, points by level) of a tree of cells.
 
     nodes: cell, n, bounds, split (whether the next level goes on with it). Down to the level at which an even cloud's
-    cells are leaves all cells are split; below it only crowded ones are. points: those in the leaves of a level, with
-    their cell. Of points in one place only the need smallest ids can be among the nearest; where cells are crowded the
-    others are left out first, so copies of one point in any number do not crowd a cell.
+    cells hold some leaf(k) points all are split; there and below only crowded ones are. points: those in the leaves of a
+    level, with their cell. Of points in one place only the need smallest ids can be among the nearest; where cells are
+    crowded the others are left out first, so copies of one point in any number do not crowd a cell.
     """
-    level = max(0, math.ceil(math.log(max(1.0, 4 * n / most), 8)))
-    nodes, parts, first = [], [], True
+    level = max(0, math.ceil(math.log(max(1.0, 4 * n / leaf(k)), 8)))
+    nodes, points, first = [], {}, True
     while True:
         at = _cells(refs, level)
-        base = materialize(_summed(at.withColumns({f"{e}{a}": F.col(a) for a in "xyz" for e in ("lo", "hi")}), F.count(F.lit(1))).withColumn("split", (F.col("n") > most) & F.lit(level < DEEPEST)), "tree-cells")
+        base = _summed(at.withColumns({f"{e}{a}": F.col(a) for a in "xyz" for e in ("lo", "hi")}), F.count(F.lit(1)))
+        base = materialize(base.withColumn("split", (F.col("n") > crowd(k)) & F.lit(level < DEEPEST)), "tree-cells")
         if first:
             for up in range(level % 2 or 2, level, 2):  # two levels at once
                 higher = base.withColumns({f"c{a}": F.shiftright(f"c{a}", level - up) for a in "xyz"})
-                nodes.append((up, materialize(_summed(higher, F.sum("n")).withColumn("split", F.lit(True)), "tree-nodes")))
+                nodes.append((up, _summed(higher, F.sum("n")).withColumn("split", F.lit(True))))
         nodes.append((level, base))
         full = base.where("split").select(*[F.col(f"c{a}").alias(f"f{a}") for a in "xyz"])
         if full.isEmpty():
-            return nodes, [*parts, (level, at)]
+            return nodes, points | {level: at}
         same = reduce(Column.__and__, [F.col(f"c{a}") == F.col(f"f{a}") for a in "xyz"])
-        parts.append((level, materialize(at.join(full, same, "left_anti"), "tree-leaves")))
+        points[level] = at.join(full, same, "left_anti")
         refs = at.join(full, same, "left_semi").select("id", "x", "y", "z")
         if first:
             refs = refs.withColumn("same", F.row_number().over(Window.partitionBy("x", "y", "z").orderBy("id"))).where(F.col("same") <= need).drop("same")
@@ -150,20 +220,20 @@ def _descend(queries: DataFrame, refs: DataFrame, n: int, k: int, max_d2: float
     holds from level to level and gets smaller. Bounds are widened by far more than rounding, so ties are never lost.
     """
     need = k + exclude_self
-    nodes, parts = _tree(refs, n, need, leaf(need))
+    nodes, points = _tree(refs, n, k, need)
     far = F.lit(float("inf") if max_d2 is None else float(max_d2))
     front = queries.select("id", "x", "y", "z", far.alias("most"), *[F.lit(0).cast("long").alias(f"p{a}") for a in "xyz"])
     above, found = 0, []
-    points = dict(parts)
-    for level, cells in nodes:
+    for at, (level, cells) in enumerate(nodes):
         child = cells.withColumns({f"u{a}": F.shiftright(f"c{a}", level - above) for a in "xyz"})
         both = front.join(child, reduce(Column.__and__, [F.col(f"p{a}") == F.col(f"u{a}") for a in "xyz"]))
         least = reduce(Column.__add__, [F.pow(F.greatest(F.col(f"lo{a}") - F.col(a), F.col(a) - F.col(f"hi{a}"), F.lit(0.0)), 2) for a in "xyz"])
         most = reduce(Column.__add__, [F.pow(F.greatest(F.abs(F.col(a) - F.col(f"lo{a}")), F.abs(F.col(a) - F.col(f"hi{a}"))), 2) for a in "xyz"])
         both = both.withColumns({"least": least, "enough": F.when(F.col("n") >= need, most * (1 + 1e-9) + 1e-300)})
         both = both.withColumn("most", F.least("most", F.min("enough").over(Window.partitionBy("id")))).where(F.col("least") <= F.col("most"))
-        went = materialize(both.select("id", "x", "y", "z", "most", "split", *[F.col(f"c{a}").alias(f"p{a}") for a in "xyz"]), "knn-front")
+        went = both.select("id", "x", "y", "z", "most", "split", *[F.col(f"c{a}").alias(f"p{a}") for a in "xyz"])
         if level in points:
+            went = materialize(went, "knn-front") if at + 1 < len(nodes) else went
             r = points[level].select(F.col("id").alias("nid"), *[F.col(a).alias(f"r{a}") for a in "xyz"], *[F.col(f"c{a}").alias(f"t{a}") for a in "xyz"])
             near = went.where("not split").join(r, reduce(Column.__and__, [F.col(f"p{a}") == F.col(f"t{a}") for a in "xyz"]))
             near = near.select("id", "nid", G.squared_distance(G.vec(), G.vec("r")).alias("d2"), "most").where(F.col("d2") <= F.col("most"))
@@ -178,7 +248,9 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, max_d2: float | None =
     max_d2: only neighbours below it (strict) or up to it. With fewer than k references all of them are returned.
     cells: cells an axis of the grid. Results do not depend on it. Each round is written to the shared folder.
     """
-    refs, active, done = materialize(cloud.finite(refs.select("id", "x", "y", "z")), "knn-refs"), materialize(cloud.finite(queries.select("id", "x", "y", "z")), "knn-queries"), []
+    own, done = materialize(cloud.finite(refs.select("id", "x", "y", "z")), "knn-refs"), []
+    active = own.toDF(*own.columns) if queries is refs else materialize(cloud.finite(queries.select("id", "x", "y", "z")), "knn-queries")
+    refs = own
     n = refs.count()
     b = cells or start_cells(n, k)
     for _ in range(GRID_ROUNDS):
@@ -186,7 +258,7 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, max_d2: float | None =
             break
         got, left = _grid_round(active, refs, k, b, max_d2, exclude_self)
         done.append(got)
-        active, b = materialize(left, "knn-active", active), b // 2
+        active, b = materialize(left, "knn-active"), b // 2
     if not done or not active.isEmpty():
         near = _descend(active, refs, n, k, max_d2, exclude_self)
         done.append(_top(near, k).select("id", "nid", "d2", "rank"))

@@ -63,22 +63,25 @@ def _spread(c: Column) -> Column:
     return c
 
 
-def spatial_blocks(points: DataFrame, most: int) -> DataFrame:
-    """(id, x, y, z, block): about most points a block, which lie together on a space-filling curve; equal places split by id."""
-    b = materialize(cloud.extent(points).withColumn("n", points.agg(F.count(F.lit(1))).scalar()), "taubin-extent")
-    n = b.first()["n"]
-    cells = cloud.index_of_cells(cloud.normalise(points, b), 1024).select("id", sum((F.shiftleft(_spread(F.col(f"c{a}")), k) for k, a in enumerate("xyz")), F.lit(0)).alias("curve"))
-    at = points.join(cells.withColumnRenamed("id", "cid"), F.col("id") == F.col("cid")).drop("cid")
-    parts = max(1, -(-n // most))
-    return at.repartitionByRange(parts, "curve", "id").select("id", "x", "y", "z", F.spark_partition_id().cast("long").alias("block"))
-
-
-def _halo(at: DataFrame, edges: DataFrame, hops: int) -> tuple[DataFrame, bool]:
+def spatial_blocks(points: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """((id, x, y, z, block), blocks): about most points a block, which lie together on a space-filling curve; equal places split by id."""
+    ends = cloud.extent(points).crossJoin(points.agg(F.count(F.lit(1)).alias("n"))).first()  # a row each
+    parts = max(1, -(-ends["n"] // most))
+    if parts == 1:
+        return points.select("id", "x", "y", "z", F.lit(0).cast("long").alias("block")), 1
+    cells = [G.cell_coordinate(F.col(a), ends["lo"] or 0.0, ends["hi"] or 1.0, 1024) for a in "xyz"]
+    at = points.withColumn("curve", sum((F.shiftleft(_spread(c), k) for k, c in enumerate(cells)), F.lit(0)))
+    return at.repartitionByRange(parts, "curve", "id").select("id", "x", "y", "z", F.spark_partition_id().cast("long").alias("block")), parts
+
+
+def _halo(at: DataFrame, edges: DataFrame, hops: int, blocks: int) -> tuple[DataFrame, bool]:
     """((block, id, hop), whether blocks meet): the points of each block, hop 0, and those within so many edges of them.
 
     Only the newly found points of a hop go on to the next, so a step costs what the blocks' rims are.
     """
     own = at.select("block", "id")
+    if blocks == 1:
+        return own.withColumn("hop", F.lit(0)), False
     to = at.select(F.col("id").alias("tid"), F.col("block").alias("tblock"))
     rim = edges.join(own, "id").join(to, F.col("nid") == F.col("tid")).where("block <> tblock").select("block", F.col("nid").alias("id")).distinct()
     found = materialize(rim.withColumn("hop", F.lit(1)), "taubin-rim")
@@ -100,17 +103,20 @@ def taubin_many(points: DataFrame, edges: DataFrame, iterations: int, lam: float
     right; the halo's inner rings are right as far as the passes left need them. Blocks without a halo, as in a cloud of
     one block or of parts far from each other, run all iterations at once. Positions differ from taubin's by rounding only.
     """
-    pts = points.select("id", "x", "y", "z")
-    e = materialize(edges.select("id", "nid"), "taubin-all")
-    at = materialize(spatial_blocks(pts, most), "taubin-blocks")
-    halo, meet = _halo(at, e, 2 * at_once)
+    cut, blocks = spatial_blocks(points.select("id", "x", "y", "z"), most)
+    at, e = cut, edges.select("id", "nid")
+    if blocks > 1:  # they are read many times
+        at, e = materialize(at, "taubin-blocks"), materialize(e, "taubin-all")
+    halo, meet = _halo(at, e, 2 * at_once, blocks)
     step = at_once if meet else max(iterations, 1)
     inner = halo.where(F.col("hop") < 2 * step).select("block", F.col("id").alias("hid"))
-    tied = materialize(inner.join(e, F.col("hid") == F.col("id")).select("block", "id", "nid").repartition("block"), "taubin-tied")
+    tied = inner.join(e, F.col("hid") == F.col("id")).select("block", "id", "nid")
+    if meet:  # every step reads it
+        tied = materialize(tied.repartition("block"), "taubin-tied")
     now = at.select("id", "x", "y", "z")
     for done in range(0, iterations, step):
         run = _block_passes(min(step, iterations - done), lam, mu)
-        placed = halo.withColumnRenamed("id", "hid").join(now, F.col("hid") == F.col("id")).select("block", "id", "hop", "x", "y", "z")
+        placed = halo.withColumnRenamed("id", "hid").join(now, F.col("hid") == F.col("id")).select("block", "id", "hop", "x", "y", "z") if meet else at.toDF(*at.columns).withColumn("hop", F.lit(0))
         after = placed.groupBy("block").cogroup(tied.groupBy("block")).applyInPandas(run, "id long, x double, y double, z double")
         now = after if done + step >= iterations else materialize(after, "taubin-step", now)
     return now

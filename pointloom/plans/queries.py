@@ -778,3 +778,29 @@ def smooth_cloud_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     near as (select id, nid, d2, row_number() over (partition by id order by d2, nid) as rank from (select d.id, d.nid, {d2('a', 'b')} as d2 from dedge d join unit a on a.id = d.id join unit b on b.id = d.nid)), {egg_sql(1e-8)}""", "unit", "egg", 2).replace(f"select {XYZ} from m1", f"select id, {', '.join(f'round({c} * (hi - lo) + lo, 6) + 0.0 as {c}' for c in 'xyz')} from m1, ext"))
 def smooth_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pipeline.smooth_mesh(lattice(spark, sf_dir), faces(spark, sf_dir), k=40, iterations=2), *"xyz")
+
+
+# ---- larger graphs, timed only: no SQL walks them in reasonable time
+
+
+def _order_edges(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return materialize(knn.knn_self(order_points(spark, sf_dir), k), "order-edges")
+
+
+def components_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all orders' three nearest neighbours."""
+    return components(_order_edges(spark, sf_dir, 3).select(F.col("id").alias("u"), F.col("nid").alias("v")))
+
+
+def forest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spanning forest of all orders' eight nearest neighbours by distance, in rounds."""
+    return graph.spanning_forest(graph.distance_edges(_order_edges(spark, sf_dir, 8)), small=0)[0]
+
+
+def smooth_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten iterations over all orders' eight nearest neighbours, in blocks with halos."""
+    p = materialize(cloud.normalise(order_points(spark, sf_dir)), "unit")
+    return smoothing.taubin_many(p, _order_edges(spark, sf_dir, 8), 10, most=20_000)
+
+
+TIMED: dict[str, Query] = {f.__name__: f for f in (components_orders, forest_orders, smooth_orders)}
