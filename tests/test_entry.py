@@ -24,4 +24,16 @@ def test_without_the_subpackage(tmp_path):
     copy = tmp_path / "repo"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'knn_grid' in q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert e.oracle_sql().keys() <= q.keys()"
+    env = os.environ | {"PYTHONPATH": str(copy)}
+    subprocess.run([sys.executable, "-B", "-W", "error::UserWarning", "-c", code], cwd=copy, env=env, check=True)
+    tests = ["tests/test_files.py::test_xyz_round_trip", "tests/test_geometry.py::test_degenerate_extent", "tests/test_streaming.py"]
+    subprocess.run([sys.executable, "-B", "-m", "pytest", "-q", "-p", "no:cacheprovider", *tests], cwd=copy, env=env, check=True)
+    subprocess.run([sys.executable, "-B", "-m", "pytest", "-q", "--collect-only", "-p", "no:cacheprovider", "tests"], cwd=copy, env=env, check=True)
+
+
+def test_a_missing_dependency_does_not_pass_in_silence(tmp_path):
+    copy = tmp_path / "repo"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__"))
+    (copy / "zstandard.py").write_text("raise ImportError('none here', name='zstandard')")
+    code = "import warnings\nwith warnings.catch_warnings(record=True) as w:\n    warnings.simplefilter('always')\n    import __spark_entry__ as e\nassert any('left out' in str(x.message) for x in w)\nassert 'knn_grid' in e.queries() and 'op4_warc' not in e.queries()"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, check=True)
