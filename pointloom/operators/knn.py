@@ -253,15 +253,13 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, max_d2: float | None =
     refs = own
     n = refs.count()
     b = cells or start_cells(n, k)
-    for _ in range(GRID_ROUNDS):
+    for left in range(GRID_ROUNDS, 0, -1):
         if b < 4:  # nearly all points share a block
             break
-        got, left = _grid_round(active, refs, k, b, max_d2, exclude_self)
+        got, active = _grid_round(active, refs, k, b, max_d2, exclude_self)
         done.append(got)
-        active, b = materialize(left, "knn-active"), b // 2
-    if not done or not active.isEmpty():
-        near = _descend(active, refs, n, k, max_d2, exclude_self)
-        done.append(_top(near, k).select("id", "nid", "d2", "rank"))
+        active, b = materialize(active, "knn-active") if left > 1 else active, b // 2
+    done.append(_top(_descend(active, refs, n, k, max_d2, exclude_self), k).select("id", "nid", "d2", "rank"))
     out = reduce(DataFrame.unionByName, done)
     if max_d2 is not None:
         out = out.where(F.col("d2") < max_d2 if strict else F.col("d2") <= max_d2)
