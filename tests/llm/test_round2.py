@@ -84,6 +84,27 @@ def test_walks_score_few_candidates_where_few_dimensions_decide():
     assert lists.scored < 0.25 * 20 * 8000
 
 
+def test_packed_rows_stay_small(spark, monkeypatch):
+    """Rows of megabytes, many at a time in a task's sorts and batches, were more than an executor's heap held."""
+    made, plain = [], type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, *a, **b: made.append(plain(self, *a, **b)) or made[-1])
+    df = spark.range(0, 20_000, 1, 1).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda x: F.sin(x * F.col("id"))).alias("embedding"))
+    topk.top_k(df)
+    sizes = [t.agg(F.max(F.octet_length(c))).first()[0] for t in made for c, kind in t.dtypes if kind == "binary"]
+    assert sizes
+    assert max(sizes) <= 1 << 18
+
+
+def test_equal_ids_with_other_vectors_in_every_block(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 10)
+    rows = [(i, [float(s + i % 3)]) for s in range(3) for i in range(10)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = [(r["vec_id"], r["score"]) for r in topk.top_k(df, every=50, scale=1).collect()]
+    assert got == [(i, 0) for i in (1, 1, 1, 2, 2)]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, every=4, scale=1).collect())
+    assert got[5:10] == [(4, 1, 2, 4), (4, 2, 5, 4), (4, 3, 8, 4), (4, 4, 1, 3), (4, 5, 2, 3)]
+
+
 def test_scores_beyond_doubles_raise():
     with pytest.raises(ValueError, match="exact"):
         topk.Lists(np.arange(2), np.full((2, 2), 2.0**27)).top(np.full(2, 2.0**27), 0, 1)
