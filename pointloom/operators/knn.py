@@ -12,10 +12,12 @@ Points with a null or non-finite coordinate are no references, and as queries th
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ GRID_ROUNDS = 1
 SIDE = 8
 #: Pairs of points that a task compares at once.
 PAIRS = 1 << 21
+#: Points in a block where all pairs are compared, and points that a block is compared with at once.
+BLOCK, STRETCH = 1024, 256
 #: Levels that the tree goes down at once where cells are crowded, and its last level, beyond which doubles hardly resolve.
 STEP, DEEPEST = 3, 48
 
@@ -288,11 +292,87 @@ def _scaled(points: DataFrame, radius: float | None) -> float | None:
     return (radius / (b["hi"] - b["lo"])) ** 2
 
 
+def _packed(points: DataFrame) -> DataFrame:
+    """Blocks (ids, at) of up to BLOCK points, made where the rows are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, at = batch.column(0).to_numpy(), np.stack([batch.column(i).to_numpy() for i in (1, 2, 3)])
+            for a in range(0, len(ids), BLOCK):
+                yield pa.RecordBatch.from_pydict({"ids": [ids[a : a + BLOCK].tobytes()], "at": [np.ascontiguousarray(at[:, a : a + BLOCK]).tobytes()]}, schema=pa.schema([("ids", pa.binary()), ("at", pa.binary())]))
+
+    return points.select(F.col("id").cast("long"), "x", "y", "z").mapInArrow(run, "ids binary, at binary")
+
+
+class _Nearest:
+    """The k nearest so far of each point of a block, held against other blocks one after the other."""
+
+    def __init__(self, ids: bytes, at: bytes, k: int):
+        self.ids, self.at, self.k = np.frombuffer(ids, np.int64), np.frombuffer(at, float).reshape(3, -1), k
+        self.held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # query, nid, d2
+        self.new, self.waiting = [], 0  # the same of pairs that may be among the nearest
+        self.most = np.full(len(self.ids), np.finfo(float).max)  # a bound on the k-th distance, squared
+        self.room = np.empty((2, len(self.ids), STRETCH)), np.empty((len(self.ids), STRETCH), bool)  # fresh arrays would cost more than the sums
+
+    def meet(self, ids: bytes, at: bytes) -> None:
+        """Every pair is compared, a stretch of the other block at a time."""
+        nids, r = np.frombuffer(ids, np.int64), np.frombuffer(at, float).reshape(3, -1)
+        for a in range(0, len(nids), STRETCH):
+            n = nids[a : a + STRETCH]
+            (d2, d), near = (x[..., : len(n)] for x in self.room)
+            for i, to in enumerate((d2, d, d)):
+                np.subtract(self.at[i][:, None], r[i, a : a + STRETCH], out=to)
+                np.multiply(to, to, out=to)
+                if i:
+                    np.add(d2, d, out=d2)
+            same = np.flatnonzero(np.isin(n, self.ids))
+            if len(same):
+                d2[:, same] = np.where(self.ids[:, None] == n[same], np.inf, d2[:, same])
+            if len(self.held[0]) < self.k * len(self.ids) and len(n) > self.k:
+                self.most = np.minimum(self.most, np.partition(d2, self.k - 1, axis=1)[:, self.k - 1])
+            q, c = np.divmod(np.flatnonzero(np.less_equal(d2, self.most[:, None], out=near)), len(n))
+            if len(q):
+                self.new.append((q, n[c], d2[q, c]))
+                self.waiting += len(q)
+            if self.waiting > self.k * len(self.ids):
+                self._merge()
+
+    def _merge(self) -> None:
+        of, nids, d2 = (np.concatenate(x) for x in zip(self.held, *self.new, strict=True))
+        order = np.lexsort((nids, d2, of))
+        of, nids, d2 = of[order], nids[order], d2[order]
+        count = np.bincount(of, minlength=len(self.ids))
+        keep = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) < self.k
+        self.held, self.new, self.waiting = (of[keep], nids[keep], d2[keep]), [], 0
+        full = np.flatnonzero(count >= self.k)
+        self.most[full] = np.minimum(self.most[full], self.held[2][np.searchsorted(self.held[0], full, side="right") - 1])
+
+    def rows(self) -> pa.RecordBatch:
+        self._merge()
+        of, nids, d2 = self.held
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[of]), pa.array(nids), pa.array(d2)], names=["id", "nid", "d2"])
+
+
 def knn_bruteforce(points: DataFrame, k: int) -> DataFrame:
-    """All pairs, for small clouds and as a yardstick."""
-    p = cloud.normalise(points)
-    q = p.select(F.col("id").alias("nid"), *[F.col(a).alias(f"r{a}") for a in "xyz"])
-    return _top(p.join(q, F.col("id") != F.col("nid")).withColumn("d2", G.squared_distance(G.vec(), G.vec("r"))), k).select("id", "nid", "d2", F.col("rank").cast("long").alias("rank"))
+    """All pairs compared, block by block, as a yardstick: time grows with the square of the points, what is shuffled with the points."""
+    blocks = materialize(_packed(cloud.finite(cloud.normalise(points))), "knn-blocks")
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    others = blocks.toDF("nids", "nat").coalesce(1)  # read once more by each task
+    pairs = blocks.repartition(tasks).crossJoin(others)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, found = None, None
+        for batch in batches:
+            for ids, at, nids, nat in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if last != (ids, at):
+                    if found is not None:
+                        yield found.rows()
+                    last, found = (ids, at), _Nearest(ids, at, k)
+                found.meet(nids, nat)
+        if found is not None:
+            yield found.rows()
+
+    return _top(pairs.mapInArrow(run, "id long, nid long, d2 double"), k).select("id", "nid", "d2", F.col("rank").cast("long").alias("rank"))
 
 
 def nearest_to(points: DataFrame, of: int, k: int = 40) -> DataFrame:

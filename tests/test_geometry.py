@@ -34,6 +34,14 @@ def pairs(df):
     return {(r["id"], r["nid"]) for r in df.collect()}
 
 
+def output_rows(plan):
+    """Rows that each node of a plan that has run gave out."""
+    plan = plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+    plan = plan.plan() if plan.getClass().getSimpleName().endswith("QueryStageExec") else plan
+    found = [plan.metrics().apply("numOutputRows").value()] if plan.metrics().contains("numOutputRows") else []
+    return found + [n for i in range(plan.children().size()) for n in output_rows(plan.children().apply(i))]
+
+
 @pytest.fixture(params=[0, 1, 2], autouse=False)
 def finish(request, monkeypatch):
     monkeypatch.setattr(knn, "GRID_ROUNDS", request.param)
@@ -53,6 +61,21 @@ def test_neighbours_do_not_depend_on_partitions_or_order(spark):
     assert pairs(knn.knn_self(points(spark, xyz * 10 + 3), 4)) == want
 
 
+def test_all_pairs_are_compared_but_no_rows_made(spark, monkeypatch):
+    """A row a pair filled the disk when sorted: their number grows with the square of the points."""
+    monkeypatch.setattr(knn, "BLOCK", 64, raising=False)
+    monkeypatch.setattr(knn, "STRETCH", 24, raising=False)
+    xyz = np.round(noise(500, 21), 1)  # ties and points in one place
+    p = points(spark, [*map(tuple, xyz.tolist()), (float("nan"), 0.5, 0.5)]).repartition(3)
+    got = knn.knn_bruteforce(p, 6)
+    rows = sorted((r["id"], r["rank"], r["nid"], r["d2"]) for r in got.collect())
+    u = {r["id"]: (r["x"], r["y"], r["z"]) for r in cloud.normalise(p).collect() if r["id"] < 500}
+    dist = lambda a, b: (a[0] - b[0]) * (a[0] - b[0]) + (a[1] - b[1]) * (a[1] - b[1]) + (a[2] - b[2]) * (a[2] - b[2])
+    want = [(i, k + 1, j, d) for i in u for k, (d, j) in enumerate(sorted((dist(u[i], u[j]), j) for j in u if j != i)[:6])]
+    assert max(output_rows(got._jdf.queryExecution().executedPlan())) < 500 * 499 / 10
+    assert rows == sorted(want)
+
+
 def test_query_outside_the_cube(spark):
     refs, q = noise(60, 1), np.array([[-2.0, 0.5, 0.5], [0.5, 0.5, 3.0], [0.4, 0.4, 0.4]])
     got = pairs(knn.knn_query(points(spark, q), points(spark, refs), 3, cells=8))
