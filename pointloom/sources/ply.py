@@ -116,6 +116,14 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
+def _create(path: str) -> pa.NativeFile:
+    """A file to write, with the folders above it: the shared folder has none until someone makes them."""
+    fs, at = _open(path)
+    if "/" in at.rstrip("/"):
+        fs.create_dir(at.rstrip("/").rpartition("/")[0] or "/", recursive=True)
+    return fs.open_output_stream(at, compression=None)
+
+
 def read_header(path: str) -> Header:
     fs, at = _open(path)
     with fs.open_input_stream(at, compression=None) as f:
@@ -406,8 +414,8 @@ def write_mesh(path: str, points: DataFrame, polygons: DataFrame | None = None)
     head += [f"property {'uchar' if c in ('red', 'green', 'blue') else 'float'} {c}" for c in names]
     if polygons is not None:
         head += [f"element face {sum(r['rows'] for r in pieces[1])}", "property list uchar uint vertex_indices"]
-    fs, at = _open(path)
-    with fs.open_output_stream(at, compression=None) as out:
+    fs, _ = _open(path)
+    with _create(path) as out:
         out.write(("\n".join([*head, "end_header"]) + "\n").encode())
         for r in (r for x in pieces for r in x):
             with fs.open_input_stream(_open(r["piece"])[1], compression=None) as f:
@@ -426,12 +434,11 @@ def _packed(batch: pa.RecordBatch, names: list[str], dtype: np.dtype) -> bytes:
 
 def _piece(batches, path: str, tag: str, kind: str, pack) -> Iterator[pa.RecordBatch]:
     first, rows, name, out = None, 0, f"{path}.{tag}.{kind}{uuid.uuid4().hex}", None
-    fs, at = _open(name)
     for b in batches:
         if not b.num_rows:
             continue
         if out is None:
-            first, out = b.column(0)[0].as_py(), fs.open_output_stream(at, compression=None)
+            first, out = b.column(0)[0].as_py(), _create(name)
         out.write(pack(b))
         rows += b.num_rows
     if out is not None:

@@ -4,7 +4,7 @@ import struct
 
 import pytest
 
-from pointloom.plans import pipeline
+from pointloom.plans import pipeline, queries, storage
 from pointloom.sources import ply, xyz
 
 HEAD = "ply\nformat {} 1.0\ncomment made by hand\nobj_info none\nelement vertex 3\nproperty float x\nproperty double y\nproperty short z\nproperty uchar red\nproperty uchar green\nproperty uchar blue\nelement thing 2\nproperty list uchar int parts\nelement face 2\nproperty list uchar uint {}\nend_header\n"
@@ -62,6 +62,22 @@ def test_splits_and_empty(spark, tmp_path, monkeypatch):
     assert [f.name for f in tmp_path.iterdir()] == ["c.ply"]
 
 
+@pytest.mark.parametrize("rows", [0, 1000])
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_folders_above_a_file_are_made(spark, tmp_path, rows, scheme):
+    path = f"{scheme}{tmp_path}/not/there/c.ply"
+    p = spark.range(rows).selectExpr("id", "id / 2.0D as x", "-id as y", "0.25D as z")
+    ply.write_mesh(path, p)
+    assert ply.load_mesh(spark, path)[0].count() == rows
+    assert [f.name for f in (tmp_path / "not/there").iterdir()] == ["c.ply"]
+
+
+@pytest.mark.parametrize("name", ["ply_in_memory"])
+def test_queries_on_files_come_first_in_a_shared_folder(spark, sf_dir, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(storage, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    assert queries.QUERIES[name](spark, sf_dir).count() > 0
+
+
 def test_mesh_round_trip_and_smoothing(spark, tmp_path):
     path, out = str(tmp_path / "m.ply"), str(tmp_path / "o.ply")
     p = spark.range(9).selectExpr("id", "cast(id % 3 as double) as x", "cast(id div 3 as double) as y", "cast(id * id % 5 as double) as z", "1.0D as nx", "0.0D as ny", "0.0D as nz", "cast(id as short) as red", "cast(2 as short) as green", "cast(255 as short) as blue")
