@@ -72,7 +72,7 @@ def test_folders_above_a_file_are_made(spark, tmp_path, rows, scheme):
     assert [f.name for f in (tmp_path / "not/there").iterdir()] == ["c.ply"]
 
 
-@pytest.mark.parametrize("name", ["ply_in_memory"])
+@pytest.mark.parametrize("name", ["ply_in_memory", "ply_roundtrip", "ply_faces_roundtrip"])
 def test_queries_on_files_come_first_in_a_shared_folder(spark, sf_dir, tmp_path, monkeypatch, name):
     monkeypatch.setattr(storage, "shared_dir", lambda _: f"file://{tmp_path}/shared")
     assert queries.QUERIES[name](spark, sf_dir).count() > 0
