@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), *[F.col("embedding")[i].cast("double").alias(a) for i, a in enumerate("xyz")])
+    return e.select(F.col("vec_id").alias("id"), *[F.get("embedding", F.lit(i)).cast("double").alias(a) for i, a in enumerate("xyz")])
 
 
 def lattice(spark: SparkSession, sf_dir: str) -> DataFrame:

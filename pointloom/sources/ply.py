@@ -40,6 +40,8 @@ FINDERS = {
 ORDER = {"binary_little_endian": "<", "binary_big_endian": ">"}
 ROWS_A_PARTITION = 4_000_000
 HEADER_MOST = 1 << 20
+#: Bits of the NaN that stands for null in a binary file's floats, which have no other place for it (the payload R gives NA).
+NULL = 0x7FC007A2
 
 
 @dataclass
@@ -113,6 +115,9 @@ def parse_header(data: bytes) -> Header:
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
+    """Local files in every spelling that Spark takes: file:/a, file:///a and /a, with blanks and per cent signs as they are."""
+    if local := re.match(r"file:(?://)?(?=/)", path):
+        return pafs.LocalFileSystem(), path[local.end() :]
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
@@ -234,7 +239,7 @@ def _skip(f, x: Element, order: str) -> None:
 def _column(v: np.ndarray, kind: pa.DataType) -> pa.Array:
     v = np.ascontiguousarray(v.astype(v.dtype.newbyteorder("=")))
     if v.ndim == 1:
-        return pa.array(v).cast(kind)
+        return pa.array(v, mask=v.view(np.uint32) == NULL if v.dtype == np.float32 else None).cast(kind)
     return pa.ListArray.from_arrays(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1], pa.array(v.reshape(-1)).cast(kind.value_type))
 
 
@@ -393,7 +398,8 @@ def write_mesh(path: str, points: DataFrame, polygons: DataFrame | None = None)
 
     Tasks write the rows of contiguous id ranges as pieces beside the target; only their places, sizes and counts come to the
     driver, which joins the pieces byte by byte behind the header. Vertices are stored in the order of id, and faces refer to
-    positions in it, so ids must run from 0 without gaps if there are faces.
+    positions in it, so ids must run from 0 without gaps if there are faces; without faces rows of a null id come last. A null
+    position or normal is stored as a NaN that the readers here give back as null.
     """
     names = [c for c in ("x", "y", "z", "nx", "ny", "nz", "red", "green", "blue") if c in points.columns]
     dtype = np.dtype([(c, "u1" if c in ("red", "green", "blue") else "<f4") for c in names])
@@ -406,10 +412,11 @@ def write_mesh(path: str, points: DataFrame, polygons: DataFrame | None = None)
         yield from _piece(batches, path, tag, "f", lambda b: b"".join(struct.pack(f"<B{len(x)}I", len(x), *x) for x in b.column(1).to_pylist()))
 
     schema = "first long, rows long, piece string"
-    jobs = [points.select("id", *names).repartitionByRange("id").sortWithinPartitions("id").mapInArrow(vertices, schema)]
+    by_id = F.asc_nulls_last("id")
+    jobs = [points.select("id", *names).repartitionByRange(by_id).sortWithinPartitions(by_id).mapInArrow(vertices, schema)]
     if polygons is not None:
         jobs.append(polygons.select("face_id", "vertex_indices").repartitionByRange("face_id").sortWithinPartitions("face_id").mapInArrow(faces, schema))
-    pieces = [sorted(j.collect(), key=lambda r: r["first"]) for j in jobs]  # a row a task
+    pieces = [sorted(j.collect(), key=lambda r: (r["first"] is None, r["first"])) for j in jobs]  # a row a task
     head = ["ply", "format binary_little_endian 1.0", f"element vertex {sum(r['rows'] for r in pieces[0])}"]
     head += [f"property {'uchar' if c in ('red', 'green', 'blue') else 'float'} {c}" for c in names]
     if polygons is not None:
@@ -428,7 +435,10 @@ def write_mesh(path: str, points: DataFrame, polygons: DataFrame | None = None)
 def _packed(batch: pa.RecordBatch, names: list[str], dtype: np.dtype) -> bytes:
     out = np.empty(batch.num_rows, dtype)
     for k, c in enumerate(names):
-        out[c] = batch.column(k + 1).to_numpy(zero_copy_only=False)
+        v = batch.column(k + 1)
+        out[c] = v.to_numpy(zero_copy_only=False)
+        if v.null_count and dtype[c] == np.float32:
+            out[c][v.is_null().to_numpy(zero_copy_only=False)] = np.array(NULL, "<u4").view("<f4")
     return out.tobytes()
 
 

@@ -1,5 +1,6 @@
 """PLY and XYZ round trips."""
 
+import math
 import struct
 
 import pytest
@@ -78,6 +79,31 @@ def test_queries_on_files_come_first_in_a_shared_folder(spark, sf_dir, tmp_path,
     assert queries.QUERIES[name](spark, sf_dir).count() > 0
 
 
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+@pytest.mark.parametrize("name", ["ply_in_memory", "ply_roundtrip", "ply_faces_roundtrip"])
+def test_queries_on_files_take_every_spelling_of_a_shared_folder(spark, sf_dir, tmp_path, monkeypatch, scheme, name):
+    monkeypatch.setattr(storage, "shared_dir", lambda _: f"{scheme}{tmp_path}/sha red%20%")
+    assert queries.QUERIES[name](spark, sf_dir).count() > 0
+    assert [f.name for f in tmp_path.iterdir()] == ["sha red%20%"]
+
+
+@pytest.mark.parametrize("pieces", [1, 4])
+@pytest.mark.parametrize("name", ["ply_in_memory", "ply_roundtrip"])
+def test_queries_on_files_of_odd_points(spark, tmp_path, pieces, name):
+    """Null ids come last, as in the SQL; what a vector lacks is null, which is no NaN."""
+    odd = [(None, [7.0, 8.0, 9.0]), (-1, None), (-2, [0.5]), (-3, [None, 0.25, math.inf]), (-4, [math.nan, 1.0, -0.0]), (-5, [])]
+    rows = odd + [(i, [i / 8, 0.5, 1.0]) for i in range(100)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", pieces == 1)
+    try:
+        got = [tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).orderBy("id").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    full = sorted(rows, key=lambda r: (r[0] is None, r[0]))
+    want = [(i, *((v or []) + [None] * 3)[:3]) for i, (_, v) in enumerate(full)]
+    assert list(map(repr, got)) == [repr(tuple(x if x is None or k == 0 else x + 0.0 for k, x in enumerate(w))) for w in want]
+
+
 def test_mesh_round_trip_and_smoothing(spark, tmp_path):
     path, out = str(tmp_path / "m.ply"), str(tmp_path / "o.ply")
     p = spark.range(9).selectExpr("id", "cast(id % 3 as double) as x", "cast(id div 3 as double) as y", "cast(id * id % 5 as double) as z", "1.0D as nx", "0.0D as ny", "0.0D as nz", "cast(id as short) as red", "cast(2 as short) as green", "cast(255 as short) as blue")
