@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import bpe, licenses, minhash, mixing, quality_model, quality_rules, secrets, substrings, topk, warc
+from pointloom.llm import bpe, clustering, licenses, minhash, mixing, quality_model, quality_rules, secrets, substrings, topk, warc
 from pointloom.plans.storage import scratch_path
 
 
@@ -89,6 +89,13 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings of 64 components in eight clusters after ten rounds, with distances and inertias."""
+    out = clustering.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64, scale=1024, salt="3:")
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
 def _oracle_op10() -> str:
     """Places by cumulated lengths of pieces and matches, per kind."""
 
@@ -132,6 +139,25 @@ _ORACLE_OP4 = """with p as (select page_id, coalesce(html, '') as h from pages),
     select d.page_id, cast(n as bigint) as payload_bytes, digest as payload_digest, case when first = d.page_id then 'response' else 'revisit' end as record_type, case when first <> d.page_id then first end as refers_to
     from d join t using (h) join b using (page_id)"""
 
+def _oracle_op11(k: int = 8, rounds: int = 10) -> str:
+    """Round after round: distances to all centroids, the nearest, floors of the means."""
+
+    def near(r: int) -> str:
+        return f"""a{r} as materialized (select vec_id, e, arg_min(c, struct_pack(d := d, c := c)) as c, min(d) as d from (
+            select vec_id, e, c, list_sum(list_transform(list_zip(e, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as d from v cross join c{r}) group by vec_id, e)"""
+
+    sql = f"""with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e from embeddings
+            where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        c0 as materialized (select cast(row_number() over (order by sha256('3:' || vec_id)) - 1 as integer) as c, e as m from v order by sha256('3:' || vec_id) limit {k})"""
+    for r in range(rounds):
+        sql += f""", {near(r)}, s{r} as (select c, i, sum(x) as s, count(*) as n from (select c, unnest(e) as x, generate_subscripts(e, 1) as i from a{r}) group by c, i),
+        m{r} as (select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as m from s{r} group by c),
+        c{r + 1} as materialized (select c, coalesce(m{r}.m, c{r}.m) as m from c{r} left join m{r} using (c))"""
+    return sql + f""", {near(rounds)}, t as (select c, sum(d) as own from a{rounds} group by c)
+        select vec_id, a{rounds}.c as cluster, cast(d as bigint) as distance, cast(own as bigint) as cluster_inertia, cast((select sum(d) from a{rounds}) as bigint) as inertia, sha256(array_to_string(m, ',')) as centroid_sha256
+        from a{rounds} join t using (c) join c{rounds} using (c)"""
+
+
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 _ORACLE_OP7 = f"""with recursive d as (select doc_id, list_transform({_WORDS}, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as ws from documents),
@@ -179,8 +205,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_quality_rules": op9_quality_rules,
         "op10_secret_scans": op10_secret_scans,
+        "op11_clustering": op11_clustering,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": _ORACLE_OP2, "op4_warc": _ORACLE_OP4, "op7_minhash": _ORACLE_OP7, "op9_quality_rules": _ORACLE_OP9, "op5_license_scans": _oracle_op5(), "op8_substring_dedup": _ORACLE_OP8, "op10_secret_scans": _oracle_op10()}
+    return {"op2_topk": _ORACLE_OP2, "op4_warc": _ORACLE_OP4, "op7_minhash": _ORACLE_OP7, "op9_quality_rules": _ORACLE_OP9, "op5_license_scans": _oracle_op5(), "op8_substring_dedup": _ORACLE_OP8, "op10_secret_scans": _oracle_op10(), "op11_clustering": _oracle_op11()}
