@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import bpe, clustering, licenses, minhash, mixing, quality_model, quality_rules, secrets, substrings, topk, warc
+from pointloom.llm import bpe, clustering, licenses, minhash, mixing, prefix_trie, quality_model, quality_rules, secrets, substrings, topk, warc
 from pointloom.plans.storage import scratch_path
 
 
@@ -96,6 +96,11 @@ def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All prefixes of all rebuilt conversations with their rollups."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"), group=20, heads=4)
+
+
 def _oracle_op10() -> str:
     """Places by cumulated lengths of pieces and matches, per kind."""
 
@@ -158,6 +163,20 @@ def _oracle_op11(k: int = 8, rounds: int = 10) -> str:
         from a{rounds} join t using (c) join c{rounds} using (c)"""
 
 
+#: A CRC-32 bit by bit: each byte is mixed in and followed by eight shifts (-1).
+_CRC = "list_reduce(flatten(list_transform(string_split(cast(c as varchar), ''), lambda x: [cast(ascii(x) as bigint), -1, -1, -1, -1, -1, -1, -1, -1])), lambda a, e: case when e >= 0 then xor(a, e) else xor(a >> 1, 3988292384 * (a & 1)) end, cast(4294967295 as bigint))"
+
+_ORACLE_OP12 = rf"""with recursive t as (select conv_id as c, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as w from conversations where conv_id is not null),
+    o as (select c, list(k order by turn nulls first, k) as ks, list(w order by turn nulls first, k) as ws from t group by c),
+    h as (select c, ks, ws, cast(xor({_CRC}, 4294967295) % 4 as bigint) as h from o),
+    r as (select h.c, list_concat(coalesce(o.ks, [])[:h], h.ks[h+1:]) as ks, list_concat(coalesce(o.ws, [])[:h], h.ws[h+1:]) as ws from h left join o on o.c = h.c - h.c % 20),
+    p as (select c, d, md5(array_to_string(ks[:d], ',')) as k, case when d > 0 then md5(array_to_string(ks[:d-1], ',')) end as pk, case when d > 0 then ws[d] else 0 end as w, len(ks) = d as ends from (select *, unnest(range(0, len(ks) + 1)) as d from r)),
+    n as (select d, k, min(pk) as pk, min(c) as conv_id, count(*) as n_convs, (count(*) - 1) * max(w) as saved, sha256(coalesce(string_agg(cast(c as varchar), ',' order by c) filter (ends), '')) as ends_sha256 from p group by d, k),
+    q as (select pk, count(*) as n_children from n where pk is not null group by pk),
+    s as (select p.d, p.k, sum(n.saved) as saved_tokens, count(*) filter (q.pk is null) as n_leaves from n left join q on q.pk = n.k join p on p.c = n.conv_id and p.d <= n.d group by p.d, p.k)
+    select n.conv_id, n.d as depth, u.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children, n_leaves, cast(saved_tokens as bigint) as saved_tokens, n.ends_sha256
+    from n join s on s.d = n.d and s.k = n.k left join q on q.pk = n.k left join n u on u.k = n.pk and u.d = n.d - 1"""
+
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 _ORACLE_OP7 = f"""with recursive d as (select doc_id, list_transform({_WORDS}, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as ws from documents),
@@ -206,8 +225,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": op9_quality_rules,
         "op10_secret_scans": op10_secret_scans,
         "op11_clustering": op11_clustering,
+        "op12_prefix_trie": op12_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": _ORACLE_OP2, "op4_warc": _ORACLE_OP4, "op7_minhash": _ORACLE_OP7, "op9_quality_rules": _ORACLE_OP9, "op5_license_scans": _oracle_op5(), "op8_substring_dedup": _ORACLE_OP8, "op10_secret_scans": _oracle_op10(), "op11_clustering": _oracle_op11()}
+    return {"op2_topk": _ORACLE_OP2, "op4_warc": _ORACLE_OP4, "op7_minhash": _ORACLE_OP7, "op9_quality_rules": _ORACLE_OP9, "op5_license_scans": _oracle_op5(), "op8_substring_dedup": _ORACLE_OP8, "op10_secret_scans": _oracle_op10(), "op11_clustering": _oracle_op11(), "op12_prefix_trie": _ORACLE_OP12}
