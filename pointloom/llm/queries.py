@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import bpe, clustering, licenses, minhash, mixing, prefix_trie, quality_model, quality_rules, secrets, substrings, topk, warc
+from pointloom.llm import bpe, clustering, licenses, minhash, mixing, packing, prefix_trie, quality_model, quality_rules, secrets, substrings, topk, warc
 from pointloom.plans.storage import scratch_path
 
 
@@ -101,6 +101,14 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"), group=20, heads=4)
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents in sequences of 1024: place, length and checksum of each piece."""
+    import public_tokenizers
+
+    out = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), room=1024, end=0)
+    return out.select("doc_id", "start", "length", packing.ids_crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def _oracle_op10() -> str:
     """Places by cumulated lengths of pieces and matches, per kind."""
 
@@ -226,6 +234,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_secret_scans": op10_secret_scans,
         "op11_clustering": op11_clustering,
         "op12_prefix_trie": op12_prefix_trie,
+        "op13_packing": op13_packing,
     }
 
 
