@@ -34,6 +34,8 @@ SIDE = 8
 PAIRS = 1 << 21
 #: Points in a block where all pairs are compared, and points that a block is compared with at once.
 BLOCK, STRETCH = 1024, 256
+#: Cells an axis at most of a grid as wide as a radius, whose places doubles still tell apart, and points of a cell met at once.
+MOST_CELLS, PART = float(1 << 40), 4096
 #: Levels that the tree goes down at once where cells are crowded, and its last level, beyond which doubles hardly resolve.
 STEP, DEEPEST = 3, 48
 
@@ -53,37 +55,59 @@ def start_cells(n: int, k: int) -> int:
     return max(1, min(FINEST, round((2 * max(n, 1) / max(k, 1)) ** (1 / 3) + 0.5)))
 
 
-def _targets(refs: DataFrame, b: int) -> DataFrame:
-    r = cloud.index_of_cells(refs, b)
-    return r.select(F.col("id").alias("nid"), *[F.col(a).alias(f"r{a}") for a in "xyz"], *[F.col(f"c{a}").alias(f"t{a}") for a in "xyz"])
+def _wide_cells(points: DataFrame, b: int) -> DataFrame:
+    """points with their cells (cx, cy, cz) as longs among any number b of cells an axis; coordinates far outside stay near."""
+    at = lambda a: F.floor(F.greatest(F.lit(-2.0), F.least(F.lit(b + 1.0), F.col(a) * F.lit(float(b))))).cast("long")
+    return points.select("id", "x", "y", "z", *[at(a).alias(f"c{a}") for a in "xyz"])
 
 
-def _probes(queries: DataFrame, b: int) -> DataFrame:
-    """Each query once for each cell of its block that lies in the grid."""
-    q = cloud.index_of_cells(queries, b).withColumn("reach", _reach(b))
-    span = lambda c: F.sequence(F.greatest(F.lit(0), F.col(c) - 1), F.least(F.lit(b - 1), F.col(c) + 1))
-    q = q.withColumn("px", F.explode(span("cx"))).withColumn("py", F.explode(span("cy"))).withColumn("pz", F.explode(span("cz")))
-    return q.select("id", "x", "y", "z", "reach", "px", "py", "pz")
+def _spread(cells: DataFrame) -> DataFrame:
+    """A row for each of the 27 cells around each row's own, as (tx, ty, tz)."""
+    for a in "xyz":
+        cells = cells.withColumn(f"t{a}", F.explode(F.sequence(F.col(f"c{a}") - 1, F.col(f"c{a}") + 1)))
+    return cells.drop("cx", "cy", "cz")
 
 
-def candidates(queries: DataFrame, refs: DataFrame, b: int, exclude_self: bool) -> DataFrame:
-    """(id, nid, d2, reach) of every reference point in the block around each query; reach is the query's own."""
-    t = _targets(refs, b)
-    on = (F.col("px") == F.col("tx")) & (F.col("py") == F.col("ty")) & (F.col("pz") == F.col("tz"))
-    both = _probes(queries, b).join(t, on)
-    if exclude_self:
-        both = both.where("id <> nid")
-    return both.select("id", "nid", G.squared_distance(G.vec(), G.vec("r")).alias("d2"), "reach")
+def cells_of_radius(radius: float) -> int:
+    """Cells an axis of the unit cube, as many as are still wider than the radius by far more than rounding."""
+    return int(max(1.0, min(MOST_CELLS, 1 / max(radius * (1 + 1e-3), 1 / MOST_CELLS))))
 
 
-def _reach(b: int) -> Column:
-    """Distance from a query to the nearest face of its block behind which the grid goes on; infinite if there is none."""
-    faces = []
-    for a in "xyz":
-        v, c = F.col(a), F.col(f"c{a}")
-        faces.append(F.when(c - 1 > 0, v - (c - 1) / F.lit(float(b))).otherwise(F.lit(float("inf"))))
-        faces.append(F.when(c + 2 < b, (c + 2) / F.lit(float(b)) - v).otherwise(F.lit(float("inf"))))
-    return F.least(*faces)
+def crowded_cells(refs: DataFrame, b: int, queries: DataFrame | None = None) -> DataFrame:
+    """(hx, hy, hz, into, over) of the cells that are met in parts: so many of their references, and of the queries around them.
+
+    queries: with them also cells that many queries are near; a stream's are not counted. Counts combine before the shuffle.
+    """
+    cell = lambda t: _wide_cells(t, b).groupBy("cx", "cy", "cz").agg(F.count(F.lit(1)).alias("n"))
+    own = cell(refs).select(*[F.col(f"c{a}").alias(f"h{a}") for a in "xyz"], F.col("n").alias("refs"))
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(PART))).cast("int")
+    if queries is None:
+        return own.where(F.col("refs") > PART).select("hx", "hy", "hz", parts("refs").alias("into"), F.lit(1).alias("over"))
+    near = own.withColumnRenamed("refs", "n") if queries is refs else cell(queries).toDF("hx", "hy", "hz", "n")
+    near = near.where(F.col("n") > PART // 27)  # 27 cells of fewer are no crowd
+    near = _spread(near.select(*[F.col(f"h{a}").alias(f"c{a}") for a in "xyz"], "n")).groupBy("tx", "ty", "tz").agg(F.sum("n").alias("asked"))
+    both = own.join(near, reduce(Column.__and__, [F.col(f"h{a}") == F.col(f"t{a}") for a in "xyz"]), "left")
+    return both.where((F.col("refs") > PART) | (F.col("asked") > 2 * PART)).select("hx", "hy", "hz", parts("refs").alias("into"), F.coalesce(parts("asked"), F.lit(1)).alias("over"))
+
+
+def pairs_within(queries: DataFrame, refs: DataFrame, b: int, crowded: DataFrame | None = None) -> DataFrame:
+    """(id, nid, d2) of each query and every reference in the 27 cells around it; cells are as wide as the radius asked for.
+
+    Were a cube of that width to hold n points, at least n * n / 8 of their pairs would be nearer than it, so in any cloud
+    the candidates are at most a fixed multiple of answers and points. A crowded cell is met in parts of some PART
+    references and queries: each reference goes to the parts of the queries, each query to those of the references.
+    """
+    q = _spread(_wide_cells(queries, b))
+    r = _wide_cells(refs, b).select(F.col("id").alias("nid"), *[F.col(a).alias(f"r{a}") for a in "xyz"], *[F.col(f"c{a}").alias(f"s{a}") for a in "xyz"])
+    on = reduce(Column.__and__, [F.col(f"t{a}") == F.col(f"s{a}") for a in "xyz"])
+    if crowded is not None:
+        met = lambda c: reduce(Column.__and__, [F.col(f"{c}{a}") == F.col(f"h{a}") for a in "xyz"])
+        own = lambda i, n: F.pmod(F.xxhash64(i, F.lit(n)), F.coalesce(n, F.lit(1))).cast("int")
+        all_ = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+        q = q.join(crowded, met("t"), "left").withColumns({"qo": own("id", "over")}).withColumn("qi", all_("into")).drop("hx", "hy", "hz", "into", "over")
+        r = r.join(crowded, met("s"), "left").withColumns({"ri": own("nid", "into")}).withColumn("ro", all_("over")).drop("hx", "hy", "hz", "into", "over")
+        on = on & (F.col("qi") == F.col("ri")) & (F.col("qo") == F.col("ro"))
+    return q.join(r, on).select("id", "nid", G.squared_distance(G.vec(), G.vec("r")).alias("d2"))
 
 
 def _top(rows: DataFrame, k: int) -> DataFrame:
@@ -286,10 +310,11 @@ def knn_query(queries: DataFrame, refs: DataFrame, k: int, max_radius: float | N
 
 
 def _scaled(points: DataFrame, radius: float | None) -> float | None:
+    """The radius in the points' unit cube, squared; without points any will do."""
     if radius is None:
         return None
     b = cloud.extent(points).first()
-    return (radius / (b["hi"] - b["lo"])) ** 2
+    return 0.0 if b["lo"] is None else (radius / (b["hi"] - b["lo"])) ** 2
 
 
 def _packed(points: DataFrame) -> DataFrame:
@@ -383,12 +408,23 @@ def nearest_to(points: DataFrame, of: int, k: int = 40) -> DataFrame:
     return at.select(F.lit(of).cast("long").alias("id"), F.col("id").alias("nid"), G.squared_distance(G.vec(), G.vec("r")).alias("d2")).orderBy("d2", "nid").limit(k)
 
 
-def radius_join(points: DataFrame, radius: float) -> DataFrame:
-    """(id, nid, d2) of all other points within radius (in the points' own units, inclusive): one round, cells as wide as it."""
-    unit = cloud.normalise(points)
-    most = _scaled(points, radius)
-    b = max(1, min(FINEST, int(1 / max(most**0.5, 1e-9))))
-    return candidates(unit, unit, b, True).where(F.col("d2") <= most).select("id", "nid", "d2")
+def radius_join(points: DataFrame, radius: float, queries: DataFrame | None = None) -> DataFrame:
+    """(id, nid, d2) of all other points within radius of each point, or of all points within radius of each query.
+
+    radius is in the points' own units, inclusive; d2 in their unit cube. One round over cells as wide as the radius, however
+    many that are, so clusters, outliers and copies meet no more candidates than a fixed multiple of answers and points.
+    Points without a place take no part; without points there are no rows.
+    """
+    ends = cloud.extent(points).first()
+    if ends["lo"] is None:
+        return (points if queries is None else queries).select(F.col("id").cast("long").alias("id"), F.col("id").cast("long").alias("nid"), F.lit(0.0).alias("d2")).limit(0)
+    scale = lambda t: cloud.finite(t).select("id", *[G.normalised(F.col(a), F.lit(ends["lo"]), F.lit(ends["hi"])).alias(a) for a in "xyz"])
+    most = (radius / (ends["hi"] - ends["lo"])) ** 2
+    b, unit = cells_of_radius(most**0.5), scale(points)
+    asked = unit if queries is None else scale(queries)
+    crowded = materialize(crowded_cells(unit, b, asked), "radius-crowded")
+    found = pairs_within(asked, unit, b, None if crowded.isEmpty() else crowded).where(F.col("d2") <= most)
+    return found.where("id <> nid") if queries is None else found
 
 
 def merge_top_k(a: DataFrame, b: DataFrame, k: int) -> DataFrame:

@@ -27,11 +27,15 @@ def stream_knn(queries: DataFrame, refs: DataFrame, k: int, path: str, checkpoin
 def stream_within(queries: DataFrame, refs: DataFrame, radius: float) -> DataFrame:
     """(id, nid, d2) of the references within radius (exclusive) of each streamed query, in the references' unit cube.
 
-    A plain stream-static join on grid cells: cells are as wide as the radius, so the 27 around a query hold all of them.
+    A plain stream-static join on grid cells: cells are as wide as the radius, so the 27 around a query hold all of them;
+    crowded cells are met in parts. Without references there are no rows.
     """
     bounds = materialize(cloud.extent(refs), "stream-extent")
     b = bounds.first()
-    most = (radius / (b["hi"] - b["lo"])) ** 2
-    cells = max(1, min(knn.FINEST, int(1 / max(most**0.5, 1e-9))))
-    unit = queries.select("id", *[G.normalised(F.col(a), F.lit(b["lo"]), F.lit(b["hi"])).alias(a) for a in "xyz"])
-    return knn.candidates(unit, cloud.normalise(refs, bounds), cells, False).where(F.col("d2") < most).select("id", "nid", "d2")
+    lo, hi = (0.0, 1.0) if b["lo"] is None else (b["lo"], b["hi"])
+    most = (radius / (hi - lo)) ** 2
+    cells = knn.cells_of_radius(most**0.5)
+    scale = lambda t: cloud.finite(t).select("id", *[G.normalised(F.col(a), F.lit(lo), F.lit(hi)).alias(a) for a in "xyz"])
+    unit = scale(refs)
+    crowded = materialize(knn.crowded_cells(unit, cells), "stream-crowded")
+    return knn.pairs_within(scale(queries), unit, cells, None if crowded.isEmpty() else crowded).where(F.col("d2") < most)

@@ -21,8 +21,9 @@ def test_entry_has_rows(spark):
 
 
 def found_from(copy):
-    """The environment with a copy of the repository first on the path, and all that was on it before."""
-    return os.environ | {"PYTHONPATH": os.pathsep.join(filter(None, [str(copy), os.environ.get("PYTHONPATH")]))}
+    """The environment with a copy of the repository on the path instead of this one, and all else that was on it."""
+    before = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p and os.path.abspath(p) != ROOT]
+    return os.environ | {"PYTHONPATH": os.pathsep.join([str(copy), *before])}
 
 
 def test_without_the_subpackage(tmp_path):

@@ -108,6 +108,51 @@ def test_candidates_stay_few_in_uneven_clouds(spark, kind):
     assert per[1] < n / 2
 
 
+def within(xyz, radius, q=None):
+    q = xyz if q is None else q
+    d = ((q[:, None] - xyz[None]) ** 2).sum(-1)
+    return {(int(i), int(j)) for i, j in np.argwhere(d <= radius**2)}
+
+
+@pytest.mark.parametrize("part", [4, 4096])
+@pytest.mark.parametrize("kind, radius", [("cluster and outlier", 1e-4), ("copies", 0.2), ("copies", 0.0), ("far clusters", 2e-10), ("far clusters", 2.0)])
+def test_radius_in_uneven_clouds(spark, monkeypatch, kind, radius, part):
+    monkeypatch.setattr(knn, "PART", part)
+    xyz = crowds(kind)
+    got = [(r["id"], r["nid"]) for r in knn.radius_join(points(spark, xyz).repartition(3), radius).collect()]
+    assert len(got) == len(set(got))
+    near = {(i, j) for i, j in within(xyz, radius * (1 - 1e-6)) if i != j}
+    assert near <= set(got) <= {(i, j) for i, j in within(xyz, radius * (1 + 1e-6)) if i != j}
+
+
+@pytest.mark.parametrize("part", [2, 4096])
+def test_radius_around_queries(spark, monkeypatch, part):
+    monkeypatch.setattr(knn, "PART", part)
+    refs, q = noise(300, 7), np.concatenate((noise(200, 8) * 3 - 1, [[1e300, 0.0, 0.0], [np.nan, 0.5, 0.5]]))
+    got = sorted((r["id"], r["nid"]) for r in knn.radius_join(points(spark, refs), 0.3, points(spark, q)).collect())
+    assert got == sorted(within(refs, 0.3, q[:200]))
+
+
+def test_radius_candidates_stay_linear_in_the_answers(spark):
+    """2,000 points in a unit cube and one a million away once met each other in full."""
+    xyz = np.concatenate((np.random.default_rng(0).random((2000, 3)), [[1e6, 1e6, 1e6]]))
+    p = points(spark, xyz)
+    b = cloud.extent(p).first()
+    u = cloud.normalise(p).cache()
+    for radius in (0.01, 0.1):
+        met = knn.pairs_within(u, u, knn.cells_of_radius(radius / (b["hi"] - b["lo"]))).count()
+        assert met <= 216 * (len(within(xyz, radius)))  # each point is its own answer here
+    assert knn.pairs_within(u, u, knn.cells_of_radius(0.01 / (b["hi"] - b["lo"]))).count() < 3 * 2001
+
+
+def test_radius_of_no_points(spark):
+    none = points(spark, noise(3, 1)).limit(0)
+    nowhere = points(spark, np.full((2, 3), np.nan))
+    for p in (none, nowhere):
+        assert knn.radius_join(p, 0.5).collect() == [] and knn.knn_self(p, 2, max_radius=0.5).collect() == []
+        assert knn.radius_join(p, 0.5, points(spark, noise(3, 1))).collect() == []
+
+
 def test_many_queries_outside_the_cube(spark):
     r = np.random.default_rng(3)
     refs, q = noise(400, 2), r.normal(size=(10_000, 3)) * 20
