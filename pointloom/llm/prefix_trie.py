@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pointloom.plans.storage import materialize
 
 #: Distinct nodes of a shard at most, nodes that a task lays out at once, and depths at which subtrees may become shards.
-SHARD, TOGETHER, CUTS = 1000, 1 << 16, (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
+SHARD, TOGETHER, CUTS = 100, 1 << 16, (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
 #: Bytes of listed ids in one row.
 LISTED = 1 << 16
 EMPTY = hashlib.sha256(b"").hexdigest()
