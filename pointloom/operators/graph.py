@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pointloom.functions import geometry as G
 from pointloom.plans.storage import materialize
 
-#: Edges that one task sorts and unites at most; larger graphs go in rounds.
-SMALL = 500_000
+#: Edges that a task reduces to their own forest at once.
+TASK = 250_000
 
 
 def undirected(edges: DataFrame, normals: DataFrame) -> DataFrame:
@@ -32,6 +35,76 @@ def distance_edges(edges: DataFrame) -> DataFrame:
     return e.groupBy("u", "v").agg(F.round(F.min("d2"), 12).alias("w")).withColumn("s", F.lit(1))
 
 
+def local_forest(cu: np.ndarray, cv: np.ndarray, w: np.ndarray, u: np.ndarray, v: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(edges of the minimum spanning forest, vertices, the smallest vertex of each one's component, sign of the path to it).
+
+    Edges join cu and cv with sign r and are ordered by (w, u, v); whole arrays go from round to round: each component takes
+    its lightest edge, which is the first of those that still leave it.
+    """
+    order = np.lexsort((v, u, w))
+    verts, ends = np.unique(np.concatenate((cu[order], cv[order])), return_inverse=True)
+    a, b = ends[: len(order)], ends[len(order) :]
+    n, r = len(verts), r[order].astype(np.int64)
+    comp, sign, alive, picked = np.arange(n), np.ones(n, np.int64), np.arange(len(order)), np.zeros(len(order), bool)
+    while True:
+        alive = alive[comp[a[alive]] != comp[b[alive]]]
+        if not len(alive):
+            break
+        best = np.full(n, len(order))
+        for x in (a, b):
+            first = np.full(n, len(order))
+            first[comp[x[alive]][::-1]] = alive[::-1]  # of several the last written, which is the lightest, stays
+            best = np.minimum(best, first)
+        c = np.flatnonzero(best < len(order))
+        e = best[c]
+        picked[e] = True
+        up, flip = np.arange(n), np.ones(n, np.int64)
+        up[c], flip[c] = np.where(comp[a[e]] == c, comp[b[e]], comp[a[e]]), r[e] * sign[a[e]] * sign[b[e]]
+        top = c[(up[up[c]] == c) & (c < up[c])]  # of two that chose the same edge
+        up[top], flip[top] = top, 1
+        while (up[up] != up).any():
+            up, flip = up[up], flip * flip[up]
+        comp, sign = up[comp], sign * flip[comp]
+    least = np.full(n, n)
+    np.minimum.at(least, comp, np.arange(n))
+    return order[picked], verts, verts[least[comp]], sign * sign[least[comp]]
+
+
+OPEN = "u long, v long, w double, cu long, cv long, r int"
+
+
+def _own_forests(open_: DataFrame, tasks: int) -> DataFrame:
+    """OPEN: what is left when each task reduces its edges to their forest; an edge heaviest on a cycle is in no other either."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := [b for b in batches if b.num_rows]:
+            t = pa.Table.from_batches(held)
+            u, v, w, cu, cv, r = (c.to_numpy() for c in t.columns)
+            yield from t.take(pa.array(np.sort(local_forest(cu, cv, w, u, v, r)[0]))).combine_chunks().to_batches()
+
+    return open_.repartition(tasks, "u", "v").mapInArrow(run, OPEN)
+
+
+def _last_forest(open_: DataFrame) -> DataFrame:
+    """(u, v, w, s, kind) of at most TASK edges: kind 0 the forest, kind 1 the labels of cu and cv: u, its component v, sign s."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := [b for b in batches if b.num_rows]:
+            u, v, w, cu, cv, r = (c.to_numpy() for c in pa.Table.from_batches(held).columns)
+            e, verts, comp, sign = local_forest(cu, cv, w, u, v, r)
+            none = pa.nulls(len(verts), pa.float64())
+            cols = [np.append(u[e], verts), np.append(v[e], comp), pa.concat_arrays([pa.array(w[e]), none]), np.append(np.zeros(len(e)), sign).astype(np.int32), np.append(np.zeros(len(e)), np.ones(len(verts))).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], names=["u", "v", "w", "s", "kind"])
+
+    return open_.repartition(1).mapInArrow(run, "u long, v long, w double, s int, kind int")
+
+
+def _counted(df: DataFrame, tag: str, *done: DataFrame) -> tuple[DataFrame, int]:
+    """df written, and its number of rows, counted while they are."""
+    seen = Observation()
+    return materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), tag, *done), seen.get["n"]
+
+
 def _hook(open_: DataFrame) -> DataFrame:
     """(c, up, sign, u, v, w): the lightest edge out of each component, toward the component it ends in."""
     way = lambda a, b: open_.select(F.col(a).alias("c"), F.struct("w", "u", "v", F.col(b).alias("to"), "r").alias("e"))
@@ -40,84 +113,65 @@ def _hook(open_: DataFrame) -> DataFrame:
 
 
 def _roots(hook: DataFrame) -> DataFrame:
-    """(c, root, sign) from hooks whose only cycles are pairs that chose the same edge; the smaller of a pair is its root."""
+    """(c, root, sign) along hooks whose only cycles are pairs with the same edge, of which the smaller is the root.
+
+    Each pass of pointer jumps makes the way four times as short; whether one moved is counted while it is written.
+    """
     other = hook.select(F.col("c").alias("oc"), F.col("up").alias("oup"))
     now = hook.join(other, F.col("up") == F.col("oc"), "left")
     top = (F.col("oup") == F.col("c")) & (F.col("c") < F.col("up"))
-    now = materialize(now.select("c", F.when(top, F.col("c")).otherwise(F.col("up")).alias("up"), F.when(top, F.lit(1)).otherwise(F.col("sign")).alias("sign")), "forest-hooks")
+    now = now.select("c", F.when(top, F.col("c")).otherwise(F.col("up")).alias("up"), F.when(top, F.lit(1)).otherwise(F.col("sign")).cast("int").alias("sign"))
     while True:
-        above = now.select(F.col("c").alias("oc"), F.col("up").alias("oup"), F.col("sign").alias("osign"))
-        nxt = materialize(now.join(above, F.col("up") == F.col("oc"), "left").select("c", F.coalesce("oup", "up").alias("up"), (F.col("sign") * F.when(F.col("oup").isNull() | (F.col("oc") == F.col("c")), F.lit(1)).otherwise(F.col("osign"))).alias("sign"), (F.col("oup") != F.col("up")).alias("moved")), "forest-jump")
-        moved = not nxt.where("moved").isEmpty()
-        now = nxt.drop("moved")
-        if not moved:
+        for _ in range(2):
+            above = now.select(F.col("c").alias("oc"), F.col("up").alias("oup"), F.col("sign").alias("osign"))
+            ends = F.col("up") == F.col("c")  # every component that can be met has a row
+            now = now.join(above, F.col("up") == F.col("oc")).select("c", F.col("oup").alias("up"), (F.col("sign") * F.when(ends, F.lit(1)).otherwise(F.col("osign"))).alias("sign"), (F.col("oup") != F.col("up")).alias("moved"))
+        seen = Observation()
+        now = materialize(now.observe(seen, F.count_if("moved").alias("n")).drop("moved"), "forest-jump")
+        if not seen.get["n"]:
             return now.withColumnRenamed("up", "root")
 
 
-def kruskal(edges: list[tuple[float, int, int, int]]) -> tuple[list[tuple[int, int, float]], dict[int, tuple[int, int]]]:
-    """Forest and labels (id -> component, sign) of an edge list (w, u, v, s) held in memory, by union-find with signs."""
-    up: dict[int, tuple[int, int]] = {}
-
-    def find(x: int) -> tuple[int, int]:
-        path, sign = [], 1
-        while up.setdefault(x, (x, 1))[0] != x:
-            path.append(x)
-            x = up[x][0]
-        for y in reversed(path):
-            sign = up[y][1] * (sign if up[y][0] != x else 1)
-            up[y] = (x, sign)
-        return x, sign if path else 1
-
-    out = []
-    for w, u, v, s in sorted(edges):
-        (a, p), (b, q) = find(u), find(v)
-        if a != b:
-            up[max(a, b)] = (min(a, b), p * q * s)
-            out.append((u, v, w))
-    return out, {x: find(x) for x in list(up)}
-
-
-def _forest_in_one_task(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        forest, labels = kruskal(list(zip(part["w"].tolist(), part["u"].tolist(), part["v"].tolist(), part["s"].tolist(), strict=True)))
-        rows = [(u, v, w, None, 0) for u, v, w in forest] + [(x, c, None, s, 1) for x, (c, s) in labels.items()]
-        return pd.DataFrame(rows, columns=["u", "v", "w", "s", "kind"])
-
-    got = materialize(edges.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "u long, v long, w double, s int, kind int"), "forest-small")
-    return got.where("kind = 0").select("u", "v", "w"), got.where("kind = 1").select(F.col("u").alias("id"), F.col("v").alias("comp"), F.col("s").alias("sign"))
-
-
-def spanning_forest(edges: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
-    """(forest, labels) of (u, v, w, s): the minimum spanning forest by rounds of lightest edges per component.
+def spanning_forest(edges: DataFrame, task: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(forest, labels) of (u, v, w, s): the minimum spanning forest, unique since edges are ordered by (w, u, v).
 
-    Edges are ordered by (w, u, v), so the forest is unique. labels (id, comp, sign): comp is the smallest vertex of the
-    component, sign the product of s along the forest's path to it. Each round at least halves the number of components
-    that can still grow; its steps are written to the shared folder. Components shrink to a hook of one row each, combined
-    before the shuffle, so a component with most of the edges is no bottleneck. Up to small edges, which are counted, take
-    one task and no rounds; both ways give the same rows.
+    labels (id, comp, sign): comp is the smallest vertex of the component, sign the product of s along the forest's path to
+    it. While there are too many components for that to help, rounds contract them: each takes its lightest edge, combined
+    before the shuffle, and of the edges between two components the lightest stays. Then tasks of some TASK edges reduce
+    theirs to a forest of their own, and those forests meet in fewer and fewer tasks until one holds what is left. Rounds
+    and forests are written to the shared folder; a graph of any size ends in such a task, however many rounds come first.
     """
-    start = materialize(edges.where("u <> v").select("u", "v", "w", F.col("s").cast("int").alias("s")), "forest-start")
-    if start.count() <= small:
-        return _forest_in_one_task(start)
-    open_ = materialize(start.select("u", "v", "w", F.col("u").alias("cu"), F.col("v").alias("cv"), F.col("s").alias("r")), "forest-edges")
-    own = open_.select(F.col("u").alias("id")).unionByName(open_.select(F.col("v").alias("id"))).distinct()
-    state = materialize(own.select("id", F.col("id").alias("comp"), F.lit(1).alias("sign")), "forest-state")
-    forest = None
-    while not open_.isEmpty():
-        hook = materialize(_hook(open_), "forest-best")
-        picked = hook.select("u", "v", "w").distinct()
-        forest = picked if forest is None else forest.unionByName(picked)
-        roots = materialize(_roots(hook.select("c", "up", "sign")), "forest-roots")
-        to = roots.select(F.col("c").alias("rc"), "root", F.col("sign").alias("rs"))
-        state = materialize(state.join(to, F.col("comp") == F.col("rc"), "left").select("id", F.coalesce("root", "comp").alias("comp"), (F.col("sign") * F.coalesce("rs", F.lit(1))).alias("sign")), "forest-state")
-        a, b = (to.select(F.col("rc").alias(f"{x}c"), F.col("root").alias(f"{x}root"), F.col("rs").alias(f"{x}s")) for x in "ab")
+    task = task or TASK
+    start = edges.where("u <> v").select("u", "v", "w", F.col("u").alias("cu"), F.col("v").alias("cv"), F.col("s").cast("int").alias("r"))
+    open_, n = _counted(start, "forest-start")
+    comps, moves, picked = None, [], []
+    while n > task:
+        if comps is not None and 2 * comps <= task:  # each task leaves fewer edges than comps: at most half of all
+            open_, n = _counted(_own_forests(open_, -(-n // task)), "forest-own", open_)
+            continue
+        hook, found = _counted(_hook(open_), "forest-hooks")
+        roots = _roots(hook.select("c", "up", "sign"))
+        picked.append(hook.select("u", "v", "w"))
+        moves.append(roots)
+        a, b = (roots.select(F.col("c").alias(f"{x}c"), F.col("root").alias(f"{x}root"), F.col("sign").alias(f"{x}s")) for x in "ab")
         moved = open_.join(a, F.col("cu") == F.col("ac")).join(b, F.col("cv") == F.col("bc")).where("aroot <> broot")
-        open_ = materialize(moved.select("u", "v", "w", F.col("aroot").alias("cu"), F.col("broot").alias("cv"), (F.col("r") * F.col("as") * F.col("bs")).alias("r")), "forest-open")
-    if forest is None:
-        forest = start.select("u", "v", "w").limit(0)
+        rest = moved.groupBy(F.least("aroot", "broot").alias("cu"), F.greatest("aroot", "broot").alias("cv")).agg(F.min(F.struct("w", "u", "v", (F.col("r") * F.col("as") * F.col("bs")).cast("int").alias("r"))).alias("e"))
+        open_, n = _counted(rest.select("e.u", "e.v", "e.w", "cu", "cv", "e.r"), "forest-open", open_)
+        comps = found
+    last = materialize(_last_forest(open_), "forest-last", open_)
+    forest = last.where("kind = 0").select("u", "v", "w")
+    labels = last.where("kind = 1").select(F.col("u").alias("id"), F.col("v").alias("comp"), F.col("s").alias("sign"))
+    if not moves:
+        return forest, labels
+    for f in picked:
+        forest = forest.unionByName(f)
+    for m in reversed(moves):
+        up = labels.select(F.col("id").alias("uid"), "comp", F.col("sign").alias("us"))
+        labels = m.join(up, F.col("root") == F.col("uid"), "left").select(F.col("c").alias("id"), F.coalesce("comp", "root").alias("comp"), (F.col("sign") * F.coalesce("us", F.lit(1))).cast("int").alias("sign"))
+    state = materialize(labels, "forest-state")
     least = state.groupBy("comp").agg(F.min(F.struct("id", "sign")).alias("m")).select(F.col("comp").alias("c"), F.col("m.id").alias("least"), F.col("m.sign").alias("ls"))
-    labels = state.join(least, F.col("comp") == F.col("c")).select("id", F.col("least").alias("comp"), (F.col("sign") * F.col("ls")).alias("sign"))
-    return forest, materialize(labels, "forest-labels")
+    labels = state.join(least, F.col("comp") == F.col("c")).select("id", F.col("least").alias("comp"), (F.col("sign") * F.col("ls")).cast("int").alias("sign"))
+    return forest.distinct(), materialize(labels, "forest-labels")
 
 
 def forest_degree(forest: DataFrame) -> DataFrame:

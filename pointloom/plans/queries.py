@@ -557,7 +557,7 @@ def mst_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{FOREST} select u, v, round(w, 6) + 0.0 as w from mst")
 def mst_edges_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(graph.spanning_forest(weighted(spark, sf_dir)[2], small=0)[0], "w")
+    return rounded(graph.spanning_forest(weighted(spark, sf_dir)[2], task=100)[0], "w")
 
 
 @query(f"{FOREST} select count(*) as edges, round(sum(w), 6) + 0.0 as weight from mst")
@@ -794,7 +794,7 @@ def components_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spanning forest of all orders' eight nearest neighbours by distance, in rounds."""
-    return graph.spanning_forest(graph.distance_edges(_order_edges(spark, sf_dir, 8)), small=0)[0]
+    return graph.spanning_forest(graph.distance_edges(_order_edges(spark, sf_dir, 8)))[0]
 
 
 def smooth_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

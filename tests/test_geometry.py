@@ -279,12 +279,20 @@ def plain_kruskal(edges):
     return sorted(out)
 
 
-@pytest.mark.parametrize("small", [0, graph.SMALL])
-def test_forest_is_kruskals(spark, small):
+def some_graph(kind):
     rng = random.Random(1)
-    es = {(min(a, b), max(a, b)): rng.choice((0.1, 0.5, rng.random())) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(90)) if a != b}
+    if kind == "chain":  # each component's lightest edge leads on along it
+        return {(i, i + 1): 1.0 - i / 100 for i in range(40)}
+    if kind == "dense":
+        return {(i, j): rng.random() for i in range(30) for j in range(i + 1, 30)}
+    return {(min(a, b), max(a, b)): rng.choice((0.1, 0.5, rng.random())) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(90)) if a != b}
+
+
+@pytest.mark.parametrize("kind, task", [("ties", 1), ("ties", 50), ("ties", None), ("chain", 1), ("chain", 8), ("dense", 70), ("dense", 1)])
+def test_forest_is_kruskals(spark, kind, task):
+    rng, es = random.Random(2), some_graph(kind)
     df = spark.createDataFrame([(u, v, w, rng.choice((1, -1))) for (u, v), w in es.items()], "u long, v long, w double, s int")
-    forest, labels = graph.spanning_forest(df, small)
+    forest, labels = graph.spanning_forest(df, task)
     assert sorted(map(tuple, forest.collect())) == plain_kruskal([(w, u, v) for (u, v), w in es.items()])
     sign = {r["id"]: (r["comp"], r["sign"]) for r in labels.collect()}
     s = {(r["u"], r["v"]): r["s"] for r in df.collect()}
@@ -295,9 +303,16 @@ def test_forest_is_kruskals(spark, small):
     assert all(c <= i and sign[c] == (c, 1) for i, (c, _) in sign.items())
 
 
+def test_own_forests_keep_all_that_counts(spark):
+    es = some_graph("dense")
+    df = spark.createDataFrame([(u, v, w, u, v, 1) for (u, v), w in es.items()], graph.OPEN)
+    left = {(r["u"], r["v"], r["w"]) for r in graph._own_forests(df, 3).collect()}
+    assert set(plain_kruskal([(w, u, v) for (u, v), w in es.items()])) <= left and len(left) <= 3 * 29
+
+
 def test_forest_of_nothing(spark):
-    for small in (0, 10):
-        forest, labels = graph.spanning_forest(spark.createDataFrame([], "u long, v long, w double, s int"), small)
+    for task in (1, None):
+        forest, labels = graph.spanning_forest(spark.createDataFrame([], "u long, v long, w double, s int"), task)
         assert (forest.count(), labels.count()) == (0, 0)
 
 
