@@ -263,6 +263,23 @@ def test_stretches_encode_like_the_whole(encoder):
         assert [i for x in cut for i in encoder.encode(x, add_special_tokens=False).ids] == encoder.encode(t, add_special_tokens=False).ids
 
 
+def test_ids_by_rank_are_the_tokenizers(encoder, edge_rows, real_docs):
+    fast, r = packing.Encoder(P.path("byte_bpe_50k.json")), random.Random(9)
+    assert fast.fast is not None
+    signs = ["a", "b", "th", "e", "E", " ", "  ", "\n", "12", "é", "e\u0301", "'s", "'S", ".", "!!", "\u3000", "\u0085", "\x1c", "<|endoftext|>", "\U0001f600", "中文", "ß", "\x00", "x" * 30, " " * 1500, "\n " * 900]
+    texts = [t or "" for _, t, _ in edge_rows] + [r_["text"] or "" for r_ in real_docs.select("text").collect()]
+    texts += ["".join(r.choice(signs[:-2] if k % 10 else signs) for _ in range(r.randrange(400))) for k in range(600)]
+    texts += list(encoder.get_vocab())[::7] + [" ".join(list(encoder.get_vocab())[k::50]) for k in range(50)]
+    for t in texts:
+        assert fast(t).tolist() == encoder.encode(t, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_go_through_the_library():
+    path = P.path("word_bpe_49k.json")
+    e, t = packing.Encoder(path), tokenizers.Tokenizer.from_file(path)
+    assert e.fast is None and e("Hello there, World").tolist() == t.encode("Hello there, World", add_special_tokens=False).ids
+
+
 def test_crc_of_ids(spark):
     row = spark.range(1).select(packing.ids_crc32(F.lit(np.array([7, 70000], "<u4").tobytes())).alias("c")).first()
     assert row["c"] == zlib.crc32(np.array([7, 70000], "<u4").tobytes())
