@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 
 from pointloom.plans.storage import materialize
 
-#: Distinct nodes of a shard at most, nodes that a task lays out at once, and depths at which subtrees may become shards.
-SHARD, TOGETHER, CUTS = 100, 1 << 16, (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
+#: Distinct nodes that a task lays out at once, and depths at which subtrees may become shards.
+TOGETHER, CUTS = 1 << 16, (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
+#: A subtree that begins at a depth of up to NEAR is heavy with more nodes than FEW and more distinct ends than WAYS, so that
+#: wide ones are spread thin; further down, where each level above shards is one more round, with more nodes than SHARD.
+NEAR, FEW, WAYS, SHARD = 4, 100, 16, 20_000
 #: Bytes of listed ids in one row.
 LISTED = 1 << 16
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -109,13 +112,14 @@ def _listed(ends: DataFrame) -> DataFrame:
 def _dealt(nodes: DataFrame) -> DataFrame:
     """nodes with cut: the depth at which a node's shard begins, null for the nodes above the shards.
 
-    At each depth in turn, the prefixes under which at most SHARD distinct nodes are left are shards; only what lies under
-    heavier ones is looked at again.
+    At each depth in turn, the prefixes whose subtrees are not heavy are shards; only what lies under the others is looked
+    at again.
     """
     left, done = nodes, []
     for d in CUTS:
-        per = left.where(F.col(f"a{d}").isNotNull()).groupBy(F.col(f"a{d}").alias("a")).agg(F.count(F.lit(1)).alias("n"))
-        heavy = materialize(per.where(F.col("n") > SHARD).select("a"), "trie-heavy")
+        per = left.where(F.col(f"a{d}").isNotNull()).groupBy(F.col(f"a{d}").alias("a")).agg(F.count(F.lit(1)).alias("n"), F.count_if("ended").alias("ways"))
+        heavy = (F.col("n") > FEW) & (F.col("ways") > WAYS) if d <= NEAR else F.col("n") > SHARD
+        heavy = materialize(per.where(heavy).select("a"), "trie-heavy")
         if heavy.isEmpty():
             done.append(left.withColumn("cut", F.when(F.col(f"a{d}").isNotNull(), F.lit(d))))
             left = None
@@ -240,7 +244,7 @@ def trie(conversations: DataFrame, group: int = 20, heads: int = 4) -> DataFrame
     all_rows, convs = rebuilt(materialize(turns(conversations), "trie-turns"), group, heads)
     rows = materialize(prefixes(all_rows), "trie-prefixes")
     ancestors = [F.first(f"a{d}").alias(f"a{d}") for d in CUTS]
-    nodes = rows.groupBy(*KEY).agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs"), F.max("words").cast("long").alias("words"), F.first("p1").alias("p1"), F.first("p2").alias("p2"), *ancestors)
+    nodes = rows.groupBy(*KEY).agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs"), F.max("words").cast("long").alias("words"), F.first("p1").alias("p1"), F.first("p2").alias("p2"), F.max(F.col("depth") == F.col("turns")).alias("ended"), *ancestors)
     nodes = materialize(nodes.withColumn("saved", (F.col("n_convs") - 1) * F.col("words")).drop("words"), "trie-nodes")
     dealt = _dealt(nodes)
     below = materialize(_shards(dealt), "trie-shards")

@@ -145,17 +145,31 @@ def test_trie_equals_a_plain_one(spark):
 @pytest.mark.parametrize("shard", [1, 7])
 def test_heavy_levels_are_merged_apart(spark, monkeypatch, shard):
     monkeypatch.setattr(prefix_trie, "SHARD", shard)
+    monkeypatch.setattr(prefix_trie, "FEW", shard)
+    monkeypatch.setattr(prefix_trie, "WAYS", 1)
     rows = talks(60, 2, most=5) + [(1000 + c, t, "user", "the same") for c in range(30) for t in range(4)]
     assert tried(spark, rows) == plain_trie(rows)
 
 
 def test_deep_heavy_prefixes_beyond_the_cuts(spark, monkeypatch):
     monkeypatch.setattr(prefix_trie, "SHARD", 3)
+    monkeypatch.setattr(prefix_trie, "FEW", 3)
+    monkeypatch.setattr(prefix_trie, "WAYS", 1)
     monkeypatch.setattr(prefix_trie, "CUTS", (1, 2))
     rows = [(20 * c, t, "user", "same" if t < 5 else f"own {c}") for c in range(8) for t in range(9)]
     assert tried(spark, rows) == plain_trie(rows)
 
 
+def test_long_conversations_and_late_branches_take_few_rounds(spark, monkeypatch):
+    """400 turns by themselves, and 30 branches behind 150 common turns: no level of them is a round of its own."""
+    rounds = []
+    real = prefix_trie._upper
+    monkeypatch.setattr(prefix_trie, "_upper", lambda nodes, tops: rounds.append(nodes.agg(F.max("depth")).first()[0]) or real(nodes, tops))
+    rows = [(20, t, "user", f"t{t}") for t in range(400)] + [(20 * c, t, "user", "same" if t < 150 else f"own {c}") for c in range(2, 32) for t in range(152)]
+    assert tried(spark, rows) == plain_trie(rows)
+    assert rounds[0] <= 6
+
+
 def test_odd_turns(spark):
     rows = [(0, None, None, "x y"), (0, None, None, "x y"), (0, 1, "user", None), (0, 1, "user", None), (0, 1, "", "user"), (3, 0, "a", ""), (None, 1, "user", "no conversation"), (40, 5, "r", "one " * 30_000)]
     rows += [(c, 0, "user", "x y") for c in (7, 8, 9, -3, -25, 2**62)] + [(41, t, "user", f"t{t}") for t in range(90)]
