@@ -705,6 +705,48 @@ def ply_in_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
 FILES = f"{PTS}, numbered as (select id % 7 as file, row_number() over (partition by id % 7 order by id) - 1 as id, x, y, z from pts) select cast(file as varchar) as file, id, round(x, 6) + 0.0 as x, round(y, 6) + 0.0 as y, round(z, 6) + 0.0 as z from numbered"
 
 
+@query(f"with {PTS} select id, x, y, z from pts where id % 3 <> 1")
+def ply_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written by tasks as a folder of files, appended to once, and read back with a filter."""
+    path = scratch_path(spark, "ply-folder")
+    ply.register(spark)
+    p = points(spark, sf_dir).withColumn("number", F.col("id").cast("int")).drop("id").repartition(3)
+    p.where("number % 3 = 0").write.format("ply").mode("append").save(path)
+    p.where("number % 3 > 0").write.format("ply").mode("append").save(path)
+    return ply.load(spark, path).where("number % 3 <> 1").select(F.col("number").cast("long").alias("id"), "x", "y", "z")
+
+
+@query(f"with {PTS}, few as (select * from pts where id >= 40 and id < 340) select id, round(x, 6) + 0.0 as x, round(y, 6) + 0.0 as y, round(z, 6) + 0.0 as z from few")
+def ply_pushed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some rows of one file: their range is all that is read."""
+    path = scratch_path(spark, "ply") + ".ply"
+    ply.write_mesh(path, points(spark, sf_dir))
+    return rounded(ply.load(spark, path).where("id >= 40 and id < 340").select("id", *[F.col(a).cast("double").alias(a) for a in "xyz"]), *"xyz")
+
+
+@query(f"with {PTS} select id, x, y, z from pts")
+def ply_text_in_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text file of all points, read in splits."""
+    path, p = scratch_path(spark, "ply-text"), points(spark, sf_dir)
+    head = F.concat(F.lit("ply\nformat ascii 1.0\nelement vertex "), p.agg(F.count(F.lit(1)).alias("n")).select("n").scalar().cast("string"), F.lit("\nproperty double x\nproperty double y\nproperty double z\nend_header"))
+    lines = spark.range(1).select(F.lit(-1).cast("long").alias("id"), head.alias("value")).unionByName(p.select("id", F.concat_ws(" ", *[F.col(a).cast("string") for a in "xyz"]).alias("value")))
+    lines.coalesce(1).sortWithinPartitions("id").select("value").write.text(path)
+    (name, _), *_ = ply.files(f"{path}/part-*")[0]
+    return ply.load(spark, name, split=1 << 13)
+
+
+@query("select 2 * p_partkey + t as face_id, case when t = 0 then [p_partkey, p_partkey + 1, p_partkey + 2] else [p_partkey, p_partkey + 2, p_partkey + 1, p_partkey + 3] end as vertex_indices from part, (select unnest([0, 1]) as t) where p_partkey < (select max(p_partkey) from part) - 2")
+def ply_lists_in_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faces of three and four corners in turn, one behind the other in a binary file, read in splits."""
+    path, p = scratch_path(spark, "ply") + ".ply", lattice(spark, sf_dir)
+    k = F.col("id")
+    last = p.agg(F.max("id").alias("last")).select("last").scalar()
+    some = p.where(k < last - 2).select(F.inline(F.array(F.struct((2 * k).alias("face_id"), F.array(k, k + 1, k + 2).alias("vertex_indices")), F.struct((2 * k + 1).alias("face_id"), F.array(k, k + 2, k + 1, k + 3).alias("vertex_indices")))))
+    ply.write_mesh(path, p, some)
+    f = ply.load(spark, path, "face", split=1 << 12)
+    return f.select(F.col("id").alias("face_id"), F.col("vertex_indices").cast("array<long>").alias("vertex_indices"))
+
+
 def _ply_files(spark: SparkSession, sf_dir: str, encoding: str) -> DataFrame:
     """(path, content): seven small files in memory, each with an element of lists before the vertices."""
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import fnmatch
+import functools
 import io
 import itertools
+import json
 import re
 import struct
 import uuid
@@ -16,7 +19,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 #: Fixed values of the format: names of scalar types -> numpy code, Spark type.
 TYPES = {
@@ -39,6 +42,8 @@ FINDERS = {
 }
 ORDER = {"binary_little_endian": "<", "binary_big_endian": ">"}
 ROWS_A_PARTITION = 4_000_000
+#: Files of a folder are read together up to this many bytes; larger ones are split. Bytes of a written part, about.
+TOGETHER, PART = 64 << 20, 64 << 20
 HEADER_MOST = 1 << 20
 #: Bits of the NaN that stands for null in a binary file's floats, which have no other place for it (the payload R gives NA).
 NULL = 0x7FC007A2
@@ -170,8 +175,7 @@ def _scalar(token: str, kind: str):
     return v
 
 
-def _ascii_rows(lines: Iterator[str], e: Element) -> Iterator[dict]:
-    tokens = (t for line in lines for t in line.split())
+def _ascii_rows(tokens: Iterator[str], e: Element) -> Iterator[dict]:
     try:
         for _ in range(e.count):
             row = {}
@@ -200,6 +204,14 @@ class Range(InputPartition):
     start: int
     rows: int
     lengths: tuple[int, ...] | None = None
+    path: str = ""
+
+
+@dataclass
+class Parts(InputPartition):
+    """Ranges of files that one task reads; a range without rows is a whole file that planning did not look into."""
+
+    ranges: list[Range]
 
 
 def _exactly(f, n: int, e: Element) -> bytes:
@@ -248,11 +260,11 @@ def _read(f, header: Header, e: Element, names: list[str], part: Range) -> Itera
     schema, before = arrow_schema(e, names), header.elements[: header.elements.index(e)]
     f.seek(header.size)
     if header.encoding == "ascii":
-        lines = (x for x in io.TextIOWrapper(f, "latin-1"))
+        tokens = (t for line in io.TextIOWrapper(f, "latin-1") for t in line.split())  # an element may begin within a line
         for x in before:
-            for _ in _ascii_rows(lines, x):
+            for _ in _ascii_rows(tokens, x):
                 pass
-        rows, at = _ascii_rows(lines, e), 0
+        rows, at = _ascii_rows(tokens, e), 0
         while some := list(itertools.islice(rows, 1 << 16)):
             yield _batch(some, schema, at)
             at += len(some)
@@ -285,49 +297,234 @@ def _walked(f, e: Element, order: str, schema: pa.Schema, start: int, end: int)
 
 
 def _batch(rows: list[dict], schema: pa.Schema, first: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(range(first, first + len(rows)), pa.int64()), *(pa.array([r[n] for r in rows], schema.field(n).type) for n in schema.names[1:])], schema=schema)
+    def column(n: str) -> pa.Array:
+        t, v = schema.field(n).type, [r[n] for r in rows]
+        return _column(np.array(v, np.float32), t) if t == pa.float32() else pa.array(v, t)  # which knows the NaN for null
+
+    return pa.RecordBatch.from_arrays([pa.array(range(first, first + len(rows)), pa.int64()), *(column(n) for n in schema.names[1:])], schema=schema)
+
+
+def files(path: str) -> tuple[list[tuple[str, int]], bool]:
+    """(path, bytes) of the file, of the .ply files of the folder or of those that a pattern names, and whether it is one file."""
+    fs, at = _open(path)
+    here = lambda name: path[: len(path) - len(at)] + name if path.endswith(at) else name
+    folder, _, pattern = at.rpartition("/")
+    if re.search(r"[*?\[]", pattern):
+        found = [x for x in fs.get_file_info(pafs.FileSelector(folder or "/")) if x.is_file and fnmatch.fnmatch(x.base_name, pattern)]
+    else:
+        info = fs.get_file_info(at)
+        if info.type == pafs.FileType.NotFound:
+            raise FileNotFoundError(path)
+        if info.is_file:
+            return [(path, info.size)], True
+        found = [x for x in fs.get_file_info(pafs.FileSelector(at)) if x.is_file and x.extension == "ply"]
+    found = sorted((here(x.path), x.size) for x in found if not x.base_name.startswith(("_", ".")))
+    if not found:
+        raise ValueError(f"no PLY files: {path}")
+    return found, False
 
 
 class Reader(DataSourceReader):
-    def __init__(self, path: str, element: str, columns: list[str] | None):
-        self.path, self.header = path, read_header(path)
+    """One element of one or more files of the same kind. Filters on id and file leave out files and rows where they are planned."""
+
+    def __init__(self, path: str, element: str, columns: list[str] | None, chosen: list[tuple[str, int]] | None = None):
+        found, self.single = files(path) if chosen is None else (chosen, False)
+        self.files, self.header = found, read_header(found[0][0])
         self.element = self.header.element(element)
         self.names = [p.name for p in self.element.properties if columns is None or p.name in columns]
+        self.low, self.high = 0, None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Bounds of id are kept exactly, a choice of files too; of a choice of ids the range between the ends."""
+        for f in filters:
+            at, v = getattr(f, "attribute", None), getattr(f, "value", None)
+            if at == ("file",) and not self.single and isinstance(f, EqualTo | In):
+                self.files = [x for x in self.files if x[0] in ((v,) if isinstance(f, EqualTo) else v)]
+            elif at == ("id",) and isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual | In) and v not in (None, ()):
+                some = [x for x in v if x is not None] if isinstance(f, In) else [v]
+                if isinstance(f, In):
+                    yield f
+                if not some:
+                    continue
+                if not isinstance(f, LessThan | LessThanOrEqual):
+                    self.low = max(self.low, min(some) + isinstance(f, GreaterThan))
+                if not isinstance(f, GreaterThan | GreaterThanOrEqual):
+                    high = max(some) + (not isinstance(f, LessThan))
+                    self.high = high if self.high is None else min(self.high, high)
+            else:
+                yield f
 
-    def partitions(self) -> list[Range]:
+    def _ranges(self, path: str, header: Header, size: int) -> list[Range]:
         """Rows of equal width behind elements of equal width can be found by their number and are split; others are read in one go.
 
         Lists are taken to have all the length that the first row's have where the file's size says so; each part holds
         its own counts against that.
         """
-        e, header = self.element, self.header
-        at = header.elements.index(e)
-        if header.encoding == "ascii" or not all(x.fixed for x in header.elements[:at]):
-            return [Range(0, e.count)]
+        e = header.element(self.element.name)
+        at, order = header.elements.index(e), ORDER.get(header.encoding)
+        low, high = min(self.low, e.count), e.count if self.high is None else max(0, min(e.count, self.high))
+        if order is None or not all(x.fixed for x in header.elements[:at]):
+            return [Range(0, e.count, None, path)]
         lengths: tuple[int, ...] | None = ()
         if not e.fixed:
-            order = ORDER[header.encoding]
-            fs, name = _open(self.path)
+            fs, name = _open(path)
             with fs.open_input_file(name) as f:
                 f.seek(header.size)
                 for x in header.elements[:at]:
                     _skip(f, x, order)
                 begin, lengths = f.tell(), _first_lengths(f, e, order)
                 after = sum(x.count * x.dtype(order).itemsize for x in header.elements[at + 1 :] if x.fixed)
-                if not all(x.fixed for x in header.elements[at + 1 :]) or begin + e.count * _laid(e, order, lengths).itemsize + after != f.size():
-                    return [Range(0, e.count)]
-        return [Range(a, min(ROWS_A_PARTITION, e.count - a), lengths) for a in range(0, max(e.count, 1), ROWS_A_PARTITION)]
+                if not all(x.fixed for x in header.elements[at + 1 :]) or begin + e.count * _laid(e, order, lengths).itemsize + after != size:
+                    return [Range(0, e.count, None, path)]
+        return [Range(a, min(ROWS_A_PARTITION, high - a), lengths, path) for a in range(low, max(high, low), ROWS_A_PARTITION)]
+
+    def partitions(self) -> list[Parts]:
+        """Large files by ranges of rows; small ones, into which only tasks look, together."""
+        out, held, size = [], [], 0
+        for k, (path, n) in enumerate(sorted(self.files, key=lambda x: (-x[1], x[0]))):
+            if self.single or n > TOGETHER // 4:
+                head = self.header if path == self.files[0][0] and k == 0 else read_header(path)
+                out += [Parts([r]) for r in self._ranges(path, head, n)]
+                continue
+            held.append(Range(0, -1, None, path))
+            size += n
+            if size >= TOGETHER:
+                out.append(Parts(held))
+                held, size = [], 0
+        return [*out, *([Parts(held)] if held else [])] or [Parts([])]
+
+    def read(self, part: Parts) -> Iterator[pa.RecordBatch]:
+        for r in part.ranges:
+            fs, at = _open(r.path)
+            with fs.open_input_file(at) as f:
+                head = parse_header(f.read(HEADER_MOST))
+                e = head.element(self.element.name)
+                if arrow_schema(e, self.names) != arrow_schema(self.element, self.names):
+                    raise ValueError(f"{r.path}: element {e.name!r} has other columns than in {self.files[0][0]}")
+                for one in [r] if r.rows >= 0 else self._ranges(r.path, head, f.size()):
+                    for rows in _read(f, head, e, self.names, one):
+                        if (self.low or self.high is not None) and one.lengths is None:
+                            ids = rows.column(0).to_numpy()
+                            rows = rows.filter(pa.array((ids >= self.low) & (ids < (self.high if self.high is not None else len(ids) + ids[:1].sum()))))
+                        if not self.single:
+                            rows = pa.RecordBatch.from_arrays([*rows.columns, pa.array([r.path] * rows.num_rows, pa.string())], names=[*rows.schema.names, "file"])
+                        yield rows
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+
+@dataclass
+class Written(WriterCommitMessage):
+    names: list[str]
+
+
+class Writer(DataSourceArrowWriter):
+    """Tasks write complete files of about PART bytes into a folder beside; only when all are done, a commit moves them in."""
+
+    def __init__(self, path: str, element: str, schema: T.StructType, overwrite: bool):
+        kinds = {T.ByteType: "char", T.ShortType: "short", T.IntegerType: "int", T.FloatType: "float", T.DoubleType: "double"}
+        self.path, self.overwrite, self.tag, self.properties = path, overwrite, uuid.uuid4().hex, []
+        for f in schema.fields:
+            t = f.dataType
+            if type(t) in kinds:
+                self.properties.append(Property(f.name, kinds[type(t)]))
+            elif isinstance(t, T.ArrayType) and (type(t.elementType) in kinds or isinstance(t.elementType, T.LongType)):
+                self.properties.append(Property(f.name, kinds.get(type(t.elementType), "uint"), "uint"))
+            else:
+                raise ValueError(f"a PLY file cannot hold column {f.name!r} of type {t.simpleString()}")
+            if not re.fullmatch(r"\S+", f.name):
+                raise ValueError(f"a PLY file cannot hold a column named {f.name!r}")
+        self.element = element
+
+    def _bytes(self, batch: pa.RecordBatch) -> bytes:
+        fixed = all(p.count_kind is None for p in self.properties)
+        cols = [_stored(c, p) for c, p in zip(batch.columns, self.properties, strict=True)]
+        if fixed:
+            out = np.empty(batch.num_rows, [(str(k), c.dtype) for k, c in enumerate(cols)])
+            for k, c in enumerate(cols):
+                out[str(k)] = c
+            return out.tobytes()
+        lists = [c if isinstance(c, tuple) else None for c in cols]
+        return b"".join(b"".join(struct.pack("<I", x[1][i + 1] - x[1][i]) + x[0][x[1][i] : x[1][i + 1]].tobytes() if x is not None else c[i : i + 1].tobytes() for c, x in zip(cols, lists, strict=True)) for i in range(batch.num_rows))
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        names, held, size, rows = [], [], 0, 0
+
+        def out() -> None:
+            head = ["ply", "format binary_little_endian 1.0", f"element {self.element} {rows}"]
+            head += [f"property {'list uint ' if p.count_kind else ''}{p.kind} {p.name}" for p in self.properties]
+            names.append(f"part-{uuid.uuid4().hex}.ply")
+            with _create(f"{self.path}/_{self.tag}/{names[-1]}") as f:
+                f.write(("\n".join([*head, "end_header"]) + "\n").encode())
+                for x in held:
+                    f.write(x)
+
+        for b in iterator:
+            if not b.num_rows:
+                continue
+            held.append(self._bytes(b))
+            size, rows = size + len(held[-1]), rows + b.num_rows
+            if size >= PART:
+                out()
+                held, size, rows = [], 0, 0
+        if held:
+            out()
+        return Written(names)
+
+    def commit(self, messages: list[Written | None]) -> None:
         fs, at = _open(self.path)
-        with fs.open_input_file(at) as f:
-            yield from _read(f, self.header, self.element, self.names, part)
+        fs.create_dir(at, recursive=True)
+        before = [x for x in fs.get_file_info(pafs.FileSelector(at)) if x.is_file] if self.overwrite else []
+        names = [n for m in messages if m is not None for n in m.names]
+        if not names:  # a table without rows has its columns
+            names = self.write(iter(())).names or self._empty()
+        for n in names:
+            fs.move(f"{at}/_{self.tag}/{n}", f"{at}/{n}")
+        for x in before:
+            fs.delete_file(x.path)
+        self._clear(fs, at)
+
+    def _empty(self) -> list[str]:
+        head = ["ply", "format binary_little_endian 1.0", f"element {self.element} 0", *(f"property {'list uint ' if p.count_kind else ''}{p.kind} {p.name}" for p in self.properties), "end_header", ""]
+        with _create(f"{self.path}/_{self.tag}/part-{self.tag}.ply") as f:
+            f.write("\n".join(head).encode())
+        return [f"part-{self.tag}.ply"]
+
+    def abort(self, messages: list[Written | None]) -> None:
+        self._clear(*_open(self.path))
+
+    def _clear(self, fs: pafs.FileSystem, at: str) -> None:
+        if fs.get_file_info(f"{at}/_{self.tag}").type != pafs.FileType.NotFound:
+            fs.delete_dir(f"{at}/_{self.tag}")
+
+
+def _stored(col: pa.Array, p: Property):
+    """A column's numbers as they stand in a file, or (numbers, offsets) of lists; a null float is the NaN for it, others raise."""
+    if p.count_kind:
+        if col.null_count or col.flatten().null_count:
+            raise ValueError(f"a PLY file cannot hold a null list or entry: {p.name!r}")
+        off = col.offsets.to_numpy() - col.offsets[0].as_py()
+        return _fits(col.flatten().to_numpy(), p), off
+    if col.null_count and p.kind != "float":
+        raise ValueError(f"a PLY file cannot hold a null {p.kind}: {p.name!r}")
+    v = _fits(col.fill_null(0).to_numpy(zero_copy_only=False), p)
+    if col.null_count:
+        v = v.copy()
+        v[col.is_null().to_numpy(zero_copy_only=False)] = np.array(NULL, "<u4").view("<f4")
+    return v
+
+
+def _fits(v: np.ndarray, p: Property) -> np.ndarray:
+    code = TYPES[p.kind][0]
+    if code[0] != "f" and len(v) and (v.min() < np.iinfo(code).min or v.max() > np.iinfo(code).max):
+        raise ValueError(f"{p.name!r} holds a number that does not fit {p.kind}")
+    return v.astype("<" + code)
 
 
 class PlyDataSource(DataSource):
-    """spark.read.format("ply").option("element", "face").load(path): one element's rows, numbered by id.
+    """spark.read.format("ply").option("element", "face").load(path): one element's rows, numbered by id in each file.
 
-    Options: element (vertex if absent), columns (comma-separated names to read; all if absent).
+    path: a file, a folder of .ply files or a pattern of names; of the latter two rows also have their file. Options:
+    element (vertex if absent), columns (comma-separated names to read; all if absent). df.write.format("ply") writes a
+    folder of files with df's columns: numbers and lists of numbers; appended to, or replaced with mode("overwrite").
     """
 
     @classmethod
@@ -335,21 +532,55 @@ class PlyDataSource(DataSource):
         return "ply"
 
     def _reader(self) -> Reader:
-        cols = self.options.get("columns")
-        return Reader(self.options["path"], self.options.get("element", "vertex"), cols.split(",") if cols else None)
+        cols, chosen = self.options.get("columns"), self.options.get("chosen")
+        return Reader(self.options["path"], self.options.get("element", "vertex"), cols.split(",") if cols else None, [tuple(x) for x in json.loads(chosen)] if chosen else None)
 
     def schema(self) -> T.StructType:
         r = self._reader()
-        return T.StructType([T.StructField("id", T.LongType(), False), *[T.StructField(p.name, p.spark()) for p in r.element.properties if p.name in r.names]])
+        file = [] if r.single else [T.StructField("file", T.StringType(), False)]
+        return T.StructType([T.StructField("id", T.LongType(), False), *[T.StructField(p.name, p.spark()) for p in r.element.properties if p.name in r.names], *file])
 
     def reader(self, schema: T.StructType) -> Reader:
         return self._reader()
 
+    def writer(self, schema: T.StructType, overwrite: bool) -> Writer:
+        return Writer(self.options["path"].rstrip("/"), self.options.get("element", "vertex"), schema, overwrite)
 
-def load(spark: SparkSession, path: str, element: str = "vertex", columns: list[str] | None = None) -> DataFrame:
+
+def register(spark: SparkSession) -> None:
+    """format("ply") for a session, with filters that reach the files."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PlyDataSource)
+
+
+def load(spark: SparkSession, path: str, element: str = "vertex", columns: list[str] | None = None, split: int | None = None) -> DataFrame:
+    """One element of the file, folder or pattern of files at path.
+
+    Text files and lists of several lengths beyond split bytes are read in splits too, where their rows can be found so.
+    """
+    from pointloom.sources import ply_splits
+
+    register(spark)
+    found, single = files(path)
+    parts, split = [], ply_splits.SPLIT if split is None else split
+    for name, size in found:
+        if size > split:
+            head = read_header(name)
+            e = head.element(element)
+            if (head.encoding == "ascii" or not e.fixed) and ply_splits.can_split(head, e):
+                names = [p.name for p in e.properties if columns is None or p.name in columns]
+                if head.encoding == "ascii" or len(Reader(name, element, columns)._ranges(name, head, size)) == 1:
+                    parts.append((name, size, ply_splits.plan(name, head, e, names, size, split)))
     r = spark.read.format("ply").option("element", element)
-    return (r.option("columns", ",".join(columns)) if columns else r).load(path)
+    r = r.option("columns", ",".join(columns)) if columns else r
+    if not parts:
+        return r.load(path)
+    rest = [x for x in found if x[0] not in {name for name, _, _ in parts}]
+    out = [r.option("chosen", json.dumps(rest)).load(path)] if rest else []
+    for name, _, p in parts:
+        rows = ply_splits.load(spark, p)
+        out.append(rows if single else rows.withColumn("file", F.lit(name)))
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 def load_bytes(files: DataFrame, schema: str, element: str = "vertex", content: str = "content") -> DataFrame:
@@ -396,40 +627,69 @@ def load_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | No
 def write_mesh(path: str, points: DataFrame, polygons: DataFrame | None = None) -> None:
     """One binary little-endian file: float positions, normals if there are nx, ny, nz, uchar colours if there are red, green, blue.
 
-    Tasks write the rows of contiguous id ranges as pieces beside the target; only their places, sizes and counts come to the
-    driver, which joins the pieces byte by byte behind the header. Vertices are stored in the order of id, and faces refer to
-    positions in it, so ids must run from 0 without gaps if there are faces; without faces rows of a null id come last. A null
-    position or normal is stored as a NaN that the readers here give back as null.
+    Tasks write the rows of contiguous id ranges as pieces in a folder beside the target; only their places, sizes and counts
+    come to the driver, which joins the pieces byte by byte behind the header and renames the whole. Whatever fails, the
+    folder goes and an earlier target stays. Vertices are stored in the order of id. Faces refer to places in it: with faces,
+    ids that do not run from 0 without gaps, corners that are no vertex and null lists raise. Without faces rows of a null
+    id come last. A null position or normal is stored as a NaN that the readers here give back as null. For a table of any
+    size in parts, without the joining, see format("ply").
     """
     names = [c for c in ("x", "y", "z", "nx", "ny", "nz", "red", "green", "blue") if c in points.columns]
     dtype = np.dtype([(c, "u1" if c in ("red", "green", "blue") else "<f4") for c in names])
-    tag = uuid.uuid4().hex
+    place, schema, by_id, meshed = f"{path}.{uuid.uuid4().hex}", "first long, rows long, piece string, gap boolean", F.asc_nulls_last("id"), polygons is not None
 
     def vertices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _piece(batches, path, tag, "v", lambda b: _packed(b, names, dtype))
-
-    def faces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _piece(batches, path, tag, "f", lambda b: b"".join(struct.pack(f"<B{len(x)}I", len(x), *x) for x in b.column(1).to_pylist()))
-
-    schema = "first long, rows long, piece string"
-    by_id = F.asc_nulls_last("id")
-    jobs = [points.select("id", *names).repartitionByRange(by_id).sortWithinPartitions(by_id).mapInArrow(vertices, schema)]
-    if polygons is not None:
-        jobs.append(polygons.select("face_id", "vertex_indices").repartitionByRange("face_id").sortWithinPartitions("face_id").mapInArrow(faces, schema))
-    pieces = [sorted(j.collect(), key=lambda r: (r["first"] is None, r["first"])) for j in jobs]  # a row a task
-    head = ["ply", "format binary_little_endian 1.0", f"element vertex {sum(r['rows'] for r in pieces[0])}"]
-    head += [f"property {'uchar' if c in ('red', 'green', 'blue') else 'float'} {c}" for c in names]
-    if polygons is not None:
-        head += [f"element face {sum(r['rows'] for r in pieces[1])}", "property list uchar uint vertex_indices"]
-    fs, _ = _open(path)
-    with _create(path) as out:
-        out.write(("\n".join([*head, "end_header"]) + "\n").encode())
-        for r in (r for x in pieces for r in x):
-            with fs.open_input_stream(_open(r["piece"])[1], compression=None) as f:
-                while chunk := f.read(1 << 24):
-                    out.write(chunk)
-    for r in (r for x in pieces for r in x):
-        fs.delete_file(_open(r["piece"])[1])
+        yield from _piece(batches, place, "v", lambda b: _packed(b, names, dtype))
+
+    def written(df: DataFrame, pack) -> list:
+        return sorted(df.mapInArrow(pack, schema).collect(), key=lambda r: (r["first"] is None, r["first"]))  # a row a task
+
+    fs, at = _open(path)
+    try:
+        pieces = written(points.select("id", *names).repartitionByRange(by_id).sortWithinPartitions(by_id), vertices)
+        n = sum(r["rows"] for r in pieces)
+        head = ["ply", "format binary_little_endian 1.0", f"element vertex {n}"]
+        head += [f"property {'uchar' if c in ('red', 'green', 'blue') else 'float'} {c}" for c in names]
+        if meshed:
+            starts = itertools.accumulate((r["rows"] for r in pieces), initial=0)
+            if any(r["gap"] or r["first"] != k for r, k in zip(pieces, starts, strict=False)):
+                raise ValueError("faces need vertices with ids from 0 on, without gaps")
+            long = (polygons.agg(F.max(F.size("vertex_indices")).alias("n")).first()["n"] or 0) > 255
+
+            def faces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                yield from _piece(batches, place, "f", lambda b: _corners(b.column(1), n, long))
+
+            got = written(polygons.select("face_id", "vertex_indices").repartitionByRange("face_id").sortWithinPartitions("face_id"), faces)
+            head += [f"element face {sum(r['rows'] for r in got)}", f"property list {'uint' if long else 'uchar'} uint vertex_indices"]
+            pieces += got
+        whole = f"{place}/whole"
+        with _create(whole) as out:
+            out.write(("\n".join([*head, "end_header"]) + "\n").encode())
+            for r in pieces:
+                with fs.open_input_stream(_open(r["piece"])[1], compression=None) as f:
+                    while chunk := f.read(1 << 24):
+                        out.write(chunk)
+        fs.move(_open(whole)[1], at)
+    finally:
+        if fs.get_file_info(_open(place)[1]).type != pafs.FileType.NotFound:
+            fs.delete_dir(_open(place)[1])
+
+
+def _corners(lists: pa.Array, n: int, long: bool) -> bytes:
+    """Counts and corners of polygons over n vertices, all of a batch at once."""
+    flat = lists.flatten()
+    if lists.null_count or flat.null_count:
+        raise ValueError("a face without corners, or a corner that is null")
+    v, size = flat.to_numpy(), np.diff(lists.offsets.to_numpy())
+    if len(v) and (v.min() < 0 or v.max() >= n):
+        raise ValueError(f"a face has a corner that is none of {n} vertices")
+    head = 4 if long else 1
+    starts = np.cumsum(head + 4 * size) - head - 4 * size
+    out = np.zeros(int((head + 4 * size).sum()), np.uint8)
+    out[starts[:, None] + np.arange(head)] = size.astype("<u4" if long else "u1").view(np.uint8).reshape(-1, head)
+    own = np.repeat(starts + head - 4 * (np.cumsum(size) - size), size) + 4 * np.arange(len(v))
+    out[own[:, None] + np.arange(4)] = v.astype("<u4").view(np.uint8).reshape(-1, 4)
+    return out.tobytes()
 
 
 def _packed(batch: pa.RecordBatch, names: list[str], dtype: np.dtype) -> bytes:
@@ -442,15 +702,18 @@ def _packed(batch: pa.RecordBatch, names: list[str], dtype: np.dtype) -> bytes:
     return out.tobytes()
 
 
-def _piece(batches, path: str, tag: str, kind: str, pack) -> Iterator[pa.RecordBatch]:
-    first, rows, name, out = None, 0, f"{path}.{tag}.{kind}{uuid.uuid4().hex}", None
+def _piece(batches, place: str, kind: str, pack) -> Iterator[pa.RecordBatch]:
+    first, last, rows, gap, name, out = None, None, 0, False, f"{place}/{kind}{uuid.uuid4().hex}", None
     for b in batches:
         if not b.num_rows:
             continue
         if out is None:
             first, out = b.column(0)[0].as_py(), _create(name)
+        ids = b.column(0)
+        gap = gap or ids.null_count > 0 or bool((np.diff(ids.to_numpy(), prepend=ids[0].as_py() - 1 if last is None else last) != 1).any())
+        last = ids[-1].as_py()
         out.write(pack(b))
         rows += b.num_rows
     if out is not None:
         out.close()
-        yield pa.RecordBatch.from_pydict({"first": [first], "rows": [rows], "piece": [name]}, schema=pa.schema([("first", pa.int64()), ("rows", pa.int64()), ("piece", pa.string())]))
+        yield pa.RecordBatch.from_pydict({"first": [first], "rows": [rows], "piece": [name], "gap": [gap]}, schema=pa.schema([("first", pa.int64()), ("rows", pa.int64()), ("piece", pa.string()), ("gap", pa.bool_())]))

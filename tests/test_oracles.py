@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from pointloom.plans import queries
@@ -10,7 +11,8 @@ from pointloom.plans import queries
 
 def rows(df):
     cols = sorted(df.columns)
-    return sorted(map(repr, df[cols].astype(object).where(df[cols].notna(), None).values.tolist()))
+    plain = lambda v: v.tolist() if isinstance(v, np.ndarray) else v
+    return sorted(repr([plain(v) for v in r]) for r in df[cols].astype(object).where(df[cols].notna(), None).values.tolist())
 
 
 @pytest.fixture(scope="module")
