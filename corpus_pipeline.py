@@ -12,14 +12,14 @@ from pyspark.sql import types as T
 
 from pointloom.llm import bpe, minhash, mixing, quality_rules, secrets
 from pointloom.llm.queries import small_batches, vocabulary
-from pointloom.plans.storage import materialize, scratch
+from pointloom.plans.storage import materialize, scratch, scratch_path
 
 #: Ids below this are given to rows whose own id is null or not theirs alone.
 GIVEN = -(1 << 62)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither fail a base rule nor a soft rule on a failing host."""
+    """Documents that neither fail a base rule nor, by their host's rate and their own excess, a soft one."""
     small_batches(spark)
     return quality_rules.keep(docs)
 
@@ -47,8 +47,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by a mark."""
-    out = secrets.redact(docs)
+    """All documents, secrets replaced by a mark.
+
+    Findings go through a ledger: the folder that pointloom.secrets.ledger names in the session, so that a later run scans
+    new texts only, or else one of this run.
+    """
+    ledger = spark.conf.get("pointloom.secrets.ledger", None) or scratch_path(spark, "pipeline-ledger")
+    out = secrets.redact(docs, ledger)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

@@ -1,8 +1,9 @@
 """Quality rules: measures of each document, rule failures by host with a shrunken rate, and verdicts joined back.
 
 A document fails outright by the base rules. The softer rules alone reject nothing: a host's share of failing documents is
-shrunk toward the mean of all hosts by a beta prior fitted to the hosts' own rates, and only on hosts whose shrunken rate
-is above max_host_rate do the softer rules count against a document. Documents that fail no rule are always kept.
+shrunk toward the mean of all hosts by a beta prior fitted to the hosts' own rates, and is taken as the odds that a document
+of that host which fails a soft rule is bad. How far it exceeds the rule's bound shifts these odds: on an ordinary host only
+a gross excess rejects, on a bad one any does. Documents that fail no rule are always kept.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,26 +121,40 @@ def host_rates(judged: DataFrame) -> DataFrame:
     return all_.select("host", "n_docs", "n_failed", shrunk.alias("host_rate"))
 
 
-def keep(docs: DataFrame, max_host_rate: float = 0.5, text_col: str = "text", host_col: str = "source") -> DataFrame:
+def excess() -> Column:
+    """How many times over its bound the worst soft measure is; at most 1 where no soft rule fails."""
+    over = lambda a, b: a / F.nullif(b, F.lit(0))
+    n, c = F.col("n_words"), F.col("word_chars")
+    return F.greatest(over(10 * F.col("n_symbols"), n), over(10 * F.col("n_dup_lines"), 3 * F.col("n_lines")), over(2 * n, c), over(c, 15 * n))
+
+
+def rejected() -> Column:
+    """A host's shrunken rate are the odds that a document of it is bad; its own excess, squared, shifts them. Even odds reject."""
+    return F.col("soft_failed") & (F.col("host_rate") * excess() * excess() > 1 - F.col("host_rate"))
+
+
+def keep(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of docs that judge() keeps, with docs' own columns.
 
-    Rows are judged by themselves, so no id is needed and none is joined: the texts are measured once for the hosts' rates
-    and once where they pass. They only meet the hosts above max_host_rate, which are few; nothing else is shuffled.
+    Rows are judged by themselves, so no id is needed and none is joined. The texts are measured once and written with their
+    measures; hosts are counted from those. Only rows that fail a soft rule meet the hosts' rates; nothing else is shuffled.
     """
-    hosts = host_rates(failures(measures(docs, host_col, text_col, host_col)))
-    bad = materialize(hosts.where(F.col("host_rate") > F.lit(float(max_host_rate))).select(F.col("host").alias("of")), "rules-bad-hosts")
-    rows = failures(measures(docs, None, text_col, host_col)).where(~F.col("base_failed"))
-    return rows.join(bad, F.col("soft_failed") & F.col("host").eqNullSafe(F.col("of")), "left_anti").select("row.*")
+    rows = materialize(failures(measures(docs, None, text_col, host_col)), "rules-rows")
+    hosts = materialize(host_rates(rows).withColumnRenamed("host", "of"), "rules-hosts")
+    fine = rows.where(~F.col("base_failed"))
+    soft = fine.where("soft_failed").join(hosts, F.col("host").eqNullSafe(F.col("of"))).where(~rejected())
+    return fine.where(~F.col("soft_failed")).select("row.*").unionByName(soft.select("row.*"))
 
 
-def judge(docs: DataFrame, max_host_rate: float = 0.5, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Per row of docs: doc_id, host, the MEASURES, base_failed, soft_failed, host_rate, kept.
 
-    Nulls: a null text fails the base rules; a null host is a host of its own; a null id is kept as it is. Repeated rows
-    are judged alike and count each. An empty table gives no rows. Other columns are not looked at.
+    kept: no base rule fails, and if a soft one does, the host's rate and the document's own excess leave it the better odds
+    (see rejected); a document that fails no rule stays whatever its host. Nulls: a null text fails the base rules; a null
+    host is a host of its own; a null id is kept as it is. Repeated rows are judged alike and count each. An empty table gives
+    no rows. Other columns are not looked at.
     """
     judged = materialize(failures(measures(docs, id_col, text_col, host_col)), "rules-measures")
     hosts = materialize(host_rates(judged).withColumnRenamed("host", "of"), "rules-hosts")
     out = judged.join(hosts, F.col("host").eqNullSafe(F.col("of")))
-    kept = ~F.col("base_failed") & ~(F.col("soft_failed") & (F.col("host_rate") > F.lit(float(max_host_rate))))
-    return out.withColumn("kept", kept).drop("of")
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(rejected(), F.lit(False))).drop("of")

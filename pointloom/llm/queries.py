@@ -207,7 +207,8 @@ _ORACLE_OP9 = rf"""with d as (select doc_id, source, coalesce(text, '') as t, {_
     p as (select avg(n_failed / n_docs) as mean, var_pop(n_failed / n_docs) as var from h),
     q as (select mean, least(1000, greatest(2, case when var > 0 then mean * (1 - mean) / var - 1 else 1000 end)) as weight from p),
     k as (select host, (n_failed + mean * weight) / (n_docs + weight) as rate from h, q)
-    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not (soft_failed and rate > 0.5) as kept, f.host, soft_failed, round(rate, 6) as host_rate from f join k on k.host is not distinct from f.host"""
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+        not base_failed and not (soft_failed and rate * pow(greatest(10 * n_symbols / n_words, 10 * n_dup_lines / nullif(3 * n_lines, 0), 2 * n_words / word_chars, word_chars / (15 * n_words)), 2) > 1 - rate) as kept, f.host, soft_failed, round(rate, 6) as host_rate from f join k on k.host is not distinct from f.host"""
 
 _ORACLE_OP8 = r"""with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
     w as (select doc_id, ws, unnest(range(1, len(ws) - 18)) as s from d where len(ws) >= 20),

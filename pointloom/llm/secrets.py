@@ -2,11 +2,14 @@
 
 Every version of a document is addressed by the SHA-256 of its text. Only pairs of blob and rule version that the ledger
 has not seen are scanned, and the ledger gets a row for each of them; findings are joined from the ledger back to every row
-(path) that holds the blob. A ledger is a table (blob_id, rule_version, spans) or the folder of one, which a scan extends.
+(path) that holds the blob. A rule version is a name and a digest of the rules themselves, so other rules under the same name
+never meet each other's findings. A ledger is a table (blob_id, rule_version, spans) or the folder of one, which a scan extends.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass
 from functools import reduce
 
@@ -45,6 +48,12 @@ SPANS = "array<struct<start:long,rank:int,end:long,kind:string>>"
 LEDGER = f"blob_id string, rule_version string, spans {SPANS}"
 
 
+def rules_key(rules: tuple[Rule, ...] = RULES, version: str = RULES_VERSION) -> str:
+    """What the ledger knows a set of rules by: the version's name and a digest of kinds, patterns, groups and lengths."""
+    said = json.dumps([[r.kind, r.pattern, r.group, r.least] for r in rules])
+    return f"{version}-{hashlib.sha256(said.encode()).hexdigest()[:16]}"
+
+
 def blob_id(text: str | Column) -> Column:
     """Content address of a text; null counts as empty."""
     return F.sha2(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), 256)
@@ -78,7 +87,7 @@ def _paths(docs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...], v
         paths = new = materialize(rows.select("id", "blob_id", hit), "secrets-paths")
     else:
         paths = materialize(rows.select("id", "blob_id"), "secrets-paths")
-        seen = ledger.where(F.col("rule_version") == version).select("blob_id")
+        seen = ledger.where(F.col("rule_version") == rules_key(rules, version)).select("blob_id")
         reps = paths.join(seen, "blob_id", "left_anti").groupBy("blob_id").agg(F.min("id").alias("rep"))
         reps = materialize(reps.withColumnRenamed("blob_id", "of"), "secrets-new")
         texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(reps, F.col("id").eqNullSafe(F.col("rep")))
@@ -87,7 +96,7 @@ def _paths(docs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...], v
 
 
 def unseen(docs: DataFrame, ledger: DataFrame | None, version: str, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob_id, text): one row a blob that the ledger has not seen under this rule version; no text where no rule matches."""
+    """(blob_id, text): one row a blob that the ledger has not seen under these rules and this version; no text where no rule matches."""
     return _paths(docs, ledger, rules, version, id_col, text_col)[1]
 
 
@@ -117,7 +126,7 @@ def _new_rows(blobs: DataFrame, rules: tuple[Rule, ...], version: str) -> DataFr
     """The ledger's rows for newly scanned blobs, findings or none."""
     found = find(blobs, rules).withColumnRenamed("blob_id", "of")
     rows = blobs.select("blob_id").join(found, F.col("blob_id") == F.col("of"), "left")
-    return rows.select("blob_id", F.lit(version).alias("rule_version"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    return rows.select("blob_id", F.lit(rules_key(rules, version)).alias("rule_version"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def _extended(docs: DataFrame, ledger: DataFrame | str | None, rules: tuple[Rule, ...], version: str, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -141,7 +150,7 @@ def scan(docs: DataFrame, ledger: DataFrame | str | None = None, rules: tuple[Ru
     each get their row. An empty table gives no rows. Other columns are not looked at.
     """
     paths, known = _extended(docs, ledger, rules, version, id_col, text_col)
-    found = known.where((F.col("rule_version") == version) & (F.size("spans") > 0)).select(F.col("blob_id").alias("of"), "spans").dropDuplicates(["of"])
+    found = known.where((F.col("rule_version") == rules_key(rules, version)) & (F.size("spans") > 0)).select(F.col("blob_id").alias("of"), "spans").dropDuplicates(["of"])
     out = paths.join(materialize(found, "secrets-found"), F.col("blob_id") == F.col("of"), "left")
     return out.select(F.col("id").alias("doc_id"), "blob_id", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
@@ -156,17 +165,20 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, mark: str = "[REDACTED]", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact(docs: DataFrame, ledger: DataFrame | str | None = None, mark: str = "[REDACTED]", text_col: str = "text", rules: tuple[Rule, ...] = RULES, version: str = RULES_VERSION) -> DataFrame:
     """docs with every found span replaced by mark; where spans touch or overlap the mark stands once. Its columns are docs' own.
 
-    The pieces between the spans are cut out by their places, so the replacement is what the scan found and nothing else.
-    Only rows in which a rule matches are compared by blob; the others pass as they are.
+    Findings come from the ledger, which gets the blobs that it has not seen, as in scan(). The texts are looked at once:
+    rows are written with the address of those in which a rule matches; only these are held against the ledger, and the
+    others pass as they are. The pieces between the spans are cut out by their places, so the replacement is what the scan
+    found and nothing else.
     """
-    hit = _suspect(docs[text_col], rules)
-    dirty = materialize(docs.where(hit), "secrets-suspects")
-    blobs = dirty.select(blob_id(text_col).alias("blob_id"), F.col(text_col).alias("text")).groupBy("blob_id").agg(F.min("text").alias("text"))
-    found = find(blobs, rules).select(F.col("blob_id").alias("__of"), F.col("spans").alias("__spans"))
-    rows = dirty.withColumn("__blob", blob_id(text_col)).join(found, F.col("__blob") == F.col("__of"), "left")
+    blob = F.when(_suspect(F.col(text_col), rules), blob_id(text_col))
+    marked = materialize(docs.withColumn("__blob", blob), "secrets-marked")
+    dirty = marked.where("__blob is not null")
+    _, known = _extended(dirty, ledger, rules, version, "__blob", text_col)
+    found = known.where((F.col("rule_version") == rules_key(rules, version)) & (F.size("spans") > 0)).select(F.col("blob_id").alias("__of"), F.col("spans").alias("__spans")).dropDuplicates(["__of"])
+    rows = dirty.join(materialize(found, "secrets-found"), F.col("__blob") == F.col("__of"), "left")
     merged = F.aggregate(
         "__spans",
         F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")),
@@ -177,4 +189,4 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]", text_col: str = "text", ru
     rows = rows.withColumn("__m", merged)
     tail = F.substring(F.col(text_col), F.col("__m.at").cast("int") + 1, F.length(text_col))
     clean = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(F.array_join(F.concat(F.col("__m.out"), F.array(tail)), mark))
-    return docs.where(~hit).unionByName(rows.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]))
+    return marked.where("__blob is null").drop("__blob").unionByName(rows.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]))

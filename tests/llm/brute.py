@@ -100,3 +100,24 @@ def targets(sizes, weights=(5, 2, 1), most=3):
         out |= {s: float(most * sizes[s]) for s in over}
         open_ -= over
     return out
+
+
+def verdicts(rows):
+    """(id, text, host) -> whether each row is kept, in the order of rows."""
+    judged = []
+    for _, text, host in rows:
+        n, chars, symbols, dup, _, base = measures(text)
+        lines = sum(1 for x in (text or "").split("\n") if words(x))
+        soft = 10 * symbols > n or 10 * dup > 3 * lines or chars < 2 * n or chars > 15 * n
+        excess = max([a / b for a, b in ((10 * symbols, n), (10 * dup, 3 * lines), (2 * n, chars), (chars, 15 * n)) if b], default=0)
+        judged.append((host, base, soft, excess))
+    hosts = defaultdict(lambda: [0, 0])
+    for host, base, soft, _ in judged:
+        hosts[host][0] += 1
+        hosts[host][1] += base or soft
+    rates = [f / n for n, f in hosts.values()]
+    mean = sum(rates) / len(rates) if rates else 0
+    var = sum((x - mean) ** 2 for x in rates) / len(rates) if rates else 0
+    weight = min(1000, max(2, mean * (1 - mean) / var - 1 if var > 0 else 1000))
+    rate = {h: (f + mean * weight) / (n + weight) for h, (n, f) in hosts.items()}
+    return [not base and not (soft and rate[h] * excess * excess > 1 - rate[h]) for h, base, soft, excess in judged]

@@ -164,7 +164,31 @@ def test_ledger_in_a_folder_is_extended(spark, tmp_path):
     secrets.scan(b, folder)
     assert secrets.read_ledger(spark, folder).count() == 4
     secrets.scan(b, folder, version="2")
-    assert secrets.read_ledger(spark, folder).groupBy("rule_version").count().orderBy("rule_version").collect() == [("1", 4), ("2", 4)]
+    keys = [secrets.rules_key(version=v) for v in "12"]
+    assert secrets.read_ledger(spark, folder).groupBy("rule_version").count().orderBy("rule_version").collect() == [(k, 4) for k in keys]
+
+
+def test_other_rules_do_not_meet_the_ledgers_findings(spark, tmp_path):
+    folder, z = f"file://{tmp_path}/rules", (secrets.Rule("z", "zzz-[0-9]+"),)
+    docs = spark.createDataFrame([(1, "a zzz-1234 b"), (2, "AKIA" * 6)], "doc_id long, text string")
+    scanned = lambda **o: {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.scan(docs, folder, **o).collect()}
+    assert scanned() == {1: [], 2: ["access"]}
+    assert scanned(rules=z) == {1: ["z"], 2: []}
+    assert scanned() == {1: [], 2: ["access"]} and secrets.read_ledger(spark, folder).count() == 4
+
+
+def test_redaction_goes_through_the_ledger(spark, tmp_path):
+    """What the ledger says of a blob is what is cut out, and new blobs are added to it."""
+    folder = f"file://{tmp_path}/redact"
+    docs = spark.createDataFrame([(1, "password: hunter22 x"), (None, "password: hunter22 x"), (3, "clean"), (4, None), (5, "AKIA" * 6)], "doc_id long, text string")
+    want = [(None, "[REDACTED] x"), (1, "[REDACTED] x"), (3, "clean"), (4, None), (5, "[REDACTED]")]
+    key = lambda r: (r[0] or 0, r[1] or "")
+    assert sorted(map(tuple, secrets.redact(docs, folder).collect()), key=key) == want
+    assert secrets.read_ledger(spark, folder).count() == 2
+    assert sorted(map(tuple, secrets.redact(docs, folder).collect()), key=key) == want
+    assert secrets.read_ledger(spark, folder).count() == 2
+    told = secrets.read_ledger(spark, folder).withColumn("spans", F.expr("transform(spans, s -> named_struct('start', 0L, 'rank', 0, 'end', 4L, 'kind', 'told'))"))
+    assert sorted(map(tuple, secrets.redact(docs.where("doc_id = 1"), told).collect())) == [(1, "[REDACTED]word: hunter22 x")]
 
 
 # ---- mixture

@@ -103,6 +103,9 @@ def test_rules(edge_docs, edge_rows, no_docs):
     same([(r["doc_id"], *(r[c] for c in cols)) for r in got], [(i, *brute.measures(t)) for i, t, _ in edge_rows])
     assert all(r["kept"] is not None and not (r["kept"] and r["base_failed"]) for r in got)
     assert quality_rules.judge(no_docs).count() == 0
+    want = Counter(zip([i for i, _, _ in edge_rows], brute.verdicts(edge_rows), strict=True))
+    assert Counter((r["doc_id"], r["kept"]) for r in got) == want
+    assert Counter(r["doc_id"] for r in quality_rules.keep(edge_docs).collect()) == Counter(i for i, kept in want.elements() if kept)
 
 
 def test_rules_query(spark, sf_dir, real_docs):
@@ -112,6 +115,18 @@ def test_rules_query(spark, sf_dir, real_docs):
         assert r["kept"] or r["base_failed"] or r["soft_failed"]
 
 
+def test_verdict_decides_beside_the_base_rules(spark):
+    """On the given tables documents fail by the verdict alone, others that fail a soft rule stay, and all that fail none."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = quality_rules.judge(docs).collect()
+    out = [r for r in got if not r["kept"] and not r["base_failed"]]
+    assert out and all(r["soft_failed"] for r in out)
+    assert any(r["kept"] and r["soft_failed"] for r in got)
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "source").collect()]
+    assert {r["doc_id"]: r["kept"] for r in got} == {i: k for (i, _, _), k in zip(rows, brute.verdicts(rows), strict=True)}
+    assert {r["doc_id"] for r in quality_rules.keep(docs).collect()} == {r["doc_id"] for r in got if r["kept"]}
+
+
 def test_bad_host_counts_only_against_failing_documents(spark):
     good, loud = " ".join(f"word{i}" for i in range(40)), " ".join(f"word{i} ###" for i in range(40))
     rows = [(i, loud if i < 95 else good, "bad") for i in range(100)] + [(100 + i, loud if i == 0 else good, f"h{i % 5}") for i in range(100)]
