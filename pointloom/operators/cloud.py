@@ -51,13 +51,13 @@ def outside(points: DataFrame) -> DataFrame:
 
 
 def occupancy(points: DataFrame, b: int) -> DataFrame:
-    """cell, its coordinates, points in it and the smallest id among them."""
-    return index_of_cells(points, b).groupBy("cell", "cx", "cy", "cz").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    """cell, its coordinates, points in it and the smallest id among them; of points that have a place."""
+    return index_of_cells(finite(points), b).groupBy("cell", "cx", "cy", "cz").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
 def pyramid(points: DataFrame, levels: tuple[int, ...] = (1024, 512, 256, 128, 64, 32, 16, 8)) -> DataFrame:
     """For each number of cells an axis: occupied cells and the fullest cell. One pass over the points for all levels."""
-    per = points.select("x", "y", "z", F.explode(F.array(*[F.lit(b) for b in levels])).alias("b"))
+    per = finite(points).select("x", "y", "z", F.explode(F.array(*[F.lit(b) for b in levels])).alias("b"))
     per = per.groupBy("b", *[G.cell_coordinate(F.col(a), 0.0, 1.0, F.col("b")).alias(f"c{a}") for a in "xyz"]).agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("b").agg(F.count(F.lit(1)).alias("occupied"), F.max("n").alias("max_n"), F.sum("n").alias("points"))
 
@@ -65,7 +65,7 @@ def pyramid(points: DataFrame, levels: tuple[int, ...] = (1024, 512, 256, 128, 6
 def crowded(points: DataFrame, b: int, most: int) -> DataFrame:
     """ids of the points whose cell holds at least most points: those a crowded-cell guard would set aside."""
     cells = occupancy(points, b).where(F.col("n") >= most).select(F.col("cell").alias("full"), "n")
-    return index_of_cells(points, b).join(cells, F.col("cell") == F.col("full")).select("id", "cell", "n")
+    return index_of_cells(finite(points), b).join(cells, F.col("cell") == F.col("full")).select("id", "cell", "n")
 
 
 def gap_density(points: DataFrame, axis: str = "x", parts: int | None = None) -> DataFrame:

@@ -401,27 +401,79 @@ def knn_bruteforce(points: DataFrame, k: int) -> DataFrame:
 
 
 def nearest_to(points: DataFrame, of: int, k: int = 40) -> DataFrame:
-    """The k nearest of one point, by one scan and a bounded sort."""
-    p = cloud.normalise(points)
+    """The k nearest of one point, by one scan and a bounded sort; none where there is no such point or it has no place.
+
+    See lay_out() and nearest_in() for many such questions to one cloud.
+    """
+    p = cloud.finite(cloud.normalise(points))
     one = p.where(F.col("id") == of).agg(*[F.first(a).alias(a) for a in "xyz"])
     at = p.where(F.col("id") != of).withColumns({f"r{a}": one.select(a).scalar() for a in "xyz"})
-    return at.select(F.lit(of).cast("long").alias("id"), F.col("id").alias("nid"), G.squared_distance(G.vec(), G.vec("r")).alias("d2")).orderBy("d2", "nid").limit(k)
+    d2 = G.squared_distance(G.vec(), G.vec("r")).alias("d2")
+    return at.select(F.lit(of).cast("long").alias("id"), F.col("id").alias("nid"), d2).where("d2 is not null").orderBy("d2", "nid").limit(k)
+
+
+def lay_out(points: DataFrame, path: str, group: int = 1 << 20) -> DataFrame:
+    """A cloud, scaled to its unit cube, written along a space-filling curve: each row group of about group bytes is a small box.
+
+    Its bounds stand in the files' own statistics, so a reader that asks for a box opens the row groups it touches.
+    """
+    unit = cloud.finite(cloud.normalise(points.select("id", "x", "y", "z")))
+    bits = lambda a: F.least(F.lit(1023), F.floor(F.col(a) * 1024)).cast("long")
+    code = reduce(Column.bitwiseOR, [F.shiftleft(_apart(bits(a)), k) for k, a in enumerate("xyz")])
+    laid = unit.withColumn("code", code).repartitionByRange("code", "id").sortWithinPartitions("code", "id").drop("code")
+    laid.write.option("parquet.block.size", group).option("parquet.page.row.count.limit", 20_000).parquet(path)
+    return points.sparkSession.read.schema(laid.schema).parquet(path)
+
+
+def _apart(c: Column) -> Column:
+    """The bits of a number below 1024, two zeros behind each."""
+    for shift, mask in ((16, 0x030000FF), (8, 0x0300F00F), (4, 0x030C30C3), (2, 0x09249249)):
+        c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask).cast("long"))
+    return c
+
+
+def box_around(laid: DataFrame, at: tuple[float, float, float], radius: float) -> DataFrame:
+    """The points of a laid out cloud in the cube of this half width: a filter that reaches the row groups' bounds."""
+    return laid.where(reduce(Column.__and__, [F.col(a).between(v - radius, v + radius) for a, v in zip("xyz", at, strict=True)]))
+
+
+def nearest_in(laid: DataFrame, at: tuple[float, float, float], k: int = 40, but: int | None = None) -> DataFrame:
+    """(nid, d2, rank): the k points of a laid out cloud that are nearest to a place in its unit cube, one id left out.
+
+    The search starts with the radius that would hold k points of an even cloud and doubles it until the k-th distance is
+    within it, or all points are. k rows at most come to the driver.
+    """
+    radius = (k / max(laid.count(), 1)) ** (1 / 3)  # the count is in the files' footers
+    most = sum(max(abs(v), abs(1 - v)) ** 2 for v in at) ** 0.5
+    while True:
+        d2 = G.squared_distance(G.vec(), tuple(F.lit(float(v)) for v in at)).alias("d2")
+        near = box_around(laid, at, radius).select(F.col("id").alias("nid"), d2).where(F.col("d2") <= radius * radius)
+        found = (near if but is None else near.where(F.col("nid") != but)).orderBy("d2", "nid").limit(k).collect()
+        if len(found) == k or radius > most:
+            return laid.sparkSession.createDataFrame([(r["nid"], r["d2"], n) for n, r in enumerate(found, 1)], "nid long, d2 double, rank long")
+        radius *= 2
 
 
 def radius_join(points: DataFrame, radius: float, queries: DataFrame | None = None) -> DataFrame:
     """(id, nid, d2) of all other points within radius of each point, or of all points within radius of each query.
 
-    radius is in the points' own units, inclusive; d2 in their unit cube. One round over cells as wide as the radius, however
-    many that are, so clusters, outliers and copies meet no more candidates than a fixed multiple of answers and points.
-    Points without a place take no part; without points there are no rows.
+    radius is in the points' own units, inclusive; d2 in their unit cube. Points without a place take no part; without
+    points there are no rows. See within_unit() for how.
     """
     ends = cloud.extent(points).first()
     if ends["lo"] is None:
         return (points if queries is None else queries).select(F.col("id").cast("long").alias("id"), F.col("id").cast("long").alias("nid"), F.lit(0.0).alias("d2")).limit(0)
-    scale = lambda t: cloud.finite(t).select("id", *[G.normalised(F.col(a), F.lit(ends["lo"]), F.lit(ends["hi"])).alias(a) for a in "xyz"])
-    most = (radius / (ends["hi"] - ends["lo"])) ** 2
-    b, unit = cells_of_radius(most**0.5), scale(points)
-    asked = unit if queries is None else scale(queries)
+    scale = lambda t: t.select("id", *[G.normalised(F.col(a), F.lit(ends["lo"]), F.lit(ends["hi"])).alias(a) for a in "xyz"])
+    return within_unit(scale(cloud.finite(points)), radius / (ends["hi"] - ends["lo"]), None if queries is None else scale(cloud.finite(queries)))
+
+
+def within_unit(unit: DataFrame, distance: float, queries: DataFrame | None = None) -> DataFrame:
+    """radius_join in the unit cube: one round over cells as wide as the distance, however many that are.
+
+    So clusters, outliers and copies meet no more candidates than a fixed multiple of answers and points.
+    """
+    unit = cloud.finite(unit)
+    b, asked, most = cells_of_radius(distance), unit if queries is None else cloud.finite(queries), distance**2
     crowded = materialize(crowded_cells(unit, b, asked), "radius-crowded")
     found = pairs_within(asked, unit, b, None if crowded.isEmpty() else crowded).where(F.col("d2") <= most)
     return found.where("id <> nid") if queries is None else found

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions import geometry as G
+from pointloom.operators import cloud
 
 #: Largest unsigned 32-bit number: the mark of a vertex that is not there.
 NO_VERTEX = 0xFFFFFFFF
@@ -131,14 +132,16 @@ def triangulate(points: DataFrame, polygons: DataFrame, lists: str = "vertex_ind
     """(face_id, t, v0, v1, v2) from (face_id, list of vertex ids).
 
     Triangles stay, quads become (0, 1, 3) and (2, 3, 1); both need no coordinates and stay in SQL. Only polygons with five
-    corners or more meet their points and are clipped in Python. Shorter lists give nothing.
+    corners or more meet their points and are clipped in Python. Shorter lists give nothing, nor does a polygon of five or
+    more of which a corner is null, is no point or has no place: what is left of it would be another shape.
     """
     n, at = F.size(lists), lambda i: F.get(lists, F.lit(i)).cast("long")
     tri = lambda t, a, b, c: F.struct(F.lit(t).cast("long").alias("t"), at(a).alias("v0"), at(b).alias("v1"), at(c).alias("v2"))
     small = polygons.where((n == 3) | (n == 4)).select("face_id", F.inline(F.when(n == 3, F.array(tri(0, 0, 1, 2))).otherwise(F.array(tri(0, 0, 1, 3), tri(1, 2, 3, 1)))))
-    corners = polygons.where(n >= 5).select("face_id", F.posexplode(lists).alias("pos", "vid"))
-    p = points.select(F.col("id").alias("pid"), "x", "y", "z")
-    rings = corners.join(p, F.col("vid") == F.col("pid")).groupBy("face_id").agg(F.sort_array(F.collect_list(F.struct("pos", "vid", "x", "y", "z"))).alias("ring"))
+    corners = polygons.where(n >= 5).select("face_id", n.alias("size"), F.posexplode(lists).alias("pos", "vid"))
+    p = cloud.finite(points).select(F.col("id").alias("pid"), "x", "y", "z")
+    rings = corners.join(p, F.col("vid") == F.col("pid")).groupBy("face_id", "size").agg(F.sort_array(F.collect_list(F.struct("pos", "vid", "x", "y", "z"))).alias("ring"))
+    rings = rings.where(F.size("ring") == F.col("size")).select("face_id", "ring")
 
     def clip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -56,8 +56,11 @@ def permutation(rows: DataFrame, key: str, parts: int | None = None) -> DataFram
 
 
 def gaps(rows: DataFrame, parts: int | None = None) -> DataFrame:
-    """(id, v) -> (id, v, gap): distance to the next value in order of v and id, for all but the last."""
-    r = _ranges(rows, ["v", "id"], parts)
+    """(id, v) -> (id, v, gap): distance to the next value in order of v and id, for all but the last.
+
+    Null and non-finite values are no places: they have no row and end no gap.
+    """
+    r = _ranges(rows.where("abs(v) < double('infinity')"), ["v", "id"], parts)
     firsts = r.groupBy("__part").agg(F.min("v").alias("__first"))
     after = firsts.withColumn("__next", F.min("__first").over(Window.orderBy("__part").rowsBetween(1, Window.unboundedFollowing)))
     inside = F.lead("v").over(Window.partitionBy("__part").orderBy("v", "id"))

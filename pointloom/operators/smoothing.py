@@ -21,11 +21,14 @@ BLOCK, AT_ONCE = 100_000, 3
 def taubin_pass(points: DataFrame, edges: DataFrame, scale: float, regularised: bool = False) -> DataFrame:
     """Each point moved by scale times its weighted mean displacement toward its neighbours; without neighbours it stays.
 
+    A point without a place stays as it is and draws no other.
+
     Weights use the positions before the pass. Edges are joined with the far end's position, summed up by id next to the
     near end's; sums combine before the shuffle.
     """
-    c = points.select(F.col("id").alias("cid"), *[F.col(a).alias(f"c{a}") for a in "xyz"])
-    p = points.select(F.col("id").alias("pid"), *[F.col(a).alias(f"p{a}") for a in "xyz"])
+    there = cloud.finite(points)
+    c = there.select(F.col("id").alias("cid"), *[F.col(a).alias(f"c{a}") for a in "xyz"])
+    p = there.select(F.col("id").alias("pid"), *[F.col(a).alias(f"p{a}") for a in "xyz"])
     e = edges.select("id", "nid").join(c, F.col("nid") == F.col("cid")).join(p, F.col("id") == F.col("pid"))
     w = G.smoothing_weight(G.squared_distance(G.vec("c"), G.vec("p")), scale, regularised)
     sums = e.withColumn("w", w).groupBy("id").agg(F.sum("w").alias("w"), *[F.sum(F.col("w") * (F.col(f"c{a}") - F.col(f"p{a}"))).alias(f"s{a}") for a in "xyz"])
@@ -102,8 +105,10 @@ def taubin_many(points: DataFrame, edges: DataFrame, iterations: int, lam: float
     its points and those within 2 * at_once edges, runs at_once iterations in numpy and passes on its own points, which are
     right; the halo's inner rings are right as far as the passes left need them. Blocks without a halo, as in a cloud of
     one block or of parts far from each other, run all iterations at once. Positions differ from taubin's by rounding only.
+    Points without a place stay as they are and draw no other.
     """
-    cut, blocks = spatial_blocks(points.select("id", "x", "y", "z"), most)
+    lost = points.select("id", "x", "y", "z").where(~F.coalesce(F.expr(" and ".join(f"abs({a}) < double('infinity')" for a in "xyz")), F.lit(False)))
+    cut, blocks = spatial_blocks(cloud.finite(points.select("id", "x", "y", "z")), most)
     at, e = cut, edges.select("id", "nid")
     if blocks > 1:  # they are read many times
         at, e = materialize(at, "taubin-blocks"), materialize(e, "taubin-all")
@@ -119,7 +124,7 @@ def taubin_many(points: DataFrame, edges: DataFrame, iterations: int, lam: float
         placed = halo.withColumnRenamed("id", "hid").join(now, F.col("hid") == F.col("id")).select("block", "id", "hop", "x", "y", "z") if meet else at.toDF(*at.columns).withColumn("hop", F.lit(0))
         after = placed.groupBy("block").cogroup(tied.groupBy("block")).applyInPandas(run, "id long, x double, y double, z double")
         now = after if done + step >= iterations else materialize(after, "taubin-step", now)
-    return now
+    return now.unionByName(lost)
 
 
 def _block_passes(iterations: int, lam: float, mu: float):
@@ -128,8 +133,8 @@ def _block_passes(iterations: int, lam: float, mu: float):
         ids = left["id"].to_numpy()
         ends = [right[c].to_numpy() for c in ("id", "nid")]
         u, v = (np.minimum(np.searchsorted(ids, x), len(ids) - 1) for x in ends)
-        there = (ids[u] == ends[0]) & (ids[v] == ends[1])  # not so for edges to points that there are none of
         own = left["hop"].to_numpy() == 0
+        there = (ids[u] == ends[0]) & (ids[v] == ends[1])  # not so for edges to points that there are none of
         out = _kernel(left[["x", "y", "z"]].to_numpy(float), u[there], v[there], iterations, lam, mu)[own]
         return pd.DataFrame({"id": ids[own], "x": out[:, 0], "y": out[:, 1], "z": out[:, 2]})
 

@@ -8,45 +8,74 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.operators import cloud, egg, graph, knn, mesh, normals, smoothing
+from pointloom.operators.providers import Nearest, Neighbours, Ring
 from pointloom.plans.storage import materialize
 from pointloom.sources import ply
 
 
-def oriented_normals(points: DataFrame, edges: DataFrame, exact: bool = True) -> DataFrame:
-    """(id, nx, ny, nz, comp) from pruned neighbours and positions, both normalised."""
+def oriented_normals(points: DataFrame, edges: DataFrame, exact: bool = True, near: DataFrame | None = None) -> DataFrame:
+    """(id, nx, ny, nz, comp) from pruned neighbours and positions, both normalised.
+
+    Directions agree along the spanning forest of the pruned edges. near: neighbours before pruning; with them the forest's
+    components vote on each other where they neighbour, and those that disagree flip as a whole. A component with which
+    none votes keeps the direction of its smallest vertex.
+    """
     raw = materialize(normals.pca_normals(points, edges, exact), "normals")
     _, labels = graph.spanning_forest(graph.undirected(edges, raw))
-    return graph.orient(raw, labels)
+    oriented = graph.orient(raw, labels)
+    return oriented if near is None else agreed(oriented, near)
+
+
+def agreed(oriented: DataFrame, near: DataFrame) -> DataFrame:
+    """oriented (id, nx, ny, nz, comp) with components flipped by the votes of neighbours in different ones."""
+    oriented = materialize(oriented, "oriented")
+    votes = materialize(graph.component_votes(near, oriented), "votes")
+    return oriented if votes.isEmpty() else graph.flip_components(oriented, votes)
+
+
+def unoriented_normals(points: DataFrame, k: int = 40, k_use: int = 20, exact: bool = True) -> DataFrame:
+    """(id, nx, ny, nz) over the first k_use of k neighbours; directions are not aligned. For their forest see distance_forest."""
+    unit, edges = _near_of(points, k, k_use)
+    return normals.pca_normals(unit, edges, exact)
+
+
+def distance_forest(points: DataFrame, k: int = 40, k_use: int = 20) -> DataFrame:
+    """(u, v, w): the spanning forest by squared distance over the first k_use of k neighbours."""
+    return graph.spanning_forest(graph.distance_edges(_near_of(points, k, k_use)[1]))[0]
 
 
-def unoriented_normals(points: DataFrame, k: int = 40, k_use: int = 20, exact: bool = True) -> tuple[DataFrame, DataFrame]:
-    """((id, nx, ny, nz), spanning forest by squared distance) over the first k_use of k neighbours; directions are not aligned."""
+def _near_of(points: DataFrame, k: int, k_use: int) -> tuple[DataFrame, DataFrame]:
     unit = materialize(cloud.normalise(points.select("id", "x", "y", "z")), "unit")
-    edges = materialize(knn.first_neighbours(knn.knn_join(unit, unit, k, exclude_self=True, strict=False), k_use), "near")
-    return normals.pca_normals(unit, edges, exact), graph.spanning_forest(graph.distance_edges(edges))[0]
+    return unit, materialize(knn.first_neighbours(Nearest(k).edges(unit), k_use), "near")
 
 
-def smooth_cloud(points: DataFrame, k: int = 40, iterations: int = 150, alpha: float = 0.65, exact: bool = True) -> DataFrame:
-    """id, smoothed x, y, z in the input's units, and oriented normals nx, ny, nz.
+def smooth(points: DataFrame, neighbours: Neighbours, iterations: int = 150, alpha: float = 0.65) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(extent, neighbours, pruned neighbours, smoothed positions), all but the extent in the unit cube; of any provider.
 
-    Neighbours are found once on the normalised input and pruned once; smoothing keeps them; normals use them on the
-    smoothed positions.
+    Neighbours are found once on the normalised input and pruned once; smoothing keeps them.
     """
     bounds = materialize(cloud.extent(points), "extent")
     unit = materialize(cloud.normalise(points.select("id", "x", "y", "z"), bounds), "unit")
-    near = materialize(knn.knn_join(unit, unit, k, exclude_self=True, strict=False), "near")
+    near = materialize(neighbours.edges(unit), "near")
     edges = materialize(egg.elliptic_gabriel(unit, near, alpha), "edges")
-    smooth = materialize(smoothing.taubin_many(unit, edges, iterations), "smooth")
-    n = oriented_normals(smooth, edges, exact).select(F.col("id").alias("nid"), "nx", "ny", "nz")
-    return cloud.denormalise(smooth, bounds).join(n, F.col("id") == F.col("nid"), "left").drop("nid")
+    return bounds, near, edges, materialize(smoothing.taubin_many(unit, edges, iterations), "smooth")
+
+
+def smooth_cloud(points: DataFrame, k: int = 40, iterations: int = 150, alpha: float = 0.65, exact: bool = True, neighbours: Neighbours | None = None) -> DataFrame:
+    """id, smoothed x, y, z in the input's units, and oriented normals nx, ny, nz.
+
+    Normals use the pruned neighbours on the smoothed positions, and the others to let components agree. neighbours: another
+    provider than the k nearest.
+    """
+    bounds, near, edges, at = smooth(points, neighbours or Nearest(k), iterations, alpha)
+    n = oriented_normals(at, edges, exact, near).select(F.col("id").alias("nid"), "nx", "ny", "nz")
+    return cloud.denormalise(at, bounds).join(n, F.col("id") == F.col("nid"), "left").drop("nid")
 
 
 def smooth_mesh(points: DataFrame, faces: DataFrame, k: int = 40, iterations: int = 150, alpha: float = 1e-8) -> DataFrame:
     """id, smoothed x, y, z; neighbours are the k nearest of each vertex's ring, pruned like a cloud's. Faces do not change."""
-    bounds = materialize(cloud.extent(points), "extent")
-    unit = materialize(cloud.normalise(points.select("id", "x", "y", "z"), bounds), "unit")
-    edges = materialize(egg.elliptic_gabriel(unit, mesh.one_ring(unit, faces, k), alpha), "edges")
-    return cloud.denormalise(smoothing.taubin_many(unit, edges, iterations), bounds)
+    bounds, _, _, at = smooth(points, Ring(faces, k), iterations, alpha)
+    return cloud.denormalise(at, bounds)
 
 
 def run(spark: SparkSession, source: str, target: str, k: int, iterations: int, alpha: float, is_mesh: bool) -> None:

@@ -279,6 +279,14 @@ def knn_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(knn.nearest_to(points(spark, sf_dir), 7, 40), "d2")
 
 
+@query(f"with {UNIT}, {near_sql(40)} select nid, round(d2, 6) + 0.0 as d2, rank from near where id = 7")
+def knn_of_one_laid_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As knn_of_one, from a cloud laid out along a curve: the search opens the row groups around the place only."""
+    laid = knn.lay_out(points(spark, sf_dir), scratch_path(spark, "laid-out"))
+    at = unit(spark, sf_dir).where("id = 7").first()
+    return rounded(knn.nearest_in(laid, (at["x"], at["y"], at["z"]), 40, but=7), "d2")
+
+
 @query(f"with {UNIT}, {near_sql(12)} select id, count(*) as n, round(max(d2), 6) + 0.0 as max_d2 from near group by id")
 def knn_kth_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = unit(spark, sf_dir)
@@ -542,6 +550,26 @@ def pca_normals_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(normals.pca_normals(u, near(u, 12), exact=True), "nx", "ny", "nz")
 
 
+@query(f"""with {UNIT}, {near_sql(12)}, {scatter_sql('unit', 'near')}, {EIGEN}, {NORMALS}
+    select eig.id, round(low, 6) + 0.0 as e0, round(mid, 6) + 0.0 as e1, round(high, 6) + 0.0 as e2, round(nx, 6) + 0.0 as nx, round(ny, 6) + 0.0 as ny, round(nz, 6) + 0.0 as nz, 0.0::double as off, 1.0::double as hand from eig join nor using (id)""")
+def eigen_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full bases: the largest miss of A v = e v and of right angles in any of the three orders, and the handedness."""
+    u = unit(spark, sf_dir)
+    e = near(u, 12)
+    s = materialize(normals.scatter(u, e), "scatter").withColumnRenamed("id", "sid").drop("n")
+    out = None
+    for k, order_ in enumerate((normals.ASCENDING, normals.DESCENDING, normals.BY_AXIS)):
+        b = normals.eigen_bases(u, e, order_).join(s, F.col("id") == F.col("sid"))
+        v = [G.vec(f"v{i}") for i in range(3)]
+        rows = [(F.col("xx"), F.col("xy"), F.col("xz")), (F.col("xy"), F.col("yy"), F.col("yz")), (F.col("xz"), F.col("yz"), F.col("zz"))]
+        misses = [F.abs(G.dot(rows[j], v[i]) - F.col(f"e{i}") * v[i][j]) for i in range(3) for j in range(3)]
+        misses += [F.abs(G.dot(v[i], v[j]) - F.lit(1.0 if i == j else 0.0)) for i in range(3) for j in range(i, 3)]
+        one = b.select(F.col("id").alias(f"id{k}"), F.greatest(*misses).alias(f"off{k}"), G.dot(v[0], G.cross(v[1], v[2])).alias(f"hand{k}"), *([] if k else ["e0", "e1", "e2", *[v[0][i].alias(f"n{a}") for i, a in enumerate("xyz")]]))
+        out = one if out is None else out.join(one, F.col("id0") == F.col(f"id{k}"))
+    worst = F.greatest(*[F.col(f"off{k}") for k in range(3)])
+    return rounded(out.select(F.col("id0").alias("id"), "e0", "e1", "e2", "nx", "ny", "nz", worst.alias("off"), F.least(*[F.col(f"hand{k}") for k in range(3)]).alias("hand")), "e0", "e1", "e2", "nx", "ny", "nz", "off", "hand")
+
+
 # ---- graphs
 
 
@@ -577,7 +605,7 @@ DIST = f"""with recursive {UNIT}, {near_sql(GRAPH_K)}, und as (select *, row_num
 
 @query(f"with {UNIT}, {near_sql(20)}, {scatter_sql('unit', 'near')}, {EIGEN}, {NORMALS} select u.id, round(nx, 6) + 0.0 as nx, round(ny, 6) + 0.0 as ny, round(nz, 6) + 0.0 as nz from unit u left join nor on nor.id = u.id")
 def unoriented_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(pipeline.unoriented_normals(points(spark, sf_dir), 24, 20)[0], "nx", "ny", "nz")
+    return rounded(pipeline.unoriented_normals(points(spark, sf_dir), 24, 20), "nx", "ny", "nz")
 
 
 @query(f"{DIST} select u, v, round(w, 6) + 0.0 as w from und where not exists (select 1 from reach r where r.i = und.i and r.x = und.v)")
@@ -640,6 +668,31 @@ def component_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graph.flip_components(n, graph.component_votes(e, n)), "nx", "ny", "nz")
 
 
+#: Orientation along a sparse forest of many components, then votes over all neighbours between them.
+SPARSE = FOREST.replace(PRUNED, f"{UNIT}, {near_sql(GRAPH_K)}, egg as (select id, nid from near where rank <= 2)").replace(scatter_sql("unit", "egg"), scatter_sql("unit", "near"))
+
+
+@query(f"""{SPARSE}, cr(id, x) as (select a, b from tree union select r.id, t.b from cr r join tree t on t.a = r.x), cmp as (select id, least(id, min(x)) as comp from cr group by id),
+    o(id, parent, s, comp) as (select id, cast(null as bigint), 1, comp from cmp where id = comp union all select t.b, o.id, o.s * t.s, o.comp from o join tree t on t.a = o.id where o.parent is null or t.b <> o.parent),
+    ori as (select u.id, nx * coalesce(s, 1) as nx, ny * coalesce(s, 1) as ny, nz * coalesce(s, 1) as nz, coalesce(comp, u.id) as comp from unit u left join nor on nor.id = u.id left join o on o.id = u.id),
+    vt as (select least(a.comp, b.comp) as c1, greatest(a.comp, b.comp) as c2, sum(case when a.nx * b.nx + a.ny * b.ny + a.nz * b.nz > 0 then 1 else -1 end) as votes
+        from near e join ori a on a.id = e.id join ori b on b.id = e.nid where a.comp <> b.comp and a.nx is not null and b.nx is not null group by 1, 2 having votes <> 0),
+    vn as (select *, row_number() over (order by -abs(votes), c1, c2) as i from vt), vd as (select i, c1 as a, c2 as b from vn union all select i, c2, c1 from vn),
+    vr(i, x) as (select i, c1 from vn union select r.i, d.b from vr r join vd d on d.a = r.x and d.i < r.i),
+    vm as (select c1, c2, cast(sign(votes) as integer) as s from vn where not exists (select 1 from vr r where r.i = vn.i and r.x = vn.c2)),
+    vtree as (select c1 as a, c2 as b, s from vm union all select c2, c1, s from vm),
+    va(id, x) as (select a, b from vtree union select r.id, t.b from va r join vtree t on t.a = r.x), vl as (select id, least(id, min(x)) as low from va group by id),
+    vo(id, parent, s) as (select id, cast(null as bigint), 1 from vl where id = low union all select t.b, o.id, o.s * t.s from vo o join vtree t on t.a = o.id where o.parent is null or t.b <> o.parent)
+    select ori.id, round(nx * coalesce(s, 1), 6) + 0.0 as nx, round(ny * coalesce(s, 1), 6) + 0.0 as ny, round(nz * coalesce(s, 1), 6) + 0.0 as nz, comp from ori left join vo on vo.id = ori.comp""")
+def agreed_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normals that agree along a sparse forest, whose components then vote on each other over all neighbours and flip."""
+    u = unit(spark, sf_dir)
+    all_ = near(u, GRAPH_K)
+    n = materialize(normals.pca_normals(u, all_), "normals")
+    _, labels = graph.spanning_forest(graph.undirected(knn.first_neighbours(all_, 2), n))
+    return rounded(pipeline.agreed(graph.orient(n, labels), all_), "nx", "ny", "nz")
+
+
 # ---- order
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pointloom.functions import geometry as G
 from pointloom.operators import cloud, egg, graph, knn, mesh, normals, order, smoothing
 from pointloom.operators.components import components
+from pointloom.operators.providers import RADIUS, RING, SELF, Nearest, Neighbours, Ring, Within
 from pointloom.plans import pipeline
 
 POINTS = "id long, x double, y double, z double"
@@ -252,6 +253,47 @@ def test_normal_needs_two_neighbours(spark):
     assert [r["nx"] for r in normals.pca_normals(p, knn.knn_self(p, 1)).collect()] == [None, None]
 
 
+def test_pipelines_take_any_provider(spark):
+    """The k nearest, all within a distance, a mesh's ring, and one that is written here."""
+
+    class Given:
+        can = frozenset((SELF,))
+
+        def __init__(self, df):
+            self.df = df
+
+        def edges(self, unit):
+            return self.df
+
+        def cross(self, queries, unit):
+            raise NotImplementedError
+
+    p, f = points(spark, noise(60, 3)), spark.createDataFrame([(i, i, i + 1, i + 2) for i in range(58)], "face_id long, v0 long, v1 long, v2 long")
+    unit = cloud.normalise(p)
+    own = Nearest(6).edges(unit)
+    for provider in (Nearest(6), Nearest(6, 0.5), Within(0.35), Ring(f), Given(own)):
+        assert isinstance(provider, Neighbours) and SELF in provider.can
+        got = pipeline.smooth_cloud(p, iterations=2, neighbours=provider).collect()
+        assert len(got) == 60 and all(math.isfinite(r["x"]) for r in got)
+    assert pairs(Within(0.35).edges(unit)) == {(i, j) for i, j in pairs(Nearest(59).edges(unit).where("d2 <= 0.35 * 0.35"))}
+    assert pairs(Within(0.35).cross(unit.where("id < 9"), unit)) - {(i, i) for i in range(9)} == {(i, j) for i, j in pairs(Within(0.35).edges(unit)) if i < 9}
+    assert RADIUS not in Nearest(3).can and RING in Ring(f).can
+    with pytest.raises(NotImplementedError):
+        Ring(f).cross(unit, unit)
+
+
+def test_components_agree_over_the_unpruned_neighbours(spark):
+    """Two flat patches side by side whose forests do not touch: the smaller vertex's direction wins for both."""
+    xyz = [(x / 4, y / 4, 0.001 * ((x * 7 + y * 3) % 5)) for x in range(8) for y in range(4)]
+    p = points(spark, xyz)
+    rows = [(i, 0.0, 0.0, 1.0 if i < 16 else -1.0, 0 if i < 16 else 16) for i in range(32)]
+    oriented = spark.createDataFrame(rows, "id long, nx double, ny double, nz double, comp long")
+    near = knn.knn_self(p, 5)
+    assert {r["nz"] for r in pipeline.agreed(oriented, near).collect()} == {1.0}
+    inside = near.where("(id < 16) = (nid < 16)")
+    assert {r["nz"] for r in pipeline.agreed(oriented, inside).collect()} == {1.0, -1.0}
+
+
 def test_sphere_points_one_way(spark):
     i = np.arange(200) + 0.5
     phi, theta = np.arccos(1 - 2 * i / 200), math.pi * (1 + 5**0.5) * i
@@ -364,6 +406,73 @@ def test_ears_cover_the_polygon(spark, xy):
     assert abs(sum(polygon_area(xyz[list(i)]) for i in t) - polygon_area(xyz)) < 1e-9
 
 
+def test_polygons_with_unknown_corners_give_nothing(spark):
+    p = points(spark, [(0, 0, 0), (2, 0, 0), (3, 1, 0), (1, 3, 0), (np.nan, 2, 0)])
+    f = spark.createDataFrame([(0, [0, 1, 2, 3, 4]), (1, [0, 1, 2, 3, 99]), (2, [0, 1, 2, None, 3]), (3, [0, 1, 2, 3, 0])], "face_id long, vertex_indices array<long>")
+    assert {r["face_id"] for r in mesh.triangulate(p, f).collect()} == {3}
+
+
+def test_points_without_a_place_in_sums_and_gaps(spark):
+    nan, inf = float("nan"), float("inf")
+    p = spark.createDataFrame([(0, 0.1, 0.2, 0.3), (1, 0.4, 0.1, 0.9), (2, 0.5, 0.5, 0.1), (3, nan, 0.0, 0.0), (4, 0.0, inf, 0.0), (5, None, 0.0, 0.0), (6, 0.9, 0.8, 0.2)], "id long, x double, y double, z double")
+    e = spark.createDataFrame([(a, b) for a in range(7) for b in range(7) if a != b], "id long, nid long")
+    good = p.where("id in (0, 1, 2, 6)")
+    for exact in (False, True):
+        got = {r["id"]: (r["nx"], r["ny"], r["nz"]) for r in normals.pca_normals(p, e, exact).collect()}
+        want = {r["id"]: (r["nx"], r["ny"], r["nz"]) for r in normals.pca_normals(good, e, exact).collect()}
+        assert all(got[i] == pytest.approx(want[i]) for i in want) and all(got[i] == (None, None, None) for i in (3, 4, 5))
+    a = {r["id"]: tuple(r)[1:] for r in smoothing.taubin(p, e, 2).collect()}
+    b = {r["id"]: tuple(r)[1:] for r in smoothing.taubin_many(p, e, 2).collect()}
+    for i in (0, 1, 2, 6):
+        assert a[i] == pytest.approx(b[i])
+    assert a[5] == (None, 0.0, 0.0) and a[4] == b[4] == (0.0, inf, 0.0) and math.isnan(a[3][0]) and math.isnan(b[3][0])
+    assert cloud.occupancy(p, 4).agg(F.sum("n")).first()[0] == 4
+    v = spark.createDataFrame([(0, 1.0), (1, nan), (2, 4.0), (3, -inf), (4, None), (5, 2.0), (6, inf)], "id long, v double")
+    assert sorted(tuple(r) for r in order.gaps(v).collect()) == [(0, 1.0, 1.0), (5, 2.0, 2.0)]
+    assert {r["nid"] for r in knn.nearest_to(p, 0, 9).collect()} == {1, 2, 6}
+    assert knn.nearest_to(p, 77).collect() == [] == knn.nearest_to(p, 3).collect()
+
+
+@pytest.mark.parametrize("order_", [1, -1, 0])
+def test_bases_are_right_handed_and_hold_for_equal_eigenvalues(spark, order_):
+    r = np.random.default_rng(5)
+    shapes = {0: r.random((9, 3)), 100: np.array([(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0)], float), 200: np.concatenate((np.eye(3), -np.eye(3))), 300: np.array([(1, 1, 1), (2, 2, 2)], float), 400: np.zeros((3, 3))}
+    rows = [(o, 0.0, 0.0, 0.0) for o in shapes] + [(o + 1 + i, *map(float, v)) for o, s in shapes.items() for i, v in enumerate(s)]
+    edges = [(o, o + 1 + i) for o, s in shapes.items() for i in range(len(s))]
+    p, e = spark.createDataFrame(rows, "id long, x double, y double, z double"), spark.createDataFrame(edges, "id long, nid long")
+    a = {s["id"]: np.array([[s[normals.TERMS[k]] for k in row] for row in ((0, 1, 2), (1, 3, 4), (2, 4, 5))]) for s in normals.scatter(p, e).collect()}
+    for b in normals.eigen_bases(p, e, order_).collect():
+        v, w = np.array([b[c] for c in normals.BASIS]).reshape(3, 3), np.array([b["e0"], b["e1"], b["e2"]])
+        assert np.allclose(v @ v.T, np.eye(3)) and np.linalg.det(v) > 0.999
+        assert np.allclose(v @ a[b["id"]], w[:, None] * v, atol=1e-9)
+        assert order_ == 0 or (np.diff(w) * order_ >= -1e-12).all()
+        s = shapes[b["id"]]
+        g = s.sum(0) / (len(s) + 1)
+        assert np.allclose(a[b["id"]], (s - g).T @ (s - g))
+
+
+def test_one_query_opens_few_row_groups(spark, tmp_path):
+    xyz = noise(20_000, 31)
+    laid = knn.lay_out(points(spark, xyz).repartition(4), str(tmp_path / "laid"), group=20_000)
+    u = {r["id"]: (r["x"], r["y"], r["z"]) for r in laid.collect()}
+    for i in (0, 7, 4321):
+        d = sorted((sum((a - b) ** 2 for a, b in zip(u[i], v, strict=True)), j) for j, v in u.items() if j != i)[:12]
+        got = knn.nearest_in(laid, u[i], 12, but=i).collect()
+        assert [(r["nid"], r["rank"]) for r in got] == [(j, n) for n, (_, j) in enumerate(d, 1)]
+        box = knn.box_around(laid, u[i], 0.05)
+        box.collect()
+        assert scanned_rows(box) < 20_000 / 3
+    assert [r["nid"] for r in knn.nearest_in(laid.limit(0), (0.5, 0.5, 0.5), 3).collect()] == []
+    assert len(knn.nearest_in(laid, (-3.0, 9.0, 0.5), 5).collect()) == 5
+
+
+def scanned_rows(df):
+    """Rows that left the file scan of a query that has run."""
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.length()))
+
+
 def test_triangulate_mixed(spark):
     p = points(spark, [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (-1, 0.5, 0)])
     f = spark.createDataFrame([(0, [0, 1, 2]), (1, [0, 1, 2, 3]), (2, [0, 1, 2, 3, 4]), (3, [0, 1]), (4, [])], "face_id long, vertex_indices array<long>")
