@@ -14,6 +14,7 @@ import functools
 import hashlib
 import heapq
 import unicodedata
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,12 +46,14 @@ def code_classes() -> np.ndarray:
 
     Which code points are letters or numbers depends on the Unicode version, and that of the public tokenizer library is
     newer than Python's. Where the library is installed, its own classes are read off once, on the driver: a vocabulary of
-    the 256 bytes encodes just what a one-class pattern matches.
+    the 256 bytes encodes just what a one-class pattern matches. Without it Python's older tables serve, with a warning, since
+    texts with newer letters may then have other ids.
     """
     out = np.full(0x110000, OTHER, np.uint8)
     try:
         import tiktoken
     except ImportError:
+        warnings.warn("tiktoken is not installed: letters and numbers are those of Python's Unicode tables", stacklevel=2)
         by = {"L": LETTER, "N": NUMBER}
         out[:] = [by.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)]
     else:

@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def vocabulary() -> str:
-    """The rank file that op1 and the pipeline encode by."""
+    """The rank file that op1 and the pipeline encode by; the split that bpe makes must be the one it comes with."""
     import public_tokenizers
 
+    if public_tokenizers.PATTERN != packing.SPLIT:
+        raise ValueError("the vocabulary comes with another pattern than the one that bpe splits by")
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 

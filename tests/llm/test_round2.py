@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import sys
 from collections import Counter, defaultdict
 
 import brute
@@ -147,6 +148,19 @@ def test_known_sentences_over_line_breaks(spark):
         assert {r["doc_id"]: r["licenses"] for r in licenses.scan(df, lines=lines).collect()} == {i: x for i, (_, x) in enumerate(cases)}
 
 
+def test_classes_without_the_library_come_with_a_warning(monkeypatch):
+    monkeypatch.setitem(sys.modules, "tiktoken", None)
+    with pytest.warns(UserWarning, match="Unicode tables"):
+        own = bpe.code_classes.__wrapped__()
+    assert own[ord("a")] == bpe.LETTER and own[ord("7")] == bpe.NUMBER
+
+
+def test_another_pattern_is_refused(monkeypatch):
+    monkeypatch.setattr(P, "PATTERN", r"\S+")
+    with pytest.raises(ValueError, match="pattern"):
+        queries.vocabulary()
+
+
 # ---- ledgers
 
 
