@@ -60,6 +60,25 @@ SENTENCES |= {
     for form in FORMS
     for mark, sign in (("comma", ","), ("semicolon", ";"))
 }
+#: Identifiers of licences, and the names by which short notices call them.
+NAMES = {
+    "MIT": ("MIT License",),
+    "Apache-2.0": ("Apache License 2.0", "Apache License, Version 2.0", "Apache 2.0 License"),
+    "BSD-2-Clause": ("BSD 2-Clause License",),
+    "BSD-3-Clause": ("BSD 3-Clause License",),
+    "ISC": ("ISC License",),
+    "MPL-2.0": ("Mozilla Public License 2.0",),
+    "GPL-2.0-only": ("GNU General Public License v2.0",),
+    "GPL-3.0-only": ("GNU General Public License v3.0",),
+    "LGPL-3.0-only": ("GNU Lesser General Public License v3.0",),
+    "AGPL-3.0-only": ("GNU Affero General Public License v3.0",),
+    "Unlicense": ("Unlicense",),
+}
+#: What short notices say of such a name.
+NOTICES = ("This project is licensed under the {}", "This software is licensed under the {}", "This library is licensed under the {}", "This code is licensed under the {}", "Licensed under the {}", "Released under the {}", "Distributed under the {}", "{}, see the file", "{}, see the LICENSE file", "See the LICENSE file for the {}")
+_LONGER = set(SENTENCES.values())
+SHORT = {of: {f"short_{of}_{n}_{k}": form.format(name) for n, name in enumerate(names) for k, form in enumerate(NOTICES) if form.format(name) not in _LONGER} | {f"spdx_{of}": f"SPDX-License-Identifier {of}"} for of, names in NAMES.items()}
+SENTENCES |= {k: v for own in SHORT.values() for k, v in own.items()}
 #: Licence and the sentence identifiers that stand for it, in the order in which rules are tried. "?" ends an
 #: optional identifier, "|" parts those of which one is asked for; between identifiers one gap may lie.
 RULES = (
@@ -83,6 +102,7 @@ RULES = (
     ("CC-BY-SA-4.0", ("cc_by_sa_work",)),
     ("CC-BY-NC-4.0", ("cc_by_nc_short",)),
     ("CC-BY-NC-4.0", ("cc_by_nc_work",)),
+    *((of, ("|".join(own),)) for of, own in SHORT.items()),
     ("proprietary", ("all_rights",)),
 )
 #: Where sentences end: at a full stop or the like before white space, and at a blank line. Every known sentence is cut alike.
@@ -91,6 +111,8 @@ NOISE = r"[^a-z0-9]+"
 #: Every known sentence holds one of these in one of its pieces, none of which a line can break; a text without any has no known sentence.
 HINTS = ("licen", "copyright", "warrant", "permission", "redistribut", "domain", "reserved", "obtain")
 GAP = "_"
+#: A tag of which the colon ends no sentence; it goes before sentences are cut.
+TAG = r"(spdx-license-identifier):[ \t]*"
 
 
 def normalise(sentence: str) -> str:
@@ -143,7 +165,7 @@ def lines_pattern() -> str:
 
 def identifiers(text: Column, lines: bool = True) -> Column:
     """The known sentences of a text in order, as ,id,id,_,id, with _ for each run of others; null where there is none."""
-    low = F.lower(text)
+    low = F.regexp_replace(F.lower(text), TAG, "$1 ")
     table = F.create_map(*[F.lit(x) for pair in known().items() for x in pair])
     ids = F.transform(F.split(F.regexp_replace(low, lines_pattern(), "\n\n$0\n\n") if lines else low, ENDS), lambda s: F.coalesce(F.try_element_at(table, normalised(s)), F.lit(GAP)))
     runs = F.regexp_replace(F.concat(F.lit(","), F.array_join(ids, ","), F.lit(",")), f"(?<=,)(?:{GAP},)+", f"{GAP},")

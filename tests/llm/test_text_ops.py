@@ -192,6 +192,13 @@ def test_licenses(spark, edge_docs, no_docs):
     assert licenses.scan(no_docs).count() == 0
 
 
+def test_short_notices(spark):
+    cases = [("This project is licensed under the MIT License.", ["MIT"]), ("MIT License, see the file.", ["MIT"]), ("// SPDX-License-Identifier: MIT", ["MIT"]), ("Licensed under the Apache License 2.0", ["Apache-2.0"])]
+    cases += [("# SPDX-License-Identifier: Apache-2.0\nimport os", ["Apache-2.0"]), ("Some words. Released under the BSD 3-Clause License.\nMore words", ["BSD-3-Clause"]), ("MIT.", []), ("SPDX-License-Identifier: none", []), ("Unlicensed under the MIT License agreement of 1999", [])]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(t for t, _ in cases)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["licenses"] for r in got} == dict(enumerate(x for _, x in cases))
+
+
 def test_license_versions_in_divided_sentences(spark):
     grant = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation{} {}."
     later, only = "either version {} of the License, or (at your option) any later version", "version {} of the License"
