@@ -2,8 +2,8 @@
 
 A grid round compares each query with the points in the 27 cells around its own, cube by cube in numpy. A query is done
 when its k-th distance is strictly below the distance to every face of that block behind which the grid goes on: nothing
-nearer, and no tie, can lie outside. Queries near crowded cells, outside the cube or in sparse surroundings descend a tree
-of cells instead, which is split until no cell holds many points: from level to level only cells go on that can hold one
+nearer, and no tie, can lie outside. Queries near crowded cells meet a grid with cells half as wide in the next round. Those
+that are then left, outside the cube or in sparse surroundings descend a tree of cells instead, which is split until no cell holds many points: from level to level only cells go on that can hold one
 of the k nearest, judged by the cells' bounds, so clusters, outliers and far queries meet few points too.
 
 Points with a null or non-finite coordinate are no references, and as queries they have no neighbours.
@@ -26,8 +26,9 @@ from pointloom.operators import cloud
 from pointloom.plans.storage import materialize
 
 FINEST = 1024
-#: Rounds over the grid, the second with cells twice as wide, before the queries that are left descend the tree.
-GRID_ROUNDS = 1
+#: Rounds over the grid, each for the queries near cells that the one before found crowded, with cells half as wide, and the
+#: number of such queries from which on there is one more. The queries that are left then descend the tree.
+GRID_ROUNDS, WORTH = 3, 2_000
 #: Cells an axis of the cubes that a grid round handles in one go.
 SIDE = 8
 #: Pairs of points that a task compares at once.
@@ -179,17 +180,19 @@ def _nearest_in_block(k: int, b: int, max_d2: float | None, exclude_self: bool):
     return run
 
 
-def _grid_round(active: DataFrame, refs: DataFrame, k: int, b: int, max_d2: float | None, exclude_self: bool) -> tuple[DataFrame, DataFrame]:
-    """(edges of the queries that are done, the other queries).
+def _grid_round(active: DataFrame, refs: DataFrame, k: int, b: int, max_d2: float | None, exclude_self: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges of the queries that are done, the queries near crowded cells, the others that are not done).
 
     Cubes of SIDE cells an axis with the cells around them are handled in one go each; crowded cells are left out with all
     queries around them, so a cube holds a bounded number of points.
     """
-    full = _crowded(refs, b, crowd(k))
+    full = materialize(_crowded(refs, b, crowd(k)), "knn-crowded")
     inside = reduce(Column.__and__, [F.col(a).between(0.0, 1.0) for a in "xyz"])
     q, r = cloud.index_of_cells(active.where(inside), b), cloud.index_of_cells(refs, b)
     on = lambda h: reduce(Column.__and__, [F.col(f"c{a}") == F.col(f"{h}{a}") for a in "xyz"])
-    q, r = q.join(_around(full), on("h"), "left_anti"), r.join(full, on("f"), "left_anti")
+    near = _around(full)
+    crowded = q.join(near, on("h"), "left_semi").select("id", "x", "y", "z")
+    q, r = q.join(near, on("h"), "left_anti"), r.join(full, on("f"), "left_anti")
     for a in "xyz":
         q = q.withColumn(f"b{a}", F.floor(F.col(f"c{a}") / SIDE))
         r = r.withColumn(f"b{a}", F.explode(F.array_distinct(F.array(*[F.floor((F.col(f"c{a}") + d) / SIDE) for d in (-1, 0, 1)]))))
@@ -197,7 +200,11 @@ def _grid_round(active: DataFrame, refs: DataFrame, k: int, b: int, max_d2: floa
     got = q.select(cols).groupBy(cube).cogroup(r.select(cols).groupBy(cube)).applyInPandas(_nearest_in_block(k, b, max_d2, exclude_self), "id long, nid long, d2 double, rank int")
     got = materialize(got, "knn-round")
     ok = got.where("rank = 0").select(F.col("id").alias("ok"))
-    return got.where("rank > 0"), active.join(ok, F.col("id") == F.col("ok"), "left_anti")
+    rest = active.join(ok, F.col("id") == F.col("ok"), "left_anti")
+    if full.isEmpty():
+        return got.where("rank > 0"), crowded, rest
+    left = crowded.select(F.col("id").alias("of"))
+    return got.where("rank > 0"), crowded, rest.join(left, F.col("id") == F.col("of"), "left_anti")
 
 
 def _cells(points: DataFrame, level: int) -> DataFrame:
@@ -281,12 +288,17 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, max_d2: float | None =
     refs = own
     n = refs.count()
     b = cells or start_cells(n, k)
-    for left in range(GRID_ROUNDS, 0, -1):
-        if b < 4:  # nearly all points share a block
+    waiting = []
+    for _ in range(GRID_ROUNDS):
+        if b < 4 or b > FINEST:  # nearly all points share a block, or cells are as fine as they get
             break
-        got, active = _grid_round(active, refs, k, b, max_d2, exclude_self)
+        got, active, rest = _grid_round(active, refs, k, b, max_d2, exclude_self)
         done.append(got)
-        active, b = materialize(active, "knn-active") if left > 1 else active, b // 2
+        waiting.append(materialize(rest, "knn-sparse"))
+        active, b = materialize(active, "knn-active"), 2 * b
+        if active.limit(WORTH).count() < WORTH:
+            break
+    active = reduce(DataFrame.unionByName, waiting, active)
     done.append(_top(_descend(active, refs, n, k, max_d2, exclude_self), k).select("id", "nid", "d2", "rank"))
     out = reduce(DataFrame.unionByName, done)
     if max_d2 is not None:

@@ -77,14 +77,33 @@ def drop(*tables: DataFrame) -> None:
             _remove(t.sparkSession, [path])
 
 
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is run inside go at its end; the session's own setting is put back."""
+    before = spark.conf.get(CLEANED, None)
+    spark.conf.set(CLEANED, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANED)
+        else:
+            spark.conf.set(CLEANED, before)
+
+
 def materialize(df: DataFrame, tag: str, *done: DataFrame) -> DataFrame:
     """df written once as Parquet in the shared folder and read back; done: tables that are dropped then.
 
     Unlike a cached table it survives lost executors, and the reader knows its size, so joins with a small table
-    become broadcast joins by the session's own threshold instead of by a hint.
+    become broadcast joins by the session's own threshold instead of by a hint. What was shuffled for it goes as soon as it
+    is written, not when the driver happens to collect its garbage.
     """
     path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    with _shuffles_cleaned(df.sparkSession):
+        df.write.parquet(path)
     drop(*done)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -12,7 +13,7 @@ from pointloom.functions import geometry as G
 from pointloom.operators import cloud, egg, graph, knn, mesh, normals, order, smoothing
 from pointloom.operators.components import components
 from pointloom.operators.providers import RADIUS, RING, SELF, Nearest, Neighbours, Ring, Within
-from pointloom.plans import pipeline
+from pointloom.plans import pipeline, storage
 
 POINTS = "id long, x double, y double, z double"
 
@@ -109,6 +110,20 @@ def test_candidates_stay_few_in_uneven_clouds(spark, kind):
     assert per[1] < n / 2
 
 
+def test_dense_clouds_are_met_by_finer_grids(spark, monkeypatch):
+    """Nearly all of a cloud that is dense in its middle descended the tree, whose fronts filled the disk."""
+    monkeypatch.setattr(knn, "WORTH", 100, raising=False)
+    left, descend = [], knn._descend
+    monkeypatch.setattr(knn, "_descend", lambda q, *rest: left.append(q.count()) or descend(q, *rest))
+    r = np.random.default_rng(31)
+    xyz = np.concatenate((0.4 + 0.2 * r.random((2400, 3)), r.random((100, 3)), [[0.0, 0.0, 0.0], [1.0, 1.0, 1.0]]))
+    lo, hi = xyz.min() - 1e-6, xyz.max() + 1e-6
+    rows = [(x["id"], x["nid"], x["rank"]) for x in knn.knn_self(points(spark, xyz), 5).collect()]
+    assert {x[:2] for x in rows} == nearest((xyz - lo) / (hi - lo), 5)
+    assert len(set(rows)) == len(rows) == 5 * len(xyz)
+    assert sum(left) < len(xyz) / 2
+
+
 def within(xyz, radius, q=None):
     q = xyz if q is None else q
     d = ((q[:, None] - xyz[None]) ** 2).sum(-1)
@@ -499,6 +514,24 @@ def test_degenerate_extent(spark):
     assert all(0 <= r[a] <= 1 for a in "xyz")
 
 
+def test_shuffle_files_go_with_the_step_that_made_them(spark):
+    """Those of all steps stayed until the driver collected its garbage: 50 exchanges of a large cloud's blocks and more."""
+
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    cleaned = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = files(), spark.conf.get(cleaned, None)
+    out = storage.materialize(spark.range(1000).repartition(5, "id").groupBy((F.col("id") % 10).alias("k")).count(), "shuffled")
+    until = time.monotonic() + 20
+    while files() - before and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert spark.conf.get(cleaned, None) == setting
+    assert out.agg(F.sum("count")).first()[0] == 1000
+
+
 def test_pipeline_covers_all_points(spark):
     p = points(spark, noise(70, 9) * 5 - 1, range(100, 170))
     out = pipeline.smooth_cloud(p, k=6, iterations=7)
