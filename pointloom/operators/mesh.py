@@ -64,10 +64,10 @@ def euler(points: DataFrame, faces: DataFrame) -> DataFrame:
 
 
 def face_areas(points: DataFrame, faces: DataFrame) -> DataFrame:
-    """(face_id, area)."""
+    """(face_id, area). Points and faces meet by a sort, as in triangulate."""
     out = valid_faces(faces)
     for i in range(3):
-        p = points.select(F.col("id").alias(f"i{i}"), *[F.col(c).alias(f"{c}{i}") for c in "xyz"])
+        p = points.select(F.col("id").alias(f"i{i}"), *[F.col(c).alias(f"{c}{i}") for c in "xyz"]).hint("merge")
         out = out.join(p, F.col(f"v{i}") == F.col(f"i{i}"))
     a, b, c = (tuple(F.col(f"{x}{i}") for x in "xyz") for i in range(3))
     n = G.cross(G.sub(b, a), G.sub(c, a))
@@ -134,12 +134,14 @@ def triangulate(points: DataFrame, polygons: DataFrame, lists: str = "vertex_ind
     Triangles stay, quads become (0, 1, 3) and (2, 3, 1); both need no coordinates and stay in SQL. Only polygons with five
     corners or more meet their points and are clipped in Python. Shorter lists give nothing, nor does a polygon of five or
     more of which a corner is null, is no point or has no place: what is left of it would be another shape.
+    Points and corners meet by a sort: a file's size says little of its rows (ids in order take a byte or two each), and by
+    that size Spark would send a large mesh's points through the driver.
     """
     n, at = F.size(lists), lambda i: F.get(lists, F.lit(i)).cast("long")
     tri = lambda t, a, b, c: F.struct(F.lit(t).cast("long").alias("t"), at(a).alias("v0"), at(b).alias("v1"), at(c).alias("v2"))
     small = polygons.where((n == 3) | (n == 4)).select("face_id", F.inline(F.when(n == 3, F.array(tri(0, 0, 1, 2))).otherwise(F.array(tri(0, 0, 1, 3), tri(1, 2, 3, 1)))))
     corners = polygons.where(n >= 5).select("face_id", n.alias("size"), F.posexplode(lists).alias("pos", "vid"))
-    p = cloud.finite(points).select(F.col("id").alias("pid"), "x", "y", "z")
+    p = cloud.finite(points).select(F.col("id").alias("pid"), "x", "y", "z").hint("merge")
     rings = corners.join(p, F.col("vid") == F.col("pid")).groupBy("face_id", "size").agg(F.sort_array(F.collect_list(F.struct("pos", "vid", "x", "y", "z"))).alias("ring"))
     rings = rings.where(F.size("ring") == F.col("size")).select("face_id", "ring")
 

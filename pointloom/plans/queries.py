@@ -44,7 +44,7 @@ def lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("a"))
-    top = p.select((F.col("a") - WIDTH).alias("below"))
+    top = p.select((F.col("a") - WIDTH).alias("below")).hint("merge")  # as many rows as p, in a small file
     cells = p.where(F.col("a") % WIDTH < WIDTH - 1).join(top, F.col("a") == F.col("below"), "left_semi")
     a = F.col("a")
     return cells.select(a.alias("face_id"), F.array(a, a + 1, a + WIDTH + 1, a + WIDTH).alias("vertex_indices"))
@@ -451,7 +451,7 @@ def mesh_triangulate_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = materialize(mesh.triangulate(flat, faces6), "triangles")
     areas = mesh.face_areas(flat, t.withColumn("face_id", F.col("face_id") * 4 + F.col("t"))).groupBy(F.floor(F.col("face_id") / 4).alias("of")).agg(F.sum("area").alias("area"))
     got = t.groupBy("face_id").agg(F.count(F.lit(1)).alias("triangles"), F.size(F.array_distinct(F.flatten(F.collect_list(F.array("v0", "v1", "v2"))))).cast("long").alias("corners"))
-    return rounded(got.join(areas, F.col("face_id") == F.col("of")).drop("of"), "area")
+    return rounded(got.join(areas.hint("merge"), F.col("face_id") == F.col("of")).drop("of"), "area")
 
 
 @query(f"""with {MESH}, e as (select face_id, b.x - a.x as ux, b.y - a.y as uy, b.z - a.z as uz, c.x - a.x as vx, c.y - a.y as vy, c.z - a.z as vz from tri join mpts a on a.id = v0 join mpts b on b.id = v1 join mpts c on c.id = v2)

@@ -13,7 +13,7 @@ from pointloom.functions import geometry as G
 from pointloom.operators import cloud, egg, graph, knn, mesh, normals, order, smoothing
 from pointloom.operators.components import components
 from pointloom.operators.providers import RADIUS, RING, SELF, Nearest, Neighbours, Ring, Within
-from pointloom.plans import pipeline, storage
+from pointloom.plans import pipeline, queries, storage
 
 POINTS = "id long, x double, y double, z double"
 
@@ -497,6 +497,23 @@ def test_triangulate_mixed(spark):
     assert mesh.fixed_columns(f, "vertex_indices", 3).where("vertex_indices_count = 2 and vertex_indices_2 is null").count() == 1
 
 
+def test_large_meshes_in_small_files_are_not_broadcast(spark):
+    """Files of ids in order are a fraction of their rows; by their size the points of 1.2 million parts went through the driver."""
+    sf, key = "/root/testdata/sf0.01", "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "16k")  # 2,000 rows take 5 kB of the file and 32 kB at least in memory
+    try:
+        with storage.scratch(spark):
+            p, q = queries.lattice(spark, sf), queries.quads(spark, sf)
+            a = F.col("face_id")
+            five = q.where(a % 20 < 18).select("face_id", F.array(a, a + 1, a + 2, a + 21, a + 20).alias("vertex_indices"))
+            for df, n in ((q, 1881), (mesh.triangulate(p, five), 3 * 1782), (mesh.face_areas(p, queries.faces(spark, sf)), 3762), (queries.mesh_triangulate_polygons(spark, sf), 1782)):
+                assert len(df.collect()) == n
+                assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_running_sums(spark):
     vals = [(i * 7 % 31, i) for i in range(31)]
     df = spark.createDataFrame(vals, "k long, v long")
